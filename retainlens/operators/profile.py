@@ -235,3 +235,30 @@ def correlation_lower(df: DataFrame, cols: Sequence[str], fill: bool = True) ->
         F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
                  nan_to_null(F.col(f"_p{k}")).alias("corr")) for k, (a, b) in enumerate(pairs)
     ])).alias("s")).select("s.*")
+
+
+# ---------------------------------------------------------------- single components of the audit
+def entropy(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """A8 per column."""
+    cols = list(cols or df.columns)
+    strings = [c for c in cols if isinstance(df.schema[c].dataType, StringType)]
+    return entropy_from_counts(_value_table(df, cols), strings)
+
+
+def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3) -> DataFrame:
+    """A11 per column."""
+    cols = list(cols or df.columns)
+    top = top_values_from_counts(_value_table(df, cols), k)
+    return top
+
+
+def numeric_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A9 + A10 on the coerced numbers: n, mean, sample std, G1 skewness, p01, p99."""
+    lv = long_values(df, cols).select("column", F.col("nval").alias("value"))
+    mom = lv.groupBy("column").agg(
+        F.count("value").alias("n_num"), F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        g1_skewness(F.col("value"), F.count("value")).alias("skewness"))
+    qs = exact_quantiles(lv.filter(F.col("value").isNotNull()), "value", [0.01, 0.99], by=["column"],
+                         names=["p01", "p99"])
+    return mom.join(qs, "column", "left")

@@ -153,3 +153,174 @@ def q_positive_rate(spark, sf):
     """A3."""
     p = A.positive_rate(C.target_lenient(V.subscribers(spark, sf)))
     return p.select("n", "positives", r6(F.col("positive_rate")).alias("positive_rate"))
+
+
+# ------------------------------------------------------------------ profiles and audit
+_PROFILE_NUMERIC = ["o_totalprice"]
+_PROFILE_CATEGORICAL = ["o_orderpriority", "o_orderstatus"]
+
+
+@register("q_numeric_profile", with_views("\nUNION ALL\n".join(f"""
+SELECT '{c}' AS feature, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
+       round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(quantile_cont({c}, 0.25), 6) AS q25,
+       round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q75
+FROM drift_ref""" for c in _PROFILE_NUMERIC)))
+def q_numeric_profile(spark, sf):
+    """A5 over the reference window of orders."""
+    p = A.numeric_profile(V.drift_ref(spark, sf), _PROFILE_NUMERIC)
+    return p.select("feature", "count", *[r6(F.col(c)).alias(c) for c in
+                                          ("mean", "std", "min", "max", "q25", "median", "q75")])
+
+
+@register("q_categorical_profile", with_views("\nUNION ALL\n".join(f"""
+SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS category, count(*) AS count,
+       round(CASE WHEN {c} IS NOT NULL THEN count(*) / sum(count(*) FILTER (WHERE {c} IS NOT NULL)) OVER () END, 6) AS freq,
+       CAST(sum(count(*) FILTER (WHERE {c} IS NOT NULL)) OVER () AS BIGINT) AS n_nonnull
+FROM drift_ref GROUP BY {c}""" for c in _PROFILE_CATEGORICAL)))
+def q_categorical_profile(spark, sf):
+    """A6 over the reference window of orders."""
+    p = A.categorical_profile(V.drift_ref(spark, sf), _PROFILE_CATEGORICAL)
+    return p.select("feature", "category", "count", r6(F.col("freq")).alias("freq"),
+                    F.col("n_nonnull").cast("long").alias("n_nonnull"))
+
+
+_SUBS_COLS = V.SUBSCRIBER_COLUMNS
+_SUBS_TYPES = {"SeniorCitizen": "int64", "tenure": "int64", "MonthlyCharges": "float64", "Churn": "int64"}
+
+
+def _num_sql(c):
+    return f"CAST({c} AS DOUBLE)" if c in _SUBS_TYPES else f"TRY_CAST({c} AS DOUBLE)"
+
+
+def _entropy_sql(c, src="subs_l"):
+    where = "" if c in _SUBS_TYPES else f"WHERE {c} IS NOT NULL"
+    return (f"(SELECT coalesce(-sum(p * log2(p)), 0) FROM (SELECT count(*) / sum(count(*)) OVER () AS p "
+            f"FROM {src} {where} GROUP BY {c}))")
+
+
+def _top_sql(c, src="subs_l"):
+    return (f"(SELECT coalesce(string_agg(v || '(' || cnt || ')', ', ' ORDER BY cnt DESC, v), '') FROM "
+            f"(SELECT CAST({c} AS VARCHAR) AS v, count(*) AS cnt FROM {src} WHERE {c} IS NOT NULL "
+            f"GROUP BY 1 ORDER BY cnt DESC, v LIMIT 3))")
+
+
+def _skew_sql(x):
+    return f"CASE WHEN count({x}) < 3 THEN NULL WHEN var_pop({x}) = 0 THEN 0 ELSE skewness({x}) END"
+
+
+def _audit_row_sql(c):
+    x = _num_sql(c)
+    return f"""
+SELECT '{c}' AS "column", '{_SUBS_TYPES.get(c, 'object')}' AS dtype,
+  count(*) - count({c}) AS null_count,
+  round(1 - (count(*) - count({c})) / count(*), 4) AS fill_rate,
+  count(DISTINCT {c}) AS n_unique,
+  round(count(DISTINCT {c}) / count(*), 4) AS unique_rate,
+  round({_entropy_sql(c)}, 4) AS entropy,
+  round({_skew_sql(x)}, 4) AS skewness,
+  round(avg({x}), 4) AS mean, round(stddev_samp({x}), 4) AS std,
+  round(quantile_cont({x}, 0.01), 4) AS p01, round(quantile_cont({x}, 0.99), 4) AS p99,
+  {_top_sql(c)} AS top_values
+FROM subs_l"""
+
+
+_AUDIT_SQL = "\nUNION ALL\n".join(_audit_row_sql(c) for c in _SUBS_COLS)
+
+
+def _audited(spark, sf):
+    return A.data_health_audit(C.target_lenient(V.subscribers(spark, sf)))
+
+
+@register("q_audit", with_views(_AUDIT_SQL))
+def q_audit(spark, sf):
+    """The data-health audit of every subscriber column."""
+    return _audited(spark, sf)
+
+
+@register("q_fill_unique", with_views(
+    f'SELECT "column", null_count, fill_rate, n_unique, unique_rate FROM ({_AUDIT_SQL})'))
+def q_fill_unique(spark, sf):
+    """A7."""
+    return A.fill_unique(C.target_lenient(V.subscribers(spark, sf)))
+
+
+@register("q_entropy", with_views("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", round({_entropy_sql(c)}, 6) AS entropy" for c in _SUBS_COLS)))
+def q_entropy(spark, sf):
+    """A8."""
+    e = A.entropy(C.target_lenient(V.subscribers(spark, sf)))
+    return e.select("column", r6(F.col("entropy")).alias("entropy"))
+
+
+_NUMERIC_LIKE = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges", "Churn"]
+
+
+@register("q_skewness", with_views("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", round({_skew_sql(_num_sql(c))}, 6) AS skewness FROM subs_l"
+    for c in _NUMERIC_LIKE)))
+def q_skewness(spark, sf):
+    """Bias-corrected G1 on the coerced numbers."""
+    s = A.numeric_summary(C.target_lenient(V.subscribers(spark, sf)), _NUMERIC_LIKE)
+    return s.select("column", r6(F.col("skewness")).alias("skewness"))
+
+
+@register("q_percentiles", with_views("\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", round(quantile_cont({_num_sql(c)}, 0.01), 6) AS p01,
+       round(quantile_cont({_num_sql(c)}, 0.99), 6) AS p99, round(avg({_num_sql(c)}), 6) AS mean,
+       round(stddev_samp({_num_sql(c)}), 6) AS std FROM subs_l""" for c in _NUMERIC_LIKE)))
+def q_percentiles(spark, sf):
+    """A10."""
+    s = A.numeric_summary(C.target_lenient(V.subscribers(spark, sf)), _NUMERIC_LIKE)
+    return s.select("column", *[r6(F.col(c)).alias(c) for c in ("p01", "p99", "mean", "std")])
+
+
+@register("q_top_values", with_views("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", {_top_sql(c)} AS top_values" for c in _SUBS_COLS)))
+def q_top_values(spark, sf):
+    """Top-3 values with counts (ties → smaller value first)."""
+    return A.top_values(C.target_lenient(V.subscribers(spark, sf)))
+
+
+@register("q_audit_top10", with_views(
+    f'SELECT "column", fill_rate FROM ({_AUDIT_SQL}) ORDER BY fill_rate, "column" LIMIT 10'))
+def q_audit_top10(spark, sf):
+    """L2: the ten least-filled columns of the audit (a top-k report)."""
+    return _audited(spark, sf).select("column", "fill_rate").orderBy("fill_rate", "column").limit(10)
+
+
+# ------------------------------------------------------------------ A13, A14, A17
+@register("q_contingency", with_views("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, coalesce(CAST({c} AS VARCHAR), 'MISSING') AS category, Churn AS label, "
+    f"count(*) AS count FROM eda GROUP BY 2, 3" for c in EDA_CATEGORICAL)))
+def q_contingency(spark, sf):
+    """Feature × target counts for every categorical column."""
+    return A.contingency(eda_frame(V.subscribers(spark, sf)), EDA_CATEGORICAL)
+
+
+_VIOLIN = ["tenure", "MonthlyCharges", "TotalCharges", "LoyaltyIndex", "UnitCost", "ChargeGap"]
+
+
+@register("q_class_quartiles", with_views("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, Churn AS label, round(quantile_cont({c}, 0.25), 6) AS q25, "
+    f"round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q75 "
+    f"FROM eda WHERE {c} IS NOT NULL GROUP BY Churn" for c in _VIOLIN)))
+def q_class_quartiles(spark, sf):
+    """Quartiles per class (the data behind the violin plots)."""
+    q = A.class_quartiles(eda_frame(V.subscribers(spark, sf)), _VIOLIN)
+    return q.select("feature", "label", *[r6(F.col(c)).alias(c) for c in ("q25", "median", "q75")])
+
+
+def _filled_sql(cols, src="eda"):
+    return ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM {src})) AS {c}"
+                     for c in cols)
+
+
+@register("q_correlation_lower", with_views(
+    "\nUNION ALL\n".join(
+        f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS corr FROM filled"
+        for i, a in enumerate(EDA_NUMERIC) for j, b in enumerate(EDA_NUMERIC) if i > j),
+    extra_ctes=f"filled AS (SELECT {_filled_sql(EDA_NUMERIC)} FROM eda)"))
+def q_correlation_lower(spark, sf):
+    """Pearson correlations of the median-filled numerics, strict lower triangle."""
+    c = A.correlation_lower(eda_frame(V.subscribers(spark, sf)), EDA_NUMERIC)
+    return c.select("feature_a", "feature_b", r6(F.col("corr")).alias("corr"))
