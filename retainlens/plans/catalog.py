@@ -324,3 +324,111 @@ def q_correlation_lower(spark, sf):
     """Pearson correlations of the median-filled numerics, strict lower triangle."""
     c = A.correlation_lower(eda_frame(V.subscribers(spark, sf)), EDA_NUMERIC)
     return c.select("feature_a", "feature_b", r6(F.col("corr")).alias("corr"))
+
+
+# ------------------------------------------------------------------ evaluation
+from ..operators import evaluate as E  # noqa: E402
+
+_SCORES_CTE = """
+s AS (SELECT score, CAST(sum(label) AS BIGINT) AS tp, CAST(count(*) - sum(label) AS BIGINT) AS fp
+      FROM scored_lineitem WHERE score IS NOT NULL GROUP BY score),
+c AS (SELECT score, tp, fp, sum(tp) OVER (ORDER BY score DESC) AS cum_tp,
+             sum(fp) OVER (ORDER BY score DESC) AS cum_fp,
+             sum(tp) OVER () AS tot_tp, sum(fp) OVER () AS tot_fp FROM s)"""
+
+_CM_SQL = """
+SELECT tn, fp, fn, tp, total,
+  round(tn / total, 4) AS tn_rate, round(fp / total, 4) AS fp_rate,
+  round(fn / total, 4) AS fn_rate, round(tp / total, 4) AS tp_rate,
+  tp + fn AS actual_positive, tn + fp AS actual_negative,
+  tp + fp AS predicted_positive, tn + fn AS predicted_negative
+FROM (SELECT count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+             count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+             count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+             count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+             count(*) AS total FROM scored_lineitem)"""
+
+
+@register("q_confusion", with_views(_CM_SQL))
+def q_confusion(spark, sf):
+    """E1."""
+    return E.confusion(V.scored_lineitem(spark, sf))
+
+
+@register("q_metrics", with_views(f"""
+SELECT round(CASE WHEN total = 0 THEN 0 ELSE (tp + tn) / total END, 4) AS accuracy,
+       round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 4) AS precision,
+       round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 4) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 4) AS f1
+FROM ({_CM_SQL})"""))
+def q_metrics(spark, sf):
+    """E2."""
+    return E.metrics(V.scored_lineitem(spark, sf))
+
+
+@register("q_roc_auc", with_views(
+    "SELECT round(sum(CAST(fp AS DOUBLE) * CAST(2 * cum_tp - tp AS DOUBLE)) / "
+    "(2.0 * max(tot_tp) * max(tot_fp)), 6) AS roc_auc FROM c", extra_ctes=_SCORES_CTE))
+def q_roc_auc(spark, sf):
+    """Exact ROC-AUC (ties count half)."""
+    return E.roc_auc(V.scored_lineitem(spark, sf)).select(r6(F.col("roc_auc")).alias("roc_auc"))
+
+
+@register("q_avg_precision", with_views(
+    "SELECT round(sum((tp / tot_tp) * (cum_tp / (cum_tp + cum_fp))), 6) AS average_precision FROM c",
+    extra_ctes=_SCORES_CTE))
+def q_avg_precision(spark, sf):
+    """Average precision (step sum)."""
+    return E.average_precision(V.scored_lineitem(spark, sf)).select(
+        r6(F.col("average_precision")).alias("average_precision"))
+
+
+@register("q_roc_curve", with_views("""
+SELECT round(score, 6) AS threshold, round(cum_fp / tot_fp, 6) AS fpr, round(cum_tp / tot_tp, 6) AS tpr FROM c
+UNION ALL SELECT NULL, 0.0, 0.0""", extra_ctes=_SCORES_CTE))
+def q_roc_curve(spark, sf):
+    """E5."""
+    c = E.roc_curve(V.scored_lineitem(spark, sf))
+    return c.select(*[r6(F.col(x)).alias(x) for x in ("threshold", "fpr", "tpr")])
+
+
+@register("q_pr_curve", with_views("""
+SELECT round(score, 6) AS threshold, round(cum_tp / (cum_tp + cum_fp), 6) AS precision,
+       round(cum_tp / tot_tp, 6) AS recall FROM c
+UNION ALL SELECT NULL, 1.0, 0.0""", extra_ctes=_SCORES_CTE))
+def q_pr_curve(spark, sf):
+    """E6."""
+    c = E.pr_curve(V.scored_lineitem(spark, sf))
+    return c.select(*[r6(F.col(x)).alias(x) for x in ("threshold", "precision", "recall")])
+
+
+_PER_CTE = f"""
+per AS (
+  SELECT '0' AS class, CASE WHEN tn + fn = 0 THEN 0 ELSE tn / (tn + fn) END AS precision,
+         CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END AS recall,
+         CASE WHEN 2 * tn + fn + fp = 0 THEN 0 ELSE 2 * tn / (2 * tn + fn + fp) END AS f1,
+         tn + fp AS support, (tp + tn) / total AS acc FROM ({_CM_SQL})
+  UNION ALL
+  SELECT '1', CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END,
+         CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END,
+         CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END,
+         tp + fn, (tp + tn) / total FROM ({_CM_SQL}))"""
+
+
+@register("q_class_report", with_views("""
+SELECT class, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1,
+       CAST(support AS BIGINT) AS support FROM per
+UNION ALL SELECT 'accuracy', round(max(acc), 4), round(max(acc), 4), round(max(acc), 4), CAST(sum(support) AS BIGINT) FROM per
+UNION ALL SELECT 'macro avg', round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4), CAST(sum(support) AS BIGINT) FROM per
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 4),
+       round(sum(recall * support) / sum(support), 4), round(sum(f1 * support) / sum(support), 4),
+       CAST(sum(support) AS BIGINT) FROM per""", extra_ctes=_PER_CTE))
+def q_class_report(spark, sf):
+    """E7."""
+    return E.class_report(V.scored_lineitem(spark, sf))
+
+
+@register("q_evaluation_report")
+def q_evaluation_report(spark, sf):
+    """The labelled-outcome evaluation job (confusion + metrics + AUC + AP) in one table."""
+    return E.evaluation_report(V.scored_lineitem(spark, sf))
