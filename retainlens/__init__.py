@@ -14,3 +14,12 @@ Subpackages:
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+try:  # Ship our UDF / applyInPandas helpers to executors by value: no --py-files needed.
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 — older cloudpickle: fall back to shipping the package
+    pass

@@ -80,7 +80,8 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score",
                       by: Sequence[str] = ()) -> DataFrame:
     """AP = Σ (R_k − R_{k−1}) · P_k over distinct thresholds (step sum, not trapezoid)."""
     st = score_table(df, label, score, by)
-    term = (F.col("tp") / F.col("tot_tp")) * (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp")))
+    term = (F.try_divide(F.col("tp"), F.col("tot_tp"))
+            * F.try_divide(F.col("cum_tp"), F.col("cum_tp") + F.col("cum_fp")))
     return st.groupBy(*_by(by)).agg(F.when(F.max("tot_tp") > 0, F.sum(term)).alias("average_precision"))
 
 

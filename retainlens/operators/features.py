@@ -52,7 +52,7 @@ def add_features(df: DataFrame, monthly_median: float | None = None, fit: bool =
         new["UnitCost"] = (F.coalesce(F.col("MonthlyCharges"), F.lit(monthly_median).cast("double"))
                            / (new["TotalAddOnServices"] + 1))                        # F3
     if "TotalCharges" in cols and "tenure" in cols:
-        apm = F.col("TotalCharges") / (ten0 + 1)
+        apm = F.try_divide(F.col("TotalCharges"), ten0 + 1)
         new["AvgPaidPerMonth"] = apm                                                 # F4
         if "MonthlyCharges" in cols:
             new["ChargeGap"] = F.abs(F.col("MonthlyCharges") - apm)                  # F5

@@ -432,3 +432,185 @@ def q_class_report(spark, sf):
 def q_evaluation_report(spark, sf):
     """The labelled-outcome evaluation job (confusion + metrics + AUC + AP) in one table."""
     return E.evaluation_report(V.scored_lineitem(spark, sf))
+
+
+# ------------------------------------------------------------------ statistical tests (H1–H4)
+from ..operators import drift as D  # noqa: E402
+from ..operators import stats as S  # noqa: E402
+from ..functions.pvalues import kolmogorov_sf_sql  # noqa: E402
+
+_CHI_TAB = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, coalesce(CAST({c} AS VARCHAR), 'MISSING') AS category, "
+    f"count(*) FILTER (WHERE Churn = 0) AS n0, count(*) FILTER (WHERE Churn = 1) AS n1, "
+    f"max(CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END) AS nonnull FROM eda GROUP BY 2"
+    for c in EDA_CATEGORICAL)
+_CHI_CTES = f"""
+chi_tab AS ({_CHI_TAB}),
+chi_t AS (SELECT *, sum(n0) OVER w AS c0, sum(n1) OVER w AS c1, count(*) OVER w AS r
+          FROM chi_tab WINDOW w AS (PARTITION BY feature)),
+chi_x AS (SELECT feature, r, nonnull, (r - 1) * (CAST(c0 > 0 AS INTEGER) + CAST(c1 > 0 AS INTEGER) - 1) AS dof,
+                 n0, n1, (n0 + n1) * c0 / (c0 + c1) AS e0, (n0 + n1) * c1 / (c0 + c1) AS e1 FROM chi_t),
+chi_d AS (SELECT *, CASE WHEN dof = 1 THEN abs(n0 - e0) - least(0.5, abs(n0 - e0)) ELSE abs(n0 - e0) END AS d0,
+                    CASE WHEN dof = 1 THEN abs(n1 - e1) - least(0.5, abs(n1 - e1)) ELSE abs(n1 - e1) END AS d1
+          FROM chi_x)"""
+
+
+@register("q_chi_square", with_views("""
+SELECT feature, 'chi_square' AS test,
+       round(sum(CASE WHEN e0 > 0 THEN d0 * d0 / e0 ELSE 0 END + CASE WHEN e1 > 0 THEN d1 * d1 / e1 ELSE 0 END), 6) AS chi2,
+       CAST(max(dof) AS INTEGER) AS dof, CAST(sum(nonnull) AS BIGINT) AS n_unique
+FROM chi_d GROUP BY feature HAVING sum(nonnull) <= 200 AND max(r) >= 2 AND max(dof) >= 1""",
+                                     extra_ctes=_CHI_CTES))
+def q_chi_square(spark, sf):
+    """H1: chi-square statistic (Yates for dof 1), dof and n_unique per categorical feature."""
+    s = S.chi_square_stats(eda_frame(V.subscribers(spark, sf)), EDA_CATEGORICAL)
+    return s.select("feature", "test", r6(F.col("chi2")).alias("chi2"), "dof", "n_unique")
+
+
+@register("q_chi_square_pvalues")
+def q_chi_square_pvalues(spark, sf):
+    """H1 + H2: with upper-tail p-values (closed form; checked against published values in tests)."""
+    return S.chi_square_tests(eda_frame(V.subscribers(spark, sf)), EDA_CATEGORICAL)
+
+
+@register("q_welch", with_views("\nUNION ALL\n".join(f"""
+SELECT '{c}' AS feature, 'welch_ttest' AS test,
+  round((avg(v) FILTER (WHERE y = 1) - avg(v) FILTER (WHERE y = 0))
+        / sqrt(var_samp(v) FILTER (WHERE y = 1) / count(v) FILTER (WHERE y = 1)
+               + var_samp(v) FILTER (WHERE y = 0) / count(v) FILTER (WHERE y = 0)), 6) AS t_stat,
+  round(avg(v) FILTER (WHERE y = 1), 6) AS mean_churn1, round(avg(v) FILTER (WHERE y = 0), 6) AS mean_churn0,
+  round(avg(v) FILTER (WHERE y = 1) - avg(v) FILTER (WHERE y = 0), 6) AS diff_mean
+FROM (SELECT CAST({c} AS DOUBLE) AS v, Churn AS y FROM eda WHERE {c} IS NOT NULL)
+HAVING count(v) FILTER (WHERE y = 1) >= 10 AND count(v) FILTER (WHERE y = 0) >= 10""" for c in EDA_NUMERIC)))
+def q_welch(spark, sf):
+    """H3: Welch t and class means per numeric feature (≥ 10 rows per class)."""
+    s = S.welch_stats(eda_frame(V.subscribers(spark, sf)), EDA_NUMERIC)
+    return s.select("feature", "test", *[r6(F.col(c)).alias(c) for c in
+                                         ("t_stat", "mean_churn1", "mean_churn0", "diff_mean")])
+
+
+@register("q_welch_pvalues")
+def q_welch_pvalues(spark, sf):
+    """H3 with Satterthwaite dof and two-sided p-values (regularised incomplete beta)."""
+    return S.welch_tests(eda_frame(V.subscribers(spark, sf)), EDA_NUMERIC)
+
+
+@register("q_vif")
+def q_vif(spark, sf):
+    """H4: VIF = diag(inverse correlation) of the median-filled numerics (numpy-checked in tests)."""
+    return S.vif(eda_frame(V.subscribers(spark, sf)), EDA_NUMERIC)
+
+
+# ------------------------------------------------------------------ drift
+_DRIFT_NUM = ["o_totalprice"]
+_DRIFT_CAT = ["o_orderpriority", "o_orderstatus"]
+_DRIFT_CFG = __import__("retainlens.config", fromlist=["DriftConfig"]).DriftConfig(
+    numeric_features=tuple(_DRIFT_NUM), categorical_features=tuple(_DRIFT_CAT))
+
+_TAG_CTE = "tag AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value, {side} AS side FROM {src} WHERE {c} IS NOT NULL"
+    for c in _DRIFT_NUM for side, src in ((0, "drift_ref"), (1, "drift_cur"))) + ")"
+_KS_CTES = _TAG_CTE + """,
+ks_cnt AS (SELECT feature, value, count(*) FILTER (WHERE side = 0) AS r, count(*) FILTER (WHERE side = 1) AS c
+           FROM tag GROUP BY 1, 2),
+ks_cum AS (SELECT feature, sum(r) OVER w AS cr, sum(c) OVER w AS cc,
+                  sum(r) OVER (PARTITION BY feature) AS tr, sum(c) OVER (PARTITION BY feature) AS tc
+           FROM ks_cnt WINDOW w AS (PARTITION BY feature ORDER BY value)),
+ks_d AS (SELECT feature, max(abs(cr / tr - cc / tc)) AS d, CAST(max(tr) AS BIGINT) AS n_ref,
+                CAST(max(tc) AS BIGINT) AS n_cur FROM ks_cum GROUP BY 1),
+ks_l AS (SELECT *, sqrt(n_ref * n_cur / (n_ref + n_cur)) * d AS lam FROM ks_d),
+ks_p AS (SELECT *, """ + kolmogorov_sf_sql("lam") + """ AS p FROM ks_l),
+ks_m AS (SELECT feature, avg(value) FILTER (WHERE side = 0) AS ref_mean, avg(value) FILTER (WHERE side = 1) AS cur_mean,
+                stddev_samp(value) FILTER (WHERE side = 0) AS ref_std, stddev_pop(value) FILTER (WHERE side = 1) AS cur_std
+         FROM tag GROUP BY 1),
+ks AS (SELECT p.feature, d, p, n_ref, n_cur, ref_mean, cur_mean, ref_std, cur_std FROM ks_p p JOIN ks_m USING (feature))"""
+
+
+@register("q_ks", with_views("""
+SELECT feature, round(d, 6) AS ks_statistic, round(p, 6) AS p_value, p < 0.05 AS drift_detected,
+       round(ref_mean, 6) AS ref_mean, round(cur_mean, 6) AS cur_mean, round(ref_std, 6) AS ref_std,
+       round(cur_std, 6) AS cur_std, n_ref, n_cur FROM ks""", extra_ctes=_KS_CTES))
+def q_ks(spark, sf):
+    """H5: exact two-sample KS over the full reference and current windows."""
+    k = D.ks_test(V.drift_ref(spark, sf), V.drift_cur(spark, sf), _DRIFT_NUM)
+    return k.select("feature", *[r6(F.col(c)).alias(c) for c in ("ks_statistic", "p_value")],
+                    "drift_detected", *[r6(F.col(c)).alias(c) for c in ("ref_mean", "cur_mean", "ref_std", "cur_std")],
+                    F.col("n_ref").cast("long").alias("n_ref"), F.col("n_cur").cast("long").alias("n_cur"))
+
+
+@register("q_psi_numeric", with_views("""
+SELECT feature, round(sum(((c + 1) / (nc + 10) - (r + 1) / (nr + 10)) * ln(((c + 1) / (nc + 10)) / ((r + 1) / (nr + 10)))), 6) AS psi
+FROM ph JOIN (SELECT feature, sum(r) AS nr, sum(c) AS nc FROM ph GROUP BY 1) USING (feature) GROUP BY feature""",
+    extra_ctes=_TAG_CTE + """,
+rng AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM tag GROUP BY 1),
+binned AS (SELECT t.feature, t.side, CASE WHEN hi = lo THEN 0
+                  ELSE CAST(least(floor((value - lo) / (hi - lo) * 10), 9) AS INTEGER) END AS bin
+           FROM tag t JOIN rng USING (feature)),
+grid AS (SELECT feature, CAST(b AS INTEGER) AS bin FROM rng, range(0, 10) AS _r(b)),
+ph AS (SELECT g.feature, g.bin, count(side) FILTER (WHERE side = 0) AS r, count(side) FILTER (WHERE side = 1) AS c
+       FROM grid g LEFT JOIN binned b ON g.feature = b.feature AND g.bin = b.bin GROUP BY 1, 2)"""))
+def q_psi_numeric(spark, sf):
+    """H6: numeric PSI (10 equal-width bins, Laplace smoothing)."""
+    return D.psi_numeric(V.drift_ref(spark, sf), V.drift_cur(spark, sf), _DRIFT_NUM)
+
+
+def _freq_sql(src):
+    return "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS category, count(*) / sum(count(*)) OVER () AS freq "
+        f"FROM {src} WHERE {c} IS NOT NULL GROUP BY {c}" for c in _DRIFT_CAT)
+
+
+_PSI_CAT_CTES = f"""
+rf AS ({_freq_sql('drift_ref')}),
+cf AS ({_freq_sql('drift_cur')}),
+pc AS (SELECT coalesce(rf.feature, cf.feature) AS feature,
+              greatest(coalesce(rf.freq, 1e-6), 1e-6) AS r, greatest(coalesce(cf.freq, 1e-6), 1e-6) AS c
+       FROM rf FULL OUTER JOIN cf ON rf.feature = cf.feature AND rf.category = cf.category),
+psi_cat AS (SELECT feature, round(abs(sum((c - r) * ln(c / r))), 6) AS psi FROM pc GROUP BY 1)"""
+
+
+@register("q_psi_categorical", with_views(
+    "SELECT feature, psi, psi > 0.2 AS drift_detected, CAST(0.2 AS DOUBLE) AS threshold FROM psi_cat", extra_ctes=_PSI_CAT_CTES))
+def q_psi_categorical(spark, sf):
+    """H7 + H8: categorical PSI over the union of categories, drift flag at PSI > 0.2."""
+    return D.psi_categorical(V.drift_ref(spark, sf), V.drift_cur(spark, sf), _DRIFT_CAT)
+
+
+@register("q_drift_report", with_views("""
+SELECT (ratio >= 0.3) AS drift_detected, n_drifted, total_features_checked, round(ratio, 4) AS drift_ratio,
+       CASE WHEN ratio = 0 THEN 'none' WHEN ratio < 0.3 THEN 'warning' ELSE 'critical' END AS alert_level,
+       (SELECT count(*) FROM drift_cur) AS sample_size, 'ok' AS status, drifted_features
+FROM (SELECT count(*) FILTER (WHERE drift) AS n_drifted, count(*) AS total_features_checked,
+             CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE drift) / count(*) ELSE 0.0 END AS ratio,
+             coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (WHERE drift), '') AS drifted_features
+      FROM (SELECT feature, p < 0.05 AS drift FROM ks UNION ALL SELECT feature, psi > 0.2 FROM psi_cat))""",
+    extra_ctes=_KS_CTES + "," + _PSI_CAT_CTES))
+def q_drift_report(spark, sf):
+    """H9: KS + PSI drift flags rolled up into the drift decision."""
+    return D.drift_report(V.drift_ref(spark, sf), V.drift_cur(spark, sf), _DRIFT_CFG)
+
+
+_REF_NUM = ["tenure", "MonthlyCharges", "TotalCharges"]
+_REF_CAT = ["Contract", "InternetService", "PaymentMethod"]
+
+
+@register("q_reference_profile", with_views("\nUNION ALL\n".join(f"""
+SELECT '{c}' AS feature, count(x) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std,
+       round(min(x), 6) AS min, round(max(x), 6) AS max, round(quantile_cont(x, 0.25), 6) AS q25,
+       round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.75), 6) AS q75
+FROM (SELECT TRY_CAST({c} AS DOUBLE) AS x FROM subscribers) WHERE x IS NOT NULL""" for c in _REF_NUM)))
+def q_reference_profile(spark, sf):
+    """H10 (numeric part): profile of coerced tenure / MonthlyCharges / TotalCharges."""
+    cfg = _DRIFT_CFG.__class__()
+    num, _ = D.reference_profile(V.subscribers(spark, sf), cfg)
+    return num.select("feature", "count", *[r6(F.col(c)).alias(c) for c in
+                                            ("mean", "std", "min", "max", "q25", "median", "q75")])
+
+
+@register("q_reference_frequencies", with_views("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS category, round(count(*) / sum(count(*)) OVER (), 6) AS freq "
+    f"FROM subscribers WHERE {c} IS NOT NULL GROUP BY {c}" for c in _REF_CAT)))
+def q_reference_frequencies(spark, sf):
+    """H10 (categorical part): category frequencies of Contract / InternetService / PaymentMethod."""
+    _, cat = D.reference_profile(V.subscribers(spark, sf))
+    return cat.select("feature", "category", r6(F.col("freq")).alias("freq"))
