@@ -563,10 +563,10 @@ def _freq_sql(src):
 _PSI_CAT_CTES = f"""
 rf AS ({_freq_sql('drift_ref')}),
 cf AS ({_freq_sql('drift_cur')}),
-pc AS (SELECT coalesce(rf.feature, cf.feature) AS feature,
+psi_pc AS (SELECT coalesce(rf.feature, cf.feature) AS feature,
               greatest(coalesce(rf.freq, 1e-6), 1e-6) AS r, greatest(coalesce(cf.freq, 1e-6), 1e-6) AS c
        FROM rf FULL OUTER JOIN cf ON rf.feature = cf.feature AND rf.category = cf.category),
-psi_cat AS (SELECT feature, round(abs(sum((c - r) * ln(c / r))), 6) AS psi FROM pc GROUP BY 1)"""
+psi_cat AS (SELECT feature, round(abs(sum((c - r) * ln(c / r))), 6) AS psi FROM psi_pc GROUP BY 1)"""
 
 
 @register("q_psi_categorical", with_views(
@@ -614,3 +614,203 @@ def q_reference_frequencies(spark, sf):
     """H10 (categorical part): category frequencies of Contract / InternetService / PaymentMethod."""
     _, cat = D.reference_profile(V.subscribers(spark, sf))
     return cat.select("feature", "category", r6(F.col("freq")).alias("freq"))
+
+
+# ------------------------------------------------------------------ prediction log
+from ..functions.expressions import risk_band  # noqa: E402
+from ..operators import monitor as O  # noqa: E402
+from ..sources import prediction_log as LG  # noqa: E402
+
+AS_OF = V.LOG_AS_OF
+_RISK_SQL = ("CASE WHEN churn_probability < CAST(0.3 AS DOUBLE) THEN 'Low' "
+             "WHEN churn_probability < CAST(0.6 AS DOUBLE) THEN 'Medium' ELSE 'High' END")
+_WINDOW_7 = f"log_date > DATE '{AS_OF}' - INTERVAL 7 DAY AND log_date <= DATE '{AS_OF}'"
+
+
+@register("q_risk_band", with_views(f"SELECT event_id, churn_probability, {_RISK_SQL} AS risk_level FROM prediction_log"))
+def q_risk_band(spark, sf):
+    """risk band of every logged probability."""
+    log = V.prediction_log(spark, sf)
+    return log.select("event_id", "churn_probability", risk_band("churn_probability").alias("risk_level"))
+
+
+_STATS_SELECT = """count(*) AS total_predictions, count(*) FILTER (WHERE prediction = 1) AS churn_count,
+  count(*) FILTER (WHERE prediction <> 1 OR prediction IS NULL) AS non_churn_count,
+  round(CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE prediction = 1) * 100 / count(*) END, 2) AS churn_rate,
+  round(avg(churn_probability), 4) AS avg_churn_probability,
+  count(*) FILTER (WHERE risk_level = 'Low') AS n_low, count(*) FILTER (WHERE risk_level = 'Medium') AS n_medium,
+  count(*) FILTER (WHERE risk_level = 'High') AS n_high"""
+
+
+@register("q_prediction_stats", with_views(f"SELECT {_STATS_SELECT} FROM prediction_log WHERE {_WINDOW_7}"))
+def q_prediction_stats(spark, sf):
+    """A15 over the last 7 calendar days (as_of inclusive), no row cap."""
+    log = LG.day_window(V.prediction_log(spark, sf), AS_OF, 7)
+    return O.prediction_stats(log)
+
+
+@register("q_prediction_stats_daily", with_views(
+    f"SELECT log_date, {_STATS_SELECT} FROM prediction_log GROUP BY log_date"))
+def q_prediction_stats_daily(spark, sf):
+    """A15 per day for the whole log (one job for every day)."""
+    return O.prediction_stats(V.prediction_log(spark, sf), by=["log_date"])
+
+
+@register("q_batch_summary", with_views("""
+SELECT count(*) AS total, count(*) FILTER (WHERE prediction = 1) AS churn_count,
+       round(CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE prediction = 1) * 100 / count(*) END, 2) AS churn_rate
+FROM prediction_log"""))
+def q_batch_summary(spark, sf):
+    """A16 over the whole scored batch."""
+    return O.batch_summary(V.prediction_log(spark, sf))
+
+
+@register("q_latest_predictions", with_views(f"""
+SELECT event_id, customerID, churn_probability, risk_level FROM prediction_log WHERE {_WINDOW_7}
+ORDER BY ts DESC, event_id DESC LIMIT 100"""))
+def q_latest_predictions(spark, sf):
+    """L1: the 100 newest log rows of the last 7 days (a top-n report), newest first."""
+    log = LG.day_window(V.prediction_log(spark, sf), AS_OF, 7)
+    return O.latest(log, 100).select("event_id", "customerID", "churn_probability", "risk_level")
+
+
+@register("q_log_features", with_views(
+    "SELECT event_id, customerID, prediction, CAST(json_extract(input_features, '$.k') AS INTEGER) AS k "
+    "FROM prediction_log"))
+def q_log_features(spark, sf):
+    """The JSON input features of every log row as flat columns."""
+    flat = LG.log_features(V.prediction_log(spark, sf), "k INT")
+    return flat.select("event_id", "customerID", "prediction", "k")
+
+
+@register("q_retention_split", with_views(f"""
+SELECT CASE WHEN log_date < DATE '{AS_OF}' - INTERVAL 14 DAY THEN 'expired' ELSE 'live' END AS retention,
+       count(*) AS n_rows, count(DISTINCT log_date) AS n_days
+FROM prediction_log GROUP BY 1"""))
+def q_retention_split(spark, sf):
+    """Live vs expired rows for a 14-day retention at as_of (whole day partitions)."""
+    tagged = LG.retention_split(V.prediction_log(spark, sf), AS_OF, 14)
+    return tagged.groupBy("retention").agg(F.count(F.lit(1)).alias("n_rows"),
+                                           F.count_distinct("log_date").alias("n_days"))
+
+
+# ------------------------------------------------------------------ monitoring
+_BASELINE_BEFORE = 1998
+_PERIOD_CTES = f"""
+pm AS (SELECT CASE WHEN ship_year < {_BASELINE_BEFORE} THEN 0 ELSE ship_year END AS period, label, prediction, score
+       FROM scored_lineitem),
+pcm AS (SELECT period, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+               count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+               count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn FROM pm GROUP BY 1),
+pmet AS (SELECT period, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 4) AS f1,
+                round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 4) AS recall,
+                round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 4) AS precision FROM pcm),
+ps AS (SELECT period, score, sum(label) AS tp, count(*) - sum(label) AS fp FROM pm GROUP BY 1, 2),
+pc AS (SELECT period, tp, fp, sum(tp) OVER (PARTITION BY period ORDER BY score DESC) AS cum_tp,
+              sum(tp) OVER (PARTITION BY period) AS tot_tp, sum(fp) OVER (PARTITION BY period) AS tot_fp FROM ps),
+pauc AS (SELECT period, round(sum(CAST(fp AS DOUBLE) * CAST(2 * cum_tp - tp AS DOUBLE)) / (2.0 * max(tot_tp) * max(tot_fp)), 4)
+                AS roc_auc FROM pc GROUP BY 1),
+plong AS (SELECT period, 'f1' AS metric, f1 AS value FROM pmet UNION ALL SELECT period, 'recall', recall FROM pmet
+          UNION ALL SELECT period, 'precision', precision FROM pmet UNION ALL SELECT period, 'roc_auc', roc_auc FROM pauc),
+th AS (SELECT metric, CAST(threshold AS DOUBLE) AS threshold
+       FROM (VALUES ('f1', 0.10), ('recall', 0.15), ('precision', 0.10), ('roc_auc', 0.05)) AS t(metric, threshold)),
+deg AS (SELECT c.period AS ship_year, c.metric, b.value AS baseline, c.value AS current,
+               CASE WHEN b.value > 0 THEN (b.value - c.value) / b.value ELSE 0 END AS drop, th.threshold
+        FROM plong c JOIN plong b ON b.period = 0 AND c.metric = b.metric JOIN th ON th.metric = c.metric
+        WHERE c.period <> 0),
+degr AS (SELECT ship_year, metric, round(baseline, 4) AS baseline, round(current, 4) AS current,
+                round(drop * 100, 2) AS drop_pct, round(threshold * 100, 2) AS threshold_pct, drop > threshold AS degraded
+         FROM deg)"""
+
+
+def _period_metrics(spark, sf, by_year: bool = True):
+    """Baseline metrics (ship years before 1998, long form) and current metrics per later year."""
+    sl = V.scored_lineitem(spark, sf)
+    period = F.when(F.col("ship_year") < _BASELINE_BEFORE, F.lit(0)).otherwise(
+        F.col("ship_year") if by_year else F.lit(1))
+    pm = sl.withColumn("period", period)
+    met = E.metrics(pm, by=["period"]).join(E.roc_auc(pm, by=["period"]), "period")\
+        .withColumn("roc_auc", F.round("roc_auc", 4))
+    long = O.metrics_long(met, ["f1", "recall", "precision", "roc_auc"], by=["period"])
+    base = long.filter(F.col("period") == 0).drop("period")
+    cur = long.filter(F.col("period") != 0)
+    return base, cur
+
+
+@register("q_degradation", with_views("SELECT * FROM degr", extra_ctes=_PERIOD_CTES))
+def q_degradation(spark, sf):
+    """O1: per ship year ≥ 1998, metric drops against the pre-1998 baseline."""
+    base, cur = _period_metrics(spark, sf)
+    d = O.degradation(base, cur.withColumnRenamed("period", "ship_year"), by=["ship_year"])
+    return d
+
+
+@register("q_performance_status", with_views("""
+SELECT ship_year, count(*) FILTER (WHERE degraded) = 0 AS performance_ok, count(*) FILTER (WHERE degraded) AS n_degraded,
+       count(*) AS total_checked, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (WHERE degraded), '') AS degraded_metrics,
+       CASE WHEN count(*) FILTER (WHERE degraded) = 0 THEN 'healthy' WHEN count(*) FILTER (WHERE degraded) <= 1 THEN 'degraded'
+            ELSE 'critical' END AS status
+FROM degr GROUP BY ship_year""", extra_ctes=_PERIOD_CTES))
+def q_performance_status(spark, sf):
+    """O1 roll-up per ship year: healthy / degraded / critical."""
+    base, cur = _period_metrics(spark, sf)
+    d = O.degradation(base, cur.withColumnRenamed("period", "ship_year"), by=["ship_year"])
+    return O.performance_status(d, by=["ship_year"])
+
+
+def _signals(spark, sf):
+    """One row: drift flag (orders windows) + performance flag (lineitem windows) + cooldown."""
+    drift = D.drift_report(V.drift_ref(spark, sf), V.drift_cur(spark, sf), _DRIFT_CFG)\
+        .select("drift_detected", F.lit(0).alias("_k"))
+    base, cur = _period_metrics(spark, sf, by_year=False)
+    perf = O.performance_status(O.degradation(base, cur, by=["period"]), by=["period"])\
+        .select("performance_ok", F.lit(0).alias("_k"))
+    return drift.join(perf, "_k")
+
+
+_FULL_CTES = _KS_CTES + "," + _PSI_CAT_CTES + "," + _PERIOD_CTES.replace(
+    "ELSE ship_year END AS period", "ELSE 1 END AS period") + """,
+sig AS (SELECT
+  (SELECT (CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE drift) / count(*) ELSE 0.0 END) >= 0.3
+   FROM (SELECT feature, p < 0.05 AS drift FROM ks UNION ALL SELECT feature, psi > 0.2 FROM psi_cat)) AS drift_detected,
+  (SELECT count(*) FILTER (WHERE degraded) = 0 FROM degr) AS performance_ok),
+fc AS (SELECT drift_detected, performance_ok,
+  CASE WHEN drift_detected AND NOT performance_ok THEN 'retrain_needed' WHEN NOT performance_ok THEN 'degraded'
+       WHEN drift_detected THEN 'drift_warning' ELSE 'stable' END AS decision,
+  NOT performance_ok AS retrain_recommended,
+  concat_ws(';', CASE WHEN drift_detected THEN 'data_drift' END,
+                 CASE WHEN NOT performance_ok THEN 'performance_degradation' END) AS reasons FROM sig)"""
+
+
+@register("q_full_check", with_views("SELECT * FROM fc", extra_ctes=_FULL_CTES))
+def q_full_check(spark, sf):
+    """O2: drift × performance → stable / drift_warning / degraded / retrain_needed."""
+    return O.full_check(_signals(spark, sf)).drop("_k")
+
+
+_COOL_AS_OF = "2024-01-31 00:00:00"
+
+
+@register("q_cooldown", with_views(f"""
+SELECT user_id, round(date_diff('microsecond', max(ts), TIMESTAMP '{_COOL_AS_OF}') / 3.6e9, 4) AS hours_since_last,
+       date_diff('microsecond', max(ts), TIMESTAMP '{_COOL_AS_OF}') / 3.6e9 >= 24 AS cooldown_ok
+FROM events GROUP BY user_id"""))
+def q_cooldown(spark, sf):
+    """O3: per key, hours since the last event at as_of and whether a 24 h cooldown has passed."""
+    ev = V.table(spark, sf, "events")
+    return O.cooldown(ev, _COOL_AS_OF, 24.0, by=["user_id"]).drop("last_event")
+
+
+@register("q_retrain_gate", with_views(f"""
+SELECT f.decision, f.retrain_recommended, c.cooldown_ok,
+  CASE WHEN NOT f.retrain_recommended THEN false WHEN NOT c.cooldown_ok THEN false ELSE true END AS should_retrain,
+  CASE WHEN NOT f.retrain_recommended THEN 'not needed' WHEN NOT c.cooldown_ok THEN 'cooldown active'
+       ELSE 'retrain approved' END AS gate_reason
+FROM fc f, (SELECT last_event IS NULL OR date_diff('microsecond', last_event, TIMESTAMP '{_COOL_AS_OF}') / 3.6e9 >= 24 AS cooldown_ok
+            FROM (SELECT max(ts) AS last_event FROM events)) c""", extra_ctes=_FULL_CTES))
+def q_retrain_gate(spark, sf):
+    """The ordered retrain gate over the full check and the pipeline-run cooldown."""
+    fc = O.full_check(_signals(spark, sf))
+    cool = O.cooldown(V.table(spark, sf, "events"), _COOL_AS_OF, 24.0).select("cooldown_ok", F.lit(0).alias("_k"))
+    g = O.retrain_gate(fc.join(cool, "_k"))
+    return g.select("decision", "retrain_recommended", "cooldown_ok", "should_retrain", "gate_reason")

@@ -64,7 +64,8 @@ scored_lineitem AS (
   SELECT l_orderkey, l_linenumber,
          CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
          l_discount * 10 AS score,
-         CASE WHEN l_discount * 10 >= 0.5 THEN 1 ELSE 0 END AS prediction
+         CASE WHEN l_discount * 10 >= 0.5 THEN 1 ELSE 0 END AS prediction,
+         CAST(year(l_shipdate) AS INTEGER) AS ship_year
   FROM lineitem)"""
 
 DRIFT_SQL = """
