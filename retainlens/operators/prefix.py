@@ -79,14 +79,39 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+# Above this many distinct values in one group, the bucketed path is used: Spark's exact
+# ``percentile`` merges one value→count map per group in a single task.
+SMALL_DISTINCT = 100_000
+
+
+def max_distinct(df: DataFrame, value: str, by: Sequence[str] = ()) -> int:
+    """Largest approximate number of distinct ``value``s in any group (one small aggregate)."""
+    by = _group_cols(by)
+    per = (df.groupBy(*by) if by else df.groupBy()).agg(F.approx_count_distinct(value).alias("d"))
+    got = per.agg(F.max("d")).first()[0]
+    return int(got or 0)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    names: Sequence[str] | None = None, buckets: int = DEFAULT_BUCKETS,
+                    method: str = "auto") -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / ``percentile`` semantics) per group.
 
-    Distinct values are counted (partial aggregation), ranked with :func:`global_prefix_sum`,
-    and the two ranks around each position h = (n-1)·p are picked with an array filter — no
-    single task ever holds a whole group. Output: ``by`` columns + one column per prob.
+    ``method``: ``percentile`` — Spark's exact aggregate (partial value→count maps; fine while
+    groups have few distinct values); ``bucketed`` — distinct values are counted, ranked with
+    :func:`global_prefix_sum` and the two ranks around h = (n-1)·p are picked with an array
+    filter, so no task ever holds a whole group; ``auto`` — a size check picks one of the two.
+    Output: ``by`` columns + one column per prob.
     """
+    by = _group_cols(by)
+    names = list(names) if names else [f"q{i}" for i in range(len(probs))]
+    if method == "auto":
+        method = "percentile" if max_distinct(df, value, by) <= SMALL_DISTINCT else "bucketed"
+    if method == "percentile":
+        g = df.filter(F.col(value).isNotNull())
+        g = g.groupBy(*by) if by else g.groupBy()
+        q = g.agg(F.percentile(F.col(value).cast("double"), [float(p) for p in probs]).alias("_q"))
+        return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     return quantiles_from_counts(value_counts(df, value, by), value, "cnt", probs, by, names, buckets)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import (BooleanType, DoubleType, FloatType, IntegralType,
                                StringType)
 
 from ..functions.expressions import nan_to_null, safe_double
-from .prefix import exact_quantiles, quantiles_from_counts
+from .prefix import exact_quantiles
 
 TOPK_BUCKETS = 64
 
@@ -166,8 +166,8 @@ def data_health_audit(df: DataFrame, target: str | None = None, digits: int = 4)
         F.count(F.col("sval")).alias("n_unique"))
     ent = entropy_from_counts(vt, string_cols)
     top = top_values_from_counts(vt)
-    qs = quantiles_from_counts(vt.filter(F.col("nval").isNotNull()), "nval", "cnt", [0.01, 0.99],
-                               by=["column"], names=["p01", "p99"])
+    qs = exact_quantiles(long_values(df, cols).select("column", "nval"), "nval", [0.01, 0.99],
+                         by=["column"], names=["p01", "p99"])
     dtype_map = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(pandas_dtype(dtypes[c])))])
     r = lambda c: F.round(c, digits)
     out = (moments.join(counts, "column").join(ent, "column", "left").join(top, "column", "left")

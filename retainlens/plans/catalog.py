@@ -814,3 +814,135 @@ def q_retrain_gate(spark, sf):
     cool = O.cooldown(V.table(spark, sf, "events"), _COOL_AS_OF, 24.0).select("cooldown_ok", F.lit(0).alias("_k"))
     g = O.retrain_gate(fc.join(cool, "_k"))
     return g.select("decision", "retrain_recommended", "cooldown_ok", "should_retrain", "gate_reason")
+
+
+# ------------------------------------------------------------------ preprocessing, splitting (T*, X*)
+from ..operators import preprocess as T  # noqa: E402
+from ..operators import split as X  # noqa: E402
+
+
+@register("q_stratified_split", with_views("""
+SELECT customerID, Churn AS label, CASE WHEN rn <= floor(n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split,
+       CAST((rn - 1) % 5 AS INTEGER) AS fold
+FROM (SELECT customerID, Churn, row_number() OVER (PARTITION BY Churn ORDER BY md5('42|' || customerID)) AS rn,
+             count(*) OVER (PARTITION BY Churn) AS n FROM subs_l)"""))
+def q_stratified_split(spark, sf):
+    """X1 + X2: exact stratified 80/20 split and 5 stratified folds (seeded md5 order)."""
+    s = X.stratified_split(C.target_lenient(V.subscribers(spark, sf)), "Churn", "customerID", 0.2, 42)
+    return s.select("customerID", F.col("Churn").alias("label"), "split", "fold")
+
+
+@register("q_class_weights", with_views("""
+SELECT Churn, count(*) AS n_class, round((SELECT count(*) FROM subs_l) / (2.0 * count(*)), 6) AS weight
+FROM subs_l GROUP BY Churn"""))
+def q_class_weights(spark, sf):
+    """Balanced class weights n / (2 n_c)."""
+    w = X.class_weights(C.target_lenient(V.subscribers(spark, sf)))
+    return w.select("Churn", "n_class", r6(F.col("weight")).alias("weight"))
+
+
+def _mode_sql(c, src="eda"):
+    return (f"(SELECT v FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {src} WHERE {c} IS NOT NULL "
+            f"GROUP BY 1) ORDER BY n DESC, v LIMIT 1)")
+
+
+@register("q_impute", with_views("\nUNION ALL\n".join(
+    [f"SELECT '{c}' AS \"column\", round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS median, "
+     f"CAST(NULL AS VARCHAR) AS mode FROM eda" for c in EDA_NUMERIC]
+    + [f"SELECT '{c}' AS \"column\", CAST(NULL AS DOUBLE) AS median, {_mode_sql(c)} AS mode" for c in EDA_CATEGORICAL])))
+def q_impute(spark, sf):
+    """T1 + T2: fitted median per numeric column and most-frequent value per categorical column."""
+    df = eda_frame(V.subscribers(spark, sf))
+    meds, modes = T.fit_medians(df, EDA_NUMERIC), T.fit_modes(df, EDA_CATEGORICAL)
+    rows = [(c, None if meds[c] is None else round(meds[c], 6), None) for c in EDA_NUMERIC]
+    rows += [(c, None, modes[c]) for c in EDA_CATEGORICAL]
+    return spark.createDataFrame(rows, "column string, median double, mode string")
+
+
+@register("q_scale", with_views("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std FROM filled"
+    for c in EDA_NUMERIC), extra_ctes=f"filled AS (SELECT {_filled_sql(EDA_NUMERIC)} FROM eda)"))
+def q_scale(spark, sf):
+    """Standard-scaler parameters (population std) of the median-filled numerics."""
+    filled = A.median_fill(eda_frame(V.subscribers(spark, sf)), EDA_NUMERIC)
+    row = filled.agg(*[F.struct(F.lit(c).alias("column"), r6(F.avg(c)).alias("mean"),
+                                r6(F.stddev_pop(c)).alias("std")).alias(c) for c in EDA_NUMERIC])
+    return row.select(F.explode(F.array(*EDA_NUMERIC)).alias("s")).select("s.*")
+
+
+@register("q_onehot", with_views("""
+SELECT "column", category, row_number() OVER (PARTITION BY "column" ORDER BY category) - 1 AS slot FROM (""" +
+    "\nUNION\n".join(f"SELECT DISTINCT '{c}' AS \"column\", coalesce(CAST({c} AS VARCHAR), {_mode_sql(c)}) AS category "
+                     f"FROM eda" for c in EDA_CATEGORICAL) + ")"))
+def q_onehot(spark, sf):
+    """T4: one-hot slots per category (alphabetical, no drop; unknown → all zeros)."""
+    from pyspark.ml.feature import StringIndexer
+    df = eda_frame(V.subscribers(spark, sf))
+    modes = T.fit_modes(df, EDA_CATEGORICAL)
+    filled = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(modes[c])).alias(c) for c in EDA_CATEGORICAL])
+    idx = StringIndexer(inputCols=EDA_CATEGORICAL, outputCols=[f"{c}__i" for c in EDA_CATEGORICAL],
+                        stringOrderType="alphabetAsc", handleInvalid="keep").fit(filled)
+    rows = [(c, lab, i) for c, labels in zip(EDA_CATEGORICAL, idx.labelsArray) for i, lab in enumerate(labels)]
+    return spark.createDataFrame(rows, "column string, category string, slot long")
+
+
+def _eda_features(spark, sf):
+    df = eda_frame(V.subscribers(spark, sf))
+    pre = T.fit_preprocessor(df, EDA_NUMERIC, EDA_CATEGORICAL, scale_onehot=False)
+    return pre.transform(df).select("customerID", "features", "Churn")
+
+
+@register("q_pca_variance")
+def q_pca_variance(spark, sf):
+    """EDA preprocessing, centred PCA; explained-variance ratio and cumulative per component."""
+    ratios, k90, k95, d = T.pca_variance(_eda_features(spark, sf))
+    rows, cum = [], 0.0
+    for i, r in enumerate(ratios, start=1):
+        cum += r
+        rows.append((i, round(r, 6), round(cum, 6), k90, k95, d))
+    return spark.createDataFrame(rows, "component int, explained_variance_ratio double, cumulative double, "
+                                       "k90 int, k95 int, n_features int")
+
+
+@register("q_pca_projection")
+def q_pca_projection(spark, sf):
+    """Every customer projected onto the k95 components (S10 layout: id, vector, label)."""
+    feats = _eda_features(spark, sf)
+    _, _, k95, _ = T.pca_variance(feats)
+    return T.pca_project(feats, k95, keep=["customerID", "Churn"])
+
+
+# ------------------------------------------------------------------ training and scoring (M*, P*)
+from . import jobs as J  # noqa: E402
+from ..config import TrainConfig  # noqa: E402
+from ..operators.score import score as _score  # noqa: E402
+
+_QUICK = TrainConfig(min_f1=0.0)
+
+
+@register("q_model_comparison")
+def q_model_comparison(spark, sf):
+    """Stratified CV grid search of four model families (compact grid), test report,
+    winner marked. ``default_grids(compact=False)`` is the reference's full 42-combination grid."""
+    res = J.train_pipeline(V.subscribers(spark, sf), _QUICK, compact=True)
+    return res.comparison
+
+
+@register("q_score_batch")
+def q_score_batch(spark, sf):
+    """A logistic model trained on the training split scores every subscriber."""
+    from ..operators import train as M
+    raw = V.subscribers(spark, sf)
+    train_f, _, tc_med, mc_med = J.prepare_training_frame(raw, _QUICK)
+    num, cat = C.resolve_roles(train_f)
+    pre = T.fit_preprocessor(train_f, num, cat)
+    tr = pre.transform(train_f).select("features", F.col("Churn").cast("double").alias("label"))
+    n = tr.count()
+    lr = M.default_grids(n)[0].estimator.copy()
+    lr.setRegParam(1.0 / n)
+    fitted = lr.fit(M._weighted(tr, "balanced", "label"))
+    from pyspark.ml import PipelineModel
+    from ..operators.score import ChurnModel
+    model = ChurnModel(PipelineModel(stages=list(pre.stages) + [fitted]), tc_med, mc_med, num, cat,
+                       "LogisticRegression")
+    return _score(model, raw)
