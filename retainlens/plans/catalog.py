@@ -946,3 +946,53 @@ def q_score_batch(spark, sf):
     model = ChurnModel(PipelineModel(stages=list(pre.stages) + [fitted]), tc_med, mc_med, num, cat,
                        "LogisticRegression")
     return _score(model, raw)
+
+
+# ------------------------------------------------------------------ streaming
+from ..streaming import jobs as Z  # noqa: E402
+
+_STREAM_STATS = """count(*) AS total_predictions, count(*) FILTER (WHERE prediction = 1) AS churn_count,
+  round(count(*) FILTER (WHERE prediction = 1) * 100 / count(*), 2) AS churn_rate,
+  round(avg(churn_probability), 4) AS avg_churn_probability, count(*) FILTER (WHERE risk_level = 'High') AS n_high"""
+
+
+@register("q_stream_daily_stats", with_views(f"""
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start,
+       strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d') AS window_end, {_STREAM_STATS}
+FROM prediction_log GROUP BY date_trunc('day', ts)"""))
+def q_stream_daily_stats(spark, sf):
+    """The events table as a file stream, daily tumbling-window stats (availableNow, complete)."""
+    s = Z.daily_stats_stream(Z.file_stream(spark, f"{sf}/events.parquet"))
+    return Z.run_available_now(s, "daily_stats", "complete")
+
+
+@register("q_stream_sliding", with_views(f"""
+SELECT strftime(ws, '%Y-%m-%d') AS window_start, strftime(ws + INTERVAL 7 DAY, '%Y-%m-%d') AS window_end, {_STREAM_STATS}
+FROM (SELECT *, date_trunc('day', ts) - k * INTERVAL 1 DAY AS ws FROM prediction_log, range(0, 7) AS _k(k))
+GROUP BY ws"""))
+def q_stream_sliding(spark, sf):
+    """Z3: rolling 7-day windows sliding by one day over the event stream."""
+    s = Z.sliding_stats_stream(Z.file_stream(spark, f"{sf}/events.parquet"))
+    return Z.run_available_now(s, "sliding_stats", "complete")
+
+
+@register("q_stream_dedup", with_views("""
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT event_id) AS n_events FROM prediction_log GROUP BY 1"""))
+def q_stream_dedup(spark, sf):
+    """De-duplicate the log stream on event_id within the watermark, then count per day."""
+    s = Z.dedup_stream(Z.file_stream(spark, f"{sf}/events.parquet"))
+    rows = Z.run_available_now(s, "dedup", "append")
+    return rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("n_events"))
+
+
+@register("q_stream_drift")
+def q_stream_drift(spark, sf):
+    """A drift report per micro-batch of the logged input feature k against the first week."""
+    from ..config import DriftConfig
+    cfg = DriftConfig(numeric_features=("k",), categorical_features=("risk_level",))
+    ref = LG.log_features(V.prediction_log(spark, sf).filter(F.col("log_date") < F.lit("2024-01-08").cast("date")),
+                          "k INT")
+    ev = Z.prediction_events(Z.file_stream(spark, f"{sf}/events.parquet"))
+    feats = ev.select("*", F.from_json("input_features", "k INT").alias("_f")).select("*", "_f.k").drop("_f")
+    return Z.drift_per_batch(feats, ref, cfg)
