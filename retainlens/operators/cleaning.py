@@ -10,7 +10,7 @@ from pyspark.sql.types import NumericType
 
 from ..config import ColumnRoles
 from ..functions.expressions import lenient_target, safe_double, strict_target
-from .prefix import exact_quantile_scalars
+from .prefix import exact_quantile_scalars, exact_quantiles
 
 
 def _dtype(df: DataFrame, c: str):
@@ -45,6 +45,27 @@ def fit_total_charges_median(df: DataFrame) -> float | None:
     return exact_quantile_scalars(df.select(tc.alias("_tc")), "_tc", [0.5])[0]
 
 
+def fit_cleaning_medians(df: DataFrame) -> tuple[float | None, float | None]:
+    """Both fitted fill values in one grouped quantile job: TotalCharges after rule 1 (C5) and
+    MonthlyCharges (F3; cleaning does not change it)."""
+    cols = {}
+    if "TotalCharges" in df.columns:
+        tc = safe_double("TotalCharges", _dtype(df, "TotalCharges"))
+        if "tenure" in df.columns and "MonthlyCharges" in df.columns:
+            ten = safe_double("tenure", _dtype(df, "tenure"))
+            tc = F.when(tc.isNull() & (F.coalesce(ten, F.lit(0.0)) == 0), F.lit(0.0)).otherwise(tc)
+        cols["TotalCharges"] = tc
+    if "MonthlyCharges" in df.columns:
+        cols["MonthlyCharges"] = safe_double("MonthlyCharges", _dtype(df, "MonthlyCharges"))
+    if not cols:
+        return None, None
+    cells = [F.struct(F.lit(k).alias("column"), v.alias("v")) for k, v in cols.items()]
+    long = df.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
+    got = {r["column"]: r["median"] for r in
+           exact_quantiles(long, "v", [0.5], by=["column"], names=["median"]).collect()}
+    return got.get("TotalCharges"), got.get("MonthlyCharges")
+
+
 def clean_total_charges(df: DataFrame, median: float | None = None, fit: bool = True) -> DataFrame:
     """Business imputation of TotalCharges.
 

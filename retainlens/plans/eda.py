@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.cleaning import clean_total_charges, target_lenient
+from ..operators.cleaning import clean_total_charges, fit_cleaning_medians, target_lenient
 from ..operators.features import add_features
 
 
 def eda_frame(subs: DataFrame, target: str = "Churn") -> DataFrame:
+    """Fits both medians in one job, then one projection: clean + ten features."""
     df = target_lenient(subs, target)
-    df = clean_total_charges(df)
-    return add_features(df)
+    tc_med, mc_med = fit_cleaning_medians(df)
+    df = clean_total_charges(df, tc_med, fit=False)
+    return add_features(df, mc_med, fit=False)
 
 
 EDA_NUMERIC = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges", "LoyaltyIndex",
