@@ -56,7 +56,8 @@ def prepare_training_frame(raw: DataFrame, cfg: TrainConfig = TrainConfig(), rol
 
 
 def train_pipeline(raw: DataFrame, cfg: TrainConfig = TrainConfig(), roles: ColumnRoles = ColumnRoles(),
-                   compact: bool = False, out_dir: str | None = None, mode: str = "csv") -> TrainResult:
+                   compact: bool = False, out_dir: str | None = None, mode: str = "csv",
+                   families: tuple[str, ...] | None = None) -> TrainResult:
     """Ingest → clean/features → fitted preprocessor → CV grid search → gate → persist → E8."""
     t = {}
     t0 = time.time()
@@ -72,6 +73,8 @@ def train_pipeline(raw: DataFrame, cfg: TrainConfig = TrainConfig(), roles: Colu
     t["preprocess"] = time.time() - t0
     t0 = time.time()
     cands = M.default_grids(n_train, compact=compact)
+    if families:
+        cands = [c for c in cands if c.name in families]
     table, fitted = M.grid_search(tr, te, cands, parallelism=cfg.parallelism, num_folds=cfg.split.folds)
     best = M.select_best(table, cfg.min_f1)
     t["search"] = time.time() - t0
