@@ -18,8 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 DEFAULT_BUCKETS = 64
-_GROUP = "_grp"
 
 
 def _group_cols(by: Sequence[str]) -> list[str]:
@@ -27,46 +28,55 @@ def _group_cols(by: Sequence[str]) -> list[str]:
 
 
 def global_prefix_sum(df: DataFrame, key: str, sum_cols: Sequence[str], by: Sequence[str] = (),
-                      descending: bool = False, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                      descending: bool = False, buckets: int = DEFAULT_BUCKETS,
+                      materialize: bool = True) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` ordered by ``key`` (within each ``by`` group).
 
     ``df`` should already be pre-aggregated to one row per (by, key) — ties then share one row,
     which is what ROC / KS / AP need, and a hot key cannot skew the ordered stage.
+    The input is checkpointed once (``materialize``) so the bounds, totals and running-sum
+    branches read it instead of recomputing the upstream scan and shuffle three times.
     Output: all input columns plus ``cum_<c>`` for each c and ``tot_<c>`` (group total).
     """
     by = _group_cols(by)
-    const_group = not by
-    if const_group:
-        # A constant group key keeps every step an equi-join / partitioned window.
-        df = df.withColumn(_GROUP, F.lit(0))
-        by = [_GROUP]
     k = F.col(key)
     # Order on a numeric sort key: descending order = ascending on the negated key.
     sort_key = (-k) if descending else k
     work = df.withColumn("_sk", sort_key.cast("double"))
+    if materialize:
+        work = cut_lineage(work)
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = work.groupBy(*by).agg(F.percentile_approx("_sk", probs, 10_000).alias("_bounds"))
-    # One row per group: the broadcast is bounded by the number of groups (callers pass few).
-    work = work.join(F.broadcast(bounds), on=by, how="inner")
-    work = work.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_sk"))))\
-               .drop("_bounds")
+    if by:
+        # One row of range bounds per group: the broadcast is bounded by groups × buckets.
+        bounds = work.groupBy(*by).agg(F.percentile_approx("_sk", probs, 10_000).alias("_bounds"))
+        work = work.join(F.broadcast(bounds), on=by, how="inner")
+        bucket = F.size(F.filter("_bounds", lambda b: b < F.col("_sk")))
+    else:
+        # Ungrouped: the ≤ buckets-1 bounds come back as literals (no join at all).
+        got = work.agg(F.percentile_approx("_sk", probs, 10_000)).first()[0] or []
+        lits = sorted(set(float(x) for x in got))
+        bucket = (F.size(F.filter(F.array(*[F.lit(x) for x in lits]), lambda b: b < F.col("_sk")))
+                  if lits else F.lit(0))
+    work = work.withColumn("_bucket", bucket.cast("int"))
+    if by:
+        work = work.drop("_bounds")
     part = by + ["_bucket"]
     totals = work.groupBy(*part).agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
-    wg = Window.partitionBy(*by).orderBy("_bucket")
-    wall = Window.partitionBy(*by)
+    # The totals table has groups × buckets rows: its windows are tiny.
+    wg = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_bucket")
+    wall = Window.partitionBy(*by) if by else Window.partitionBy()
     offsets = totals.select(
         *part,
         *[(F.sum(f"_bt_{c}").over(wg.rowsBetween(Window.unboundedPreceding, -1)))
           .alias(f"_off_{c}") for c in sum_cols],
         *[F.sum(f"_bt_{c}").over(wall).alias(f"tot_{c}") for c in sum_cols],
     )
+    # Running sums inside each (group, bucket): the ordered work is spread over all buckets.
     wl = Window.partitionBy(*part).orderBy("_sk").rowsBetween(Window.unboundedPreceding, 0)
     local = work.select("*", *[F.sum(c).over(wl).alias(f"_loc_{c}") for c in sum_cols])
-    # offsets has groups × buckets rows — a bounded broadcast.
     out = local.join(F.broadcast(offsets), on=part, how="inner")
-    keep = [c for c in df.columns if not (const_group and c == _GROUP)]
     return out.select(
-        *keep,
+        *df.columns,
         *[(F.coalesce(F.col(f"_off_{c}"), F.lit(0)) + F.col(f"_loc_{c}")).alias(f"cum_{c}")
           for c in sum_cols],
         *[F.col(f"tot_{c}") for c in sum_cols],
