@@ -141,6 +141,21 @@ def drift_report(ref: DataFrame, cur: DataFrame, cfg: DriftConfig = DriftConfig(
         F.lit(n_cur).cast("long").alias("sample_size"), F.lit("ok").alias("status"), "drifted_features")
 
 
+def save_reference_profile(numeric: DataFrame, categorical: DataFrame, path: str) -> None:
+    """Persist the reference profile as two Parquet tables."""
+    numeric.coalesce(1).write.mode("overwrite").parquet(f"{path}/numeric")
+    categorical.coalesce(1).write.mode("overwrite").parquet(f"{path}/categorical")
+
+
+def load_reference_profile(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Load; a missing profile raises FileNotFoundError."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        raise FileNotFoundError(f"reference profile not found: {path}")
+    return spark.read.parquet(f"{path}/numeric"), spark.read.parquet(f"{path}/categorical")
+
+
 def reference_profile(df: DataFrame, cfg: DriftConfig = DriftConfig()) -> tuple[DataFrame, DataFrame]:
     """(numeric profile, categorical frequencies) of the reference data.
 

@@ -123,7 +123,8 @@ def monitoring_report(log: DataFrame, reference: DataFrame, baseline_metrics: Da
 
 def retrain_run(spark: SparkSession, raw: DataFrame, signals: DataFrame, history_path: str, as_of: str,
                 out_dir: str, force: bool = False, cfg: TrainConfig = TrainConfig(),
-                mon_cfg: MonitorConfig = MonitorConfig(), compact: bool = False, mode: str = "csv") -> dict:
+                mon_cfg: MonitorConfig = MonitorConfig(), compact: bool = False, mode: str = "csv",
+                families: tuple[str, ...] | None = None) -> dict:
     """Gate → train → refresh the reference profile (raw mode only) → append a history event."""
     hist = ART.read_history(spark, history_path)
     cool = O.cooldown(hist, as_of, mon_cfg.cooldown_hours).select("cooldown_ok", F.lit(0).alias("_k"))
@@ -131,11 +132,10 @@ def retrain_run(spark: SparkSession, raw: DataFrame, signals: DataFrame, history
                            enabled=mon_cfg.retrain_enabled, auto=mon_cfg.auto_retrain).first()
     if not gated["should_retrain"]:
         return {"retrained": False, "reason": gated["gate_reason"]}
-    result = train_pipeline(raw, cfg, compact=compact, out_dir=out_dir, mode=mode)
+    result = train_pipeline(raw, cfg, compact=compact, out_dir=out_dir, mode=mode, families=families)
     if mode == "csv":
         num, cat = D.reference_profile(raw)
-        ART.write_report(num, f"{out_dir}/reference_numeric")
-        ART.write_report(cat, f"{out_dir}/reference_categorical")
+        D.save_reference_profile(num, cat, f"{out_dir}/reference_profile")
     ART.append_history(spark, history_path, as_of, gated["gate_reason"], result.model.model_name)
     return {"retrained": True, "reason": gated["gate_reason"], "model": result.model.model_name,
             "timings": result.timings}

@@ -35,22 +35,30 @@ def _yes(cond):
     return F.when(cond, F.lit("Yes")).otherwise(F.lit("No"))
 
 
+def order_aggregate(orders: DataFrame) -> DataFrame:
+    """Per-customer order count, last order date and total (money summed as decimal).
+
+    A partial (map-side) hash aggregate on ``o_custkey``: a hot customer holding a third of all
+    orders collapses to one row per map task before the shuffle."""
+    return (orders.groupBy("o_custkey")
+            .agg(F.count(F.lit(1)).alias("n"),
+                 F.max("o_orderdate").alias("l"),
+                 F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("t")))
+
+
 def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer ⟕ per-customer order aggregate.
 
-    The order aggregate is a partial (map-side) hash aggregate on ``o_custkey``; its output is
-    already hash-partitioned on the join key, so the left join only shuffles ``customer``.
-    A hot customer (a third of all orders) collapses in the partial aggregate before the shuffle.
+    The aggregate's output is hash-partitioned on the join key, so a sort-merge join only
+    shuffles ``customer``; when the planner's size check allows, the aggregate is broadcast.
     """
-    cust = table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    per_cust = (
-        table(spark, sf_dir, "orders")
-        .groupBy("o_custkey")
-        .agg(F.count(F.lit(1)).alias("n"),
-             F.max("o_orderdate").alias("l"),
-             F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("t"))
-    )
+    cust = table(spark, sf_dir, "customer")
+    return subscriber_rows(cust, order_aggregate(table(spark, sf_dir, "orders")))
+
+
+def subscriber_rows(customers: DataFrame, per_cust: DataFrame) -> DataFrame:
+    """The 21 subscriber columns from customers (batch or stream) ⟕ the order aggregate."""
+    cust = customers.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     j = cust.join(per_cust, cust.c_custkey == per_cust.o_custkey, "left")
     k, nk, seg = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_mktsegment")
     n = F.coalesce(F.col("n"), F.lit(0))
