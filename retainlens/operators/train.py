@@ -40,6 +40,8 @@ def default_grids(n_train: int, label: str = "label", features: str = "features"
                             elasticNetParam=0.0, standardization=False)
     # sklearn's C ↔ Spark regParam = 1 / (C · Σw); balanced weights sum to n.
     cs = [1.0] if compact else [0.01, 0.1, 1.0, 10.0]
+    if compact:  # quick configuration: looser convergence, fewer LBFGS jobs
+        lr.setTol(1e-4).setMaxIter(100)
     lr_grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n_train) for c in cs]).build()
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, weightCol=weight, seed=seed)
     rf_grid = (ParamGridBuilder().addGrid(rf.numTrees, [20] if compact else [100, 300])

@@ -428,7 +428,15 @@ def q_class_report(spark, sf):
     return E.class_report(V.scored_lineitem(spark, sf))
 
 
-@register("q_evaluation_report")
+@register("q_evaluation_report", with_views(f"""
+SELECT cm.*, round(CASE WHEN total = 0 THEN 0 ELSE (tp + tn) / total END, 4) AS accuracy,
+       round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 4) AS precision,
+       round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 4) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 4) AS f1,
+       (SELECT round(sum(CAST(fp AS DOUBLE) * CAST(2 * cum_tp - tp AS DOUBLE)) / (2.0 * max(tot_tp) * max(tot_fp)), 4) FROM c)
+         AS roc_auc,
+       (SELECT round(sum((tp / tot_tp) * (cum_tp / (cum_tp + cum_fp))), 4) FROM c) AS average_precision
+FROM ({_CM_SQL}) cm""", extra_ctes=_SCORES_CTE))
 def q_evaluation_report(spark, sf):
     """The labelled-outcome evaluation job (confusion + metrics + AUC + AP) in one table."""
     return E.evaluation_report(V.scored_lineitem(spark, sf))
