@@ -14,7 +14,8 @@ from pyspark.sql.types import (BooleanType, DoubleType, FloatType, IntegralType,
                                StringType)
 
 from ..functions.expressions import nan_to_null, safe_double
-from .prefix import exact_quantiles
+from ..session import cut_lineage
+from .prefix import SMALL_DISTINCT, exact_quantiles, quantiles_from_counts
 
 TOPK_BUCKETS = 64
 
@@ -141,36 +142,59 @@ def g1_skewness(c: Column, n: Column) -> Column:
             .otherwise(F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)))
 
 
+def weighted_moments(num: DataFrame) -> DataFrame:
+    """Count, mean, sample std and G1 skewness per column from a (column, nval, cnt) table:
+    two passes (means, then central moments) — numerically stable, no per-row data."""
+    m1 = num.groupBy("column").agg(F.sum("cnt").alias("n_num"),
+                                   (F.sum(F.col("cnt") * F.col("nval")) / F.sum("cnt")).alias("mean"))
+    d = F.col("nval") - F.col("mean")
+    # m1 has one row per column — a bounded broadcast.
+    m2 = num.join(F.broadcast(m1), "column").groupBy("column", "n_num", "mean").agg(
+        F.sum(F.col("cnt") * d * d).alias("m2"), F.sum(F.col("cnt") * d * d * d).alias("m3"))
+    n = F.col("n_num").cast("double")
+    g1 = F.sqrt(n) * F.col("m3") / F.pow(F.col("m2"), 1.5)
+    return m2.select(
+        "column", "n_num", "mean",
+        F.when(n > 1, F.sqrt(F.col("m2") / (n - 1))).alias("std"),
+        F.when(n < 3, F.lit(None).cast("double")).when(F.col("m2") == 0, F.lit(0.0))
+         .otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skewness"))
+
+
+def weighted_quantiles(num: DataFrame, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Exact quantiles per column from a (column, nval, cnt) table: Spark's ``percentile`` with a
+    frequency column while every column has few distinct values, else the bucketed rank path."""
+    distinct = num.groupBy("column").agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).first()[0] or 0
+    if distinct <= SMALL_DISTINCT:
+        q = num.groupBy("column").agg(
+            F.percentile(F.col("nval"), [float(p) for p in probs], F.col("cnt")).alias("_q"))
+        return q.select("column", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+    per_value = num.groupBy("column", "nval").agg(F.sum("cnt").alias("cnt"))
+    return quantiles_from_counts(per_value, "nval", "cnt", probs, by=["column"], names=names)
+
+
 def data_health_audit(df: DataFrame, target: str | None = None, digits: int = 4) -> DataFrame:
     """Per column dtype, nulls, fill rate, distinct, entropy, G1 skew, mean, std, p01, p99,
-    top-3 values; rounded and sorted by fill rate ascending."""
+    top-3 values; rounded and sorted by fill rate ascending.
+
+    The source is scanned once: the distinct-value table (column, string value, coerced number,
+    count) is built with one partial aggregation, checkpointed, and every statistic derives from it.
+    """
     cols = [c for c in df.columns if c != target]
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     string_cols = [c for c in cols if isinstance(dtypes[c], StringType)]
-    n = F.count(F.lit(1))
-    # Wide pass: moments of the coerced numbers (one row).
-    wide = df.select(*[_numeric_value(df, c).alias(f"_n{i}") for i, c in enumerate(cols)]).agg(
-        n.alias("_rows"),
-        *[F.struct(F.lit(c).alias("column"),
-                   F.count(f"_n{i}").alias("n_num"),
-                   F.avg(f"_n{i}").alias("mean"),
-                   F.stddev_samp(f"_n{i}").alias("std"),
-                   g1_skewness(F.col(f"_n{i}"), F.count(f"_n{i}")).alias("skewness")).alias(f"_s{i}")
-          for i, c in enumerate(cols)])
-    moments = wide.select("_rows", F.explode(F.array(*[f"_s{i}" for i in range(len(cols))])).alias("s"))\
-        .select("_rows", "s.*")
-    # Long pass: the distinct-value table feeds nulls, n_unique, entropy, top-k and quantiles.
-    vt = _value_table(df, cols)
+    vt = cut_lineage(_value_table(df, cols))
     counts = vt.groupBy("column").agg(
+        F.sum("cnt").alias("_rows"),
         F.sum(F.when(F.col("sval").isNull(), F.col("cnt")).otherwise(0)).alias("null_count"),
         F.count(F.col("sval")).alias("n_unique"))
+    num = vt.filter(F.col("nval").isNotNull()).select("column", "nval", "cnt")
+    moments = weighted_moments(num)
     ent = entropy_from_counts(vt, string_cols)
     top = top_values_from_counts(vt)
-    qs = exact_quantiles(long_values(df, cols).select("column", "nval"), "nval", [0.01, 0.99],
-                         by=["column"], names=["p01", "p99"])
+    qs = weighted_quantiles(num, [0.01, 0.99], ["p01", "p99"])
     dtype_map = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(pandas_dtype(dtypes[c])))])
     r = lambda c: F.round(c, digits)
-    out = (moments.join(counts, "column").join(ent, "column", "left").join(top, "column", "left")
+    out = (counts.join(moments, "column", "left").join(ent, "column", "left").join(top, "column", "left")
            .join(qs, "column", "left"))
     return out.select(
         "column",
