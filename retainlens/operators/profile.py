@@ -54,9 +54,14 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A2: normalised frequencies per column, nulls excluded."""
     vc = value_counts(df, cols).filter(F.col("value").isNotNull())
-    w = Window.partitionBy("column")
-    return vc.select("column", "value", "count",
-                     (F.col("count") / F.sum("count").over(w)).alias("freq"))
+    return vc.join(F.broadcast(column_totals(vc, "count", "_tot")), "column").select(
+        "column", "value", "count", (F.col("count") / F.col("_tot")).alias("freq"))
+
+
+def column_totals(vc: DataFrame, cnt: str, name: str, key: str = "column") -> DataFrame:
+    """One total per column — joined back instead of a window partitioned by column, which
+    would put every distinct value of a high-cardinality column into one task."""
+    return vc.groupBy(key).agg(F.sum(cnt).alias(name))
 
 
 def positive_rate(df: DataFrame, label: str = "Churn") -> DataFrame:
@@ -89,11 +94,11 @@ def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def categorical_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per (feature, category incl. null): count, frequency among non-null, non-null total."""
     vc = value_counts(df, cols)
-    w = Window.partitionBy("column")
-    nonnull = F.sum(F.when(F.col("value").isNotNull(), F.col("count"))).over(w)
-    return vc.select(F.col("column").alias("feature"), F.col("value").alias("category"), "count",
-                     F.when(F.col("value").isNotNull(), F.col("count") / nonnull).alias("freq"),
-                     nonnull.alias("n_nonnull"))
+    tot = vc.groupBy("column").agg(F.sum(F.when(F.col("value").isNotNull(), F.col("count"))).alias("n_nonnull"))
+    j = vc.join(F.broadcast(tot), "column")  # one row per column
+    return j.select(F.col("column").alias("feature"), F.col("value").alias("category"), "count",
+                    F.when(F.col("value").isNotNull(), F.col("count") / F.col("n_nonnull")).alias("freq"),
+                    "n_nonnull")
 
 
 # ---------------------------------------------------------------- A7 – A12
@@ -108,10 +113,10 @@ def entropy_from_counts(vt: DataFrame, string_cols: Sequence[str]) -> DataFrame:
     is_str = F.col("column").isin(*string_cols) if string_cols else F.lit(False)
     keep = vt.filter(F.col("sval").isNotNull() | ~is_str)
     per_value = keep.groupBy("column", "sval").agg(F.sum("cnt").alias("c"))
-    w = Window.partitionBy("column")
-    p = F.col("c") / F.sum("c").over(w)
-    return (per_value.select("column", p.alias("p"))
-            .groupBy("column").agg((-F.sum(F.col("p") * F.log2(F.col("p")))).alias("entropy")))
+    # H = log2(N) − Σ c·log2(c) / N per column: one aggregate, no window over the values.
+    g = per_value.groupBy("column").agg(F.sum("c").alias("n"),
+                                        F.sum(F.col("c") * F.log2(F.col("c"))).alias("s"))
+    return g.select("column", (F.log2(F.col("n")) - F.col("s") / F.col("n")).alias("entropy"))
 
 
 def top_values_from_counts(vt: DataFrame, k: int = 3, buckets: int = TOPK_BUCKETS) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import chi2_sf_udf, t_pvalue_udf
@@ -32,9 +32,10 @@ def chi_square_stats(df: DataFrame, cols: Sequence[str], label: str = "Churn",
     tab = lv.groupBy("feature", "category").agg(
         F.count_if(F.col("_y") == 0).alias("n0"), F.count_if(F.col("_y") == 1).alias("n1"),
         F.max(F.col("raw").isNotNull().cast("int")).alias("nonnull"))
-    w = Window.partitionBy("feature")
-    t = tab.select("*", F.sum("n0").over(w).alias("c0"), F.sum("n1").over(w).alias("c1"),
-                   F.count(F.lit(1)).over(w).alias("r"))
+    # Marginals per feature (one row each) joined back — no window over a feature's categories.
+    marg = tab.groupBy("feature").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"),
+                                      F.count(F.lit(1)).alias("r"))
+    t = tab.join(F.broadcast(marg), "feature")
     n = F.col("c0") + F.col("c1")
     row = F.col("n0") + F.col("n1")
     ncols = (F.col("c0") > 0).cast("int") + (F.col("c1") > 0).cast("int")
