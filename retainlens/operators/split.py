@@ -67,8 +67,9 @@ def reference_sample(df: DataFrame, col: str, n: int | None = None, seed: int =
                      ) -> DataFrame:
     """The values kept as KS reference. Default (n=None) keeps every value — exact KS;
     with n, the n rows of smallest seeded hash (a sampling operator)."""
-    vals = df.select(col).filter(F.col(col).isNotNull())
+    vals = df.filter(F.col(col).isNotNull())
     if n is None:
-        return vals
-    key = F.xxhash64(F.lit(seed), *( [F.col(id_col)] if id_col else [F.col(col), F.monotonically_increasing_id()]))
-    return vals.withColumn("_h", key).orderBy("_h").limit(n).drop("_h")
+        return vals.select(col)
+    # Deterministic seeded order (stable under recomputation); top-n is a TakeOrderedAndProject.
+    key = F.xxhash64(F.lit(seed), F.col(id_col) if id_col else F.col(col))
+    return vals.select(col, key.alias("_h")).orderBy("_h").limit(n).select(col)
