@@ -77,14 +77,20 @@ def clean_total_charges(df: DataFrame, median: float | None = None, fit: bool =
         return df
     if median is None and fit:
         median = fit_total_charges_median(df)
+    dtypes = {f.name: f.dataType for f in df.schema.fields}
+    return df.withColumn("TotalCharges", total_charges_expr(dtypes, median))
+
+
+def total_charges_expr(dtypes: dict, median: float | None):
+    """The C5 expression over the raw columns (reusable across frames of the same schema)."""
     med = F.lit(median).cast("double")
-    tc = safe_double("TotalCharges", _dtype(df, "TotalCharges"))
-    if "tenure" not in df.columns or "MonthlyCharges" not in df.columns:
-        return df.withColumn("TotalCharges", F.coalesce(tc, med))
-    ten = safe_double("tenure", _dtype(df, "tenure"))
-    mon = safe_double("MonthlyCharges", _dtype(df, "MonthlyCharges"))
+    tc = safe_double("TotalCharges", dtypes["TotalCharges"])
+    if "tenure" not in dtypes or "MonthlyCharges" not in dtypes:
+        return F.coalesce(tc, med)
+    ten = safe_double("tenure", dtypes["tenure"])
+    mon = safe_double("MonthlyCharges", dtypes["MonthlyCharges"])
     rule1 = F.when(tc.isNull() & (F.coalesce(ten, F.lit(0.0)) == 0), F.lit(0.0)).otherwise(tc)
-    return df.withColumn("TotalCharges", F.coalesce(rule1, mon * ten, med))
+    return F.coalesce(rule1, mon * ten, med)
 
 
 def basic_impute(df: DataFrame, median: float | None = None) -> DataFrame:

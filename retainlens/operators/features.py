@@ -31,14 +31,17 @@ def add_features(df: DataFrame, monthly_median: float | None = None, fit: bool =
     Absent inputs: LoyaltyIndex / UnitCost / AvgPaidPerMonth / ChargeGap / TenureBucket are
     skipped; the flag features become 0.
     """
-    cols = set(df.columns)
-    dt = {f.name: f.dataType for f in df.schema.fields}
-    out = df
-    # tenure / MonthlyCharges / TotalCharges are coerced to numbers first.
-    out = out.withColumns({c: safe_double(c, dt[c]) for c in ("tenure", "MonthlyCharges", "TotalCharges")
-                           if c in cols})
-    if monthly_median is None and fit and "MonthlyCharges" in cols:
+    if monthly_median is None and fit and "MonthlyCharges" in df.columns:
         monthly_median = fit_monthly_median(df)
+    coerce, new = feature_exprs({f.name: f.dataType for f in df.schema.fields}, monthly_median, addons)
+    return df.withColumns(coerce).withColumns(new)
+
+
+def feature_exprs(dt: dict, monthly_median: float | None,
+                  addons: Sequence[str] = ColumnRoles().addons) -> tuple[dict, dict]:
+    """(coercions, new features) as Column expressions for a schema — built once, reusable."""
+    cols = set(dt)
+    coerce = {c: safe_double(c, dt[c]) for c in ("tenure", "MonthlyCharges", "TotalCharges") if c in cols}
     ten0 = F.coalesce(F.col("tenure"), F.lit(0.0)) if "tenure" in cols else None
     new = {}
     if "tenure" in cols:
@@ -71,4 +74,4 @@ def add_features(df: DataFrame, monthly_median: float | None = None, fit: bool =
                                 if "PaymentMethod" in cols else F.lit(0))             # F9
     if "tenure" in cols:
         new["TenureBucket"] = tenure_bucket("tenure")                                # F10
-    return out.withColumns(new)
+    return coerce, new

@@ -14,10 +14,11 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.expressions import RISK_LABELS, RISK_THRESHOLDS, risk_band
-from .cleaning import clean_total_charges
-from .features import add_features
+from .cleaning import clean_total_charges, total_charges_expr
+from .features import add_features, feature_exprs
 
 
 @dataclass
@@ -59,13 +60,42 @@ class ChurnModel:
                    [c for c in (m["cat_cols"] or "").split(",") if c], m["model_name"], m["model_version"])
 
 
+class CompiledScorer:
+    """Scoring plan pieces built once per (model, input schema): the cleaning / feature Column
+    expressions and the JVM-side pipeline. A request batch then costs three ``select`` calls and
+    one JVM ``transform`` instead of rebuilding hundreds of expressions and stage wrappers."""
+
+    def __init__(self, model: ChurnModel, schema, id_col: str, keep: Sequence[str], thresholds, labels,
+                 digits: int):
+        names = schema.fieldNames()
+        dtypes = {f.name: f.dataType for f in schema.fields}
+        if "TotalCharges" in dtypes:
+            tc = total_charges_expr(dtypes, model.total_charges_median)
+            self.step1 = [tc.alias(c) if c == "TotalCharges" else F.col(c) for c in names]
+            dtypes = {**dtypes, "TotalCharges": DoubleType()}
+        else:
+            self.step1 = [F.col(c) for c in names]
+        coerce, new = feature_exprs(dtypes, model.monthly_median)
+        self.step2 = [coerce[c].alias(c) if c in coerce else F.col(c) for c in names]
+        self.step3 = [F.col(c) for c in names] + [v.alias(k) for k, v in new.items()]
+        self.java_pipeline = model.pipeline._to_java()
+        prob = F.round(vector_to_array("probability")[1], digits)
+        ident = F.col(id_col) if id_col in names else F.lit("unknown")
+        self.out = [ident.alias(id_col), *[F.col(k) for k in keep],
+                    F.col("prediction").cast("int").alias("prediction"), prob.alias("churn_probability"),
+                    risk_band(prob, thresholds, labels).alias("risk_level")]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        prepared = df.select(*self.step1).select(*self.step2).select(*self.step3)
+        out = DataFrame(self.java_pipeline.transform(prepared._jdf), df.sparkSession)
+        return out.select(*self.out)
+
+
 def score(model: ChurnModel, df: DataFrame, id_col: str = "customerID", keep: Sequence[str] = (),
           thresholds=RISK_THRESHOLDS, labels=RISK_LABELS, digits: int = 4) -> DataFrame:
     """Clean → features → transform → prediction, P(class 1) (4 dp), risk band, id."""
-    prepared = model.prepare(df)
-    out = model.pipeline.transform(prepared)
-    prob = F.round(vector_to_array("probability")[1], digits)
-    ident = F.col(id_col) if id_col in df.columns else F.lit("unknown")
-    return out.select(ident.alias(id_col), *keep, F.col("prediction").cast("int").alias("prediction"),
-                      prob.alias("churn_probability"),
-                      risk_band(prob, thresholds, labels).alias("risk_level"))
+    key = (df.schema.json(), id_col, tuple(keep), tuple(thresholds), tuple(labels), digits)
+    cache = model.__dict__.setdefault("_scorers", {})
+    if key not in cache:
+        cache[key] = CompiledScorer(model, df.schema, id_col, keep, thresholds, labels, digits)
+    return cache[key](df)
