@@ -969,9 +969,9 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start,
        strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d') AS window_end, {_STREAM_STATS}
 FROM prediction_log GROUP BY date_trunc('day', ts)"""))
 def q_stream_daily_stats(spark, sf):
-    """The events table as a file stream, daily tumbling-window stats (availableNow, complete)."""
+    """The events table as a file stream, daily tumbling-window stats (watermark, update mode)."""
     s = Z.daily_stats_stream(Z.file_stream(spark, f"{sf}/events.parquet"))
-    return Z.run_available_now(s, "daily_stats", "complete")
+    return Z.run_available_now(s, "daily_stats", "update", keys=["window_start", "window_end"])
 
 
 @register("q_stream_sliding", with_views(f"""
@@ -981,7 +981,7 @@ GROUP BY ws"""))
 def q_stream_sliding(spark, sf):
     """Z3: rolling 7-day windows sliding by one day over the event stream."""
     s = Z.sliding_stats_stream(Z.file_stream(spark, f"{sf}/events.parquet"))
-    return Z.run_available_now(s, "sliding_stats", "complete")
+    return Z.run_available_now(s, "sliding_stats", "update", keys=["window_start", "window_end"])
 
 
 @register("q_stream_dedup", with_views("""

@@ -34,10 +34,14 @@ def file_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
 
 
 def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
+                      keys: list[str] | None = None,
                       on_batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Drain the source (``trigger(availableNow=True)``) into a Parquet table and return it.
 
-    complete mode rewrites the (small, aggregated) result each batch; append mode appends."""
+    append: rows are appended. update: each batch appends its changed rows tagged with the epoch
+    and the reader keeps the latest version per ``keys`` (an upsert without a table format); the
+    watermark lets Spark evict state of closed windows, so state stays bounded on an endless
+    stream. complete: the whole (small) result is rewritten per batch — tests only."""
     spark = stream.sparkSession
     d = stream_dir(spark, name)
     out = f"{d}/out"
@@ -45,15 +49,23 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
     def sink(batch: DataFrame, epoch: int) -> None:
         if on_batch is not None:
             on_batch(batch, epoch)
-        batch.write.mode("overwrite" if output_mode == "complete" else "append").parquet(out)
+        if output_mode == "complete":
+            batch.write.mode("overwrite").parquet(out)
+        else:
+            batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out)
 
     q = (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", f"{d}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     try:
-        return spark.read.parquet(out)
+        got = spark.read.parquet(out)
     except Exception:  # noqa: BLE001 — no batch produced any row
         return spark.createDataFrame([], stream.schema)
+    if output_mode == "update" and keys:
+        # Latest version per key: a key has at most one row per epoch, so each group is small.
+        latest = got.groupBy(*keys).agg(F.max("_epoch").alias("_last"))
+        got = got.join(latest, keys).filter(F.col("_epoch") == F.col("_last")).drop("_last")
+    return got.drop("_epoch") if "_epoch" in got.columns else got
 
 
 def prediction_events(events: DataFrame) -> DataFrame:

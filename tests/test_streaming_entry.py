@@ -12,7 +12,8 @@ from retainlens.streaming import jobs as Z
 
 
 def test_daily_stream_equals_batch(spark, sf):
-    s = Z.run_available_now(Z.daily_stats_stream(Z.file_stream(spark, f"{sf}/events.parquet")), "t_daily", "complete")
+    s = Z.run_available_now(Z.daily_stats_stream(Z.file_stream(spark, f"{sf}/events.parquet", max_files=1)),
+                            "t_daily", "update", keys=["window_start", "window_end"])
     got = {r["window_start"]: (r["total_predictions"], r["churn_count"]) for r in s.collect()}
     batch = O.prediction_stats(V.prediction_log(spark, sf), by=["log_date"]).collect()
     want = {str(r["log_date"]): (r["total_predictions"], r["churn_count"]) for r in batch}
