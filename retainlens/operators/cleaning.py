@@ -93,10 +93,6 @@ def total_charges_expr(dtypes: dict, median: float | None):
     return F.coalesce(rule1, mon * ten, med)
 
 
-def basic_impute(df: DataFrame, median: float | None = None) -> DataFrame:
-    return clean_total_charges(df, median)
-
-
 def infer_roles(df: DataFrame, target: str | None = None, id_col: str | None = None
                 ) -> tuple[list[str], list[str]]:
     """Numeric dtype vs the rest (target and id excluded)."""

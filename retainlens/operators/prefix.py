@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -162,7 +162,3 @@ def exact_quantile_scalars(df: DataFrame, value: str, probs: Sequence[float]) ->
     if row is None:
         return [None] * len(probs)
     return [row[i] for i in range(len(probs))]
-
-
-def order_key(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c

@@ -16,7 +16,6 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (PCA, ElementwiseProduct, OneHotEncoder, SQLTransformer,
                                 StandardScaler, StringIndexer, VectorAssembler)
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,7 +160,3 @@ def pca_project(features: DataFrame, k: int, col: str = "features", keep: Sequen
     centred = scaler.transform(features)
     pca = PCA(k=k, inputCol="__c", outputCol="pca").fit(centred)
     return pca.transform(centred).select(*keep, "pca")
-
-
-def vector_column_to_array(df: DataFrame, col: str = "features") -> DataFrame:
-    return df.withColumn(col, vector_to_array(col))

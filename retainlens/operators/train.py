@@ -7,7 +7,6 @@ CV models train in parallel (``parallelism``); the prepared frame is cached once
 
 from __future__ import annotations
 
-import itertools
 import math
 from dataclasses import dataclass
 
@@ -134,12 +133,3 @@ def select_best(table: DataFrame, min_f1: float = 0.5) -> str:
 def comparison(table: DataFrame, best: str) -> DataFrame:
     """The model comparison table with the winner marked, best F1 first."""
     return table.withColumn("is_best", F.col("model") == best).orderBy(F.desc("f1"), "model")
-
-
-def grid_size(candidates: list[Candidate]) -> int:
-    return sum(max(1, len(c.grid)) for c in candidates)
-
-
-def _all_combos(grid: dict) -> list[dict]:
-    keys = list(grid)
-    return [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
