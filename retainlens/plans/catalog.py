@@ -990,7 +990,7 @@ def q_stream_dedup(spark, sf):
     """De-duplicate the log stream on event_id within the watermark, then count per day."""
     s = Z.dedup_stream(Z.file_stream(spark, f"{sf}/events.parquet"))
     rows = Z.run_available_now(s, "dedup", "append")
-    return rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+    return rows.groupBy(Z.utc_day("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n_events"))
 
 

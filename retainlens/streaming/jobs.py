@@ -68,11 +68,25 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
     return got.drop("_epoch") if "_epoch" in got.columns else got
 
 
+def event_time(df: DataFrame, c: str = "ts"):
+    """Event-time column for watermarks. A wall-clock ``timestamp_ntz`` is read as UTC whatever
+    the session time zone, so windows align to UTC days everywhere."""
+    if df.schema[c].dataType.typeName() == "timestamp_ntz":
+        return F.from_utc_timestamp(F.col(c).cast("timestamp"), F.current_timezone())
+    return F.col(c)
+
+
+def utc_day(c) -> F.Column:
+    """'YYYY-MM-DD' of an instant's UTC day (independent of the session time zone)."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.date_from_unix_date(F.floor(F.unix_seconds(col) / 86400).cast("int")).cast("string")
+
+
 def prediction_events(events: DataFrame) -> DataFrame:
-    """Events → prediction-log rows with an event-time ``timestamp`` column (UTC)."""
+    """Events → prediction-log rows with an event-time ``ts`` (UTC instant)."""
     prob = F.floor(F.least(F.col("value") / 200, F.lit(1.0)) * 10000) / 10000
     return events.select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"),
+        "event_id", event_time(events, "ts").alias("ts"),
         F.when(F.col("value") >= 60, F.lit(1)).otherwise(F.lit(0)).alias("prediction"),
         prob.alias("churn_probability"), risk_band(prob).alias("risk_level"),
         F.col("props").alias("input_features"))
@@ -86,8 +100,7 @@ def _window_stats(df: DataFrame, win) -> DataFrame:
         F.round(F.try_divide(churn * 100, total), 2).alias("churn_rate"),
         F.round(F.avg("churn_probability"), 4).alias("avg_churn_probability"),
         F.count_if(F.col("risk_level") == "High").alias("n_high")
-    ).select(F.date_format("w.start", "yyyy-MM-dd").alias("window_start"),
-             F.date_format("w.end", "yyyy-MM-dd").alias("window_end"),
+    ).select(utc_day("w.start").alias("window_start"), utc_day("w.end").alias("window_end"),
              "total_predictions", "churn_count", "churn_rate", "avg_churn_probability", "n_high")
 
 
