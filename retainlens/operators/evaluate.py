@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import safe_div
 from .prefix import global_prefix_sum
+from .rows import combine_rows
 
 
 def _by(by):
@@ -148,14 +149,13 @@ def evaluation_report(df: DataFrame, label: str = "label", prediction: str = "pr
                       score: str = "score", by: Sequence[str] = (), digits: int = 4) -> DataFrame:
     """One row per group with the confusion counts, metrics, ROC-AUC and average precision."""
     by = _by(by)
-    const = not by
-    if const:  # a constant key keeps the one-row frames on an equi-join
-        df, by = df.withColumn("_all", F.lit(0)), ["_all"]
     cm = confusion(df, label, prediction, by, digits)
     met = metrics_from_confusion(cm, by, digits)
     auc = roc_auc(df, label, score, by)
     ap = average_precision(df, label, score, by)
-    out = cm.join(met, by).join(auc, by, "left").join(ap, by, "left")
-    out = out.withColumn("roc_auc", F.round("roc_auc", digits))\
-             .withColumn("average_precision", F.round("average_precision", digits))
-    return out.drop("_all") if const else out
+    if by:
+        out = cm.join(met, by).join(auc, by, "left").join(ap, by, "left")
+    else:  # four one-row frames: combined without a join
+        out = combine_rows(cm, met, auc, ap)
+    return out.withColumn("roc_auc", F.round("roc_auc", digits))\
+              .withColumn("average_precision", F.round("average_precision", digits))

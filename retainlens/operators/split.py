@@ -8,7 +8,7 @@ mode needs no shuffle at all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import global_prefix_sum
@@ -46,10 +46,9 @@ def stratified_split(df: DataFrame, label: str = "Churn", id_col: str = "custome
 def class_weights(df: DataFrame, label: str = "Churn") -> DataFrame:
     """Balanced weights n / (2 · n_c) per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(0))
-    k = counts.withColumn("_k", F.lit(0)).join(total, "_k").drop("_k")
-    n_classes = F.lit(2.0)
-    return k.select(label, "n_class", (F.col("n") / (n_classes * F.col("n_class"))).alias("weight"))
+    # The per-class table has one row per class: a window over it is tiny.
+    n = F.sum("n_class").over(Window.partitionBy())
+    return counts.select(label, "n_class", (n / (F.lit(2.0) * F.col("n_class"))).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label: str = "Churn", positive_weight: float | None = None,

@@ -627,6 +627,7 @@ def q_reference_frequencies(spark, sf):
 # ------------------------------------------------------------------ prediction log
 from ..functions.expressions import risk_band  # noqa: E402
 from ..operators import monitor as O  # noqa: E402
+from ..operators.rows import combine_rows  # noqa: E402
 from ..sources import prediction_log as LG  # noqa: E402
 
 AS_OF = V.LOG_AS_OF
@@ -768,12 +769,10 @@ def q_performance_status(spark, sf):
 
 def _signals(spark, sf):
     """One row: drift flag (orders windows) + performance flag (lineitem windows) + cooldown."""
-    drift = D.drift_report(V.drift_ref(spark, sf), V.drift_cur(spark, sf), _DRIFT_CFG)\
-        .select("drift_detected", F.lit(0).alias("_k"))
+    drift = D.drift_report(V.drift_ref(spark, sf), V.drift_cur(spark, sf), _DRIFT_CFG).select("drift_detected")
     base, cur = _period_metrics(spark, sf, by_year=False)
-    perf = O.performance_status(O.degradation(base, cur, by=["period"]), by=["period"])\
-        .select("performance_ok", F.lit(0).alias("_k"))
-    return drift.join(perf, "_k")
+    perf = O.performance_status(O.degradation(base, cur, by=["period"]), by=["period"]).select("performance_ok")
+    return combine_rows(drift, perf)
 
 
 _FULL_CTES = _KS_CTES + "," + _PSI_CAT_CTES + "," + _PERIOD_CTES.replace(
@@ -793,7 +792,7 @@ fc AS (SELECT drift_detected, performance_ok,
 @register("q_full_check", with_views("SELECT * FROM fc", extra_ctes=_FULL_CTES))
 def q_full_check(spark, sf):
     """O2: drift × performance → stable / drift_warning / degraded / retrain_needed."""
-    return O.full_check(_signals(spark, sf)).drop("_k")
+    return O.full_check(_signals(spark, sf))
 
 
 _COOL_AS_OF = "2024-01-31 00:00:00"
@@ -819,8 +818,8 @@ FROM fc f, (SELECT last_event IS NULL OR date_diff('microsecond', last_event, TI
 def q_retrain_gate(spark, sf):
     """The ordered retrain gate over the full check and the pipeline-run cooldown."""
     fc = O.full_check(_signals(spark, sf))
-    cool = O.cooldown(V.table(spark, sf, "events"), _COOL_AS_OF, 24.0).select("cooldown_ok", F.lit(0).alias("_k"))
-    g = O.retrain_gate(fc.join(cool, "_k"))
+    cool = O.cooldown(V.table(spark, sf, "events"), _COOL_AS_OF, 24.0).select("cooldown_ok")
+    g = O.retrain_gate(combine_rows(fc, cool))
     return g.select("decision", "retrain_recommended", "cooldown_ok", "should_retrain", "gate_reason")
 
 

@@ -22,6 +22,7 @@ from ..operators import monitor as O
 from ..operators import train as M
 from ..operators.features import add_features, fit_monthly_median
 from ..operators.preprocess import fit_preprocessor
+from ..operators.rows import combine_rows
 from ..operators.score import ChurnModel, score
 from ..operators.split import stratified_split
 from ..sources import artifacts as ART
@@ -127,8 +128,8 @@ def retrain_run(spark: SparkSession, raw: DataFrame, signals: DataFrame, history
                 families: tuple[str, ...] | None = None) -> dict:
     """Gate → train → refresh the reference profile (raw mode only) → append a history event."""
     hist = ART.read_history(spark, history_path)
-    cool = O.cooldown(hist, as_of, mon_cfg.cooldown_hours).select("cooldown_ok", F.lit(0).alias("_k"))
-    gated = O.retrain_gate(signals.withColumn("_k", F.lit(0)).join(cool, "_k"), force=force,
+    cool = O.cooldown(hist, as_of, mon_cfg.cooldown_hours).select("cooldown_ok")
+    gated = O.retrain_gate(combine_rows(signals, cool), force=force,
                            enabled=mon_cfg.retrain_enabled, auto=mon_cfg.auto_retrain).first()
     if not gated["should_retrain"]:
         return {"retrained": False, "reason": gated["gate_reason"]}
