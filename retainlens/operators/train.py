@@ -8,6 +8,7 @@ CV models train in parallel (``parallelism``); the prepared frame is cached once
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -91,27 +92,39 @@ def test_report(pred: DataFrame, label: str = "label") -> dict:
 
 
 def grid_search(train: DataFrame, test: DataFrame, candidates: list[Candidate], label: str = "label",
-                fold_col: str = "fold", parallelism: int = 4, num_folds: int = 5) -> tuple[DataFrame, dict]:
+                fold_col: str = "fold", parallelism: int = 4, num_folds: int = 5,
+                family_threads: int = 4) -> tuple[DataFrame, dict]:
     """M5 + M6 + M9: CV grid search per candidate (refit on all train), test report per model.
 
     Returns (comparison table, {name: fitted best model})."""
     evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel",
                                                   metricLabel=1.0)
-    rows, fitted = [], {}
-    for cand in candidates:
+
+    def run(cand: Candidate):
         tr = _weighted(train, cand.weighted, label).cache()
-        if cand.grid:
-            cv = CrossValidator(estimator=cand.estimator, estimatorParamMaps=cand.grid, evaluator=evaluator,
-                                foldCol=fold_col, numFolds=num_folds, parallelism=parallelism, seed=42)
-            cvm = cv.fit(tr)
-            best, cv_score = cvm.bestModel, max(cvm.avgMetrics)
-        else:
-            best, cv_score = cand.estimator.fit(tr), None
-        tr.unpersist()
+        try:
+            if cand.grid:
+                cv = CrossValidator(estimator=cand.estimator, estimatorParamMaps=cand.grid, evaluator=evaluator,
+                                    foldCol=fold_col, numFolds=num_folds, parallelism=parallelism, seed=42)
+                cvm = cv.fit(tr)
+                best, cv_score = cvm.bestModel, max(cvm.avgMetrics)
+            else:
+                best, cv_score = cand.estimator.fit(tr), None
+        finally:
+            tr.unpersist()
         rep = test_report(best.transform(test), label)
+        return best, (cand.name, rep["f1"], rep["recall"], rep["precision"], rep["accuracy"], rep["roc_auc"],
+                      _params_str(best, cand.estimator),
+                      None if cv_score is None else round(float(cv_score), 4))
+
+    # Model families are independent: their Spark jobs are submitted concurrently from driver
+    # threads (CrossValidator's own parallelism only spreads param maps inside one fold).
+    with ThreadPoolExecutor(max_workers=max(1, min(len(candidates), family_threads))) as pool:
+        results = list(pool.map(run, candidates))
+    rows, fitted = [], {}
+    for cand, (best, row) in zip(candidates, results):
         fitted[cand.name] = best
-        rows.append((cand.name, rep["f1"], rep["recall"], rep["precision"], rep["accuracy"], rep["roc_auc"],
-                     _params_str(best, cand.estimator), None if cv_score is None else round(float(cv_score), 4)))
+        rows.append(row)
     spark = SparkSession.getActiveSession() or train.sparkSession
     table = spark.createDataFrame(rows, "model string, f1 double, recall double, precision double, "
                                         "accuracy double, roc_auc double, best_params string, cv_best_score double")

@@ -56,6 +56,22 @@ def prepare_training_frame(raw: DataFrame, cfg: TrainConfig = TrainConfig(), rol
     return train_f, test_f, tc_med, mc_med
 
 
+def training_partitions(df: DataFrame, rows_per_partition: int = 1_000_000) -> DataFrame:
+    """Cache an iterative-training frame with max(default parallelism, rows / 1M) partitions:
+    each optimizer iteration is a job over these partitions, so tiny partitions (e.g. 200 shuffle
+    partitions of a small frame) cost scheduling time, and huge ones cost memory."""
+    df = df.cache()
+    n = df.count()
+    sc = df.sparkSession.sparkContext
+    target = max(sc.defaultParallelism, -(-n // rows_per_partition))
+    if df.rdd.getNumPartitions() > target:
+        coalesced = df.coalesce(target).cache()
+        coalesced.count()
+        df.unpersist()
+        return coalesced
+    return df
+
+
 def train_pipeline(raw: DataFrame, cfg: TrainConfig = TrainConfig(), roles: ColumnRoles = ColumnRoles(),
                    compact: bool = False, out_dir: str | None = None, mode: str = "csv",
                    families: tuple[str, ...] | None = None) -> TrainResult:
@@ -68,8 +84,9 @@ def train_pipeline(raw: DataFrame, cfg: TrainConfig = TrainConfig(), roles: Colu
     t0 = time.time()
     pre = fit_preprocessor(train_f, num_cols, cat_cols, scale_onehot=True)
     label = F.col(roles.target).cast("double").alias("label")
-    tr = pre.transform(train_f).select("features", label, "fold").cache()
-    te = pre.transform(test_f).select("features", label, roles.id_col).cache()
+    tr = pre.transform(train_f).select("features", label, "fold")
+    te = pre.transform(test_f).select("features", label, roles.id_col)
+    tr, te = training_partitions(tr), training_partitions(te)
     n_train = tr.count()
     t["preprocess"] = time.time() - t0
     t0 = time.time()
