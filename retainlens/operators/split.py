@@ -70,5 +70,11 @@ def reference_sample(df: DataFrame, col: str, n: int | None = None, seed: int =
     if n is None:
         return vals.select(col)
     # Deterministic seeded order (stable under recomputation); top-n is a TakeOrderedAndProject.
-    key = F.xxhash64(F.lit(seed), F.col(id_col) if id_col else F.col(col))
+    key = hash_key(id_col, seed) if id_col else F.xxhash64(F.lit(seed), F.col(col))
     return vals.select(col, key.alias("_h")).orderBy("_h").limit(n).select(col)
+
+
+def sample_rows(df: DataFrame, n: int, id_col: str = "customerID", seed: int = 42) -> DataFrame:
+    """X3 on rows: the n rows with the smallest seeded md5 key (a sampling operator; top-n per
+    partition, then merge — no global sort)."""
+    return df.withColumn("_h", hash_key(id_col, seed)).orderBy("_h", id_col).limit(n).drop("_h")

@@ -1003,3 +1003,23 @@ def q_stream_drift(spark, sf):
     ev = Z.prediction_events(Z.file_stream(spark, f"{sf}/events.parquet"))
     feats = ev.select("*", F.from_json("input_features", "k INT").alias("_f")).select("*", "_f.k").drop("_f")
     return Z.drift_per_batch(feats, ref, cfg)
+
+
+@register("q_folds", with_views("""
+SELECT label, fold, count(*) AS n FROM (
+  SELECT Churn AS label, CAST((row_number() OVER (PARTITION BY Churn ORDER BY md5('42|' || customerID)) - 1) % 5 AS INTEGER) AS fold
+  FROM subs_l) GROUP BY label, fold"""))
+def q_folds(spark, sf):
+    """Stratified 5-fold assignment — rows per (class, fold)."""
+    s = X.stratified_split(C.target_lenient(V.subscribers(spark, sf)), "Churn", "customerID", 0.2, 42)
+    return s.groupBy(F.col("Churn").alias("label"), "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("q_reference_sample", with_views("""
+SELECT customerID, tenure, MonthlyCharges, TRY_CAST(TotalCharges AS DOUBLE) AS TotalCharges
+FROM subscribers ORDER BY md5('42|' || customerID), customerID LIMIT 1000"""))
+def q_reference_sample(spark, sf):
+    """The 1,000-row seeded reference sample kept for KS (a sampling operator)."""
+    s = X.sample_rows(V.subscribers(spark, sf), 1000)
+    return s.select("customerID", "tenure", "MonthlyCharges",
+                    F.col("TotalCharges").try_cast("double").alias("TotalCharges"))
