@@ -54,12 +54,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the platform names a shared folder; we never replace it with a
     machine-local one.
     """
-    current = (spark.sparkContext.getConf().get("spark.checkpoint.dir")
-               or spark.sparkContext.getCheckpointDir())
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 — no SparkContext (e.g. Spark Connect): server-side setting
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
+    current = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if current:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
         return current
     path = tempfile.mkdtemp(prefix="retainlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 
