@@ -115,24 +115,33 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     """
     by = _group_cols(by)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
-    if method == "auto":
-        method = "percentile" if max_distinct(df, value, by) <= SMALL_DISTINCT else "bucketed"
     if method == "percentile":
         g = df.filter(F.col(value).isNotNull())
         g = g.groupBy(*by) if by else g.groupBy()
         q = g.agg(F.percentile(F.col(value).cast("double"), [float(p) for p in probs]).alias("_q"))
         return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    return quantiles_from_counts(value_counts(df, value, by), value, "cnt", probs, by, names, buckets)
+    # One pass over the source: the distinct-value table is counted once and checkpointed; the
+    # size check and the quantile pick both read the checkpoint.
+    vc = cut_lineage(value_counts(df, value, by))
+    if method == "auto":
+        per = (vc.groupBy(*by) if by else vc.groupBy()).agg(F.count(F.lit(1)).alias("d"))
+        biggest = per.agg(F.max("d")).first()[0] or 0
+        method = "percentile" if biggest <= SMALL_DISTINCT else "bucketed"
+    if method == "percentile":
+        g = vc.groupBy(*by) if by else vc.groupBy()
+        q = g.agg(F.percentile(F.col(value).cast("double"), [float(p) for p in probs], F.col("cnt")).alias("_q"))
+        return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    return quantiles_from_counts(vc, value, "cnt", probs, by, names, buckets, materialize=False)
 
 
 def quantiles_from_counts(vc: DataFrame, value: str, cnt: str, probs: Sequence[float],
                           by: Sequence[str] = (), names: Sequence[str] | None = None,
-                          buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                          buckets: int = DEFAULT_BUCKETS, materialize: bool = True) -> DataFrame:
     """Exact quantiles from a (by, value, count) table; null values must be filtered out."""
     by = _group_cols(by)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     vc = vc.select(*by, value, F.col(cnt).alias("cnt"))
-    cum = global_prefix_sum(vc, value, ["cnt"], by=by, buckets=buckets)
+    cum = global_prefix_sum(vc, value, ["cnt"], by=by, buckets=buckets, materialize=materialize)
     n = F.col("tot_cnt")
     lo_hi = []
     for p in probs:

@@ -107,7 +107,9 @@ def q_validate_rows(spark, sf):
 _FEATS = ["LoyaltyIndex", "TotalAddOnServices", "UnitCost", "AvgPaidPerMonth", "ChargeGap",
           "RiskScope_Fiber_NoSupport_NoSec", "IsMonthToMonth", "IsPaperless", "IsElectronicCheck",
           "TenureBucket"]
-_FEAT_ROUND = {"LoyaltyIndex", "UnitCost", "AvgPaidPerMonth", "ChargeGap"}
+# Divisions are bit-identical in both engines (no rounding needed; rounding ties differ between
+# engines); log1p may differ in the last bit, so it is rounded.
+_FEAT_ROUND = {"LoyaltyIndex"}
 
 
 @register("q_add_features", with_views("SELECT customerID, " + ", ".join(
@@ -317,7 +319,7 @@ def _filled_sql(cols, src="eda"):
 
 @register("q_correlation_lower", with_views(
     "\nUNION ALL\n".join(
-        f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS corr FROM filled"
+        f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) + 0.0 AS corr FROM filled"
         for i, a in enumerate(EDA_NUMERIC) for j, b in enumerate(EDA_NUMERIC) if i > j),
     extra_ctes=f"filled AS (SELECT {_filled_sql(EDA_NUMERIC)} FROM eda)"))
 def q_correlation_lower(spark, sf):
