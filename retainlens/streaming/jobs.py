@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import risk_band
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 
 def stream_dir(spark: SparkSession, name: str) -> str:
@@ -130,7 +130,10 @@ def scoring_stream(customer_stream: DataFrame, static_orders_agg: DataFrame, mod
     from ..operators.score import score
     spark = customer_stream.sparkSession
     d = stream_dir(spark, name)
-    rows = build_rows(customer_stream, static_orders_agg)
+    # The static side of a stream-static join is re-evaluated every micro-batch: materialize the
+    # per-customer aggregate once (reliable checkpoint) instead of re-aggregating all orders.
+    static = cut_lineage(static_orders_agg)
+    rows = build_rows(customer_stream, static)
     scored = score(model, rows).withColumn("timestamp", F.current_timestamp())\
         .withColumn("log_date", F.to_date("timestamp"))
     q = (scored.writeStream.format("json").outputMode("append").partitionBy("log_date")
@@ -146,6 +149,7 @@ def drift_per_batch(features_stream: DataFrame, reference: DataFrame, cfg, name:
     spark = features_stream.sparkSession
     d = stream_dir(spark, name)
     out = f"{d}/reports"
+    reference = cut_lineage(reference)  # read once, reused by every micro-batch
 
     def check(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
