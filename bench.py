@@ -56,7 +56,7 @@ def main() -> None:
     lr = M.default_grids(n)[0].estimator.copy()
     lr.setRegParam(1.0 / n)
     model = ChurnModel(PipelineModel(stages=list(pre.stages) + [lr.fit(M._weighted(tr, "balanced", "label"))]),
-                       tc_med, mc_med, num, cat, "LogisticRegression")
+                       tc_med, mc_med, num, cat, "LogisticRegression", spec=getattr(pre, "_retainlens_spec", None))
     n_rows = raw.count()
     t0 = time.perf_counter()
     run(score(model, raw))

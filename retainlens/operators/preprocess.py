@@ -69,6 +69,7 @@ def fit_preprocessor(train: DataFrame, num_cols: Sequence[str], cat_cols: Sequen
         *[F.avg(c).alias(f"m_{c}") for c in num_cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in num_cols]
     ).first() if num_cols else None
     exprs = []
+    spec = {"num": [], "cat": [], "scale_onehot": bool(scale_onehot and cat_cols)}
     for c in num_cols:
         mean = mom[f"m_{c}"] if mom[f"m_{c}"] is not None else 0.0
         std = mom[f"s_{c}"]
@@ -78,6 +79,7 @@ def fit_preprocessor(train: DataFrame, num_cols: Sequence[str], cat_cols: Sequen
         raw = f"CAST({_q(c)} AS DOUBLE)" if is_num else f"try_cast({_q(c)} AS DOUBLE)"
         exprs.append(f"(coalesce(CASE WHEN isnan({raw}) THEN NULL ELSE {raw} END, {_lit(med)}) - {_lit(mean)}) "
                      f"/ {_lit(std)} AS {_q('__num_' + c)}")
+        spec["num"].append([c, is_num, med, mean, std])
     for c in cat_cols:
         exprs.append(f"coalesce(CAST({_q(c)} AS STRING), {_lit(modes[c])}) AS {_q('__cat_' + c)}")
     stages = [SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__")]
@@ -94,6 +96,9 @@ def fit_preprocessor(train: DataFrame, num_cols: Sequence[str], cat_cols: Sequen
     else:
         stages.append(VectorAssembler(inputCols=assembled, outputCol=output_col))
     model = Pipeline(stages=stages).fit(train)
+    if cat_cols:
+        for c, labels in zip(cat_cols, model.stages[1].labelsArray):
+            spec["cat"].append([c, modes[c], list(labels), [1.0] * len(labels)])
     if scale_onehot and cat_cols:
         # T5: divide each one-hot column by its population std sqrt(p(1-p)) (0 → 1).
         n = train.count()
@@ -112,6 +117,11 @@ def fit_preprocessor(train: DataFrame, num_cols: Sequence[str], cat_cols: Sequen
                 scale.append(1.0 / s if s > 0 else 1.0)
         ep = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="__raw_features", outputCol=output_col)
         model = PipelineModel(stages=list(model.stages) + [ep])
+        pos = len(num_cols)
+        for entry in spec["cat"]:
+            entry[3] = scale[pos:pos + len(entry[2])]
+            pos += len(entry[2])
+    model._retainlens_spec = spec
     return model
 
 

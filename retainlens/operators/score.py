@@ -7,11 +7,12 @@ A ``ChurnModel`` is the fitted scoring pipeline (preprocessor stages + classifie
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -30,6 +31,7 @@ class ChurnModel:
     cat_cols: list[str] = field(default_factory=list)
     model_name: str = ""
     model_version: str = "v1"
+    spec: dict | None = None  # fitted preprocessing constants (enables the compiled fast path)
 
     def prepare(self, df: DataFrame) -> DataFrame:
         """Clean + engineer with the *stored* training medians (leak-free)."""
@@ -41,9 +43,10 @@ class ChurnModel:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
         spark = SparkSession.getActiveSession()
         meta = spark.createDataFrame([(self.total_charges_median, self.monthly_median, ",".join(self.num_cols),
-                                       ",".join(self.cat_cols), self.model_name, self.model_version)],
+                                       ",".join(self.cat_cols), self.model_name, self.model_version,
+                                       json.dumps(self.spec) if self.spec else None)],
                                      "total_charges_median double, monthly_median double, num_cols string, "
-                                     "cat_cols string, model_name string, model_version string")
+                                     "cat_cols string, model_name string, model_version string, spec string")
         meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
     @classmethod
@@ -55,9 +58,10 @@ class ChurnModel:
             raise FileNotFoundError(f"model artifact not found: {path}")
         pipe = PipelineModel.load(f"{path}/pipeline")
         m = spark.read.json(f"{path}/meta").first()
+        spec = json.loads(m["spec"]) if "spec" in m.asDict() and m["spec"] else None
         return cls(pipe, m["total_charges_median"], m["monthly_median"],
                    [c for c in (m["num_cols"] or "").split(",") if c],
-                   [c for c in (m["cat_cols"] or "").split(",") if c], m["model_name"], m["model_version"])
+                   [c for c in (m["cat_cols"] or "").split(",") if c], m["model_name"], m["model_version"], spec)
 
 
 class CompiledScorer:
@@ -66,7 +70,7 @@ class CompiledScorer:
     one JVM ``transform`` instead of rebuilding hundreds of expressions and stage wrappers."""
 
     def __init__(self, model: ChurnModel, schema, id_col: str, keep: Sequence[str], thresholds, labels,
-                 digits: int):
+                 digits: int, fast: bool = True):
         names = schema.fieldNames()
         dtypes = {f.name: f.dataType for f in schema.fields}
         if "TotalCharges" in dtypes:
@@ -79,6 +83,21 @@ class CompiledScorer:
         self.step2 = [coerce[c].alias(c) if c in coerce else F.col(c) for c in names]
         self.step3 = [F.col(c) for c in names] + [v.alias(k) for k, v in new.items()]
         self.java_pipeline = model.pipeline._to_java()
+        self.fast = None
+        if model.spec and fast:
+            # Fast path: the feature vector from pre-built expressions (imputed + scaled numerics,
+            # one-hot slots with their scaling; unknown category → zeros), then only the classifier.
+            slots = []
+            for c, is_num, med, mean, std in model.spec["num"]:
+                raw = F.col(c).cast("double") if is_num else F.col(c).try_cast("double")
+                slots.append((F.coalesce(F.when(~F.isnan(raw), raw), F.lit(med).cast("double"))
+                              - F.lit(mean).cast("double")) / F.lit(std).cast("double"))
+            for c, mode, categories, scales in model.spec["cat"]:
+                v = F.coalesce(F.col(c).cast("string"), F.lit(mode))
+                slots += [F.when(v == F.lit(cat), F.lit(1.0) * F.lit(s)).otherwise(F.lit(0.0))
+                          for cat, s in zip(categories, scales)]
+            self.fast = (array_to_vector(F.array(*slots)).alias("features"),
+                         model.pipeline.stages[-1]._to_java())
         prob = F.round(vector_to_array("probability")[1], digits)
         ident = F.col(id_col) if id_col in names else F.lit("unknown")
         self.out = [ident.alias(id_col), *[F.col(k) for k in keep],
@@ -87,7 +106,11 @@ class CompiledScorer:
 
     def __call__(self, df: DataFrame) -> DataFrame:
         prepared = df.select(*self.step1).select(*self.step2).select(*self.step3)
-        out = DataFrame(self.java_pipeline.transform(prepared._jdf), df.sparkSession)
+        if self.fast is not None:
+            feats = prepared.select("*", self.fast[0])
+            out = DataFrame(self.fast[1].transform(feats._jdf), df.sparkSession)
+        else:
+            out = DataFrame(self.java_pipeline.transform(prepared._jdf), df.sparkSession)
         return out.select(*self.out)
 
 

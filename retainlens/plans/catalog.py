@@ -953,7 +953,7 @@ def q_score_batch(spark, sf):
     from pyspark.ml import PipelineModel
     from ..operators.score import ChurnModel
     model = ChurnModel(PipelineModel(stages=list(pre.stages) + [fitted]), tc_med, mc_med, num, cat,
-                       "LogisticRegression")
+                       "LogisticRegression", spec=getattr(pre, "_retainlens_spec", None))
     return _score(model, raw)
 
 

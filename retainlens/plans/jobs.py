@@ -97,7 +97,8 @@ def train_pipeline(raw: DataFrame, cfg: TrainConfig = TrainConfig(), roles: Colu
     best = M.select_best(table, cfg.min_f1)
     t["search"] = time.time() - t0
     pipeline = PipelineModel(stages=list(pre.stages) + [fitted[best]])
-    model = ChurnModel(pipeline, tc_med, mc_med, num_cols, cat_cols, best)
+    model = ChurnModel(pipeline, tc_med, mc_med, num_cols, cat_cols, best,
+                       spec=getattr(pre, "_retainlens_spec", None))
     if out_dir:
         model.save(f"{out_dir}/model")
         ART.write_report(table, f"{out_dir}/train_metrics")

@@ -96,3 +96,26 @@ def test_pca_variance(spark, subs):
     assert 1 <= k90 <= k95 <= len(ratios)
     proj = T.pca_project(feats, k95)
     assert len(proj.first()["pca"]) == k95
+
+
+def test_compiled_fast_path_equals_pipeline(spark, subs):
+    """The fast scorer (expressions + classifier only) gives bit-identical probabilities to the
+    full stage pipeline, for a linear and a tree model, including an unseen category."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from retainlens.functions.expressions import RISK_LABELS, RISK_THRESHOLDS
+    from retainlens.operators.score import CompiledScorer
+    train_f, _, tc, mc = J.prepare_training_frame(subs, TrainConfig(min_f1=0.0))
+    num, cat = C.resolve_roles(train_f)
+    pre = T.fit_preprocessor(train_f, num, cat)
+    tr = pre.transform(train_f).select("features", F.col("Churn").cast("double").alias("label"))
+    probe = subs.withColumn("Contract", F.when(F.col("tenure") > 70, F.lit("Ten year")).otherwise(F.col("Contract")))
+    for est in (LogisticRegression(regParam=0.01), RandomForestClassifier(numTrees=5, maxDepth=4, seed=1)):
+        m = ChurnModel(PipelineModel(stages=list(pre.stages) + [est.fit(tr)]), tc, mc, num, cat,
+                       spec=pre._retainlens_spec)
+        fast = CompiledScorer(m, probe.schema, "customerID", (), RISK_THRESHOLDS, RISK_LABELS, 8, fast=True)
+        slow = CompiledScorer(m, probe.schema, "customerID", (), RISK_THRESHOLDS, RISK_LABELS, 8, fast=False)
+        assert fast.fast is not None and slow.fast is None
+        a = sorted(fast(probe).collect())
+        b = sorted(slow(probe).collect())
+        assert a == b
