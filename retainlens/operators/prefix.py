@@ -94,14 +94,6 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 SMALL_DISTINCT = 100_000
 
 
-def max_distinct(df: DataFrame, value: str, by: Sequence[str] = ()) -> int:
-    """Largest approximate number of distinct ``value``s in any group (one small aggregate)."""
-    by = _group_cols(by)
-    per = (df.groupBy(*by) if by else df.groupBy()).agg(F.approx_count_distinct(value).alias("d"))
-    got = per.agg(F.max("d")).first()[0]
-    return int(got or 0)
-
-
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
                     names: Sequence[str] | None = None, buckets: int = DEFAULT_BUCKETS,
                     method: str = "auto") -> DataFrame:
