@@ -42,6 +42,10 @@ def get_session(app: str = "retainlens", master: str | None = None,
     )
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
+    event_log = os.environ.get("RETAINLENS_EVENT_LOG")
+    if event_log:  # stage / task timings without the UI: Spark's event log in a scratch folder
+        os.makedirs(event_log, exist_ok=True)
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
