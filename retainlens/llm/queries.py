@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, topk
+from . import bpe, packing, quality, topk, toxicity, warc
 from .common import documents
 
 QUERIES: dict = {}
@@ -57,3 +57,26 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     """Five best candidates of every 50th vector, over all vectors."""
     return topk.top_k(documents(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@register("op3_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+b AS (SELECT x, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+        (CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) & 31 AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest
+      FROM (SELECT DISTINCT x FROM d))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to, true AS digest_ok
+FROM d JOIN b USING (x)""")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """WARC archives of all pages, written and read back."""
+    return warc.archive_and_read(documents(spark, sf, "pages"))
+
+
+@register("op1_toxicity")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document, by a model of the labelled rows that are not held out."""
+    docs = documents(spark, sf)
+    model = toxicity.fit(docs, documents(spark, sf, "labels"))
+    got = toxicity.score(docs.select("doc_id", "lang", "text"), model)
+    return got.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "lang_threshold", "flagged")
