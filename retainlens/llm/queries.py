@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, topk, toxicity, warc
+from . import bpe, packing, pii, quality, topk, toxicity, warc
 from .common import documents
 
 QUERIES: dict = {}
@@ -80,3 +80,9 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.fit(docs, documents(spark, sf, "labels"))
     got = toxicity.score(docs.select("doc_id", "lang", "text"), model)
     return got.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "lang_threshold", "flagged")
+
+
+@register("op4_pii")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data of every document: base spans and those that the trained classifier adds."""
+    return pii.detect(documents(spark, sf).select("doc_id", "text"))
