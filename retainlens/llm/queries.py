@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, topk, toxicity, warc
+from . import bpe, packing, pii, quality, substring_dedup, topk, toxicity, warc
 from .common import documents
 
 QUERIES: dict = {}
@@ -86,3 +86,9 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data of every document: base spans and those that the trained classifier adds."""
     return pii.detect(documents(spark, sf).select("doc_id", "text"))
+
+
+@register("op2_substring_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of every document that are left after later copies of 50-word windows are removed."""
+    return substring_dedup.dedup(documents(spark, sf), window=50, digests=True)
