@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, substring_dedup, topk, toxicity, warc
+from . import bpe, packing, pii, quality, substring_dedup, suffix_dedup, topk, toxicity, warc
 from .common import documents
 
 QUERIES: dict = {}
@@ -92,3 +92,9 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     """Words of every document that are left after later copies of 50-word windows are removed."""
     return substring_dedup.dedup(documents(spark, sf), window=50, digests=True)
+
+
+@register("op10_suffix_dedup")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of every document that no 400-byte copy covers."""
+    return suffix_dedup.dedup(documents(spark, sf), length=400, keep="none").drop("kept")

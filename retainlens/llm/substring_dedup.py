@@ -183,7 +183,8 @@ def repeats(src: DataFrame, window: int = WINDOW, top: int = TOP_LEVEL) -> DataF
     occ = occurrences(src, window, top)
     stats = occ.groupBy("f").agg(F.min("doc_id").alias("least"), F.max(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("most"),
                                  F.min("g").alias("g0"), F.max("g").alias("g1"))
-    stats = stats.filter(F.col("least") < F.col("most")).select("f", "least", (F.col("g0") != F.col("g1")).alias("mixed"))
+    # Written first, so that the join reads two exchanges and a hot f is split.
+    stats = cut(stats.filter(F.col("least") < F.col("most")).select("f", "least", (F.col("g0") != F.col("g1")).alias("mixed")))
     hits = cut(occ.join(stats, "f").filter(_later("doc_id", "least") | F.col("mixed")))
     plain = hits.filter(~F.col("mixed")).select("doc_id", "_k", "place")
     unsure = hits.filter("mixed").select("doc_id", "_k", "f", "g", "place")
