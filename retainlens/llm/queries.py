@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, substring_dedup, suffix_dedup, topk, toxicity, warc
+from . import bpe, jaccard, packing, pii, quality, substring_dedup, suffix_dedup, topk, toxicity, warc
 from .common import documents
 
 QUERIES: dict = {}
@@ -98,3 +98,9 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of every document that no 400-byte copy covers."""
     return suffix_dedup.dedup(documents(spark, sf), length=400, keep="none").drop("kept")
+
+
+@register("op9_jaccard_join")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Component of every document under links of 4-word shingle sets at Jaccard 0.85 and more."""
+    return jaccard.near_duplicates(documents(spark, sf), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
