@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from .common import U64, byte_values, column, cut, mix, prefix_hash, signed, slices, span_hash, string_parts, word_spans
 
-RARE, LEAST_FREQUENT, BLOCK, STAR, BITS = 500, 32, 2048, 256, 1024
+RARE, LEAST_FREQUENT, BLOCK, STAR, BITS, FILTER_BITS = 500, 32, 2048, 256, 1024, 1 << 24
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -67,13 +67,26 @@ def class_ids(gram: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(span_hash(prefix_hash(mix(gram + U64(17))), first[:-1], first[1:]) ^ (size.astype(U64) * U64(0xD1342543DE82EF95)))
 
 
-def bitmaps(gram: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Parity bitmaps (sets x BITS / 64): bit b is the parity of the grams hashed to b."""
+def bitmaps(gram: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Parity bitmap of each set: bit b is the parity of the grams hashed to b. A bitmap has at least
+    ``BITS`` bits and at least one a gram (a power of two), so large sets don't saturate theirs."""
     size = np.diff(first)
-    doc = np.repeat(np.arange(len(size)), size)
-    bit = (mix(gram) >> U64(20)).astype(np.int64) % BITS
-    odd = np.bincount(doc * BITS + bit, minlength=len(size) * BITS).reshape(-1, BITS) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<u8")
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(size, BITS))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(begin[:-1], size) + ((mix(gram) >> U64(20)).astype(np.int64) & (np.repeat(bits, size) - 1))
+    raw = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[a:b] for a, b in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist())]
+
+
+def differing_bits(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Differing bits of each pair of bitmaps; a longer one is first folded (by parity) to the shorter."""
+    (x, xo), (y, yo) = string_parts(a), string_parts(b)
+    nx, ny, out = np.diff(xo), np.diff(yo), np.zeros(len(a), np.int64)
+    for u, v in {*zip(nx.tolist(), ny.tolist())}:
+        rows, w = np.flatnonzero((nx == u) & (ny == v)), min(u, v)
+        fold = lambda z, o, n: np.bitwise_xor.reduce(z[o[rows][:, None] + np.arange(n)].reshape(len(rows), -1, w), axis=1)
+        out[rows] = np.bitwise_count((fold(x, xo, u) ^ fold(y, yo, v)).view("<u8")).sum(1)
+    return out
 
 
 def may_link(n1, n2, differing, num: int, den: int):
@@ -109,7 +122,7 @@ def _classes(src: DataFrame, n: int) -> DataFrame:
                 bits = bitmaps(gram[f[0]:f[-1]], f - f[0])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(len(f) - 1, np.int32)), column(part, "doc_id")[at:at + 2000], column(part, "_k")[at:at + 2000],
-                     pa.array(signed(class_ids(gram, f))), pa.array(np.diff(f)), pa.array([b.tobytes() for b in bits], pa.binary())], names=names)
+                     pa.array(signed(class_ids(gram, f))), pa.array(np.diff(f)), pa.array(bits, pa.binary())], names=names)
             # Lossy counting: a gram stays while it comes in about every slice.
             t, c = np.unique(gram, return_counts=True)
             t, c = t[c > 1], c[c > 1]
@@ -180,24 +193,48 @@ def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 20_000):
-                p = b.slice(at, 20_000)
-                x = np.frombuffer(string_parts(column(p, "b1"))[0], "<u8") ^ np.frombuffer(string_parts(column(p, "b2"))[0], "<u8")
-                differing = np.bitwise_count(x).reshape(p.num_rows, -1).sum(1).astype(np.int64)
-                ok = may_link(column(p, "n1").to_numpy(), column(p, "n2").to_numpy(), differing, num, den)
+            for at in range(0, b.num_rows, 5_000):
+                p = b.slice(at, 5_000)
+                ok = may_link(column(p, "n1").to_numpy(), column(p, "n2").to_numpy(), differing_bits(column(p, "b1"), column(p, "b2")), num, den)
                 yield pa.RecordBatch.from_arrays([column(p, "a"), column(p, "b")], names=["a", "b"]).filter(pa.array(ok))
 
     return sized.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
+def _asked_only(src: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``src`` whose key may be among ``asked`` (r_id, r_k): a filter of ``FILTER_BITS`` bits,
+    whatever the input, that spares most texts the exchange. It lets rows through in vain, never drops one."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            bits[column(b, "h").to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    key = lambda *c: F.pmod(F.xxhash64(*c), F.lit(FILTER_BITS)).alias("h")
+    got = asked.select(key("r_id", "r_k")).coalesce(4).mapInArrow(mark, "bits binary").collect()
+    merged = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in got:
+        merged |= np.frombuffer(bytes(r.bits), np.uint8)
+    shared = src.sparkSession.sparkContext.broadcast(merged)
+    names = src.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = column(b, "h").to_numpy()
+            yield b.select(names).filter(pa.array((shared.value[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1))
+
+    return src.withColumn("h", key("doc_id", "_k")).mapInArrow(keep, src.schema)
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, src: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link. Members b meet a's text in groups of at most about STAR members."""
     parts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).select("a", F.ceil(F.col("m") / STAR).cast("long").alias("parts"))
     member = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(1).alias("role"), F.col("b").alias("c"))
     center = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("c"))
     asked = member.unionAll(center).join(reps.select("c", F.col("rep.doc_id").alias("r_id"), F.col("rep._k").alias("r_k")), "c")
+    asked = cut(asked)
     # One text of each class; rows that repeat an id and a text are the same text.
-    texts = src.alias("s").join(asked.alias("q"), F.col("s.doc_id").eqNullSafe(F.col("q.r_id")) & (F.col("s._k") == F.col("q.r_k"))).select("a", "part", "role", "c", "text")
+    texts = _asked_only(src, asked).alias("s").join(asked.alias("q"), F.col("s.doc_id").eqNullSafe(F.col("q.r_id")) & (F.col("s._k") == F.col("q.r_k"))).select("a", "part", "role", "c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, left = None, np.zeros(0, U64)
