@@ -9,7 +9,8 @@ the order here puts grams that many texts have last. From there:
    links give first components by alternating large-star / small-star rounds;
 3. only grams whose classes still lie in different components are left. Their classes meet in tiles
    of one size band (sizes within the threshold lie in the same or the next band), split into blocks
-   of ``BLOCK`` rows, where pairs of different components and fitting sizes are listed;
+   of ``BLOCK`` rows, with bitmap signatures; pairs of different components are listed there if sizes
+   and bitmaps allow them;
 4. a pair is checked first by its hashed bitmaps (their differing bits bound the overlap from
    above), then, if it passes, by an exact intersection of the sorted gram arrays.
 
@@ -270,68 +271,105 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = new
 
 
+def _folded(bits: bytes, n: int) -> bytes:
+    """The bitmap folded by parity to the least power of two of bits from n / 2 (and 64) on: still
+    enough for unrelated sets of n grams to differ in more bits than the threshold allows."""
+    width = max(8, 1 << max(0, ((n + 1) // 2 - 1).bit_length() - 3))
+    if width >= len(bits):
+        return bits
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0).tobytes()
+
+
+def _small_bitmaps(classes: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_folded(x, n) for x, n in zip(column(b, "bits").to_pylist(), column(b, "n").to_pylist())]
+            yield pa.RecordBatch.from_arrays([column(b, "c"), pa.array(got, pa.binary())], names=["c", "sig"])
+
+    return classes.select("c", "n", "bits").mapInArrow(run, "c long, sig binary")
+
+
+_TILE = ["t", "band", "i", "j"]
+
+
+def _tile_matches(m: np.ndarray, data: np.ndarray, off: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Pairs (c, c) of one tile. Rows of m: side (0 first, 1 second, 2 both), c, comp, n2; data and off: their bitmaps."""
+    left, right = np.flatnonzero(m[:, 0] != 1), np.flatnonzero(m[:, 0] != 0)
+    if not len(left) or not len(right):
+        return np.zeros((0, 2), np.int64)
+    # All bitmaps of the tile, folded to its shortest.
+    size, begin = np.diff(off), off[:-1]
+    w = int(size.min())
+    sig = np.zeros((len(m), w // 8), U64)
+    for u in np.unique(size):
+        rows = np.flatnonzero(size == u)
+        sig[rows] = np.bitwise_xor.reduce(data[begin[rows][:, None] + np.arange(u)].reshape(len(rows), -1, w), axis=1).copy().view(U64)
+    out = []
+    for at in range(0, len(left), 256):
+        a, b = left[at:at + 256][:, None], right[None, :]
+        n1, n2 = m[a, 3] >> 1, m[b, 3] >> 1
+        # The smaller set of a pair must have the gram in its shorter prefix.
+        small = np.where(n1 < n2, m[a, 3] & 1, np.where(n1 > n2, m[b, 3] & 1, (m[a, 3] | m[b, 3]) & 1))
+        ok = (m[a, 2] != m[b, 2]) & (small == 1) & (np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num)
+        i, j = np.nonzero(ok)
+        i, j = left[at + i], right[j]
+        for k in range(0, len(i), 100_000):
+            x, y = i[k:k + 100_000], j[k:k + 100_000]
+            differing = np.bitwise_count(sig[x] ^ sig[y]).sum(1).astype(np.int64)
+            good = may_link(m[x, 3] >> 1, m[y, 3] >> 1, differing, num, den)
+            out.append(np.stack([m[x[good], 1], m[y[good], 1]], 1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
 def _tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components in tiles (t, band, block, block) of rows (t, c, comp, n2)."""
-    step = float(np.log(den / num))
+    """Pairs of different components in tiles (t, band, block, block) of rows (t, c, comp, n2, sig)
+    that sizes and bitmaps allow."""
+    step, zero = float(np.log(den / num)), F.lit(0).cast("long")
     banded = rows.withColumn("band", F.floor(F.log(F.shiftright("n2", 1).cast("double")) / step + 1e-9).cast("long"))
-    size = banded.groupBy("t", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    size = cut(banded.groupBy("t", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")))
     # A band's rows meet those of their band and of the band below: both come to the upper band's tile.
-    up = size.select("t", "band", F.col("blocks").alias("home")).join(size.select("t", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below")), ["t", "band"], "left")
-    blocked = banded.join(size, ["t", "band"]).withColumn("block", F.pmod(F.xxhash64("c"), "blocks"))
-    seq = lambda a, b: F.sequence(a, b)
-    zero = F.lit(0).cast("long")
-    # Home block i meets home blocks up to i (as the first of the pair) and the blocks from below.
-    home = blocked.join(up.select("t", "band", "home", F.coalesce("below", zero).alias("below")), ["t", "band"])
-    first = home.select("t", "band", "c", "comp", "n2", F.lit(0).alias("side"), F.explode(F.concat(
-        F.transform(seq(zero, F.col("block")), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"))),
-        F.when(F.col("below") > 0, F.transform(seq(zero, F.col("below") - 1), lambda j: F.struct(F.col("block").alias("i"), (-1 - j).alias("j")))).otherwise(
-            F.array().cast("array<struct<i:bigint,j:bigint>>")))).alias("x"))
-    second = home.select("t", "band", "c", "comp", "n2", F.lit(1).alias("side"), F.explode(
-        F.transform(seq(F.col("block"), F.col("home") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))).alias("x"))
-    guests = blocked.select("t", (F.col("band") + 1).alias("band"), "c", "comp", "n2", "block").join(
-        up.select("t", "band", "home"), ["t", "band"]).select("t", "band", "c", "comp", "n2", F.lit(1).alias("side"), F.explode(
-            F.transform(seq(zero, F.col("home") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j")))).alias("x"))
-    tiles = first.unionAll(second).unionAll(guests).select("t", "band", "x.i", "x.j", "side", "c", "comp", "n2")
-    key = ["t", "band", "i", "j"]
-
-    def match(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rows (c, comp, n2) of both sides -> pairs (c, c)."""
-        out = []
-        for at in range(0, len(a), 256):
-            x = a[at:at + 256, None, :]
-            n1, n2 = x[..., 2] >> 1, b[None, :, 2] >> 1
-            small_first = np.where(n1 < n2, x[..., 2] & 1, np.where(n1 > n2, b[None, :, 2] & 1, (x[..., 2] | b[None, :, 2]) & 1))
-            ok = (x[..., 1] != b[None, :, 1]) & (small_first == 1) & (np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num)
-            i, j = np.nonzero(ok)
-            out.append(np.stack([a[at + i, 0], b[j, 0]], 1))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    up = size.select("t", "band", F.col("blocks").alias("home"))
+    below = size.select("t", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    home = banded.join(up.join(below, ["t", "band"], "left"), ["t", "band"]).withColumn("block", F.pmod(F.xxhash64("c"), "home"))
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    # Home block i meets home blocks below i (as the first of the pair), itself, and the blocks of the band below.
+    block, none = F.col("block"), F.array().cast("array<struct<i:bigint,j:bigint,side:int>>")
+    cells = F.concat(
+        F.array(cell(block, block, 2)),
+        F.when(block > 0, F.transform(F.sequence(zero, block - 1), lambda j: cell(block, j, 0))).otherwise(none),
+        F.when(block < F.col("home") - 1, F.transform(F.sequence(block + 1, F.col("home") - 1), lambda i: cell(i, block, 1))).otherwise(none),
+        F.when(F.col("below") > 0, F.transform(F.sequence(zero, F.col("below") - 1), lambda j: cell(block, -1 - j, 0))).otherwise(none))
+    cols = ("x.i", "x.j", "x.side", "c", "comp", "n2", "sig")
+    homes = home.withColumn("x", F.explode(cells)).select("t", "band", *cols)
+    guests = (banded.join(size, ["t", "band"]).withColumn("block", F.pmod(F.xxhash64("c"), "blocks")).withColumn("band", F.col("band") + 1)
+              .join(up, ["t", "band"]).withColumn("x", F.explode(F.transform(F.sequence(zero, F.col("home") - 1), lambda i: cell(i, -1 - block, 1))))
+              .select("t", "band", *cols))
+
+    def close(t: pa.Table, last: bool) -> tuple[pa.Table, pa.RecordBatch]:
+        m = np.stack([t.column(x).to_numpy() for x in (*_TILE, "side", "c", "comp", "n2")], 1).astype(np.int64)
+        edges = np.concatenate([[0], np.flatnonzero((m[1:, :4] != m[:-1, :4]).any(1)) + 1, [len(m)]])
+        done = edges[-1] if last else edges[-2]
+        data, off = string_parts(t.column("sig"))
+        # Tiles of a single component have no pair.
+        lo, hi = np.minimum.reduceat(m[:, 6], edges[:-1]), np.maximum.reduceat(m[:, 6], edges[:-1])
+        found = [_tile_matches(m[a:b, 4:], data, off[a:b + 1], num, den)
+                 for a, b in zip(edges[:-1][lo != hi].tolist(), edges[1:][lo != hi].tolist()) if b <= done]
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
+        return t.slice(done), pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(rows_: list[np.ndarray], last: bool):
-            m = np.concatenate(rows_)
-            change = np.flatnonzero((m[1:, :4] != m[:-1, :4]).any(1)) + 1
-            edges = np.concatenate([[0], change, [len(m)]])
-            found = []
-            for a, b in zip(edges[:-1], edges[1:] if last else edges[1:-1]):
-                g = m[a:b]
-                left, right = g[g[:, 4] == 0][:, 5:], g[g[:, 4] == 1][:, 5:]
-                if len(left) and len(right):
-                    found.append(match(left, right))
-            rest = m[edges[-2]:] if not last else m[:0]
-            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
-            return rest, pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        held: list[np.ndarray] = []
+        held, rows_ = [], 0
         for b in batches:
-            held.append(np.stack([column(b, x).to_numpy() for x in (*key, "side", "c", "comp", "n2")], 1).astype(np.int64))
-            if sum(map(len, held)) > 50_000:
-                rest, out = close(held, False)
-                held = [rest]
+            held.append(pa.Table.from_batches([b]))
+            rows_ += b.num_rows
+            if rows_ > 50_000:
+                rest, out = close(pa.concat_tables(held).combine_chunks(), False)
+                held, rows_ = [rest], 0
                 yield out
-        if held and sum(map(len, held)):
-            yield close(held, True)[1]
+        if held and sum(t.num_rows for t in held):
+            yield close(pa.concat_tables(held).combine_chunks(), True)[1]
 
-    near = tiles.repartition(*(F.col(k) for k in key)).sortWithinPartitions(*key)
+    near = homes.unionAll(guests).repartition(*(F.col(k) for k in _TILE)).sortWithinPartitions(*_TILE)
     return near.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
@@ -350,7 +388,7 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, te
     comp = cut(components(found))
     labelled = shared.select("t", "c", "n2").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     open_ = cut(labelled.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("t"))
-    rest = cut(labelled.join(open_, "t").select("t", "c", "comp", "n2"))
+    rest = cut(labelled.join(open_, "t").select("t", "c", "comp", "n2").join(_small_bitmaps(classes), "c"))
     late = cut(_plausible(_tile_pairs(rest, num, den), classes, num, den))
     comp = cut(components(found.unionAll(_verified(late, classes, src, n, num, den))))
     own = rows.join(comp, "c", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "c")))
