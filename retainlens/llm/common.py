@@ -31,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def aside(df: DataFrame, used: set[str]):
+    """``df`` with the columns that an operator needs for itself renamed, and the way back to ``df``'s columns."""
+    own = {c: f"__own_{c}" for c in df.columns if c in used}
+    back = [F.col(f"`{own.get(c, c)}`").alias(c) for c in df.columns]
+    return df.withColumnsRenamed(own), lambda got: got.select(*back)
+
+
 def row_key(*cols: str) -> Column:
     """64-bit content key; beside ``doc_id`` it tells apart rows that repeat an id."""
     return F.xxhash64(*cols)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, byte_values, column, cut, mix, prefix_hash, signed, slices, span_hash, string_parts, word_spans
+from .common import U64, aside, byte_values, column, cut, mix, prefix_hash, signed, slices, span_hash, string_parts, word_spans
 
 RARE, LEAST_FREQUENT, BLOCK, STAR, BITS, FILTER_BITS = 500, 32, 2048, 256, 1024, 1 << 24
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -408,6 +408,7 @@ def keep_one(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str
     # How many rows repeat each: only those few need to be made single.
     rows = found.groupBy(F.col("doc_id").alias("_d"), F.col("_k").alias("_h")).agg(F.count(F.lit(1)).alias("_m"))
     winners = cut(winners.distinct().join(rows, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_h"))).select("_d", "_h", "_m"))
+    df, back = aside(df, {"_d", "_h", "_m"})
     got = df.join(winners, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")))
     single = got.filter("_m = 1").unionAll(got.filter("_m > 1").dropDuplicates(["_d", "_h"]))
-    return single.select(*(f"`{c}`" for c in df.columns))
+    return back(single)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, cut, is_space, prefix_hash, byte_values, slices, span_hash, string_parts, word_spans
+from .common import aside, column, cut, is_space, prefix_hash, byte_values, slices, span_hash, string_parts, word_spans
 
 COVERAGE, STEPS, MIN_ROWS = 0.75, 3, 200
 #: Distances are in multiples of the group's median; a Gaussian cloud has no row in 1e25 beyond.
@@ -232,9 +232,7 @@ def quality(df: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``df`` that the rules keep, with the columns of ``df``."""
-    taken = {*COUNTS, "base_failed", "distance", "kept", "_lang", "_source", "_g"} & set(df.columns)
-    if taken:
-        raise ValueError(f"rename these columns first: {sorted(taken)}")
+    df, back = aside(df, {*COUNTS, "base_failed", "distance", "kept", "_lang", "_source", "_g", "_pl", "_ps", "_l", "_s", "_d"})
     stats = add_statistics(df, text)
     pool, est = fit(stats.select(lang, source, "n_words", *(f"_f_{f}" for f in FEATURES)), lang, source)
-    return judge(stats, pool, est, lang, source).filter("kept").select(*(f"`{c}`" for c in df.columns))
+    return back(judge(stats, pool, est, lang, source).filter("kept"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, column, cut, mix, prefix_hash, signed, slices, span_hash, string_parts, word_hashes, word_spans
+from .common import U64, aside, column, cut, mix, prefix_hash, signed, slices, span_hash, string_parts, word_hashes, word_spans
 
 WINDOW, TOP_LEVEL = 50, 3
 
@@ -208,6 +208,7 @@ def dedup(df: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str =
 
     ``digests``: instead doc_id, n_words, n_removed and kept_sha256 of every document.
     """
+    df, back = aside(df, {"_k", "_runs", "_r_id", "_r_k"})
     keyed = df.withColumn("_k", F.xxhash64(text))
     src = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), "_k", F.col(text).alias("text"))
     runs = repeats(src, window, top).groupBy("doc_id", "_k").agg(F.collect_set(F.struct("at", "n")).alias("_runs"))
@@ -247,4 +248,5 @@ def dedup(df: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str =
             else:
                 yield pa.RecordBatch.from_arrays([pa.array(texts, column(part, n).type) if n == text else column(part, n) for n in names], names=names)
 
-    return rows.mapInArrow(run, out)
+    got = rows.mapInArrow(run, out)
+    return got if digests else back(got)
