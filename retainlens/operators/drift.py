@@ -108,6 +108,9 @@ def drift_features(ref: DataFrame, cur: DataFrame, cfg: DriftConfig = DriftConfi
         p = psi_categorical(ref, cur, cat, ref_freq, cfg.psi_threshold)
         parts.append(p.select("feature", F.lit("psi").alias("kind"), F.col("psi").alias("statistic"),
                               F.lit(None).cast("double").alias("p_value"), "drift_detected"))
+    if not parts:  # no feature on both sides: nothing is checked
+        return cur.sparkSession.createDataFrame(
+            [], "feature string, kind string, statistic double, p_value double, drift_detected boolean")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

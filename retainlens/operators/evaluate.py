@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import safe_div
 from .prefix import global_prefix_sum
-from .rows import combine_rows
+from .rows import combine_rows, null_safe_join
 
 
 def _by(by):
@@ -154,7 +154,9 @@ def evaluation_report(df: DataFrame, label: str = "label", prediction: str = "pr
     auc = roc_auc(df, label, score, by)
     ap = average_precision(df, label, score, by)
     if by:
-        out = cm.join(met, by).join(auc, by, "left").join(ap, by, "left")
+        out = cm
+        for part, how in ((met, "inner"), (auc, "left"), (ap, "left")):
+            out = null_safe_join(out, part, by, how)
     else:  # four one-row frames: combined without a join
         out = combine_rows(cm, met, auc, ap)
     return out.withColumn("roc_auc", F.round("roc_auc", digits))\

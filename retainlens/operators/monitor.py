@@ -15,12 +15,9 @@ from ..config import MonitorConfig
 from ..functions.expressions import safe_div
 
 
-def prediction_stats(log: DataFrame, by: Sequence[str] = (), max_rows: int | None = None,
-                     order_col: str = "ts") -> DataFrame:
+def prediction_stats(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Total, churn / non-churn counts, churn rate % (2 dp), mean probability (4 dp),
-    risk distribution. ``max_rows`` optionally keeps only the newest rows (off by default)."""
-    if max_rows is not None:
-        log = latest(log, max_rows, order_col)
+    risk distribution."""
     by = list(by)
     total = F.count(F.lit(1))
     churn = F.count_if(F.col("prediction") == 1)

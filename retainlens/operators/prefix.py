@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .rows import null_safe_join
 
-DEFAULT_BUCKETS = 64
+#: Rows that one ordered task gets; the number of range buckets follows from the row count.
+ROWS_PER_BUCKET = 1_000_000
 
 
 def _group_cols(by: Sequence[str]) -> list[str]:
@@ -28,7 +30,7 @@ def _group_cols(by: Sequence[str]) -> list[str]:
 
 
 def global_prefix_sum(df: DataFrame, key: str, sum_cols: Sequence[str], by: Sequence[str] = (),
-                      descending: bool = False, buckets: int = DEFAULT_BUCKETS,
+                      descending: bool = False, buckets: int | None = None,
                       materialize: bool = True) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` ordered by ``key`` (within each ``by`` group).
 
@@ -36,6 +38,8 @@ def global_prefix_sum(df: DataFrame, key: str, sum_cols: Sequence[str], by: Sequ
     which is what ROC / KS / AP need, and a hot key cannot skew the ordered stage.
     The input is checkpointed once (``materialize``) so the bounds, totals and running-sum
     branches read it instead of recomputing the upstream scan and shuffle three times.
+    ``buckets`` defaults to one per ``ROWS_PER_BUCKET`` rows. Null groups are groups like any
+    other; null keys come first in their group.
     Output: all input columns plus ``cum_<c>`` for each c and ``tot_<c>`` (group total).
     """
     by = _group_cols(by)
@@ -45,26 +49,33 @@ def global_prefix_sum(df: DataFrame, key: str, sum_cols: Sequence[str], by: Sequ
     work = df.withColumn("_sk", sort_key.cast("double"))
     if materialize:
         work = cut_lineage(work)
+    if buckets is None:
+        buckets = max(1, -(-work.count() // ROWS_PER_BUCKET))
+    if buckets == 1:  # one ordered task a group: its running sum is the whole answer
+        wl = Window.partitionBy(*by).orderBy("_sk").rowsBetween(Window.unboundedPreceding, 0)
+        wall = Window.partitionBy(*by)
+        return work.select(*df.columns, *[F.sum(c).over(wl).alias(f"cum_{c}") for c in sum_cols],
+                           *[F.sum(c).over(wall).alias(f"tot_{c}") for c in sum_cols])
     probs = [i / buckets for i in range(1, buckets)]
+    bounds = (work.groupBy(*by) if by else work.groupBy()).agg(
+        F.percentile_approx("_sk", probs, max(10_000, 10 * buckets)).alias("_bounds"))
     if by:
-        # One row of range bounds per group: the broadcast is bounded by groups × buckets.
-        bounds = work.groupBy(*by).agg(F.percentile_approx("_sk", probs, 10_000).alias("_bounds"))
-        work = work.join(F.broadcast(bounds), on=by, how="inner")
+        work = null_safe_join(work, bounds, by)
         bucket = F.size(F.filter("_bounds", lambda b: b < F.col("_sk")))
     else:
         # Ungrouped: the ≤ buckets-1 bounds come back as literals (no join at all).
-        got = work.agg(F.percentile_approx("_sk", probs, 10_000)).first()[0] or []
+        got = bounds.first()[0] or []
         lits = sorted(set(float(x) for x in got))
         bucket = (F.size(F.filter(F.array(*[F.lit(x) for x in lits]), lambda b: b < F.col("_sk")))
                   if lits else F.lit(0))
-    work = work.withColumn("_bucket", bucket.cast("int"))
+    work = work.withColumn("_bucket", F.when(F.col("_sk").isNull(), F.lit(-1)).otherwise(bucket).cast("int"))
     if by:
         work = work.drop("_bounds")
     part = by + ["_bucket"]
     totals = work.groupBy(*part).agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
-    # The totals table has groups × buckets rows: its windows are tiny.
-    wg = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_bucket")
-    wall = Window.partitionBy(*by) if by else Window.partitionBy()
+    # The totals table has groups × buckets rows: its windows are small.
+    wg = Window.partitionBy(*by).orderBy("_bucket")
+    wall = Window.partitionBy(*by)
     offsets = totals.select(
         *part,
         *[(F.sum(f"_bt_{c}").over(wg.rowsBetween(Window.unboundedPreceding, -1)))
@@ -74,7 +85,7 @@ def global_prefix_sum(df: DataFrame, key: str, sum_cols: Sequence[str], by: Sequ
     # Running sums inside each (group, bucket): the ordered work is spread over all buckets.
     wl = Window.partitionBy(*part).orderBy("_sk").rowsBetween(Window.unboundedPreceding, 0)
     local = work.select("*", *[F.sum(c).over(wl).alias(f"_loc_{c}") for c in sum_cols])
-    out = local.join(F.broadcast(offsets), on=part, how="inner")
+    out = null_safe_join(local, offsets, part)
     return out.select(
         *df.columns,
         *[(F.coalesce(F.col(f"_off_{c}"), F.lit(0)) + F.col(f"_loc_{c}")).alias(f"cum_{c}")
@@ -89,20 +100,14 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-# Above this many distinct values in one group, the bucketed path is used: Spark's exact
-# ``percentile`` merges one value→count map per group in a single task.
-SMALL_DISTINCT = 100_000
-
-
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None, buckets: int = DEFAULT_BUCKETS,
-                    method: str = "auto") -> DataFrame:
+                    names: Sequence[str] | None = None, buckets: int | None = None,
+                    method: str = "bucketed") -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / ``percentile`` semantics) per group.
 
-    ``method``: ``percentile`` — Spark's exact aggregate (partial value→count maps; fine while
-    groups have few distinct values); ``bucketed`` — distinct values are counted, ranked with
-    :func:`global_prefix_sum` and the two ranks around h = (n-1)·p are picked with an array
-    filter, so no task ever holds a whole group; ``auto`` — a size check picks one of the two.
+    Distinct values are counted, ranked with :func:`global_prefix_sum` and the two ranks around
+    h = (n-1)·p are picked with an array filter, so no task ever holds a whole group. With
+    ``method="percentile"`` Spark's exact aggregate is used instead (for groups of few values).
     Output: ``by`` columns + one column per prob.
     """
     by = _group_cols(by)
@@ -112,23 +117,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         g = g.groupBy(*by) if by else g.groupBy()
         q = g.agg(F.percentile(F.col(value).cast("double"), [float(p) for p in probs]).alias("_q"))
         return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    # One pass over the source: the distinct-value table is counted once and checkpointed; the
-    # size check and the quantile pick both read the checkpoint.
-    vc = cut_lineage(value_counts(df, value, by))
-    if method == "auto":
-        per = (vc.groupBy(*by) if by else vc.groupBy()).agg(F.count(F.lit(1)).alias("d"))
-        biggest = per.agg(F.max("d")).first()[0] or 0
-        method = "percentile" if biggest <= SMALL_DISTINCT else "bucketed"
-    if method == "percentile":
-        g = vc.groupBy(*by) if by else vc.groupBy()
-        q = g.agg(F.percentile(F.col(value).cast("double"), [float(p) for p in probs], F.col("cnt")).alias("_q"))
-        return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    vc = cut_lineage(value_counts(df, value, by))  # one pass over the source
     return quantiles_from_counts(vc, value, "cnt", probs, by, names, buckets, materialize=False)
 
 
 def quantiles_from_counts(vc: DataFrame, value: str, cnt: str, probs: Sequence[float],
                           by: Sequence[str] = (), names: Sequence[str] | None = None,
-                          buckets: int = DEFAULT_BUCKETS, materialize: bool = True) -> DataFrame:
+                          buckets: int | None = None, materialize: bool = True) -> DataFrame:
     """Exact quantiles from a (by, value, count) table; null values must be filtered out."""
     by = _group_cols(by)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]

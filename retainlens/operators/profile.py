@@ -15,7 +15,7 @@ from pyspark.sql.types import (BooleanType, DoubleType, FloatType, IntegralType,
 
 from ..functions.expressions import nan_to_null, safe_double
 from ..session import cut_lineage
-from .prefix import SMALL_DISTINCT, exact_quantiles, quantiles_from_counts
+from .prefix import exact_quantiles, quantiles_from_counts
 
 TOPK_BUCKETS = 64
 
@@ -166,13 +166,7 @@ def weighted_moments(num: DataFrame) -> DataFrame:
 
 
 def weighted_quantiles(num: DataFrame, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Exact quantiles per column from a (column, nval, cnt) table: Spark's ``percentile`` with a
-    frequency column while every column has few distinct values, else the bucketed rank path."""
-    distinct = num.groupBy("column").agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).first()[0] or 0
-    if distinct <= SMALL_DISTINCT:
-        q = num.groupBy("column").agg(
-            F.percentile(F.col("nval"), [float(p) for p in probs], F.col("cnt")).alias("_q"))
-        return q.select("column", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+    """Exact quantiles per column from a (column, nval, cnt) table, by ranks."""
     per_value = num.groupBy("column", "nval").agg(F.sum("cnt").alias("cnt"))
     return quantiles_from_counts(per_value, "nval", "cnt", probs, by=["column"], names=names)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
 from ..operators import profile as A
+from ..sources.tables import table
 from . import views as V
 from .eda import EDA_CATEGORICAL, EDA_NUMERIC, SUBSCRIBER_CATEGORICAL, eda_frame
 from .oracle_views import with_views
@@ -166,10 +167,10 @@ _PROFILE_CATEGORICAL = ["o_orderpriority", "o_orderstatus"]
 SELECT '{c}' AS feature, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
        round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(quantile_cont({c}, 0.25), 6) AS q25,
        round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q75
-FROM drift_ref""" for c in _PROFILE_NUMERIC)))
+FROM orders""" for c in _PROFILE_NUMERIC)))
 def q_numeric_profile(spark, sf):
-    """A5 over the reference window of orders."""
-    p = A.numeric_profile(V.drift_ref(spark, sf), _PROFILE_NUMERIC)
+    """A5 over all orders."""
+    p = A.numeric_profile(table(spark, sf, "orders"), _PROFILE_NUMERIC)
     return p.select("feature", "count", *[r6(F.col(c)).alias(c) for c in
                                           ("mean", "std", "min", "max", "q25", "median", "q75")])
 
@@ -178,10 +179,10 @@ def q_numeric_profile(spark, sf):
 SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS category, count(*) AS count,
        round(CASE WHEN {c} IS NOT NULL THEN count(*) / sum(count(*) FILTER (WHERE {c} IS NOT NULL)) OVER () END, 6) AS freq,
        CAST(sum(count(*) FILTER (WHERE {c} IS NOT NULL)) OVER () AS BIGINT) AS n_nonnull
-FROM drift_ref GROUP BY {c}""" for c in _PROFILE_CATEGORICAL)))
+FROM orders GROUP BY {c}""" for c in _PROFILE_CATEGORICAL)))
 def q_categorical_profile(spark, sf):
-    """A6 over the reference window of orders."""
-    p = A.categorical_profile(V.drift_ref(spark, sf), _PROFILE_CATEGORICAL)
+    """A6 over all orders."""
+    p = A.categorical_profile(table(spark, sf, "orders"), _PROFILE_CATEGORICAL)
     return p.select("feature", "category", "count", r6(F.col("freq")).alias("freq"),
                     F.col("n_nonnull").cast("long").alias("n_nonnull"))
 

@@ -3,7 +3,9 @@
 The reference's online path (score a request, append a JSON line, poll "the last N days") becomes
 streams: file sources, event-time watermarks, tumbling / sliding windows, de-duplication within
 the watermark and ``foreachBatch`` for the drift check. Checkpoints and outputs live under the
-session's ``spark.checkpoint.dir`` (a shared folder on a cluster), one fresh folder per run.
+session's ``spark.checkpoint.dir`` (a shared folder on a cluster), in one fresh folder per run
+unless the caller names a stable one to resume from. Every epoch has a place of its own in the
+output, so an epoch that runs again replaces what it wrote.
 """
 
 from __future__ import annotations
@@ -11,11 +13,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import risk_band
 from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sources.prediction_log import append_log, read_log, to_log_records
 
 
 def stream_dir(spark: SparkSession, name: str) -> str:
@@ -35,7 +39,8 @@ def file_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
 
 def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
                       keys: list[str] | None = None,
-                      on_batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+                      on_batch: Callable[[DataFrame, int], None] | None = None,
+                      folder: str | None = None) -> DataFrame:
     """Drain the source (``trigger(availableNow=True)``) into a Parquet table and return it.
 
     append: rows are appended. update: each batch appends its changed rows tagged with the epoch
@@ -43,24 +48,21 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
     watermark lets Spark evict state of closed windows, so state stays bounded on an endless
     stream. complete: the whole (small) result is rewritten per batch — tests only."""
     spark = stream.sparkSession
-    d = stream_dir(spark, name)
+    d = folder or stream_dir(spark, name)
     out = f"{d}/out"
 
     def sink(batch: DataFrame, epoch: int) -> None:
         if on_batch is not None:
             on_batch(batch, epoch)
-        if output_mode == "complete":
-            batch.write.mode("overwrite").parquet(out)
-        else:
-            batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        at = 0 if output_mode == "complete" else epoch
+        batch.write.mode("overwrite").parquet(f"{out}/_epoch_no={at}")
 
     q = (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", f"{d}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        got = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 — no batch produced any row
-        return spark.createDataFrame([], stream.schema)
+    # A source without any data has no epoch: an empty part keeps the output readable.
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/_epoch_no=-1")
+    got = spark.read.option("basePath", out).parquet(f"{out}/*").withColumnRenamed("_epoch_no", "_epoch")
     if output_mode == "update" and keys:
         # Latest version per key: a key has at most one row per epoch, so each group is small.
         latest = got.groupBy(*keys).agg(F.max("_epoch").alias("_last"))
@@ -123,43 +125,69 @@ def dedup_stream(events_stream: DataFrame, key: str = "event_id", watermark: str
     return ev.dropDuplicatesWithinWatermark([key])
 
 
+def _logged(spark: SparkSession, log_path: str, batch_id: str) -> bool:
+    """Whether the log holds records of the batch; a log not begun yet holds none."""
+    try:
+        return not read_log(spark, log_path).filter(F.col("extra")["batch"] == batch_id).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
 def scoring_stream(customer_stream: DataFrame, static_orders_agg: DataFrame, model, build_rows,
-                   log_path: str, name: str = "scoring") -> str:
-    """Customers stream ⋈ static per-customer aggregate → features → model → appended,
-    day-partitioned prediction log. Returns the log path."""
+                   log_path: str, name: str = "scoring", checkpoint: str | None = None,
+                   model_version: str = "v1") -> str:
+    """Customers stream ⋈ static per-customer aggregate → features → model → records of the
+    day-partitioned prediction log (as batch scoring writes them). Returns the log path.
+
+    With a stable ``checkpoint`` a later run scores only customers that arrived since. Each record
+    names its batch in ``extra``; the first epoch of a run, the only one that can have been written
+    before, is skipped if the log holds it already.
+    """
     from ..operators.score import score
     spark = customer_stream.sparkSession
-    d = stream_dir(spark, name)
+    d = checkpoint or f"{stream_dir(spark, name)}/checkpoint"
+    started: list[int] = []
     # The static side of a stream-static join is re-evaluated every micro-batch: materialize the
     # per-customer aggregate once (reliable checkpoint) instead of re-aggregating all orders.
     static = cut_lineage(static_orders_agg)
-    rows = build_rows(customer_stream, static)
-    scored = score(model, rows).withColumn("timestamp", F.current_timestamp())\
-        .withColumn("log_date", F.to_date("timestamp"))
-    q = (scored.writeStream.format("json").outputMode("append").partitionBy("log_date")
-         .option("path", log_path).option("checkpointLocation", f"{d}/checkpoint")
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch_id = f"{name}:{d}:{epoch}"
+        if not started and _logged(spark, log_path, batch_id):
+            return
+        started.append(epoch)
+        rows = build_rows(batch, static)
+        inputs = [c for c in rows.columns if c not in ("customerID", "Churn")]
+        records = to_log_records(score(model, rows, keep=inputs), inputs, model_version=model_version)
+        append_log(records.withColumn("extra", F.create_map(F.lit("batch"), F.lit(batch_id))), log_path)
+
+    q = (customer_stream.writeStream.foreachBatch(sink).option("checkpointLocation", d)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return log_path
 
 
-def drift_per_batch(features_stream: DataFrame, reference: DataFrame, cfg, name: str = "drift") -> DataFrame:
+_REPORT = ("drift_detected boolean, n_drifted long, total_features_checked long, drift_ratio double, alert_level string, "
+           "sample_size long, status string, drifted_features string")
+
+
+def drift_per_batch(features_stream: DataFrame, reference: DataFrame, cfg, name: str = "drift",
+                    folder: str | None = None) -> DataFrame:
     """Run the drift report (H9) on every micro-batch; returns the report rows per epoch."""
     from ..operators.drift import drift_report
     spark = features_stream.sparkSession
-    d = stream_dir(spark, name)
+    d = folder or stream_dir(spark, name)
     out = f"{d}/reports"
     reference = cut_lineage(reference)  # read once, reused by every micro-batch
 
     def check(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        drift_report(reference, batch, cfg).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        drift_report(reference, batch, cfg).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     q = (features_stream.writeStream.foreachBatch(check).option("checkpointLocation", f"{d}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # noqa: BLE001
-        return spark.createDataFrame([], "drift_detected boolean, epoch int")
+    spark.createDataFrame([], _REPORT).write.mode("overwrite").parquet(f"{out}/epoch=-1")
+    return spark.read.option("basePath", out).parquet(f"{out}/epoch=*")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from retainlens.sources.prediction_log import append_log, purge_expired, read_log
 from retainlens.config import DriftConfig, TrainConfig
 from retainlens.operators import drift as D
 from retainlens.operators import monitor as O
@@ -58,6 +59,21 @@ def test_streaming_scoring_to_log(spark, sf, tmp_path):
     per_cust = V.order_aggregate(table(spark, sf, "orders"))
     path = str(tmp_path / "log")
     Z.scoring_stream(customers, per_cust, res.model, V.subscriber_rows, path)
-    log = spark.read.json(path)
+    log = read_log(spark, path)
     assert log.count() == raw.count()
+    assert log.filter("customer_id is null or input_features is null or model_version is null").count() == 0
+    # A second run over the same checkpoint scores new customers only; batch appends and purges keep the log readable.
+    src, ck = str(tmp_path / "src"), str(tmp_path / "ck")
+    people = table(spark, sf, "customer")
+    ids = [r[0] for r in people.select("c_custkey").orderBy("c_custkey").collect()]
+    log2 = str(tmp_path / "log2")
+    for part in (F.col("c_custkey") <= ids[40], F.col("c_custkey") > ids[40]):
+        people.filter(part).write.mode("append").parquet(src)
+        for _ in range(2):
+            Z.scoring_stream(Z.file_stream(spark, src), per_cust, res.model, V.subscriber_rows, log2, checkpoint=ck)
+            got = read_log(spark, log2)
+            assert got.count() == spark.read.parquet(src).count() == got.select("customer_id").distinct().count()
+    append_log(got.limit(5).withColumn("log_date", F.lit("2001-01-01").cast("date")), log2)
+    assert read_log(spark, log2).count() == people.count() + 5
+    assert purge_expired(spark, log2, as_of="2030-01-01", max_days=5000) == 1 and read_log(spark, log2).count() == people.count()
     assert set(r["risk_level"] for r in log.select("risk_level").distinct().collect()) <= {"Low", "Medium", "High"}

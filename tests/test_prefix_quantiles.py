@@ -44,3 +44,20 @@ def test_exact_quantiles_linear_interpolation(spark, method):
 def test_median_even_count(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "v double")
     assert exact_quantiles(df, "v", [0.5], method="bucketed").first()[0] == 2.5
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_null_groups_and_null_keys_are_kept(spark, buckets):
+    rows = [(None if i % 3 == 0 else "ab"[i % 2], None if i % 10 == 0 else float(i), 1) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, k double, v int")
+    out = global_prefix_sum(df, "k", ["v"], by=["g"], buckets=buckets).collect()
+    assert len(out) == 120
+    for g in (None, "a", "b"):
+        got = sorted((r.k if r.k is not None else -1.0, r.cum_v) for r in out if r.g == g)
+        assert [c for _, c in sorted(got, key=lambda x: (x[0], x[1]))] == list(range(1, len(got) + 1))
+    q = {r.g: r.m for r in exact_quantiles(df, "k", [0.5], by=["g"], names=["m"], buckets=buckets).collect()}
+    assert set(q) == {None, "a", "b"}
+    for g in q:
+        x = sorted(k for gg, k, _ in rows if gg == g and k is not None)
+        n = len(x)
+        assert q[g] == (x[(n - 1) // 2] + x[n // 2]) / 2
