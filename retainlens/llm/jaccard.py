@@ -7,11 +7,12 @@ the order here puts grams that many texts have last. From there:
 1. grams shared by several classes are found by a partial aggregate (least and largest class);
 2. every class is compared with the least class of each of its shared grams (a star, not all pairs);
    links give first components by alternating large-star / small-star rounds;
-3. only grams whose classes still lie in different components are left. Their classes meet in tiles
-   of one size band (sizes within the threshold lie in the same or the next band), split into blocks
-   of ``BLOCK`` rows, with bitmap signatures; pairs of different components are listed there if sizes
-   and bitmaps allow them;
-4. a pair is checked first by its hashed bitmaps (their differing bits bound the overlap from
+3. the least class of a gram is done with it, so grams of two classes are settled. Of the others only
+   rows are left whose gram has classes of several components in their size band or the next ones
+   (sizes within the threshold lie in the same or the next band);
+4. the rows still left meet in tiles of one band, split into blocks of ``BLOCK`` rows, with bitmap
+   signatures; pairs of different components are listed there if sizes and bitmaps allow them;
+5. a pair is checked first by its hashed bitmaps (their differing bits bound the overlap from
    above), then, if it passes, by an exact intersection of the sorted gram arrays.
 
 So copies in a large group cost one check each, and no link between different components is missed.
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 
 from .common import U64, aside, byte_values, column, cut, mix, prefix_hash, signed, slices, span_hash, string_parts, word_spans
 
-RARE, LEAST_FREQUENT, BLOCK, STAR, BITS, FILTER_BITS = 500, 32, 2048, 256, 1024, 1 << 24
+RARE, LEAST_FREQUENT, BLOCK, STAR, BITS, TILE_BITS, FILTER_BITS = 500, 32, 2048, 256, 1024, 1024, 1 << 24
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -272,9 +273,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _folded(bits: bytes, n: int) -> bytes:
-    """The bitmap folded by parity to the least power of two of bits from n / 2 (and 64) on: still
+    """The bitmap folded by parity to the least power of two of bits from n / 2 (and ``TILE_BITS``) on: still
     enough for unrelated sets of n grams to differ in more bits than the threshold allows."""
-    width = max(8, 1 << max(0, ((n + 1) // 2 - 1).bit_length() - 3))
+    width = max(TILE_BITS // 8, 1 << max(0, ((n + 1) // 2 - 1).bit_length() - 3))
     if width >= len(bits):
         return bits
     return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0).tobytes()
@@ -321,11 +322,20 @@ def _tile_matches(m: np.ndarray, data: np.ndarray, off: np.ndarray, num: int, de
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def _tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components in tiles (t, band, block, block) of rows (t, c, comp, n2, sig)
-    that sizes and bitmaps allow."""
-    step, zero = float(np.log(den / num)), F.lit(0).cast("long")
-    banded = rows.withColumn("band", F.floor(F.log(F.shiftright("n2", 1).cast("double")) / step + 1e-9).cast("long"))
+def _live(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows (t, c, comp, n2) with their size band, where the gram's classes of that band and its
+    neighbours lie in several components; no other row can have part in a new link."""
+    banded = rows.withColumn("band", F.floor(F.log(F.shiftright("n2", 1).cast("double")) / float(np.log(den / num)) + 1e-9).cast("long"))
+    size = banded.groupBy("t", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    near = size.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    several = cut(near.groupBy("t", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("t", "band"))
+    return banded.join(several, ["t", "band"]).select("t", "band", "c", "comp", "n2")
+
+
+def _tile_pairs(banded: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components in tiles (t, band, block, block) of rows (t, band, c, comp, n2)
+    that sizes and bitmaps (c, sig) allow. The bitmaps join the rows when their tiles are known."""
+    zero = F.lit(0).cast("long")
     size = cut(banded.groupBy("t", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")))
     # A band's rows meet those of their band and of the band below: both come to the upper band's tile.
     up = size.select("t", "band", F.col("blocks").alias("home"))
@@ -339,7 +349,7 @@ def _tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
         F.when(block > 0, F.transform(F.sequence(zero, block - 1), lambda j: cell(block, j, 0))).otherwise(none),
         F.when(block < F.col("home") - 1, F.transform(F.sequence(block + 1, F.col("home") - 1), lambda i: cell(i, block, 1))).otherwise(none),
         F.when(F.col("below") > 0, F.transform(F.sequence(zero, F.col("below") - 1), lambda j: cell(block, -1 - j, 0))).otherwise(none))
-    cols = ("x.i", "x.j", "x.side", "c", "comp", "n2", "sig")
+    cols = ("x.i", "x.j", "x.side", "c", "comp", "n2")
     homes = home.withColumn("x", F.explode(cells)).select("t", "band", *cols)
     guests = (banded.join(size, ["t", "band"]).withColumn("block", F.pmod(F.xxhash64("c"), "blocks")).withColumn("band", F.col("band") + 1)
               .join(up, ["t", "band"]).withColumn("x", F.explode(F.transform(F.sequence(zero, F.col("home") - 1), lambda i: cell(i, -1 - block, 1))))
@@ -369,10 +379,15 @@ def _tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
         if held and sum(t.num_rows for t in held):
             yield close(pa.concat_tables(held).combine_chunks(), True)[1]
 
-    near = homes.unionAll(guests).repartition(*(F.col(k) for k in _TILE)).sortWithinPartitions(*_TILE)
+    near = homes.unionAll(guests).join(signatures, "c").select(*_TILE, "side", "c", "comp", "n2", "sig").repartition(*(F.col(k) for k in _TILE)).sortWithinPartitions(*_TILE)
     return near.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
+def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """(t, c, comp, n2): the rows with the components found so far."""
+    return rows.select("t", "c", "n2").join(comp, "c", "left").select("t", "c", F.coalesce("comp", "c").alias("comp"), "n2")
+
+
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, _k (content key), n_shingles, comp (a number of the component) and component_id of every row of ``df``."""
     src = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("_k"), F.col(text).alias("text"))
@@ -386,10 +401,9 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, te
     star = shared.filter("c <> a").select("a", F.col("c").alias("b")).distinct()
     found = cut(_verified(cut(_plausible(star, classes, num, den)), classes, src, n, num, den))
     comp = cut(components(found))
-    labelled = shared.select("t", "c", "n2").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    open_ = cut(labelled.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("t"))
-    rest = cut(labelled.join(open_, "t").select("t", "c", "comp", "n2").join(_small_bitmaps(classes), "c"))
-    late = cut(_plausible(_tile_pairs(rest, num, den), classes, num, den))
+    # A gram's least class has met all others; the pairs among those are left.
+    live = cut(_live(_labelled(shared.filter("c <> a"), comp), num, den))
+    late = cut(_plausible(_tile_pairs(live, _small_bitmaps(classes), num, den), classes, num, den))
     comp = cut(components(found.unionAll(_verified(late, classes, src, n, num, den))))
     own = rows.join(comp, "c", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "c")))
     least = cut(own.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")))

@@ -162,7 +162,7 @@ def test_tiles_find_cross_component_pairs(spark):
     want = {(a, b) for a in sets for b in sets if a < b and jaccard.links(sets[a], sets[b], 85, 100)}
     old, jaccard.BLOCK = jaccard.BLOCK, 3
     try:
-        got = {tuple(r) for r in jaccard._tile_pairs(df, 85, 100).collect()}
+        got = {tuple(r) for r in jaccard._tile_pairs(jaccard._live(df.drop("sig"), 85, 100), df.select("c", "sig"), 85, 100).collect()}
     finally:
         jaccard.BLOCK = old
     assert want and want <= got
