@@ -51,15 +51,12 @@ def global_prefix_sum(df: DataFrame, key: str, sum_cols: Sequence[str], by: Sequ
         work = cut_lineage(work)
     if buckets is None:
         buckets = max(1, -(-work.count() // ROWS_PER_BUCKET))
-    if buckets == 1:  # one ordered task a group: its running sum is the whole answer
-        wl = Window.partitionBy(*by).orderBy("_sk").rowsBetween(Window.unboundedPreceding, 0)
-        wall = Window.partitionBy(*by)
-        return work.select(*df.columns, *[F.sum(c).over(wl).alias(f"cum_{c}") for c in sum_cols],
-                           *[F.sum(c).over(wall).alias(f"tot_{c}") for c in sum_cols])
     probs = [i / buckets for i in range(1, buckets)]
     bounds = (work.groupBy(*by) if by else work.groupBy()).agg(
         F.percentile_approx("_sk", probs, max(10_000, 10 * buckets)).alias("_bounds"))
-    if by:
+    if buckets == 1:
+        bucket = F.lit(0)
+    elif by:
         work = null_safe_join(work, bounds, by)
         bucket = F.size(F.filter("_bounds", lambda b: b < F.col("_sk")))
     else:
@@ -69,7 +66,7 @@ def global_prefix_sum(df: DataFrame, key: str, sum_cols: Sequence[str], by: Sequ
         bucket = (F.size(F.filter(F.array(*[F.lit(x) for x in lits]), lambda b: b < F.col("_sk")))
                   if lits else F.lit(0))
     work = work.withColumn("_bucket", F.when(F.col("_sk").isNull(), F.lit(-1)).otherwise(bucket).cast("int"))
-    if by:
+    if by and buckets > 1:
         work = work.drop("_bounds")
     part = by + ["_bucket"]
     totals = work.groupBy(*part).agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
