@@ -8,8 +8,10 @@ rejected when its squared Mahalanobis distance, scaled by the group's median, ex
 times the chi-square median, or when a base rule fails.
 
 All steps are grouped aggregates over the statistics table (partial sums before the shuffle), so a
-source with a third of all rows is no bottleneck. Sources with fewer than ``MIN_ROWS`` rows are
-pooled by language; a pool still smaller has no estimate, and there the base rules decide alone.
+source with a third of all rows is no bottleneck. A source with fewer than ``MIN_ROWS`` rows is
+judged by the estimate over all rows of its language; the centre, scatter and scale of a language
+with n < ``MIN_ROWS`` rows are its own at weight n / ``MIN_ROWS`` and those of all rows of the corpus
+for the rest. So every text with words has a distance at every size of the corpus.
 
 Defined cases: a null or empty text has no words, fails the base rule and takes no part in the
 estimates; null ``lang`` or ``source`` is a group of its own; repeated rows count each; an empty
@@ -142,88 +144,117 @@ def _distance(groups: str = "_g") -> Column:
     return out
 
 
-def _inverses(batches):
-    """Group rows (sums over the chosen rows) -> centre and packed inverse scatter."""
-    import pandas as pd
-    floor = np.array(list(FEATURES.values()))
-    p = len(floor)
-    for pdf in batches:
-        centers, inverses = [], []
-        for n, s, q in zip(pdf["n"], pdf["s"], pdf["q"]):
-            c = np.asarray(s) / n
-            m = np.zeros((p, p))
-            m[np.triu_indices(p)] = np.asarray(q) / n
-            m = m + np.triu(m, 1).T - np.outer(c, c)
-            sd = np.sqrt(np.maximum(np.diag(m), 1e-18))
-            corr = np.clip(m / np.outer(sd, sd), -1, 1) * (sd > floor / 10)[:, None] * (sd > floor / 10)[None, :]
-            corr = 0.9 * corr  # shrunk towards independence: never singular
-            np.fill_diagonal(corr, 1.0)
-            sd = np.maximum(sd, floor)
-            centers.append(c)
-            inverses.append(np.linalg.inv(corr * np.outer(sd, sd))[np.triu_indices(p)])
-        out = {"_lang": pdf["_lang"], "_source": pdf["_source"], "center": centers, "inverse": inverses}
-        yield pd.DataFrame(out)
-
-
-_GROUP = "_lang string, _source string, center array<double>, inverse array<double>"
-
-
-def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _moments(n, s, q) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of n rows with sums ``s`` and packed sums of products ``q``."""
+    p = len(s)
+    c = np.asarray(s) / n
+    m = np.zeros((p, p))
+    m[np.triu_indices(p)] = np.asarray(q) / n
+    return c, m + np.triu(m, 1).T - np.outer(c, c)
+
+
+def _inverses(top):
+    """Group rows (sums over the chosen rows) -> centre and packed inverse scatter. Small languages
+    are shrunk towards ``top``, the sums of the corpus."""
+    def run(batches):
+        import pandas as pd
+        floor = np.array(list(FEATURES.values()))
+        p = len(floor)
+        for pdf in batches:
+            centers, inverses = [], []
+            for lang, rows, n, s, q in zip(pdf["_lang"], pdf["rows"], pdf["n"], pdf["s"], pdf["q"]):
+                c, m = _moments(n, s, q)
+                if top is not None and lang != ALL and rows < MIN_ROWS:
+                    w, (c0, m0) = rows / MIN_ROWS, _moments(*top)
+                    c, m = w * c + (1 - w) * c0, w * m + (1 - w) * m0
+                sd = np.sqrt(np.maximum(np.diag(m), 1e-18))
+                corr = np.clip(m / np.outer(sd, sd), -1, 1) * (sd > floor / 10)[:, None] * (sd > floor / 10)[None, :]
+                corr = 0.9 * corr  # shrunk towards independence: never singular
+                np.fill_diagonal(corr, 1.0)
+                sd = np.maximum(sd, floor)
+                centers.append(c)
+                inverses.append(np.linalg.inv(corr * np.outer(sd, sd))[np.triu_indices(p)])
+            yield pd.DataFrame({"_lang": pdf["_lang"], "_source": pdf["_source"], "rows": pdf["rows"], "center": centers, "inverse": inverses})
+    return run
+
+
+#: Group of all rows of the corpus (both names) or of a language (as its source).
+ALL = "*"
+_GROUP = "_lang string, _source string, rows long, center array<double>, inverse array<double>"
+
+
+def _name(c: str) -> Column:
+    """Name of a language or source in group keys: never null, never ``ALL``."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("~"))
+
+
+def _joined(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
     g = groups.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"),
                       F.struct(*[c for c in groups.columns if c not in ("_lang", "_source")]).alias("_g"))
-    return rows.join(g, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
+    return rows.join(g, (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")), how).drop("_l", "_s")
 
 
-def pools(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Of each (lang, source): the pool whose estimate it uses (``_lang``, ``_source``), if any."""
-    per = stats.filter(F.col("n_words") > 0).groupBy(F.col(lang).alias("lang"), F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    large = F.col("n") >= MIN_ROWS
-    per = per.withColumn("_source", F.when(large, F.concat(F.lit("="), F.coalesce("source", F.lit("")), F.when(F.col("source").isNull(), F.lit("\x00")).otherwise(F.lit("")))))
-    return cut(per.select("lang", "source", F.col("lang").alias("_lang"), "_source"))
+def pools(stats: DataFrame, lang: str = "lang", source: str = "source") -> tuple[DataFrame, bool]:
+    """Of each (lang, source): the groups (``_lang``, ``_source``) that its rows are estimated in, the one
+    that judges them first; and whether a language is small, so that the corpus is a group too."""
+    per = cut(stats.groupBy(_name(lang).alias("_pl"), _name(source).alias("_ps")).agg(F.count_if(F.col("n_words") > 0).alias("n")))
+    langs = cut(per.groupBy(F.col("_pl").alias("_l")).agg(F.sum("n").alias("n_lang"), F.max(F.col("n") < MIN_ROWS).alias("mixed")))
+    rare = not langs.filter(F.col("n_lang") < MIN_ROWS).isEmpty()
+    group = lambda on, l, s: F.when(on, F.struct(l.alias("_lang"), s.alias("_source")))
+    names = F.array(group(F.col("n") >= MIN_ROWS, F.col("_pl"), F.col("_ps")), group(F.col("mixed"), F.col("_pl"), F.lit(ALL)),
+                    group(F.lit(rare), F.lit(ALL), F.lit(ALL)))
+    return cut(per.join(langs, F.col("_pl") == F.col("_l")).select("_pl", "_ps", F.array_compact(names).alias("_groups"))), rare
 
 
 def with_pool(stats: DataFrame, pool: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    p = pool.select(F.col("lang").alias("_pl"), F.col("source").alias("_ps"), "_lang", "_source")
-    return stats.join(p, F.col(lang).eqNullSafe(F.col("_pl")) & F.col(source).eqNullSafe(F.col("_ps")), "left").drop("_pl", "_ps")
+    return stats.join(pool, (_name(lang) == F.col("_pl")) & (_name(source) == F.col("_ps")), "left").drop("_pl", "_ps")
 
 
 def fit(stats: DataFrame, lang: str = "lang", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """(pools, estimates): estimates hold centre, inverse scatter and the median distance ``scale``."""
     feats = [f"_f_{f}" for f in FEATURES]
-    pool = pools(stats, lang, source)
-    rows = cut(with_pool(stats.filter(F.col("n_words") > 0), pool, lang, source).select("_lang", "_source", *feats))
+    pool, rare = pools(stats, lang, source)
+    own = with_pool(stats.filter(F.col("n_words") > 0), pool, lang, source).select(F.explode("_groups").alias("_to"), *feats)
+    rows = cut(own.select("_to.*", *feats))
     key, p = ["_lang", "_source"], len(feats)
-    med = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f) for f in feats])
-    med = med.filter(F.col("n") >= MIN_ROWS)
+    med = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), *[F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f) for f in feats])
     spread = [F.greatest((F.col(f)[2] - F.col(f)[0]) / 1.349, F.lit(FEATURES[f[3:]])) for f in feats]
     packed = [1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(i, p)]
-    groups = cut(med.select(*key, F.array(*[F.col(f)[1] for f in feats]).alias("center"), F.array(*packed).alias("inverse")))
+    groups = cut(med.select(*key, "rows", F.array(*[F.col(f)[1] for f in feats]).alias("center"), F.array(*packed).alias("inverse")))
     xx = [F.col(feats[i]) * F.col(feats[j]) for i in range(p) for j in range(i, p)]
+    whole = (F.col("_lang") == ALL) & (F.col("_source") == ALL)
     for _ in range(STEPS):
-        near = _joined(rows, groups).filter(F.col("_g").isNotNull()).withColumn("_d", _distance())
+        near = _joined(rows, groups).withColumn("_d", _distance())
         limit = cut(near.groupBy(*key).agg(F.percentile_approx("_d", COVERAGE, 2000).alias("limit"), F.first("_g").alias("g"))
-                    .select(*key, "limit", "g.center", "g.inverse"))
+                    .select(*key, "limit", "g.rows", "g.center", "g.inverse"))
         chosen = _joined(rows, limit).filter(_distance() <= F.col("_g.limit"))
-        sums = chosen.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(f) for f in feats]).alias("s"),
-                                        F.array(*[F.sum(x) for x in xx]).alias("q"))
-        groups = cut(sums.mapInPandas(_inverses, _GROUP))
-    scale = (_joined(rows, groups).filter(F.col("_g").isNotNull()).withColumn("_d", _distance())
+        sums = cut(chosen.groupBy(*key).agg(F.first("_g.rows").alias("rows"), F.count(F.lit(1)).alias("n"),
+                                            F.array(*[F.sum(f) for f in feats]).alias("s"), F.array(*[F.sum(x) for x in xx]).alias("q")))
+        top = sums.filter(whole).select("n", "s", "q").first() if rare else None
+        groups = cut(sums.mapInPandas(_inverses(top and tuple(top)), _GROUP))
+    scale = (_joined(rows, groups).withColumn("_d", _distance())
              .groupBy(*key).agg(F.percentile_approx("_d", 0.5, 2000).alias("scale"), F.first("_g").alias("g")))
-    return pool, cut(scale.select(*key, "g.center", "g.inverse", F.greatest("scale", F.lit(1.0)).alias("scale")))
+    out = cut(scale.select(*key, "g.rows", "g.center", "g.inverse", F.greatest("scale", F.lit(1.0)).alias("scale")))
+    top = out.filter(whole).select("scale").first() if rare else None
+    if top is not None:
+        w = F.least(F.col("rows") / MIN_ROWS, F.lit(1.0))
+        out = out.withColumn("scale", F.when(F.col("_lang") == ALL, F.col("scale")).otherwise(w * F.col("scale") + (1 - w) * top.scale))
+    return pool, out
 
 
 def judge(stats: DataFrame, pool: DataFrame, estimates: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Adds ``base_failed``, ``distance`` (in multiples of the group's median; null without an
-    estimate) and ``kept``."""
-    rows = _joined(with_pool(stats, pool, lang, source), estimates)
-    out = rows.withColumn("base_failed", base_failed()).withColumn("distance", _distance() / F.col("_g.scale"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)).drop(
-        "_lang", "_source", "_g", *(f"_f_{f}" for f in FEATURES))
+    """Adds ``base_failed``, ``distance`` (in multiples of the group's median; null only for texts
+    without words where no text of their language has any) and ``kept``."""
+    group = F.col("_groups")[0]
+    rows = with_pool(stats, pool, lang, source).withColumns({"_lang": group["_lang"], "_source": group["_source"]})
+    out = _joined(rows, estimates, "left").withColumn("base_failed", base_failed()).withColumn("distance", _distance() / F.col("_g.scale"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(False))).drop(
+        "_lang", "_source", "_groups", "_g", *(f"_f_{f}" for f in FEATURES))
 
 
 def quality(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """All columns of ``df`` but the text, the counts, base_failed, distance and kept."""
-    taken = {*COUNTS, "base_failed", "distance", "kept", "_lang", "_source", "_g"}
+    taken = {*COUNTS, "base_failed", "distance", "kept", "_lang", "_source", "_groups", "_g"}
     src = df.drop(*(taken & set(df.columns)))
     stats = add_statistics(src, text)
     pool, est = fit(stats.select(lang, source, "n_words", *(f"_f_{f}" for f in FEATURES)), lang, source)
@@ -232,7 +263,7 @@ def quality(df: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``df`` that the rules keep, with the columns of ``df``."""
-    df, back = aside(df, {*COUNTS, "base_failed", "distance", "kept", "_lang", "_source", "_g", "_pl", "_ps", "_l", "_s", "_d"})
+    df, back = aside(df, {*COUNTS, "base_failed", "distance", "kept", "_lang", "_source", "_groups", "_g", "_pl", "_ps", "_l", "_s", "_d"})
     stats = add_statistics(df, text)
     pool, est = fit(stats.select(lang, source, "n_words", *(f"_f_{f}" for f in FEATURES)), lang, source)
     return back(judge(stats, pool, est, lang, source).filter("kept"))

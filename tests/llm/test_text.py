@@ -149,6 +149,20 @@ def test_quality_rejects_outliers(spark):
     assert all(rows[i] for i in range(500)) and not any(rows[1000 + i] for i in range(10))
 
 
+def test_quality_judges_small_groups(spark):
+    """Few rows of a language, of a null language and of a source beside a hot one: all have a distance, and junk is rejected."""
+    r = random.Random(10)
+    good = lambda: ". ".join(" ".join("".join(r.choices("aeiorstln", k=r.randint(2, 9))) for _ in range(12)) for _ in range(r.randint(3, 9)))
+    bad = lambda: " ".join(r.choice(["###", "$$$$", "a&&", "|||"]) + str(r.randint(0, 3000)) for _ in range(60))
+    some = [("en", "hot", 300, 5), ("en", "small", 6, 2), ("xx", "hot", 12, 2), ("xx", "one", 0, 1), (None, None, 3, 1)]
+    texts = [(f(), lang, source, f is good) for lang, source, n, m in some for f, k in ((good, n), (bad, m)) for _ in range(k)]
+    for rows in (texts, texts[240:]):  # the second part, 12 % of it junk, has fewer than MIN_ROWS rows in all
+        df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, lang string, source string, good boolean")
+        got = quality.quality(df).collect()
+        assert len(got) == len(rows) and all(x.distance is not None and not x.base_failed for x in got)
+        assert all(x.kept == x.good for x in got), [x for x in got if x.kept != x.good]
+
+
 def test_toxicity_held_out(spark, odd, empty):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
