@@ -71,6 +71,22 @@ def test_quality_gate_raises(spark, subs):
         J.train_pipeline(subs, TrainConfig(min_f1=0.99), compact=True, families=("LogisticRegression",))
 
 
+def test_model_comparison_searches_all_and_gates(spark, sf, monkeypatch):
+    from retainlens.plans import catalog
+    seen = []
+
+    def searched(train, test, candidates, **kw):
+        seen.extend(candidates)
+        return spark.createDataFrame([("LogisticRegression", 0.49)], "model string, f1 double"), {}
+    monkeypatch.setattr(M, "grid_search", searched)
+    with pytest.raises(M.ModelQualityError):
+        catalog.QUERIES["q_model_comparison"](spark, sf)
+    assert [len(c.grid) for c in seen] == [4, 12, 18, 8]
+    assert seen[0].estimator.getMaxIter() == 1000 and seen[0].estimator.getTol() == 1e-6
+    rounds = [{v for g in c.grid for p, v in g.items() if p.name in ("numTrees", "maxIter")} for c in seen[1:]]
+    assert rounds == [{100, 300}] * 3
+
+
 def test_train_persist_score_roundtrip(spark, subs, tmp_path):
     res = J.train_pipeline(subs, TrainConfig(min_f1=0.0), compact=True, out_dir=str(tmp_path),
                            families=("LogisticRegression", "RandomForestClassifier"))
