@@ -41,7 +41,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,200}(?![A-Za-z0-9_+/-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_+/-])")
 _SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 _LOCAL_PHONE = re.compile(r"(?<![\w+.])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w)")
 _SPACED = re.compile(r"(?<![\w.@])[A-Za-z0-9._-]{2,40} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,40} ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,10}(?!\w)")

@@ -113,6 +113,18 @@ def test_pii(spark, sf, docs, odd, empty):
     assert got.text == "call <phone> or <email>."
 
 
+def test_pii_secret_forms(spark):
+    """Secrets straight after an equals sign and of more than 200 characters are proposed whole, and masked."""
+    r = random.Random(6)
+    some = lambda n: "sk-a1" + "".join(r.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=n))
+    for t, n in (("api_key=", 30), ("the token is ", 400), ("secret=", 5000)):
+        key = some(n)
+        assert [(k, s, e) for k, s, e, *_ in pii.candidate_spans(t + key + " end") if k == "secret"] == [("secret", len(t), len(t) + len(key))]
+    forms = ["the api_key={} was set.", "secret token: {} here"]
+    df = spark.createDataFrame([(i, forms[i % 2].format(some(30 if i % 3 else 300))) for i in range(60)], "doc_id long, text string")
+    assert {x.text for x in pii.mask(df).collect()} == {f.format("<secret>") for f in forms}
+
+
 def test_em_learns_reliability():
     """A labeler that is right 95 % of the time must be told from one that guesses."""
     r = np.random.default_rng(0)
