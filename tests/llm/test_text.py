@@ -237,14 +237,3 @@ def test_pipeline(spark, sf, docs):
     assert third.columns == first.columns
     for r in third.collect():
         assert hashlib.sha256(" ".join(WORD.findall(r.text)).encode()).hexdigest() == left[r.doc_id][2] and r.n_chars == len(r.text)
-
-
-def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
-    """Words far into a text are learnt from, and an id in very many rows displaces no other."""
-    a, b, c = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:3]
-    rows = [(a, f"repeat {i}", "en") for i in range(1100)] + [(b, "calm day", "en"), (c, "calm " * 4500 + "awful words", "en")]
-    got = []
-    monkeypatch.setattr(toxicity, "train", lambda texts, y, langs: got.extend(zip(map(len, texts), y)))
-    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4),
-                 spark.createDataFrame([(a, 0), (b, 0), (c, 1)], "doc_id long, toxic int"), per_class=2)
-    assert got == [(2, 0), (2, 0), (4502, 1)]
