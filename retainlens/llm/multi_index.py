@@ -97,7 +97,7 @@ class Grid:
             ahead[:, 1:][depth[:, 1:] >= depth[:, :-1]] = np.inf
             i = ahead.argmin(axis=1)
             at = np.arange(len(rows))
-            go = ahead[at, i] <= self.reach
+            go = (ahead[at, i] <= self.reach) & (ahead[at, i] < np.inf)  # infinite: no cell is left
             a, b, by_a, by_b, depth, rows, i = a[go], b[go], by_a[go], by_b[go], depth[go], rows[go], i[go]
             at = np.arange(len(rows))
             visits.append((rows, by_a[at, i] * self.k + by_b[at, depth[at, i]]))
