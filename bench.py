@@ -53,9 +53,7 @@ def main() -> None:
     pre = T.fit_preprocessor(train_f, num, cat)
     tr = pre.transform(train_f).select("features", F.col("Churn").cast("double").alias("label"))
     n = tr.count()
-    lr = M.default_grids(n)[0].estimator.copy()
-    lr.setRegParam(1.0 / n)
-    model = ChurnModel(PipelineModel(stages=list(pre.stages) + [lr.fit(M._weighted(tr, "balanced", "label"))]),
+    model = ChurnModel(PipelineModel(stages=list(pre.stages) + [M.logistic(n).fit(M.balanced(tr, "label"))]),
                        tc_med, mc_med, num, cat, "LogisticRegression", spec=getattr(pre, "_retainlens_spec", None))
     n_rows = raw.count()
     t0 = time.perf_counter()

@@ -1,14 +1,16 @@
 """Distributed prefix sums and exact quantiles.
 
-A global ``sum() OVER (ORDER BY key)`` makes Spark move every row into one task. Here the
-ordered work is split into range buckets whose boundaries come from ``percentile_approx``
-(one small aggregate per group); each bucket is an independent window partition, and the
-per-bucket totals (groups × buckets rows, a proven bound) give each bucket its offset.
-The bucket of a row is a pure function of its key, so re-computation after an executor loss
-gives the same answer.
-
-Used by ROC/PR/AUC/average precision (ordered by score), KS (ordered by value) and the exact
-quantiles behind every median / profile.
+A global ``sum() OVER (ORDER BY key)`` makes Spark move every row into one task. Here the rows are
+range-partitioned by (group, key) and written, sorted, to the checkpoint folder; each row keeps the
+number of its partition. A range partition holds neighbours only, so its sums per group (one row for
+each group and partition that meet: at most groups + partitions) give every partition its offsets.
+The offsets enter the partition as one more row in front, and a window per (partition, group) does the
+rest: two shuffles, and work per row that doesn't depend on the number of partitions. Their number
+follows from the size of the data (adaptive execution merges small ones); ``buckets`` sets it.
+
+The written partition is what later stages read, so a recomputation after an executor loss can't deal
+rows anew. Used by ROC/PR/AUC/average precision (ordered by score), KS (ordered by value), the exact
+split and the exact quantiles behind every median / profile.
 """
 
 from __future__ import annotations
@@ -19,10 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .rows import null_safe_join
-
-#: Rows that one ordered task gets; the number of range buckets follows from the row count.
-ROWS_PER_BUCKET = 1_000_000
 
 
 def _group_cols(by: Sequence[str]) -> list[str]:
@@ -30,65 +28,34 @@ def _group_cols(by: Sequence[str]) -> list[str]:
 
 
 def global_prefix_sum(df: DataFrame, key: str, sum_cols: Sequence[str], by: Sequence[str] = (),
-                      descending: bool = False, buckets: int | None = None,
-                      materialize: bool = True) -> DataFrame:
+                      descending: bool = False, buckets: int | None = None) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` ordered by ``key`` (within each ``by`` group).
 
-    ``df`` should already be pre-aggregated to one row per (by, key) — ties then share one row,
-    which is what ROC / KS / AP need, and a hot key cannot skew the ordered stage.
-    The input is checkpointed once (``materialize``) so the bounds, totals and running-sum
-    branches read it instead of recomputing the upstream scan and shuffle three times.
-    ``buckets`` defaults to one per ``ROWS_PER_BUCKET`` rows. Null groups are groups like any
-    other; null keys come first in their group.
+    ``df`` should already be pre-aggregated to one row per (by, key): ties then share one row, which is
+    what ROC / KS / AP need, and a hot key cannot skew the ordered stage. Null groups are groups like
+    any other; null keys come first in their group.
     Output: all input columns plus ``cum_<c>`` for each c and ``tot_<c>`` (group total).
     """
     by = _group_cols(by)
-    k = F.col(key)
     # Order on a numeric sort key: descending order = ascending on the negated key.
-    sort_key = (-k) if descending else k
-    work = df.withColumn("_sk", sort_key.cast("double"))
-    if materialize:
-        work = cut_lineage(work)
-    if buckets is None:
-        buckets = max(1, -(-work.count() // ROWS_PER_BUCKET))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = (work.groupBy(*by) if by else work.groupBy()).agg(
-        F.percentile_approx("_sk", probs, max(10_000, 10 * buckets)).alias("_bounds"))
-    if buckets == 1:
-        bucket = F.lit(0)
-    elif by:
-        work = null_safe_join(work, bounds, by)
-        bucket = F.size(F.filter("_bounds", lambda b: b < F.col("_sk")))
-    else:
-        # Ungrouped: the ≤ buckets-1 bounds come back as literals (no join at all).
-        got = bounds.first()[0] or []
-        lits = sorted(set(float(x) for x in got))
-        bucket = (F.size(F.filter(F.array(*[F.lit(x) for x in lits]), lambda b: b < F.col("_sk")))
-                  if lits else F.lit(0))
-    work = work.withColumn("_bucket", F.when(F.col("_sk").isNull(), F.lit(-1)).otherwise(bucket).cast("int"))
-    if by and buckets > 1:
-        work = work.drop("_bounds")
-    part = by + ["_bucket"]
-    totals = work.groupBy(*part).agg(*[F.sum(c).alias(f"_bt_{c}") for c in sum_cols])
-    # The totals table has groups × buckets rows: its windows are small.
-    wg = Window.partitionBy(*by).orderBy("_bucket")
-    wall = Window.partitionBy(*by)
-    offsets = totals.select(
-        *part,
-        *[(F.sum(f"_bt_{c}").over(wg.rowsBetween(Window.unboundedPreceding, -1)))
-          .alias(f"_off_{c}") for c in sum_cols],
-        *[F.sum(f"_bt_{c}").over(wall).alias(f"tot_{c}") for c in sum_cols],
-    )
-    # Running sums inside each (group, bucket): the ordered work is spread over all buckets.
-    wl = Window.partitionBy(*part).orderBy("_sk").rowsBetween(Window.unboundedPreceding, 0)
-    local = work.select("*", *[F.sum(c).over(wl).alias(f"_loc_{c}") for c in sum_cols])
-    out = null_safe_join(local, offsets, part)
-    return out.select(
-        *df.columns,
-        *[(F.coalesce(F.col(f"_off_{c}"), F.lit(0)) + F.col(f"_loc_{c}")).alias(f"cum_{c}")
-          for c in sum_cols],
-        *[F.col(f"tot_{c}") for c in sum_cols],
-    )
+    work = df.withColumn("_sk", ((-F.col(key)) if descending else F.col(key)).cast("double"))
+    order = [*by, "_sk"]
+    dealt = work.repartitionByRange(buckets, *order) if buckets else work.repartitionByRange(*order)
+    work = cut_lineage(dealt.sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    sums = work.groupBy("_part", *by).agg(*[F.sum(c).alias(f"_s_{c}") for c in sum_cols])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    # One row in front of every (partition, group): the sum up to there, and the group's total.
+    front = sums.select("_part", *by, F.lit(0).alias("_row"),
+                        *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_v_{c}") for c in sum_cols],
+                        *[F.sum(f"_s_{c}").over(whole).alias(f"_t_{c}") for c in sum_cols])
+    rows = work.select("*", F.lit(1).alias("_row"), *[F.coalesce(F.col(c), F.lit(0)).alias(f"_v_{c}") for c in sum_cols])
+    part = Window.partitionBy("_part", *by).orderBy("_row", "_sk")
+    upto = part.rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.unionByName(front, allowMissingColumns=True).select(
+        *df.columns, "_row", *[F.sum(f"_v_{c}").over(upto).alias(f"cum_{c}") for c in sum_cols],
+        *[F.first(f"_t_{c}").over(upto).alias(f"tot_{c}") for c in sum_cols])
+    return out.filter("_row = 1").drop("_row")
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -114,18 +81,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         g = g.groupBy(*by) if by else g.groupBy()
         q = g.agg(F.percentile(F.col(value).cast("double"), [float(p) for p in probs]).alias("_q"))
         return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    vc = cut_lineage(value_counts(df, value, by))  # one pass over the source
-    return quantiles_from_counts(vc, value, "cnt", probs, by, names, buckets, materialize=False)
+    return quantiles_from_counts(value_counts(df, value, by), value, "cnt", probs, by, names, buckets)
 
 
 def quantiles_from_counts(vc: DataFrame, value: str, cnt: str, probs: Sequence[float],
                           by: Sequence[str] = (), names: Sequence[str] | None = None,
-                          buckets: int | None = None, materialize: bool = True) -> DataFrame:
+                          buckets: int | None = None) -> DataFrame:
     """Exact quantiles from a (by, value, count) table; null values must be filtered out."""
     by = _group_cols(by)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     vc = vc.select(*by, value, F.col(cnt).alias("cnt"))
-    cum = global_prefix_sum(vc, value, ["cnt"], by=by, buckets=buckets, materialize=materialize)
+    cum = global_prefix_sum(vc, value, ["cnt"], by=by, buckets=buckets)
     n = F.col("tot_cnt")
     lo_hi = []
     for p in probs:

@@ -82,7 +82,10 @@ class CompiledScorer:
         coerce, new = feature_exprs(dtypes, model.monthly_median)
         self.step2 = [coerce[c].alias(c) if c in coerce else F.col(c) for c in names]
         self.step3 = [F.col(c) for c in names] + [v.alias(k) for k, v in new.items()]
-        self.java_pipeline = model.pipeline._to_java()
+        # Stages in Python (tree ensembles) can't become a JVM pipeline: they transform frames themselves.
+        stage, python = model.pipeline.stages[-1], not hasattr(model.pipeline.stages[-1], "_to_java")
+        on_jvm = lambda java: lambda frame: DataFrame(java.transform(frame._jdf), frame.sparkSession)
+        self.pipeline = model.pipeline.transform if python else on_jvm(model.pipeline._to_java())
         self.fast = None
         if model.spec and fast:
             # Fast path: the feature vector from pre-built expressions (imputed + scaled numerics,
@@ -96,8 +99,7 @@ class CompiledScorer:
                 v = F.coalesce(F.col(c).cast("string"), F.lit(mode))
                 slots += [F.when(v == F.lit(cat), F.lit(1.0) * F.lit(s)).otherwise(F.lit(0.0))
                           for cat, s in zip(categories, scales)]
-            self.fast = (array_to_vector(F.array(*slots)).alias("features"),
-                         model.pipeline.stages[-1]._to_java())
+            self.fast = (array_to_vector(F.array(*slots)).alias("features"), stage.transform if python else on_jvm(stage._to_java()))
         prob = F.round(vector_to_array("probability")[1], digits)
         ident = F.col(id_col) if id_col in names else F.lit("unknown")
         self.out = [ident.alias(id_col), *[F.col(k) for k in keep],
@@ -107,10 +109,9 @@ class CompiledScorer:
     def __call__(self, df: DataFrame) -> DataFrame:
         prepared = df.select(*self.step1).select(*self.step2).select(*self.step3)
         if self.fast is not None:
-            feats = prepared.select("*", self.fast[0])
-            out = DataFrame(self.fast[1].transform(feats._jdf), df.sparkSession)
+            out = self.fast[1](prepared.select("*", self.fast[0]))
         else:
-            out = DataFrame(self.java_pipeline.transform(prepared._jdf), df.sparkSession)
+            out = self.pipeline(prepared)
         return out.select(*self.out)
 
 

@@ -930,9 +930,33 @@ from ..operators.score import score as _score  # noqa: E402
 
 @register("q_model_comparison")
 def q_model_comparison(spark, sf):
-    """Stratified CV grid search of four model families over the reference's 42 combinations,
-    test report, F1 gate, winner marked."""
-    return J.train_pipeline(V.subscribers(spark, sf)).comparison
+    """Stratified CV grid search of four model families over the reference's 42 combinations,
+    test report, winner marked, verdict of the default F1 gate."""
+    return J.model_comparison(V.subscribers(spark, sf))
+
+
+# Three fixed "models" over the scored table: one score, three decision thresholds.
+_THREE = {"eager": 0.3, "even": 0.5, "strict": 0.8}
+
+
+@register("q_model_reports", with_views("""
+SELECT *, row_number() OVER (ORDER BY f1 DESC, model) = 1 AS is_best, f1 >= 0.5 AS accepted FROM (
+  SELECT model, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round(tp / (tp + fn), 4) AS recall, round(tp / (tp + fp), 4) AS precision,
+         round((tp + tn) / (tp + tn + fp + fn), 4) AS accuracy, round(auc, 4) AS roc_auc
+  FROM (SELECT model, count(*) FILTER (WHERE label = 1 AND score >= cut) AS tp, count(*) FILTER (WHERE label = 0 AND score >= cut) AS fp,
+               count(*) FILTER (WHERE label = 1 AND score < cut) AS fn, count(*) FILTER (WHERE label = 0 AND score < cut) AS tn
+        FROM scored_lineitem, (VALUES ('eager', 0.3), ('even', 0.5), ('strict', 0.8)) AS m(model, cut) GROUP BY model),
+       (SELECT sum(CASE WHEN label = 1 THEN rk ELSE 0 END) AS s, sum(label) AS p, count(*) - sum(label) AS n,
+               (s - p * (p + 1) / 2) / (p * n) AS auc
+        FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM scored_lineitem)))"""))
+def q_model_reports(spark, sf):
+    """M6, M7, M10 over fixed predictions: test report of each model, winner, gate's verdict."""
+    from ..operators import train as M
+    scored = V.scored_lineitem(spark, sf)
+    rows = scored.select("label", "score", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (F.col("score") >= c).cast("int").alias("prediction"))
+                                                               for m, c in _THREE.items()])).alias("m")).select("label", "score", "m.*")
+    table = M.test_reports(rows)
+    return M.comparison(table, M.best_model(table.orderBy("model"))["model"])
 
 
 @register("q_score_batch")
@@ -945,9 +969,7 @@ def q_score_batch(spark, sf):
     pre = T.fit_preprocessor(train_f, num, cat)
     tr = pre.transform(train_f).select("features", F.col("Churn").cast("double").alias("label"))
     n = tr.count()
-    lr = M.default_grids(n)[0].estimator.copy()
-    lr.setRegParam(1.0 / n)
-    fitted = lr.fit(M._weighted(tr, "balanced", "label"))
+    fitted = M.logistic(n).fit(M.balanced(tr, "label"))
     from pyspark.ml import PipelineModel
     from ..operators.score import ChurnModel
     model = ChurnModel(PipelineModel(stages=list(pre.stages) + [fitted]), tc_med, mc_med, num, cat,
@@ -1015,6 +1037,16 @@ def q_folds(spark, sf):
     return s.groupBy(F.col("Churn").alias("label"), "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("q_prefix_many_buckets", with_views("""
+SELECT l_returnflag, l_extendedprice, n, sum(n) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS cum_n, sum(n) OVER (PARTITION BY l_returnflag) AS tot_n
+FROM (SELECT l_returnflag, l_extendedprice, count(*) AS n FROM lineitem GROUP BY ALL)"""))
+def q_prefix_many_buckets(spark, sf):
+    """W1 over 97 range partitions: running number of lines by price within each return flag."""
+    from ..operators.prefix import global_prefix_sum
+    n = V.table(spark, sf, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(F.count(F.lit(1)).alias("n"))
+    return global_prefix_sum(n, "l_extendedprice", ["n"], by=["l_returnflag"], buckets=97)
+
+
 @register("q_reference_sample", with_views("""
 SELECT customerID, tenure, MonthlyCharges, TRY_CAST(TotalCharges AS DOUBLE) AS TotalCharges
 FROM subscribers ORDER BY md5('42|' || customerID), customerID LIMIT 1000"""))

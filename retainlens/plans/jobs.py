@@ -56,26 +56,29 @@ def prepare_training_frame(raw: DataFrame, cfg: TrainConfig = TrainConfig(), rol
     return train_f, test_f, tc_med, mc_med
 
 
-def training_partitions(df: DataFrame, rows_per_partition: int = 1_000_000) -> DataFrame:
-    """Cache an iterative-training frame with max(default parallelism, rows / 1M) partitions:
-    each optimizer iteration is a job over these partitions, so tiny partitions (e.g. 200 shuffle
-    partitions of a small frame) cost scheduling time, and huge ones cost memory."""
+def training_partitions(df: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
+    """A cached training frame in partitions of about that many rows: every iteration of an optimizer is a job over
+    them. No draw depends on them."""
     df = df.cache()
-    n = df.count()
-    sc = df.sparkSession.sparkContext
-    target = max(sc.defaultParallelism, -(-n // rows_per_partition))
-    if df.rdd.getNumPartitions() > target:
-        coalesced = df.coalesce(target).cache()
-        coalesced.count()
-        df.unpersist()
-        return coalesced
-    return df
+    return df.coalesce(max(1, -(-df.count() // rows_per_partition))).cache()
 
 
-def train_pipeline(raw: DataFrame, cfg: TrainConfig = TrainConfig(), roles: ColumnRoles = ColumnRoles(),
-                   compact: bool = False, out_dir: str | None = None, mode: str = "csv",
-                   families: tuple[str, ...] | None = None) -> TrainResult:
-    """Ingest → clean/features → fitted preprocessor → CV grid search → gate → persist → E8."""
+@dataclass
+class Search:
+    """A grid search before the gate: prepared frames, the report of every family and the fitted models."""
+    pre: PipelineModel
+    train: DataFrame
+    test: DataFrame
+    table: DataFrame
+    fitted: dict
+    medians: tuple[float | None, float | None]
+    columns: tuple[list[str], list[str]]
+    timings: dict
+
+
+def search_models(raw: DataFrame, cfg: TrainConfig = TrainConfig(), roles: ColumnRoles = ColumnRoles(),
+                  families: tuple[str, ...] | None = None, candidates: list[M.Candidate] | None = None) -> Search:
+    """M1–M6, M9: ingest → clean/features → fitted preprocessor → CV grid search, without the gate."""
     t = {}
     t0 = time.time()
     train_f, test_f, tc_med, mc_med = prepare_training_frame(raw, cfg, roles)
@@ -84,20 +87,33 @@ def train_pipeline(raw: DataFrame, cfg: TrainConfig = TrainConfig(), roles: Colu
     t0 = time.time()
     pre = fit_preprocessor(train_f, num_cols, cat_cols, scale_onehot=True)
     label = F.col(roles.target).cast("double").alias("label")
-    tr = pre.transform(train_f).select("features", label, "fold")
-    te = pre.transform(test_f).select("features", label, roles.id_col)
-    tr, te = training_partitions(tr), training_partitions(te)
-    n_train = tr.count()
+    tr = training_partitions(pre.transform(train_f).select("features", label, "fold", F.xxhash64(roles.id_col).alias("key")))
+    te = training_partitions(pre.transform(test_f).select("features", label, roles.id_col))
     t["preprocess"] = time.time() - t0
     t0 = time.time()
-    cands = M.default_grids(n_train, compact=compact)
-    if families:
-        cands = [c for c in cands if c.name in families]
+    cands = [c for c in candidates or M.default_grids() if not families or c.name in families]
     table, fitted = M.grid_search(tr, te, cands, parallelism=cfg.parallelism, num_folds=cfg.split.folds)
-    best = M.select_best(table, cfg.min_f1)
     t["search"] = time.time() - t0
+    return Search(pre, tr, te, table, fitted, (tc_med, mc_med), (num_cols, cat_cols), t)
+
+
+def model_comparison(raw: DataFrame, cfg: TrainConfig = TrainConfig()) -> DataFrame:
+    """The comparison of all families with the winner and the gate's verdict, which here raises nothing."""
+    found = search_models(raw, cfg)
+    best = M.best_model(found.table)
+    return M.comparison(found.table, best and best["model"], cfg.min_f1)
+
+
+def train_pipeline(raw: DataFrame, cfg: TrainConfig = TrainConfig(), roles: ColumnRoles = ColumnRoles(),
+                   out_dir: str | None = None, mode: str = "csv", families: tuple[str, ...] | None = None,
+                   candidates: list[M.Candidate] | None = None) -> TrainResult:
+    """Ingest → clean/features → fitted preprocessor → CV grid search → gate → persist → E8.
+    ``candidates`` replaces the default grids, ``families`` restricts them by name."""
+    found = search_models(raw, cfg, roles, families, candidates)
+    pre, tr, te, table, fitted, t = found.pre, found.train, found.test, found.table, found.fitted, found.timings
+    best = M.select_best(table, cfg.min_f1)
     pipeline = PipelineModel(stages=list(pre.stages) + [fitted[best]])
-    model = ChurnModel(pipeline, tc_med, mc_med, num_cols, cat_cols, best,
+    model = ChurnModel(pipeline, *found.medians, *found.columns, best,
                        spec=getattr(pre, "_retainlens_spec", None))
     if out_dir:
         model.save(f"{out_dir}/model")
@@ -112,7 +128,7 @@ def train_pipeline(raw: DataFrame, cfg: TrainConfig = TrainConfig(), roles: Colu
     t["evaluate"] = time.time() - t0
     tr.unpersist()
     te.unpersist()
-    return TrainResult(model, M.comparison(table, best), evaluation, t, mode)
+    return TrainResult(model, M.comparison(table, best, cfg.min_f1), evaluation, t, mode)
 
 
 def evaluate_labelled(model: ChurnModel, labelled: DataFrame, target: str = "Churn",
@@ -142,7 +158,7 @@ def monitoring_report(log: DataFrame, reference: DataFrame, baseline_metrics: Da
 
 def retrain_run(spark: SparkSession, raw: DataFrame, signals: DataFrame, history_path: str, as_of: str,
                 out_dir: str, force: bool = False, cfg: TrainConfig = TrainConfig(),
-                mon_cfg: MonitorConfig = MonitorConfig(), compact: bool = False, mode: str = "csv",
+                mon_cfg: MonitorConfig = MonitorConfig(), mode: str = "csv",
                 families: tuple[str, ...] | None = None) -> dict:
     """Gate → train → refresh the reference profile (raw mode only) → append a history event."""
     hist = ART.read_history(spark, history_path)
@@ -151,7 +167,7 @@ def retrain_run(spark: SparkSession, raw: DataFrame, signals: DataFrame, history
                            enabled=mon_cfg.retrain_enabled, auto=mon_cfg.auto_retrain).first()
     if not gated["should_retrain"]:
         return {"retrained": False, "reason": gated["gate_reason"]}
-    result = train_pipeline(raw, cfg, compact=compact, out_dir=out_dir, mode=mode, families=families)
+    result = train_pipeline(raw, cfg, out_dir=out_dir, mode=mode, families=families)
     if mode == "csv":
         num, cat = D.reference_profile(raw)
         D.save_reference_profile(num, cat, f"{out_dir}/reference_profile")

@@ -45,7 +45,7 @@ def test_retrain_run_gate_and_train(spark, sf, tmp_path):
     blocked = J.retrain_run(spark, raw, sig, hist, "2024-01-30 06:00:00", str(tmp_path / "out"))
     assert blocked == {"retrained": False, "reason": "cooldown active"}
     done = J.retrain_run(spark, raw, sig, hist, "2024-01-30 06:00:00", str(tmp_path / "out"), force=True,
-                         cfg=TrainConfig(min_f1=0.0), compact=True, families=("LogisticRegression",))
+                         cfg=TrainConfig(min_f1=0.0), families=("LogisticRegression",))
     assert done["retrained"] and done["model"] == "LogisticRegression"
     assert ART.read_history(spark, hist).count() == 2
     num, _ = D.load_reference_profile(spark, str(tmp_path / "out" / "reference_profile"))
@@ -54,7 +54,7 @@ def test_retrain_run_gate_and_train(spark, sf, tmp_path):
 
 def test_streaming_scoring_to_log(spark, sf, tmp_path):
     raw = V.subscribers(spark, sf)
-    res = J.train_pipeline(raw, TrainConfig(min_f1=0.0), compact=True, families=("LogisticRegression",))
+    res = J.train_pipeline(raw, TrainConfig(min_f1=0.0), families=("LogisticRegression",))
     customers = Z.file_stream(spark, f"{sf}/customer.parquet")
     per_cust = V.order_aggregate(table(spark, sf, "orders"))
     path = str(tmp_path / "log")

@@ -1,11 +1,14 @@
 """X*, T*, M*, P*: split contract, preprocessing width / unknowns, quality gate, persistence, scoring."""
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from retainlens.config import TrainConfig
 from retainlens.operators import cleaning as C
+from retainlens.operators import ensembles as EN
 from retainlens.operators import preprocess as T
 from retainlens.operators import split as X
 from retainlens.operators import train as M
@@ -68,28 +71,74 @@ def test_onehot_scaling_population_std(spark, subs):
 
 def test_quality_gate_raises(spark, subs):
     with pytest.raises(M.ModelQualityError):
-        J.train_pipeline(subs, TrainConfig(min_f1=0.99), compact=True, families=("LogisticRegression",))
+        J.train_pipeline(subs, TrainConfig(min_f1=0.99), families=("LogisticRegression",))
 
 
-def test_model_comparison_searches_all_and_gates(spark, sf, monkeypatch):
-    from retainlens.plans import catalog
-    seen = []
+SMALL = [M.Candidate("RandomForestClassifier", "forest", M._product(n_estimators=[3, 7], max_depth=[2, None], min_samples_split=[10])),
+         M.Candidate("XGBClassifier", "xgb", M._product(learning_rate=[0.1, 0.3], max_depth=[3], n_estimators=[4, 9])),
+         M.Candidate("GradientBoostingClassifier", "gb", M._product(n_estimators=[4, 9], learning_rate=[0.3], max_depth=[2]))]
 
-    def searched(train, test, candidates, **kw):
-        seen.extend(candidates)
-        return spark.createDataFrame([("LogisticRegression", 0.49)], "model string, f1 double"), {}
-    monkeypatch.setattr(M, "grid_search", searched)
-    with pytest.raises(M.ModelQualityError):
-        catalog.QUERIES["q_model_comparison"](spark, sf)
-    assert [len(c.grid) for c in seen] == [4, 12, 18, 8]
-    assert seen[0].estimator.getMaxIter() == 1000 and seen[0].estimator.getTol() == 1e-6
-    rounds = [{v for g in c.grid for p, v in g.items() if p.name in ("numTrees", "maxIter")} for c in seen[1:]]
-    assert rounds == [{100, 300}] * 3
+
+@pytest.fixture(scope="module")
+def training(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(400, 5))
+    x[:, 3] = r.integers(0, 2, 400)
+    y = (x[:, 0] * x[:, 1] + x[:, 3] + .5 * r.normal(size=400) > .6).astype(float)
+    rows = [(Vectors.dense(v), float(t), i % 5, i * 7919) for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, ["features", "label", "fold", "key"]).cache()
+    return df, EN.bin_edges(df)
+
+
+def test_grid_has_42_combinations(spark):
+    assert [len(c.grid) for c in M.default_grids()] == [4, 12, 18, 8]
+    assert [len(M.shared_specs(c.kind, c.grid, 5)) for c in M.default_grids()[1:]] == [10, 45, 20]
+    lr = M.logistic(100, 0.1)
+    assert lr.getMaxIter() == 1000 and lr.getTol() == 1e-6 and lr.getRegParam() == pytest.approx(0.1)
+
+
+def test_shared_fits_equal_separate_fits(spark, training, monkeypatch):
+    df, edges = training
+    shared = M.cv_scores(df, SMALL, edges, 2)
+    alone = {}
+    for c in SMALL:
+        specs = [(i, M._spec(c.kind, p, fold, 42)) for i, p in enumerate(c.grid) for fold in range(2)]
+        for n, _, _, (tp, fp, fn), _ in EN.fit(df, [s for _, s in specs], edges):
+            alone.setdefault((c.name, specs[n][0]), []).append(2 * tp / (2 * tp + fp + fn) if tp else 0.0)
+    assert {c.name: [pytest.approx(sum(alone[c.name, i]) / 2) for i in range(len(c.grid))] for c in SMALL} == shared
+    # Rows over several tasks, which sum their histograms: the same figures.
+    monkeypatch.setattr(EN, "CELLS", 700)
+    assert {n: [pytest.approx(x) for x in v] for n, v in M.cv_scores(df, SMALL[1:], edges, 2).items()} == {n: shared[n] for n in shared if n != "RandomForestClassifier"}
+
+
+def test_ensembles_learn_and_stages_persist(spark, training, tmp_path):
+    from pyspark.ml import PipelineModel
+    df, edges = training
+    for c, p in ((SMALL[0], {"n_estimators": 60, "max_depth": None, "min_samples_split": 5}), (SMALL[1], {"n_estimators": 60, "max_depth": 3, "learning_rate": .2}),
+                 (SMALL[2], {"n_estimators": 60, "max_depth": 3, "learning_rate": .2})):
+        (_, _, _, _, model), = EN.fit(df, [M._spec(c.kind, p, -1, 42)], edges)
+        stage = EN.ensemble_model(c.kind, model, p)
+        got = stage.transform(df).select("key", "label", "prediction", "probability").orderBy("key").collect()
+        assert sum(r.label == r.prediction for r in got) > 340 and all(r.prediction == float(r.probability[1] > .5) for r in got)
+        PipelineModel(stages=[stage]).write().overwrite().save(str(tmp_path / c.kind))
+        back = PipelineModel.load(str(tmp_path / c.kind)).transform(df).select("key", "label", "prediction", "probability").orderBy("key").collect()
+        assert back == got
+        # Row by row down the trees.
+        start, trees = model
+        x = df.orderBy("key").select("features").first()[0].toArray()
+        total = []
+        for f, cut, child, value in trees:
+            at = 0
+            while f[at] >= 0:
+                at = child[at] + (x[f[at]] > cut[at])
+            total.append(value[at])
+        want = np.mean(total) if c.kind == "forest" else 1 / (1 + np.exp(-start - sum(total)))
+        assert got[0].probability[1] == pytest.approx(want)
 
 
 def test_train_persist_score_roundtrip(spark, subs, tmp_path):
-    res = J.train_pipeline(subs, TrainConfig(min_f1=0.0), compact=True, out_dir=str(tmp_path),
-                           families=("LogisticRegression", "RandomForestClassifier"))
+    res = J.train_pipeline(subs, TrainConfig(min_f1=0.0), out_dir=str(tmp_path),
+                           candidates=[M.default_grids()[0], M.Candidate("XGBClassifier", "xgb", M._product(learning_rate=[.1], max_depth=[3], n_estimators=[40]))])
     comp = res.comparison.collect()
     assert len(comp) == 2 and sum(r["is_best"] for r in comp) == 1
     assert comp[0]["is_best"] and comp[0]["f1"] == max(r["f1"] for r in comp)
