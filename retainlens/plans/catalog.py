@@ -448,7 +448,6 @@ def q_evaluation_report(spark, sf):
 # ------------------------------------------------------------------ statistical tests (H1–H4)
 from ..operators import drift as D  # noqa: E402
 from ..operators import stats as S  # noqa: E402
-from ..functions.pvalues import kolmogorov_sf_sql  # noqa: E402
 
 _CHI_TAB = "\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, coalesce(CAST({c} AS VARCHAR), 'MISSING') AS category, "
@@ -518,6 +517,18 @@ _DRIFT_CAT = ["o_orderpriority", "o_orderstatus"]
 _DRIFT_CFG = __import__("retainlens.config", fromlist=["DriftConfig"]).DriftConfig(
     numeric_features=tuple(_DRIFT_NUM), categorical_features=tuple(_DRIFT_CAT))
 
+# P(D >= d) by the lattice-path recursion, cell by cell along the diagonals.
+_KS_EXACT = """{name}({key}, n, m, h, s, i, q) AS (
+  SELECT {key}, n_ref, n_cur, CAST(round(d * n_ref * n_cur) AS BIGINT) AS h, CAST(0 AS BIGINT), CAST(0 AS BIGINT),
+         CASE WHEN round(d * n_ref * n_cur) <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+  FROM {src} WHERE {where}
+  UNION ALL
+  SELECT {key}, n, m, h, s1, i1, CASE WHEN abs(i1 * m - (s1 - i1) * n) >= h THEN 1.0::DOUBLE ELSE sum(part) END
+  FROM (SELECT {key}, n, m, h, s + 1 AS s1, i + e AS i1, q * (CASE WHEN e = 1 THEN i + 1 ELSE s + 1 - i END) / (s + 1) AS part
+        FROM {name}, (VALUES (0), (1)) AS t(e) WHERE (e = 1 AND i < n) OR (e = 0 AND s - i < m))
+  GROUP BY {key}, n, m, h, s1, i1),
+{name}_p AS (SELECT {key}, least(1.0, q) AS p FROM {name} WHERE s = n + m)"""
+
 _TAG_CTE = "tag AS (" + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value, {side} AS side FROM {src} WHERE {c} IS NOT NULL"
     for c in _DRIFT_NUM for side, src in ((0, "drift_ref"), (1, "drift_cur"))) + ")"
@@ -529,8 +540,11 @@ ks_cum AS (SELECT feature, sum(r) OVER w AS cr, sum(c) OVER w AS cc,
            FROM ks_cnt WINDOW w AS (PARTITION BY feature ORDER BY value)),
 ks_d AS (SELECT feature, max(abs(cr / tr - cc / tc)) AS d, CAST(max(tr) AS BIGINT) AS n_ref,
                 CAST(max(tc) AS BIGINT) AS n_cur FROM ks_cum GROUP BY 1),
+""" + _KS_EXACT.format(src="ks_d", name="ks_x", key="feature", where="greatest(n_ref, n_cur) <= 10000") + """,
 ks_l AS (SELECT *, sqrt(n_ref * n_cur / (n_ref + n_cur)) * d AS lam FROM ks_d),
-ks_p AS (SELECT *, """ + kolmogorov_sf_sql("lam") + """ AS p FROM ks_l),
+ks_p AS (SELECT l.*, coalesce(x.p, CASE WHEN lam < 0.05 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101),
+           lambda j: 2 * (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * lam * lam))))) END) AS p
+         FROM ks_l l LEFT JOIN ks_x_p x USING (feature)),
 ks_m AS (SELECT feature, avg(value) FILTER (WHERE side = 0) AS ref_mean, avg(value) FILTER (WHERE side = 1) AS cur_mean,
                 stddev_samp(value) FILTER (WHERE side = 0) AS ref_std, stddev_pop(value) FILTER (WHERE side = 1) AS cur_std
          FROM tag GROUP BY 1),
@@ -601,6 +615,59 @@ def q_drift_report(spark, sf):
     return D.drift_report(V.drift_ref(spark, sf), V.drift_cur(spark, sf), _DRIFT_CFG)
 
 
+@register("q_drift_from_profile", with_views("""
+SELECT feature, 'ks' AS kind, round(d, 6) AS statistic, round(p, 6) AS p_value, p < 0.05 AS drift_detected, round(ref_mean, 6) AS ref_mean,
+       round(cur_mean, 6) AS cur_mean, round(ref_std, 6) AS ref_std, round(cur_std, 6) AS cur_std FROM ks
+UNION ALL SELECT feature, 'psi', psi, NULL, psi > 0.2, NULL, NULL, NULL, NULL FROM psi_cat""", extra_ctes=_KS_CTES + "," + _PSI_CAT_CTES))
+def q_drift_from_profile(spark, sf):
+    """KS and PSI against a stored reference, written as one half and an increment of the other."""
+    ref, folder = V.drift_ref(spark, sf), f"{Z.stream_dir(spark, 'reference')}"
+    even = F.col("o_orderkey") % 2 == 0
+    D.save_profile(D.profile(ref.filter(even), _DRIFT_CFG), folder)
+    D.save_profile(D.profile(ref.filter(~even), _DRIFT_CFG), folder, increment=True)
+    f = D.features_from_profiles(D.load_profile(spark, folder), D.profile(V.drift_cur(spark, sf), _DRIFT_CFG), _DRIFT_CFG)
+    return f.select("feature", "kind", "drift_detected", *[r6(F.col(c)).alias(c) for c in ("statistic", "p_value", "ref_mean", "cur_mean", "ref_std", "cur_std")])
+
+
+@register("q_category_shares", with_views("""
+SELECT coalesce(rf.feature, cf.feature) AS feature, coalesce(rf.category, cf.category) AS category,
+       round(coalesce(rf.freq, 0), 6) AS ref_freq, round(coalesce(cf.freq, 0), 6) AS cur_freq
+FROM rf FULL OUTER JOIN cf ON rf.feature = cf.feature AND rf.category = cf.category""", extra_ctes=_PSI_CAT_CTES))
+def q_category_shares(spark, sf):
+    """H8: reference and current distribution of every categorical feature."""
+    s = D.category_shares(D.category_counts(V.drift_ref(spark, sf), _DRIFT_CAT), D.category_counts(V.drift_cur(spark, sf), _DRIFT_CAT))
+    return s.select("feature", "category", r6(F.col("ref_freq")).alias("ref_freq"), r6(F.col("cur_freq")).alias("cur_freq"))
+
+
+# A third of the customers share one group; the others form up to 500 small ones.
+_GROUP_SQL = "CASE WHEN o_custkey % 3 = 0 THEN 'hot' ELSE 'g' || CAST(o_custkey % 500 AS VARCHAR) END"
+
+
+@register("q_drift_by", with_views("""
+SELECT g.grp, 'o_totalprice' AS feature, round(d, 6) AS ks_statistic, n_ref, n_cur, round(p, 6) AS p_small, psi
+FROM gd g LEFT JOIN gx_p USING (grp) LEFT JOIN gpsi USING (grp)""", extra_ctes=f"""
+gt AS (SELECT {_GROUP_SQL} AS grp, CAST(o_totalprice AS DOUBLE) AS v, 0 AS side FROM drift_ref UNION ALL SELECT {_GROUP_SQL}, CAST(o_totalprice AS DOUBLE), 1 FROM drift_cur),
+gn AS (SELECT grp, v, count(*) FILTER (WHERE side = 0) AS r, count(*) FILTER (WHERE side = 1) AS c FROM gt GROUP BY 1, 2),
+gc AS (SELECT grp, sum(r) OVER w AS cr, sum(c) OVER w AS cc, sum(r) OVER (PARTITION BY grp) AS tr, sum(c) OVER (PARTITION BY grp) AS tc
+       FROM gn WINDOW w AS (PARTITION BY grp ORDER BY v)),
+gd AS (SELECT grp, max(abs(cr / nullif(tr, 0) - cc / nullif(tc, 0))) AS d, CAST(max(tr) AS BIGINT) AS n_ref, CAST(max(tc) AS BIGINT) AS n_cur FROM gc GROUP BY 1),
+""" + _KS_EXACT.format(src="gd", name="gx", key="grp", where="n_ref > 0 AND n_cur > 0 AND n_ref * n_cur <= 300") + """,
+gr AS (SELECT grp, min(v) AS lo, max(v) AS hi FROM gt GROUP BY 1),
+gb AS (SELECT grp, CASE WHEN hi = lo THEN 0 ELSE CAST(least(floor((v - lo) / (hi - lo) * 10), 9) AS INTEGER) END AS bin, side FROM gt JOIN gr USING (grp)),
+gh AS (SELECT gr.grp, b.b AS bin, count(side) FILTER (WHERE side = 0) AS r, count(side) FILTER (WHERE side = 1) AS c
+       FROM gr CROSS JOIN (SELECT unnest(range(10)) AS b) b LEFT JOIN gb ON gb.grp = gr.grp AND gb.bin = b.b GROUP BY 1, 2),
+gpsi AS (SELECT grp, round(sum(((c + 1) / (nc + 10) - (r + 1) / (nr + 10)) * ln(((c + 1) / (nc + 10)) / ((r + 1) / (nr + 10)))), 6) AS psi
+         FROM gh JOIN (SELECT grp, sum(r) AS nr, sum(c) AS nc FROM gh GROUP BY 1) USING (grp) GROUP BY grp)"""))
+def q_drift_by(spark, sf):
+    """H5, H6 by group: one hot group and many small ones (p where n_ref * n_cur <= 300, where the oracle can follow)."""
+    grp = F.when(F.col("o_custkey") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("o_custkey") % 500).cast("string"))).alias("grp")
+    ref, cur = (v(spark, sf).select(grp, "o_totalprice") for v in (V.drift_ref, V.drift_cur))
+    a, b = D.number_counts(ref, _DRIFT_NUM, ["grp"]), D.number_counts(cur, _DRIFT_NUM, ["grp"])
+    k = D.ks_from_counts(a, b, ["grp"]).join(D.psi_numeric_from_counts(a, b, by=["grp"]), ["grp", "feature"])
+    small = (F.col("n_ref") > 0) & (F.col("n_cur") > 0) & (F.col("n_ref") * F.col("n_cur") <= 300)
+    return k.select("grp", "feature", r6(F.col("ks_statistic")).alias("ks_statistic"), "n_ref", "n_cur", F.when(small, r6(F.col("p_value"))).alias("p_small"), "psi")
+
+
 _REF_NUM = ["tenure", "MonthlyCharges", "TotalCharges"]
 _REF_CAT = ["Contract", "InternetService", "PaymentMethod"]
 
@@ -1015,16 +1082,36 @@ def q_stream_dedup(spark, sf):
         F.count(F.lit(1)).alias("n_events"))
 
 
-@register("q_stream_drift")
+@register("q_stream_drift", with_views("""
+SELECT strftime(w, '%Y-%m-%d') AS window_start, CAST(sum(n) AS BIGINT) AS sample_size, round(max(ks), 6) AS ks_k, round(abs(sum((cf - rf) * ln(cf / rf))), 6) AS psi_risk
+FROM (SELECT w, risk_level, greatest(coalesce(count(l.risk_level) / max(nw), 0), 1e-6) AS cf, greatest(max(r.f), 1e-6) AS rf, count(l.risk_level) AS n
+      FROM (SELECT DISTINCT w, nw FROM sd_n) CROSS JOIN sd_risk r LEFT JOIN sd_log l USING (w, risk_level) GROUP BY w, risk_level)
+JOIN sd_ks USING (w) GROUP BY w""", extra_ctes="""
+sd_ev AS (SELECT ts, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
+                 CASE WHEN floor(least(value / 200, 1.0) * 10000) / 10000 < CAST(0.3 AS DOUBLE) THEN 'Low'
+                      WHEN floor(least(value / 200, 1.0) * 10000) / 10000 < CAST(0.6 AS DOUBLE) THEN 'Medium' ELSE 'High' END AS risk_level FROM events),
+sd_ref AS (SELECT * FROM sd_ev WHERE ts < TIMESTAMP '2024-01-08'),
+sd_log AS (SELECT *, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '2024-01-08') AS w FROM sd_ev WHERE ts >= TIMESTAMP '2024-01-08'
+           AND time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '2024-01-08') + INTERVAL 7 DAY <= (SELECT max(ts) FROM sd_ev) - INTERVAL 1 DAY),
+sd_n AS (SELECT w, count(*) AS nw FROM sd_log GROUP BY w),
+sd_risk AS (SELECT risk_level, count(*) / sum(count(*)) OVER () AS f FROM sd_ref GROUP BY 1),
+sd_cnt AS (SELECT w, k, count(*) FILTER (WHERE side = 0) AS r, count(*) FILTER (WHERE side = 1) AS c
+           FROM (SELECT w, s.k, 0 AS side FROM sd_ref s, (SELECT DISTINCT w FROM sd_log) UNION ALL SELECT w, k, 1 FROM sd_log) WHERE k IS NOT NULL GROUP BY 1, 2),
+sd_cum AS (SELECT w, sum(r) OVER o / sum(r) OVER (PARTITION BY w) AS fr, sum(c) OVER o / sum(c) OVER (PARTITION BY w) AS fc
+           FROM sd_cnt WINDOW o AS (PARTITION BY w ORDER BY k)),
+sd_ks AS (SELECT w, max(abs(fr - fc)) AS ks FROM sd_cum GROUP BY w)"""))
 def q_stream_drift(spark, sf):
-    """A drift report per micro-batch of the logged input feature k against the first week."""
+    """Drift of every closed 7-day window of the stream after the first week, which is the reference."""
     from ..config import DriftConfig
     cfg = DriftConfig(numeric_features=("k",), categorical_features=("risk_level",))
-    ref = LG.log_features(V.prediction_log(spark, sf).filter(F.col("log_date") < F.lit("2024-01-08").cast("date")),
-                          "k INT")
-    ev = Z.prediction_events(Z.file_stream(spark, f"{sf}/events.parquet"))
+    week = F.lit("2024-01-08")
+    ref = D.profile(LG.log_features(V.prediction_log(spark, sf).filter(F.col("log_date") < week.cast("date")), "k INT"), cfg)
+    ev = Z.prediction_events(Z.file_stream(spark, f"{sf}/events.parquet")).filter(F.to_utc_timestamp(F.col("ts"), "UTC") >= F.lit("2024-01-08T00:00:00Z").cast("timestamp"))
     feats = ev.select("*", F.from_json("input_features", "k INT").alias("_f")).select("*", "_f.k").drop("_f")
-    return Z.drift_per_batch(feats, ref, cfg)
+    found = Z.drift_windows(feats, ref, cfg)
+    rows = found.features.groupBy("window_start").agg(F.max(F.when(F.col("kind") == "ks", r6(F.col("statistic")))).alias("ks_k"),
+                                                      F.max(F.when(F.col("kind") == "psi", F.col("statistic"))).alias("psi_risk"))
+    return found.report.select("window_start", "sample_size").join(rows, "window_start")
 
 
 @register("q_folds", with_views("""

@@ -140,7 +140,7 @@ def evaluate_labelled(model: ChurnModel, labelled: DataFrame, target: str = "Chu
     return E.evaluation_report(prob)
 
 
-def monitoring_report(log: DataFrame, reference: DataFrame, baseline_metrics: DataFrame,
+def monitoring_report(log: DataFrame, reference: DataFrame | D.Profile, baseline_metrics: DataFrame,
                       current_metrics: DataFrame, as_of: str, days: int = 7,
                       drift_cfg: DriftConfig = DriftConfig(), mon_cfg: MonitorConfig = MonitorConfig(),
                       feature_schema: str | None = None) -> dict[str, DataFrame]:
@@ -150,7 +150,8 @@ def monitoring_report(log: DataFrame, reference: DataFrame, baseline_metrics: Da
     window = day_window(log, as_of, days)
     stats = O.prediction_stats(window)
     feats = log_features(window, feature_schema) if feature_schema else window
-    drift = D.drift_report(reference, feats, drift_cfg)
+    stored = isinstance(reference, D.Profile)
+    drift = D.drift_report_from_profile(reference, feats, drift_cfg) if stored else D.drift_report(reference, feats, drift_cfg)
     deg = O.degradation(baseline_metrics, current_metrics, mon_cfg)
     return {"stats": stats, "drift": drift, "degradation": deg,
             "performance": O.performance_status(deg)}
@@ -171,6 +172,7 @@ def retrain_run(spark: SparkSession, raw: DataFrame, signals: DataFrame, history
     if mode == "csv":
         num, cat = D.reference_profile(raw)
         D.save_reference_profile(num, cat, f"{out_dir}/reference_profile")
+        D.save_profile(D.profile(raw), f"{out_dir}/reference_profile")
     ART.append_history(spark, history_path, as_of, gated["gate_reason"], result.model.model_name)
     return {"retrained": True, "reason": gated["gate_reason"], "model": result.model.model_name,
             "timings": result.timings}

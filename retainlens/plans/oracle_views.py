@@ -122,4 +122,4 @@ ALL_VIEWS = ",".join([SUBSCRIBERS_SQL, PREDICTION_LOG_SQL, SCORED_LINEITEM_SQL,
 def with_views(select_sql: str, extra_ctes: str = "") -> str:
     """Prefix a query with the view CTEs (DuckDB only evaluates the ones it references)."""
     ctes = ALL_VIEWS + ("," + extra_ctes if extra_ctes else "")
-    return "WITH " + ctes + "\n" + select_sql
+    return "WITH RECURSIVE " + ctes + "\n" + select_sql

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -168,26 +169,40 @@ def scoring_stream(customer_stream: DataFrame, static_orders_agg: DataFrame, mod
     return log_path
 
 
-_REPORT = ("drift_detected boolean, n_drifted long, total_features_checked long, drift_ratio double, alert_level string, "
-           "sample_size long, status string, drifted_features string")
+@dataclass
+class WindowDrift:
+    """Drift of closed windows: feature rows, and one report a window."""
+    features: DataFrame
+    report: DataFrame
 
 
-def drift_per_batch(features_stream: DataFrame, reference: DataFrame, cfg, name: str = "drift",
-                    folder: str | None = None) -> DataFrame:
-    """Run the drift report (H9) on every micro-batch; returns the report rows per epoch."""
-    from ..operators.drift import drift_report
-    spark = features_stream.sparkSession
-    d = folder or stream_dir(spark, name)
-    out = f"{d}/reports"
-    reference = cut_lineage(reference)  # read once, reused by every micro-batch
-
-    def check(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
-        drift_report(reference, batch, cfg).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+def drift_windows(features_stream: DataFrame, reference, cfg, ts: str = "ts", length: str = "7 days", start: str = "4 days",
+                  watermark: str = "1 day", name: str = "drift", folder: str | None = None) -> WindowDrift:
+    """Drift (H9) of each event-time window against a stored reference (a drift ``Profile``).
 
-    q = (features_stream.writeStream.foreachBatch(check).option("checkpointLocation", f"{d}/checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    spark.createDataFrame([], _REPORT).write.mode("overwrite").parquet(f"{out}/epoch=-1")
-    return spark.read.option("basePath", out).parquet(f"{out}/epoch=*")
+    The stream's state is the counts of values per open window. Rows up to ``watermark`` late still count; a window
+    that the watermark has passed is closed: its counts are written once and leave the state. Every closed window
+    gets a report, whatever micro-batches its rows came in. ``start`` shifts the windows from multiples of ``length``
+    since 1970 (4 days: weeks from Monday). With a stable ``folder`` a later run goes on where the last one ended.
+    """
+    from ..functions.expressions import safe_double
+    from ..operators import drift as D
+    schema = features_stream.schema
+    none = F.lit(None)
+    cells = [F.struct(F.lit("").alias("feature"), none.cast("double").alias("value"), none.cast("string").alias("category"))]  # one a row
+    for c in cfg.numeric_features:
+        if c in schema.fieldNames():
+            cells.append(F.struct(F.lit(c).alias("feature"), safe_double(c, schema[c].dataType).alias("value"), none.cast("string").alias("category")))
+    for c in cfg.categorical_features:
+        if c in schema.fieldNames():
+            cells.append(F.struct(F.lit(c).alias("feature"), none.cast("double").alias("value"), F.col(c).cast("string").alias("category")))
+    long = features_stream.withWatermark(ts, watermark).select(ts, F.explode(F.array(*cells)).alias("_c")).select(ts, "_c.*").filter(
+        "feature = '' OR value IS NOT NULL OR category IS NOT NULL")
+    counts = long.groupBy(F.window(ts, length, length, start).alias("w"), "feature", "value", "category").agg(F.count(F.lit(1)).alias("n"))
+    closed = run_available_now(counts.select(utc_day("w.start").alias("window_start"), "feature", "value", "category", "n"), name, "append", folder=folder)
+    by = ["window_start"]
+    cur = D.Profile(closed.filter("feature <> '' AND value IS NOT NULL").select(*by, "feature", "value", "n"),
+                    closed.filter("feature <> '' AND category IS NOT NULL").select(*by, "feature", "category", "n"))
+    sizes = closed.filter("feature = ''").select(*by, F.col("n").alias("sample_size"))
+    ref = D.for_groups(reference, cur, by)
+    return WindowDrift(D.features_from_profiles(ref, cur, cfg, by), D.report_from_profiles(ref, cur, sizes, cfg, by))

@@ -1,13 +1,14 @@
 """H* operators: golden p-values, Yates, Welch, VIF vs OLS, PSI / KS direction tests, drift report."""
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from retainlens.config import DriftConfig
-from retainlens.functions.pvalues import chi2_sf, t_two_sided_p
+from retainlens.functions.pvalues import chi2_sf, ks_exact_p, t_two_sided_p
 from retainlens.operators import drift as D
 from retainlens.operators import stats as S
 
@@ -134,3 +135,65 @@ def test_drift_report_levels(spark):
     assert d["drift_detected"] and d["alert_level"] == "critical" and d["drift_ratio"] == 1.0
     small = D.drift_report(ref, drifted.limit(10), cfg).first()
     assert small["status"] == "insufficient_data" and not small["drift_detected"]
+
+
+def test_exact_ks_p():
+    # Published two-sample examples.
+    for d, n, m, p in ((600 / 1100, 100, 110, 7.37417839555191e-15), (125 / 600, 200, 300, 5.129279597781977e-05), (62 / 600, 200, 300, 0.14691437867433876)):
+        assert ks_exact_p(d, n, m) == pytest.approx(p, rel=1e-9)
+    # All orders of few values.
+    for n, m in ((1, 1), (3, 4), (5, 5), (2, 7)):
+        stats = []
+        for first in combinations(range(n + m), n):
+            i = j = worst = 0
+            for k in range(n + m):
+                i, j = (i + 1, j) if k in first else (i, j + 1)
+                worst = max(worst, abs(i * m - j * n))
+            stats.append(worst)
+        for far in set(stats):
+            assert ks_exact_p(far / (n * m), n, m) == pytest.approx(sum(x >= far for x in stats) / len(stats))
+    assert ks_exact_p(0.0, 5, 9) == 1.0
+
+
+def _window(spark, rng, n, shift=0.0):
+    rows = [(None if i % 50 == 0 else float(round(x, 2)), None if i % 40 == 0 else str(c)) for i, (x, c) in enumerate(zip(rng.normal(shift, 1, n), rng.choice(["a", "b", "c"], n)))]
+    return spark.createDataFrame(rows, "x double, c string")
+
+
+def test_stored_profile_equals_raw_reference(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    ref, more, cur = _window(spark, rng, 300), _window(spark, rng, 200, .5), _window(spark, rng, 250, .4)
+    cfg = DriftConfig(numeric_features=("x", "gone"), categorical_features=("c",))
+    path = str(tmp_path / "ref")
+    D.save_profile(D.profile(ref, cfg), path)
+    D.save_profile(D.profile(more, cfg), path, increment=True)
+    order = lambda f: sorted(f.collect())
+    want = order(D.drift_features(ref.unionAll(more), cur, cfg))
+    close = lambda a, b: all(x == pytest.approx(y) for r, s in zip(a, b) for x, y in zip(r, s)) and len(a) == len(b)
+    assert close(order(D.features_from_profiles(D.load_profile(spark, path), D.profile(cur, cfg), cfg)), want) and len(want) == 2
+    both = D.profile(ref, cfg).merge(D.profile(more, cfg))
+    assert close(order(D.features_from_profiles(both, D.profile(cur, cfg), cfg)), want)
+    assert D.drift_report_from_profile(D.load_profile(spark, path), cur, cfg).first() == D.drift_report(ref.unionAll(more), cur, cfg).first()
+    x = [r.x for r in ref.unionAll(more).collect() if r.x is not None]
+    ks = [r for r in want if r.kind == "ks"][0]
+    assert ks.ref_mean == pytest.approx(np.mean(x)) and ks.ref_std == pytest.approx(np.std(x, ddof=1)) and ks.threshold == 0.05
+    with pytest.raises(FileNotFoundError):
+        D.load_profile(spark, str(tmp_path / "missing"))
+    none = D.drift_report(ref.select("x"), cur.select("c"), cfg).first()
+    assert none.total_features_checked == 0 and not none.drift_detected
+
+
+def test_drift_by_equals_each_group_alone(spark):
+    rng = np.random.default_rng(12)
+    size = {"hot": 400, None: 30, **{f"g{i}": 3 + i for i in range(6)}}
+    make = lambda shift: spark.createDataFrame([(g, float(round(v, 1))) for g, n in size.items() for v in rng.normal(shift, 1, n)], "g string, x double")
+    ref, cur = make(0), make(.7).filter("g IS NULL OR g <> 'g5'")
+    got = {r.g: r for r in D.ks_test(ref, cur, ["x"], by=["g"]).collect()}
+    psi = {r.g: r.psi for r in D.psi_numeric(ref, cur, ["x"], by=["g"]).collect()}
+    assert set(got) == set(size) == set(psi)
+    for g in ("hot", None, "g0", "g4"):
+        one = lambda d: d.filter(F.col("g").eqNullSafe(F.lit(g))).select("x")  # noqa: E731, B023
+        alone = D.ks_test(one(ref), one(cur), ["x"]).first()
+        assert [got[g][c] for c in alone.asDict()] == [pytest.approx(v) for v in alone]
+        assert psi[g] == D.psi_numeric(one(ref), one(cur), ["x"]).first().psi
+    assert got["g5"].p_value is None and got["g5"].n_cur == 0
