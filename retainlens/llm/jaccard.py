@@ -11,7 +11,10 @@ the order here puts grams that many texts have last. From there:
    rows are left whose gram has classes of several components in their size band or the next ones
    (sizes within the threshold lie in the same or the next band);
 4. the rows still left meet in tiles of one band, split into blocks of ``BLOCK`` rows, with bitmap
-   signatures; pairs of different components are listed there if sizes and bitmaps allow them;
+   signatures; pairs of different components are listed there if sizes and bitmaps allow them, in the
+   first gram that both have. In crowded grams (more than ``CROWD`` rows of a band) a first round lists
+   only the ``NEAREST`` of every row, by differing bits: their links contract groups of near copies, so
+   that step 3 leaves few of their rows for the second round, which lists all pairs that are left;
 5. a pair is checked first by its hashed bitmaps (their differing bits bound the overlap from
    above), then, if it passes, by an exact intersection of the sorted gram arrays.
 
@@ -38,6 +41,7 @@ from pyspark.sql import types as T
 from .common import U64, aside, byte_values, column, cut, mix, prefix_hash, signed, slices, span_hash, string_parts, word_spans
 
 RARE, LEAST_FREQUENT, BLOCK, STAR, BITS, TILE_BITS, FILTER_BITS = 500, 32, 2048, 256, 1024, 1024, 1 << 24
+CROWD, NEAREST, SKETCH, SLICE = 32, 2, 8, 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -117,7 +121,7 @@ def _classes(src: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, count = np.zeros(0, U64), np.zeros(0, np.int64)
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             gram, first = gram_sets(*string_parts(column(part, "text")), n)
             for at in range(0, part.num_rows, 2000):
                 f = first[at:min(at + 2000, part.num_rows) + 1]
@@ -161,7 +165,7 @@ def _prefix_grams(src: DataFrame, n: int, num: int, den: int, shared) -> DataFra
     shorter prefix that suffices where the text is the smaller of a pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = shared.value
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             gram, first = gram_sets(*string_parts(column(part, "text")), n)
             size = np.diff(first)
             doc = np.repeat(np.arange(len(size)), size)
@@ -240,7 +244,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, src: DataFrame, n: int, num: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, left = None, np.zeros(0, U64)
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             gram, first = gram_sets(*string_parts(column(part, "text")), n)
             out = []
             for i, (a, p, role, c) in enumerate(zip(*(column(part, x).to_pylist() for x in ("a", "part", "role", "c")))):
@@ -291,10 +295,31 @@ def _small_bitmaps(classes: DataFrame) -> DataFrame:
 
 
 _TILE = ["t", "band", "i", "j"]
+_NONE = np.iinfo(np.int64).max
 
 
-def _tile_matches(m: np.ndarray, data: np.ndarray, off: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Pairs (c, c) of one tile. Rows of m: side (0 first, 1 second, 2 both), c, comp, n2; data and off: their bitmaps."""
+def _signatures(classes: DataFrame, live: DataFrame) -> DataFrame:
+    """(c, sig, grams, short) of the classes in ``live``: the folded bitmap, the ``SKETCH`` least live grams, and which of
+    them are in the shorter prefix."""
+    own = live.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct("t", F.col("n2").bitwiseAND(1).alias("s")))), 1, SKETCH).alias("g"))
+    return _small_bitmaps(classes.join(own.select("c"), "c")).join(own.select("c", F.col("g.t").alias("grams"), F.col("g.s").alias("short")), "c")
+
+
+def _first_common(t: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray, grams: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Whether gram t is the least one by which the pairs (x, y) meet. The least grams of both decide it, as all that
+    are smaller than a common one are among them; pairs without a common one there are kept in every gram."""
+    n1, n2 = m[x, 3] >> 1, m[y, 3] >> 1
+    a, b = grams[x][:, :, None], grams[y][:, None, :]
+    of_a, of_b = short[x][:, :, None], short[y][:, None, :]
+    # The smaller set must have the gram in its shorter prefix.
+    fine = np.where((n1 < n2)[:, None, None], of_a, np.where((n1 > n2)[:, None, None], of_b, of_a | of_b))
+    least = np.where((a == b) & fine, a, _NONE).min(axis=(1, 2))
+    return (least == _NONE) | (least == t)
+
+
+def _tile_matches(t: int, m: np.ndarray, data: np.ndarray, off: np.ndarray, grams: np.ndarray, short: np.ndarray, num: int, den: int, most: int | None) -> np.ndarray:
+    """Pairs (c, c) of one tile of gram t, the ``most`` nearest of each row at most. Rows of m: side (0 first, 1 second,
+    2 both), c, comp, n2; data and off: their bitmaps."""
     left, right = np.flatnonzero(m[:, 0] != 1), np.flatnonzero(m[:, 0] != 0)
     if not len(left) or not len(right):
         return np.zeros((0, 2), np.int64)
@@ -317,7 +342,12 @@ def _tile_matches(m: np.ndarray, data: np.ndarray, off: np.ndarray, num: int, de
         for k in range(0, len(i), 100_000):
             x, y = i[k:k + 100_000], j[k:k + 100_000]
             differing = np.bitwise_count(sig[x] ^ sig[y]).sum(1).astype(np.int64)
-            good = may_link(m[x, 3] >> 1, m[y, 3] >> 1, differing, num, den)
+            good = np.flatnonzero(may_link(m[x, 3] >> 1, m[y, 3] >> 1, differing, num, den))
+            good = good[_first_common(t, x[good], y[good], m, grams, short)]
+            if most is not None:
+                good = good[np.lexsort((differing[good], x[good]))]
+                own = x[good]
+                good = good[np.arange(len(own)) - np.searchsorted(own, own) < most]
             out.append(np.stack([m[x[good], 1], m[y[good], 1]], 1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
@@ -332,9 +362,9 @@ def _live(rows: DataFrame, num: int, den: int) -> DataFrame:
     return banded.join(several, ["t", "band"]).select("t", "band", "c", "comp", "n2")
 
 
-def _tile_pairs(banded: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components in tiles (t, band, block, block) of rows (t, band, c, comp, n2)
-    that sizes and bitmaps (c, sig) allow. The bitmaps join the rows when their tiles are known."""
+def _tile_pairs(banded: DataFrame, signatures: DataFrame, num: int, den: int, most: int | None = None) -> DataFrame:
+    """Pairs of different components in tiles (t, band, block, block) of rows (t, band, c, comp, n2) that sizes and
+    bitmaps allow (with ``most``: so many of each row in a tile). The signatures join the rows when their tiles are known."""
     zero = F.lit(0).cast("long")
     size = cut(banded.groupBy("t", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")))
     # A band's rows meet those of their band and of the band below: both come to the upper band's tile.
@@ -360,9 +390,14 @@ def _tile_pairs(banded: DataFrame, signatures: DataFrame, num: int, den: int) ->
         edges = np.concatenate([[0], np.flatnonzero((m[1:, :4] != m[:-1, :4]).any(1)) + 1, [len(m)]])
         done = edges[-1] if last else edges[-2]
         data, off = string_parts(t.column("sig"))
+        grams, short = np.full((len(m), SKETCH), _NONE), np.zeros((len(m), SKETCH), bool)
+        held = t.column("grams").combine_chunks()
+        size = np.diff(held.offsets.to_numpy())
+        at = np.repeat(np.arange(len(m)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        grams[at], short[at] = held.flatten().to_numpy(), t.column("short").combine_chunks().flatten().to_numpy() == 1
         # Tiles of a single component have no pair.
         lo, hi = np.minimum.reduceat(m[:, 6], edges[:-1]), np.maximum.reduceat(m[:, 6], edges[:-1])
-        found = [_tile_matches(m[a:b, 4:], data, off[a:b + 1], num, den)
+        found = [_tile_matches(int(m[a, 0]), m[a:b, 4:], data, off[a:b + 1], grams[a:b], short[a:b], num, den, most)
                  for a, b in zip(edges[:-1][lo != hi].tolist(), edges[1:][lo != hi].tolist()) if b <= done]
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
         return t.slice(done), pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -372,14 +407,14 @@ def _tile_pairs(banded: DataFrame, signatures: DataFrame, num: int, den: int) ->
         for b in batches:
             held.append(pa.Table.from_batches([b]))
             rows_ += b.num_rows
-            if rows_ > 50_000:
+            if rows_ > 20_000:
                 rest, out = close(pa.concat_tables(held).combine_chunks(), False)
                 held, rows_ = [rest], 0
                 yield out
         if held and sum(t.num_rows for t in held):
             yield close(pa.concat_tables(held).combine_chunks(), True)[1]
 
-    near = homes.unionAll(guests).join(signatures, "c").select(*_TILE, "side", "c", "comp", "n2", "sig").repartition(*(F.col(k) for k in _TILE)).sortWithinPartitions(*_TILE)
+    near = homes.unionAll(guests).join(signatures, "c").select(*_TILE, "side", "c", "comp", "n2", "sig", "grams", "short").repartition(*(F.col(k) for k in _TILE)).sortWithinPartitions(*_TILE)
     return near.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
@@ -401,10 +436,16 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, te
     star = shared.filter("c <> a").select("a", F.col("c").alias("b")).distinct()
     found = cut(_verified(cut(_plausible(star, classes, num, den)), classes, src, n, num, den))
     comp = cut(components(found))
-    # A gram's least class has met all others; the pairs among those are left.
-    live = cut(_live(_labelled(shared.filter("c <> a"), comp), num, den))
-    late = cut(_plausible(_tile_pairs(live, _small_bitmaps(classes), num, den), classes, num, den))
-    comp = cut(components(found.unionAll(_verified(late, classes, src, n, num, den))))
+    # A gram's least class has met all others; the pairs among those are left. First the nearest in crowded grams.
+    for most in (NEAREST, None):
+        live = _live(_labelled(shared.filter("c <> a"), comp), num, den)
+        if most:
+            crowded = live.groupBy("t", "band").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > CROWD).select("t", "band")
+            live = live.join(crowded, ["t", "band"])
+        live = cut(live)
+        late = cut(_plausible(_tile_pairs(live, cut(_signatures(classes, live)), num, den, most), classes, num, den))
+        found = cut(found.unionAll(_verified(late, classes, src, n, num, den)))
+        comp = cut(components(found))
     own = rows.join(comp, "c", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "c")))
     least = cut(own.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     return own.join(least, "comp", "left").select(
