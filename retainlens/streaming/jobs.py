@@ -10,17 +10,17 @@ output, so an epoch that runs again replaces what it wrote.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import risk_band
 from ..session import cut_lineage, ensure_checkpoint_dir
-from ..sources.prediction_log import append_log, read_log, to_log_records
+from ..sources.prediction_log import append_log, to_log_records
 
 
 def stream_dir(spark: SparkSession, name: str) -> str:
@@ -126,42 +126,29 @@ def dedup_stream(events_stream: DataFrame, key: str = "event_id", watermark: str
     return ev.dropDuplicatesWithinWatermark([key])
 
 
-def _logged(spark: SparkSession, log_path: str, batch_id: str) -> bool:
-    """Whether the log holds records of the batch; a log not begun yet holds none."""
-    try:
-        return not read_log(spark, log_path).filter(F.col("extra")["batch"] == batch_id).isEmpty()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-
-
 def scoring_stream(customer_stream: DataFrame, static_orders_agg: DataFrame, model, build_rows,
                    log_path: str, name: str = "scoring", checkpoint: str | None = None,
                    model_version: str = "v1") -> str:
     """Customers stream ⋈ static per-customer aggregate → features → model → records of the
     day-partitioned prediction log (as batch scoring writes them). Returns the log path.
 
-    With a stable ``checkpoint`` a later run scores only customers that arrived since. Each record
-    names its batch in ``extra``; the first epoch of a run, the only one that can have been written
-    before, is skipped if the log holds it already.
+    With a stable ``checkpoint`` a later run scores only customers that arrived since. Each micro-batch is an
+    epoch of the log, named after the checkpoint and the batch (also in ``extra``): an attempt that died half
+    way is invisible and replaced, a committed one is skipped, so a batch is in the log once.
     """
     from ..operators.score import score
     spark = customer_stream.sparkSession
     d = checkpoint or f"{stream_dir(spark, name)}/checkpoint"
-    started: list[int] = []
+    run = hashlib.sha256(f"{name}:{d}".encode()).hexdigest()[:16]
     # The static side of a stream-static join is re-evaluated every micro-batch: materialize the
     # per-customer aggregate once (reliable checkpoint) instead of re-aggregating all orders.
     static = cut_lineage(static_orders_agg)
+
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch_id = f"{name}:{d}:{epoch}"
-        if not started and _logged(spark, log_path, batch_id):
-            return
-        started.append(epoch)
         rows = build_rows(batch, static)
         inputs = [c for c in rows.columns if c not in ("customerID", "Churn")]
-        records = to_log_records(score(model, rows, keep=inputs), inputs, model_version=model_version)
-        append_log(records.withColumn("extra", F.create_map(F.lit("batch"), F.lit(batch_id))), log_path)
+        records = to_log_records(score(model, rows, keep=inputs), inputs, model_version=model_version, extra={"batch": f"{name}:{epoch}"})
+        append_log(records, log_path, epoch=f"{run}-{epoch}")
 
     q = (customer_stream.writeStream.foreachBatch(sink).option("checkpointLocation", d)
          .trigger(availableNow=True).start())

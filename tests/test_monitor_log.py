@@ -71,7 +71,8 @@ def test_log_roundtrip_window_and_retention(spark, tmp_path):
     path = str(tmp_path / "log")
     LG.append_log(rec, path)
     LG.append_log(rec, path, enabled=False)
-    with open(tmp_path / "log" / "log_date=2024-01-30" / "junk.json", "w") as f:
+    epoch, = LG.committed_epochs(spark, path)
+    with open(tmp_path / "log" / "epochs" / f"epoch={epoch}" / "log_date=2024-01-30" / "junk.json", "w") as f:
         f.write("\n{not json\n")
     allrows = LG.read_log(spark, path)
     assert allrows.count() == 3
@@ -106,3 +107,34 @@ def test_read_by_suffix(spark, tmp_path):
         ART.read_by_suffix(spark, str(tmp_path / "x.xlsx"))
     with pytest.raises(FileNotFoundError):
         ART.read_customers_csv(spark, str(tmp_path / "missing.csv"))
+
+
+def test_log_epochs_commit_replay_and_compact(spark, tmp_path):
+    path = str(tmp_path / "log")
+    make = lambda ids: LG.to_log_records(spark.createDataFrame(
+        [(f"C{i}", i % 2, .5, f"2024-01-{i % 3 + 10} 10:00:00", f"t{i}") for i in ids], "customerID string, prediction int, churn_probability double, ts string, tag string"),
+        ["prediction"], ts_col="ts", extra={"source": "test", "tag": F.col("tag")})
+    ids = lambda: sorted(int(r.customer_id[1:]) for r in LG.read_log(spark, path).collect())
+    assert LG.append_log(make(range(5)), path, epoch="a") and ids() == list(range(5))
+    # A writer that dies after it has staged its records: nothing is seen, and the epoch's next attempt replaces them.
+    LG.stage_epoch(make(range(5, 99)), path, "b")
+    assert ids() == list(range(5))
+    assert LG.append_log(make(range(5, 9)), path, epoch="b") and ids() == list(range(9))
+    # A replay of a committed epoch changes nothing.
+    assert not LG.append_log(make(range(5, 9)), path, epoch="b") and ids() == list(range(9))
+    LG.append_log(make(range(9, 12)), path)
+    row = LG.read_log(spark, path).filter("customer_id = 'C3'").first()
+    assert row.extra == {"source": "test", "tag": "t3"} and str(row.log_date) == "2024-01-10"
+    # Compaction that dies before its manifest changes nothing; a finished one is one epoch with the same records.
+    before = sorted(map(str, LG.read_log(spark, path).collect()))
+    LG.stage_epoch(LG.read_log(spark, path), path, "compact-dead")
+    assert ids() == list(range(12))
+    name = LG.compact_log(spark, path)
+    assert LG.committed_epochs(spark, path) == [name] and sorted(map(str, LG.read_log(spark, path).collect())) == before
+    assert not LG.append_log(make(range(5)), path, epoch="a") and ids() == list(range(12))  # still known
+    assert LG.vacuum_log(spark, path) == 4 and ids() == list(range(12)) and LG.compact_log(spark, path) is None
+    assert LG.read_log(spark, path, as_of="2024-01-10", days=1).count() == 4
+    assert LG.purge_expired(spark, path, "2024-02-01", 21) == 1 and LG.read_log(spark, path).count() == 8
+    # A plain folder of JSON Lines is read as it is.
+    make(range(3)).write.partitionBy("log_date").json(str(tmp_path / "plain"))
+    assert LG.read_log(spark, str(tmp_path / "plain")).count() == 3
