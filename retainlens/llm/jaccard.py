@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from .common import U64, aside, byte_values, column, cut, mix, prefix_hash, signed, slices, span_hash, string_parts, word_spans
 
 RARE, LEAST_FREQUENT, BLOCK, STAR, BITS, TILE_BITS, FILTER_BITS = 500, 32, 2048, 256, 1024, 1024, 1 << 24
-CROWD, NEAREST, SKETCH, SLICE = 32, 2, 8, 1 << 20
+CROWD, NEAREST, SKETCH, SLICE = 32, 2, 4, 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -285,24 +285,24 @@ def _folded(bits: bytes, n: int) -> bytes:
     return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0).tobytes()
 
 
-def _small_bitmaps(classes: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [_folded(x, n) for x, n in zip(column(b, "bits").to_pylist(), column(b, "n").to_pylist())]
-            yield pa.RecordBatch.from_arrays([column(b, "c"), pa.array(got, pa.binary())], names=["c", "sig"])
-
-    return classes.select("c", "n", "bits").mapInArrow(run, "c long, sig binary")
-
-
 _TILE = ["t", "band", "i", "j"]
 _NONE = np.iinfo(np.int64).max
 
 
 def _signatures(classes: DataFrame, live: DataFrame) -> DataFrame:
-    """(c, sig, grams, short) of the classes in ``live``: the folded bitmap, the ``SKETCH`` least live grams, and which of
-    them are in the shorter prefix."""
+    """(c, sig, sketch) of the classes in ``live``: the folded bitmap; the ``SKETCH`` least live grams, and in a last
+    byte which of them are in the shorter prefix."""
     own = live.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct("t", F.col("n2").bitwiseAND(1).alias("s")))), 1, SKETCH).alias("g"))
-    return _small_bitmaps(classes.join(own.select("c"), "c")).join(own.select("c", F.col("g.t").alias("grams"), F.col("g.s").alias("short")), "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = [_folded(x, n) for x, n in zip(column(b, "bits").to_pylist(), column(b, "n").to_pylist())]
+            sketch = [np.array(t + [_NONE] * (SKETCH - len(t)), "<i8").tobytes() + bytes([sum(bool(x) << i for i, x in enumerate(s))])
+                      for t, s in zip(column(b, "t").to_pylist(), column(b, "s").to_pylist())]
+            yield pa.RecordBatch.from_arrays([column(b, "c"), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], names=["c", "sig", "sketch"])
+
+    both = classes.join(own, "c").select("c", "n", "bits", F.col("g.t").alias("t"), F.col("g.s").alias("s"))
+    return both.mapInArrow(run, "c long, sig binary, sketch binary")
 
 
 def _first_common(t: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray, grams: np.ndarray, short: np.ndarray) -> np.ndarray:
@@ -390,11 +390,8 @@ def _tile_pairs(banded: DataFrame, signatures: DataFrame, num: int, den: int, mo
         edges = np.concatenate([[0], np.flatnonzero((m[1:, :4] != m[:-1, :4]).any(1)) + 1, [len(m)]])
         done = edges[-1] if last else edges[-2]
         data, off = string_parts(t.column("sig"))
-        grams, short = np.full((len(m), SKETCH), _NONE), np.zeros((len(m), SKETCH), bool)
-        held = t.column("grams").combine_chunks()
-        size = np.diff(held.offsets.to_numpy())
-        at = np.repeat(np.arange(len(m)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        grams[at], short[at] = held.flatten().to_numpy(), t.column("short").combine_chunks().flatten().to_numpy() == 1
+        raw = string_parts(t.column("sketch"))[0].reshape(len(m), 8 * SKETCH + 1)
+        grams, short = raw[:, :-1].copy().view("<i8"), (raw[:, -1:] >> np.arange(SKETCH, dtype=np.uint8)) & 1 == 1
         # Tiles of a single component have no pair.
         lo, hi = np.minimum.reduceat(m[:, 6], edges[:-1]), np.maximum.reduceat(m[:, 6], edges[:-1])
         found = [_tile_matches(int(m[a, 0]), m[a:b, 4:], data, off[a:b + 1], grams[a:b], short[a:b], num, den, most)
@@ -414,7 +411,7 @@ def _tile_pairs(banded: DataFrame, signatures: DataFrame, num: int, den: int, mo
         if held and sum(t.num_rows for t in held):
             yield close(pa.concat_tables(held).combine_chunks(), True)[1]
 
-    near = homes.unionAll(guests).join(signatures, "c").select(*_TILE, "side", "c", "comp", "n2", "sig", "grams", "short").repartition(*(F.col(k) for k in _TILE)).sortWithinPartitions(*_TILE)
+    near = homes.unionAll(guests).join(signatures, "c").select(*_TILE, "side", "c", "comp", "n2", "sig", "sketch").repartition(*(F.col(k) for k in _TILE)).sortWithinPartitions(*_TILE)
     return near.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
