@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import safe_div
+from ..session import cut_lineage
 from .prefix import global_prefix_sum
 from .rows import combine_rows, null_safe_join
 
@@ -60,12 +61,14 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score",
                 by: Sequence[str] = ()) -> DataFrame:
     """Distinct scores (descending) with tp / fp at the score and cumulative cum_tp / cum_fp,
     plus group totals tot_tp (= P) and tot_fp (= N)."""
-    by = _by(by)
-    agg = (df.filter(F.col(score).isNotNull())
+    return global_prefix_sum(_distinct_scores(df, label, score, _by(by)), "score", ["tp", "fp"], by=_by(by), descending=True)
+
+
+def _distinct_scores(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
+    return (df.filter(F.col(score).isNotNull())
            .groupBy(*by, F.col(score).alias("score"))
            .agg(F.sum(F.col(label).cast("long")).alias("tp"),
                 F.sum((1 - F.col(label)).cast("long")).alias("fp")))
-    return global_prefix_sum(agg, "score", ["tp", "fp"], by=by, descending=True)
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()
@@ -86,11 +89,22 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score",
     return st.groupBy(*_by(by)).agg(F.when(F.max("tot_tp") > 0, F.sum(term)).alias("average_precision"))
 
 
-def roc_curve(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()
+def roc_curve(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), drop_intermediate: bool = False
               ) -> DataFrame:
-    """E5: (threshold, fpr, tpr) at every distinct score, plus the (0, 0) start (threshold null)."""
+    """E5: (threshold, fpr, tpr) at every distinct score, plus the (0, 0) start (threshold null).
+
+    With ``drop_intermediate`` (the reference's curve) only the first and the last score and the turning points are
+    kept: a point lies within a straight run if the next score brings as many positives and negatives as it did. The
+    next score is found by rank, from the same prefix sums, so runs go on over the borders of partitions.
+    """
     by = _by(by)
-    st = score_table(df, label, score, by)
+    if drop_intermediate:
+        st = cut_lineage(global_prefix_sum(_distinct_scores(df, label, score, by).withColumn("one", F.lit(1)), "score", ["tp", "fp", "one"], by=by, descending=True))
+        after = st.select(*by, (F.col("cum_one") - 1).alias("cum_one"), F.col("tp").alias("_tp"), F.col("fp").alias("_fp"))
+        ends = (F.col("cum_one") == 1) | (F.col("cum_one") == F.col("tot_one"))
+        st = null_safe_join(st, after, [*by, "cum_one"], "left").filter(ends | (F.col("tp") != F.col("_tp")) | (F.col("fp") != F.col("_fp")))
+    else:
+        st = score_table(df, label, score, by)
     pts = st.select(*by, F.col("score").alias("threshold"),
                     safe_div("cum_fp", "tot_fp").alias("fpr"), safe_div("cum_tp", "tot_tp").alias("tpr"))
     start = st.select(*by).distinct().select(*by, F.lit(None).cast("double").alias("threshold"),

@@ -395,6 +395,22 @@ def q_roc_curve(spark, sf):
     return c.select(*[r6(F.col(x)).alias(x) for x in ("threshold", "fpr", "tpr")])
 
 
+@register("q_roc_turning_points", with_views("""
+SELECT flag, threshold, CASE WHEN nn = 0 THEN 0 ELSE cf / nn END AS fpr, CASE WHEN np = 0 THEN 0 ELSE ct / np END AS tpr
+FROM (SELECT *, lead(tp) OVER w AS ntp, lead(fp) OVER w AS nfp, row_number() OVER w AS k, sum(tp) OVER w AS ct, sum(fp) OVER w AS cf,
+             sum(tp) OVER (PARTITION BY flag) AS np, sum(fp) OVER (PARTITION BY flag) AS nn, count(*) OVER (PARTITION BY flag) AS m
+      FROM (SELECT l_linestatus AS flag, l_extendedprice AS threshold, count(*) FILTER (WHERE l_returnflag = 'R') AS tp,
+                   count(*) FILTER (WHERE l_returnflag <> 'R') AS fp FROM lineitem GROUP BY ALL)
+      WINDOW w AS (PARTITION BY flag ORDER BY threshold DESC))
+WHERE k = 1 OR k = m OR tp <> ntp OR fp <> nfp
+UNION ALL SELECT DISTINCT l_linestatus, NULL, 0, 0 FROM lineitem"""))
+def q_roc_turning_points(spark, sf):
+    """E5 without the points of straight runs, by line status: returned lines ranked by price."""
+    li = V.table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("flag"), F.col("l_extendedprice").alias("score"),
+                                               (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    return E.roc_curve(li, by=["flag"], drop_intermediate=True)
+
+
 @register("q_pr_curve", with_views("""
 SELECT round(score, 6) AS threshold, round(cum_tp / (cum_tp + cum_fp), 6) AS precision,
        round(cum_tp / tot_tp, 6) AS recall FROM c
@@ -1034,7 +1050,7 @@ def q_score_batch(spark, sf):
     train_f, _, tc_med, mc_med = J.prepare_training_frame(raw, TrainConfig())
     num, cat = C.resolve_roles(train_f)
     pre = T.fit_preprocessor(train_f, num, cat)
-    tr = pre.transform(train_f).select("features", F.col("Churn").cast("double").alias("label"))
+    tr = J.training_partitions(pre.transform(train_f).select("features", F.col("Churn").cast("double").alias("label")))
     n = tr.count()
     fitted = M.logistic(n).fit(M.balanced(tr, "label"))
     from pyspark.ml import PipelineModel
