@@ -22,4 +22,4 @@ def test_ordered_stats_are_bucketed(spark, sf):
     df = catalog.QUERIES["q_roc_auc"](spark, sf)
     plan = df._jdf.queryExecution().executedPlan().toString()
     # the running-sum window is partitioned by range bucket, and the input is read from a checkpoint
-    assert "_bucket" in plan and "ExistingRDD" in plan
+    assert "_part" in plan and "ExistingRDD" in plan
