@@ -187,6 +187,36 @@ def test_toxicity_held_out(spark, odd, empty):
     assert toxicity.score(odd, model).count() == 10 and toxicity.score(empty, None).count() == 0
 
 
+def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
+    """Words far into a text are learnt from, and an id in very many rows displaces no other."""
+    a, b, c = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:3]
+    rows = [(a, f"repeat {i}", "en") for i in range(1100)] + [(b, "calm day", "en"), (c, "calm " * 4500 + "awful words", "en")]
+    got = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, langs: got.extend(zip(map(len, texts), y)))
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4),
+                 spark.createDataFrame([(a, 0), (b, 0), (c, 1)], "doc_id long, toxic int"), per_class=2)
+    assert got == [(2, 0), (2, 0), (4502, 1)]
+
+
+def test_toxicity_filters_naive():
+    """Convolution and pooling against a word-by-word computation; an empty text counts as one word without a vector."""
+    r = np.random.default_rng(4)
+    tables = {w: [r.normal(size=(9, 5)) for _ in range(w)] for w in toxicity.WIDTHS}
+    for w in toxicity.WIDTHS:
+        for table in tables[w]:
+            table[0] = 0
+    bias = {w: r.normal(size=5) for w in toxicity.WIDTHS}
+    texts = [r.integers(0, 9, (n, 2)) for n in (4, 0, 1, 7, 2)]
+    got = toxicity.pooled(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), tables, bias)
+    for row, t in zip(got, texts):
+        long = np.concatenate([t, np.zeros((3, 2), np.int64)])
+        want = []
+        for w in toxicity.WIDTHS:
+            at = [sum(tables[w][j][long[i + j]].sum(0) for j in range(w) if i + j < len(long)) + bias[w] for i in range(len(t) + 1)]
+            want.append(np.maximum(np.max(at, axis=0), 0))
+        assert np.allclose(row, np.concatenate(want))
+
+
 def test_warc(spark, empty):
     inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     pages = [(1, "u", inner * 3), (2, "u", inner * 3), (3, None, None), (4, "x y\r\n", "\r\n\r\n" + inner), (5, "u", ""), (None, "u", "q"), (2, "u", inner * 3), (7, "u", "é" * 10)]
