@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..session import cut_lineage
 
@@ -37,8 +38,11 @@ def global_prefix_sum(df: DataFrame, key: str, sum_cols: Sequence[str], by: Sequ
     Output: all input columns plus ``cum_<c>`` for each c and ``tot_<c>`` (group total).
     """
     by = _group_cols(by)
-    # Order on a numeric sort key: descending order = ascending on the negated key.
-    work = df.withColumn("_sk", ((-F.col(key)) if descending else F.col(key)).cast("double"))
+    # Order on a numeric sort key: descending order = ascending on the negated key. Strings order as they are.
+    text = isinstance(df.schema[key].dataType, StringType)
+    if text and descending:
+        raise ValueError("strings are ordered ascending only")
+    work = df.withColumn("_sk", F.col(key) if text else ((-F.col(key)) if descending else F.col(key)).cast("double"))
     order = [*by, "_sk"]
     dealt = work.repartitionByRange(buckets, *order) if buckets else work.repartitionByRange(*order)
     work = cut_lineage(dealt.sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))

@@ -5,15 +5,17 @@ modes, category frequencies); the fitted model is a persistable pipeline of stoc
 ``SQLTransformer`` (impute + scale with literal constants) → ``StringIndexer`` (alphabetical,
 unknown kept) → ``OneHotEncoder`` (dropLast: the unknown slot is the dropped one, so an unknown
 category encodes as zeros) → ``VectorAssembler`` → optional ``ElementwiseProduct`` (one-hot
-columns divided by their population std, no centring). Vectors stay sparse.
+columns divided by their population std, no centring). Vectors stay sparse. Modes, slots and frequencies
+come from a dictionary table (``categories``); a dictionary too large for constants is joined instead.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import zip_longest
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (PCA, ElementwiseProduct, OneHotEncoder, SQLTransformer,
                                 StandardScaler, StringIndexer, VectorAssembler)
 from pyspark.ml.linalg import Vectors
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.expressions import safe_double
+from ..session import cut_lineage
+from . import categories as D
 from .prefix import exact_quantiles
-from .profile import long_values
+from .profile import long_values, value_counts
 
 
 def _q(name: str) -> str:
@@ -48,20 +52,23 @@ def fit_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     return {c: got.get(c) for c in cols}
 
 
-def fit_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
-    """Most frequent value, ties → smallest (``mode(c, deterministic)``), one aggregate."""
+def fit_modes(df: DataFrame, cols: Sequence[str], counts: DataFrame | None = None) -> dict[str, str | None]:
+    """Most frequent value, ties → smallest, from value counts (one row a column reaches the driver)."""
     if not cols:
         return {}
-    row = df.agg(*[F.mode(F.col(c).cast("string"), True).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    got = {r["column"]: r["mode"] for r in D.modes(value_counts(df, cols) if counts is None else counts).collect()}
+    return {c: got.get(c) for c in cols}
 
 
 def fit_preprocessor(train: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str],
-                     scale_onehot: bool = True, output_col: str = "features") -> PipelineModel:
-    """Fit on ``train`` only; the returned model transforms train, test and live data."""
+                     scale_onehot: bool = True, output_col: str = "features", dictionary_folder: str | None = None) -> PipelineModel:
+    """Fit on ``train`` only; the returned model transforms train, test and live data. With more than
+    ``categories.COMPILED`` categories, the dictionary is written to ``dictionary_folder`` (a fresh one in the
+    shared folder by default), which the model then needs; ``ChurnModel.save`` copies it."""
     num_cols, cat_cols = list(num_cols), list(cat_cols)
     meds = fit_medians(train, num_cols)
-    modes = fit_modes(train, cat_cols)
+    counts = cut_lineage(value_counts(train, cat_cols)) if cat_cols else None
+    modes = fit_modes(train, cat_cols, counts)
     filled_num = {c: F.coalesce(safe_double(c, train.schema[c].dataType), F.lit(meds[c]).cast("double"))
                   for c in num_cols}
     # Population mean / std of the imputed numbers, one aggregate.
@@ -82,51 +89,45 @@ def fit_preprocessor(train: DataFrame, num_cols: Sequence[str], cat_cols: Sequen
         spec["num"].append([c, is_num, med, mean, std])
     for c in cat_cols:
         exprs.append(f"coalesce(CAST({_q(c)} AS STRING), {_lit(modes[c])}) AS {_q('__cat_' + c)}")
-    stages = [SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__")]
+    prepared = SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__")
     cat_in = [f"__cat_{c}" for c in cat_cols]
     idx = [f"__idx_{c}" for c in cat_cols]
     ohe = [f"__ohe_{c}" for c in cat_cols]
-    if cat_cols:
-        stages += [StringIndexer(inputCols=cat_in, outputCols=idx, stringOrderType="alphabetAsc",
-                                 handleInvalid="keep"),
-                   OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True)]
-    assembled = [f"__num_{c}" for c in num_cols] + ohe
-    if scale_onehot and cat_cols:
-        stages.append(VectorAssembler(inputCols=assembled, outputCol="__raw_features"))
-    else:
-        stages.append(VectorAssembler(inputCols=assembled, outputCol=output_col))
-    model = Pipeline(stages=stages).fit(train)
-    if cat_cols:
-        for c, labels in zip(cat_cols, model.stages[1].labelsArray):
-            spec["cat"].append([c, modes[c], list(labels), [1.0] * len(labels)])
-    if scale_onehot and cat_cols:
-        # T5: divide each one-hot column by its population std sqrt(p(1-p)) (0 → 1).
-        n = train.count()
-        freqs = {}
-        vc = (long_values(train.select(*[F.coalesce(F.col(c).cast("string"), F.lit(modes[c])).alias(c)
-                                          for c in cat_cols]), cat_cols)
-              .groupBy("column", "sval").count().collect())
-        for r in vc:
-            freqs[(r["column"], r["sval"])] = r["count"] / n
-        indexer = model.stages[1]
-        scale = [1.0] * len(num_cols)
-        for c, labels in zip(cat_cols, indexer.labelsArray):
-            for lab in labels:
-                p = freqs.get((c, lab), 0.0)
-                s = math.sqrt(p * (1 - p))
-                scale.append(1.0 / s if s > 0 else 1.0)
-        ep = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="__raw_features", outputCol=output_col)
-        model = PipelineModel(stages=list(model.stages) + [ep])
-        pos = len(num_cols)
-        for entry in spec["cat"]:
-            entry[3] = scale[pos:pos + len(entry[2])]
-            pos += len(entry[2])
+    numbers = [f"__num_{c}" for c in num_cols]
+    if not cat_cols:
+        model = PipelineModel(stages=[prepared, VectorAssembler(inputCols=numbers, outputCol=output_col)])
+        model._retainlens_spec = spec
+        return model
+    dictionary = cut_lineage(D.fit_dictionary(train, cat_cols, counts))
+    widths = D.sizes(dictionary, cat_cols)
+    if sum(widths) > D.COMPILED:
+        return PipelineModel(stages=[prepared, D.DictionaryEncoder(
+            numeric=numbers, categories=cat_in, columns=cat_cols, widths=widths, scaled=scale_onehot,
+            table=D.written(dictionary, dictionary_folder), output=output_col)])
+    words = {c: {} for c in cat_cols}
+    for r in dictionary.select("column", "category", "scale").collect():  # at most COMPILED rows
+        words[r["column"]][r["category"]] = r["scale"] if scale_onehot else 1.0
+    # The indexer is fitted on the categories, not on the rows.
+    known = train.sparkSession.createDataFrame(list(zip_longest(*words.values())), ", ".join(f"{_q(c)} string" for c in cat_in))
+    indexer = StringIndexer(inputCols=cat_in, outputCols=idx, stringOrderType="alphabetAsc", handleInvalid="keep").fit(known)
+    for c, labels in zip(cat_cols, indexer.labelsArray):
+        spec["cat"].append([c, modes[c], list(labels), [words[c][w] for w in labels]])
+    # The number of categories comes with the columns' attributes: no pass over the rows.
+    encoder = OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True).fit(indexer.transform(prepared.transform(train)))
+    stages = [prepared, indexer, encoder, VectorAssembler(inputCols=numbers + ohe, outputCol="__raw_features" if scale_onehot else output_col)]
+    if scale_onehot:
+        # T5: one-hot columns divided by their population std sqrt(p(1-p)) (0 → 1).
+        scale = [1.0] * len(num_cols) + [x for e in spec["cat"] for x in e[3]]
+        stages.append(ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="__raw_features", outputCol=output_col))
+    model = PipelineModel(stages=stages)
     model._retainlens_spec = spec
     return model
 
 
 def feature_names(model: PipelineModel, num_cols: Sequence[str], cat_cols: Sequence[str]) -> list[str]:
     """Names of the assembled vector slots (numeric block ++ one-hot block, categories sorted)."""
+    if any(isinstance(s, D.DictionaryEncoder) for s in model.stages):
+        raise ValueError("the slots of this model are named by its dictionary table")
     names = list(num_cols)
     indexers = [s for s in model.stages if hasattr(s, "labelsArray")]
     if indexers and cat_cols:

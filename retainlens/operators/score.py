@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.expressions import RISK_LABELS, RISK_THRESHOLDS, risk_band
+from .categories import DictionaryEncoder
 from .cleaning import clean_total_charges, total_charges_expr
 from .features import add_features, feature_exprs
 
@@ -39,9 +40,10 @@ class ChurnModel:
         return add_features(df, self.monthly_median, fit=False)
 
     def save(self, path: str) -> None:
-        """``PipelineModel`` persistence + a one-row JSON metadata table."""
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        """``PipelineModel`` persistence + a one-row JSON metadata table (+ the category dictionary)."""
         spark = SparkSession.getActiveSession()
+        stages = [s.kept_in(spark, f"{path}/dictionary") if isinstance(s, DictionaryEncoder) else s for s in self.pipeline.stages]
+        PipelineModel(stages=stages).write().overwrite().save(f"{path}/pipeline")
         meta = spark.createDataFrame([(self.total_charges_median, self.monthly_median, ",".join(self.num_cols),
                                        ",".join(self.cat_cols), self.model_name, self.model_version,
                                        json.dumps(self.spec) if self.spec else None)],
@@ -83,7 +85,8 @@ class CompiledScorer:
         self.step2 = [coerce[c].alias(c) if c in coerce else F.col(c) for c in names]
         self.step3 = [F.col(c) for c in names] + [v.alias(k) for k, v in new.items()]
         # Stages in Python (tree ensembles) can't become a JVM pipeline: they transform frames themselves.
-        stage, python = model.pipeline.stages[-1], not hasattr(model.pipeline.stages[-1], "_to_java")
+        stage = model.pipeline.stages[-1]
+        python = any(not hasattr(s, "_to_java") for s in model.pipeline.stages)
         on_jvm = lambda java: lambda frame: DataFrame(java.transform(frame._jdf), frame.sparkSession)
         self.pipeline = model.pipeline.transform if python else on_jvm(model.pipeline._to_java())
         self.fast = None

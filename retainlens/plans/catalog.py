@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import categories as CAT
 from ..operators import cleaning as C
 from ..operators import profile as A
 from ..sources.tables import table
@@ -957,10 +958,9 @@ def q_impute(spark, sf):
     for c in EDA_NUMERIC), extra_ctes=f"filled AS (SELECT {_filled_sql(EDA_NUMERIC)} FROM eda)"))
 def q_scale(spark, sf):
     """Standard-scaler parameters (population std) of the median-filled numerics."""
-    filled = A.median_fill(eda_frame(V.subscribers(spark, sf)), EDA_NUMERIC)
-    row = filled.agg(*[F.struct(F.lit(c).alias("column"), r6(F.avg(c)).alias("mean"),
-                                r6(F.stddev_pop(c)).alias("std")).alias(c) for c in EDA_NUMERIC])
-    return row.select(F.explode(F.array(*EDA_NUMERIC)).alias("s")).select("s.*")
+    pre = T.fit_preprocessor(eda_frame(V.subscribers(spark, sf)), EDA_NUMERIC, [])
+    rows = [(c, mean, std) for c, _, _, mean, std in pre._retainlens_spec["num"]]
+    return spark.createDataFrame(rows, "column string, mean double, std double").select("column", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"))
 
 
 @register("q_onehot", with_views("""
@@ -969,14 +969,21 @@ SELECT "column", category, row_number() OVER (PARTITION BY "column" ORDER BY cat
                      f"FROM eda" for c in EDA_CATEGORICAL) + ")"))
 def q_onehot(spark, sf):
     """T4: one-hot slots per category (alphabetical, no drop; unknown → all zeros)."""
-    from pyspark.ml.feature import StringIndexer
-    df = eda_frame(V.subscribers(spark, sf))
-    modes = T.fit_modes(df, EDA_CATEGORICAL)
-    filled = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(modes[c])).alias(c) for c in EDA_CATEGORICAL])
-    idx = StringIndexer(inputCols=EDA_CATEGORICAL, outputCols=[f"{c}__i" for c in EDA_CATEGORICAL],
-                        stringOrderType="alphabetAsc", handleInvalid="keep").fit(filled)
-    rows = [(c, lab, i) for c, labels in zip(EDA_CATEGORICAL, idx.labelsArray) for i, lab in enumerate(labels)]
-    return spark.createDataFrame(rows, "column string, category string, slot long")
+    return CAT.fit_dictionary(eda_frame(V.subscribers(spark, sf)), EDA_CATEGORICAL).select("column", "category", "slot")
+
+
+_ID_LIKE = ["o_orderkey", "o_custkey", "o_orderpriority"]
+
+
+@register("q_category_dictionary", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", category, count, row_number() OVER (ORDER BY category) - 1 AS slot, count(*) OVER () AS n,
+    round(CASE WHEN p < 1 THEN 1 / sqrt(p * (1 - p)) ELSE 1 END, 6) AS scale
+    FROM (SELECT CAST({c} AS VARCHAR) AS category, count(*) AS count, count(*) / (SELECT count(*) FROM orders) AS p FROM orders GROUP BY 1)"""
+    for c in _ID_LIKE))
+def q_category_dictionary(spark, sf):
+    """T4, T5 on id-like columns: slot, frequency and scale of every category of the orders table."""
+    got = CAT.fit_dictionary(table(spark, sf, "orders"), _ID_LIKE)
+    return got.withColumn("scale", r6(F.col("scale")))
 
 
 def _eda_features(spark, sf):

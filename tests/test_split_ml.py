@@ -184,3 +184,54 @@ def test_compiled_fast_path_equals_pipeline(spark, subs):
         a = sorted(fast(probe).collect())
         b = sorted(slow(probe).collect())
         assert a == b
+
+
+def _wide(spark, n=3000):
+    """A column of many categories, one of them holding a third of all rows, beside a small and an empty one."""
+    rows = [(i, float(i % 7), "hot" if i % 3 == 0 else f"c{i:05d}", None if i % 5 == 0 else "ab"[i % 2], None) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, x double, who string, kind string, none string").repartition(5)
+
+
+def test_dictionary_encoder_equals_constants(spark, monkeypatch, tmp_path):
+    """Slots joined from the dictionary equal the compiled one-hot encoding, also after saving; unknown and null categories too."""
+    from retainlens.operators import categories as D
+    df = _wide(spark)
+    few = T.fit_preprocessor(df, ["x"], ["who", "kind"])
+    monkeypatch.setattr(D, "COMPILED", 100)
+    many = T.fit_preprocessor(df, ["x"], ["who", "kind"])
+    assert isinstance(many.stages[1], D.DictionaryEncoder) and not isinstance(few.stages[1], D.DictionaryEncoder)
+    live = df.unionByName(spark.createDataFrame([(-1, 2.0, "new", "z", None), (-2, None, None, None, None)], df.schema))
+    want = {r.id: r.features for r in few.transform(live).collect()}
+    for model in (many, many.copy({})):
+        got = {r.id: r.features for r in model.transform(live).collect()}
+        assert len(got) == len(want) and all(np.allclose(got[i].toArray(), want[i].toArray()) for i in (-2, -1, 0, 1, 2, 5, 2999))
+        assert all(set(got[i].indices) >= set(np.flatnonzero(want[i].toArray())) for i in want)
+    kept = D.DictionaryEncoder.load(_saved(many.stages[1].kept_in(spark, f"{tmp_path}/words"), f"{tmp_path}/stage"))
+    again = {r.id: r.features for r in kept.transform(many.stages[0].transform(live)).collect()}
+    assert all(again[i] == got[i] for i in got)
+    with pytest.raises(ValueError):
+        T.feature_names(many, ["x"], ["who", "kind"])
+
+
+def _saved(stage, path):
+    stage.write().overwrite().save(path)
+    return path
+
+
+def test_million_categories_fit(spark):
+    """A column of a million categories fits; nothing but one row a column reaches the driver."""
+    df = spark.range(1_000_000).select("id", (F.col("id") % 3).cast("double").alias("x"), F.concat(F.lit("u"), "id").alias("who"))
+    pre = T.fit_preprocessor(df, ["x"], ["who"])
+    v = pre.transform(df.filter("id = 999999")).first()["features"]
+    assert v.size == 1_000_001 and len(v.indices) == 2 and v.indices[1] == 1_000_000
+    assert v.values[1] == pytest.approx(1 / np.sqrt(1e-6 * (1 - 1e-6)))
+
+
+def test_dictionary_defined_cases(spark):
+    """Nulls count as the mode, ties take the smallest, a column of nulls has no row, an empty table none at all."""
+    from retainlens.operators import categories as D
+    df = spark.createDataFrame([("b", None), ("a", None), ("a", None), ("b", None), (None, None)], "k string, none string")
+    got = sorted(tuple(r) for r in D.fit_dictionary(df, ["k", "none"]).select("column", "category", "count", "slot", "n").collect())
+    assert got == [("k", "a", 3, 0, 2), ("k", "b", 2, 1, 2)]
+    assert T.fit_modes(df, ["k", "none"]) == {"k": "a", "none": None}
+    assert D.fit_dictionary(df.limit(0), ["k"]).count() == 0
