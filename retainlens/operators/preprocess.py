@@ -13,11 +13,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import zip_longest
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import (PCA, ElementwiseProduct, OneHotEncoder, SQLTransformer,
-                                StandardScaler, StringIndexer, VectorAssembler)
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +29,7 @@ from pyspark.sql.types import NumericType
 from ..functions.expressions import safe_double
 from ..session import cut_lineage
 from . import categories as D
+from .comoments import comoments
 from .prefix import exact_quantiles
 from .profile import long_values, value_counts
 
@@ -142,32 +146,48 @@ def transform(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) ->
     return out.select(*keep, "features")
 
 
+@dataclass(frozen=True)
+class PCAFit:
+    """Centred PCA: column means, components (one a row, by falling variance; the entry of largest size
+    is positive) and each component's share of the variance."""
+
+    means: np.ndarray
+    components: np.ndarray
+    ratios: list[float]
+
+    def width(self, share: float) -> int:
+        """The fewest components that reach ``share`` of the variance (all, if none do)."""
+        reached = np.flatnonzero(np.cumsum(self.ratios) >= share)
+        return int(reached[0]) + 1 if len(reached) else len(self.ratios)
+
+
+def pca_fit(features: DataFrame, max_components: int = 50, col: str = "features") -> PCAFit:
+    """One pass of co-moments; the d×d covariance is decomposed at the driver."""
+    got = comoments(features, vector_to_array(col))
+    values, vectors = np.linalg.eigh(np.nan_to_num(got.covariance()))
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1].T
+    k = min(max_components, len(values))
+    sign = np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(1)]) if len(vectors) else np.zeros(0)
+    total = values.sum()
+    return PCAFit(got.means(), (vectors * sign[:, None])[:k], [float(v / total) if total else 0.0 for v in values[:k]])
+
+
 def pca_variance(features: DataFrame, max_components: int = 50, col: str = "features"
                  ) -> tuple[list[float], int, int, int]:
-    """T9 + T10: centred PCA; explained-variance ratios, k90, k95 and the input width.
-
-    Spark's PCA does not centre, so a mean-only ``StandardScaler`` runs first. The covariance is a
-    d×d Gramian aggregated across partitions; only d×d reaches the driver.
-    """
-    d = len(features.select(col).first()[0])
-    k = min(max_components, d)
-    centred = StandardScaler(withMean=True, withStd=False, inputCol=col, outputCol="__c").fit(features)\
-        .transform(features)
-    pca = PCA(k=k, inputCol="__c", outputCol="pca").fit(centred)
-    ratios = [float(x) for x in pca.explainedVariance]
-    cum, k90, k95 = 0.0, len(ratios), len(ratios)
-    for i, r in enumerate(ratios, start=1):
-        cum += r
-        if cum >= 0.90 and k90 == len(ratios) and i < k90:
-            k90 = i
-        if cum >= 0.95 and k95 == len(ratios) and i < k95:
-            k95 = i
-    return ratios, k90, k95, d
-
-
-def pca_project(features: DataFrame, k: int, col: str = "features", keep: Sequence[str] = ()) -> DataFrame:
-    """Project the centred features onto the first k components (signs are arbitrary)."""
-    scaler = StandardScaler(withMean=True, withStd=False, inputCol=col, outputCol="__c").fit(features)
-    centred = scaler.transform(features)
-    pca = PCA(k=k, inputCol="__c", outputCol="pca").fit(centred)
-    return pca.transform(centred).select(*keep, "pca")
+    """T9 + T10: explained-variance ratios, k90, k95 and the input width."""
+    fit = pca_fit(features, max_components, col)
+    return fit.ratios, fit.width(0.90), fit.width(0.95), len(fit.means)
+
+
+def pca_project(features: DataFrame, k: int, col: str = "features", keep: Sequence[str] = (),
+                fit: PCAFit | None = None) -> DataFrame:
+    """Project the centred features onto the first k components (of ``fit``, else fitted here): one
+    matrix product an Arrow batch."""
+    fit = fit or pca_fit(features, max(k, 50), col)
+    means, basis = fit.means, fit.components[:k].T
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        return pd.Series(list((np.vstack(x.to_list()) - means) @ basis), dtype=object)
+
+    return features.select(*keep, array_to_vector(project(vector_to_array(col))).alias("pca"))

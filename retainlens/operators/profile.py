@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DoubleType, FloatType, IntegralType, NumericType,
                                StringType)
 
-from ..functions.expressions import nan_to_null, safe_double
+from ..functions.expressions import safe_double
 from ..session import cut_lineage
+from .comoments import CoMoments, column_comoments
 from .prefix import exact_quantiles, quantiles_from_counts
 
 TOPK_BUCKETS = 64
@@ -239,25 +240,37 @@ def class_quartiles(df: DataFrame, cols: Sequence[str], label: str = "Churn") ->
                            names=["q25", "median", "q75"])
 
 
-def median_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Coerce to double and fill nulls with each column's exact median (fitted scalars)."""
+def column_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Exact median of the coerced numbers of each column (none for a column without numbers)."""
     lv = long_values(df, cols).select("column", F.col("nval").alias("value"))\
         .filter(F.col("value").isNotNull())
-    meds = {r["column"]: r["median"] for r in
+    return {r["column"]: r["median"] for r in
             exact_quantiles(lv, "value", [0.5], by=["column"], names=["median"]).collect()}
-    return df.select(*[F.coalesce(_numeric_value(df, c), F.lit(meds.get(c)).cast("double")).alias(c)
-                       for c in cols])
+
+
+def filled_comoments(df: DataFrame, cols: Sequence[str]) -> CoMoments:
+    """Co-moments of the median-filled columns: one pass over the rows as they are, filled afterwards."""
+    medians = column_medians(df, cols)
+    return column_comoments(df, cols).filled([medians.get(c) for c in cols])
 
 
 def correlation_lower(df: DataFrame, cols: Sequence[str], fill: bool = True) -> DataFrame:
-    """Pearson correlation (median-filled), strict lower triangle, one aggregate job."""
-    x = median_fill(df, cols) if fill else df.select(*[_numeric_value(df, c).alias(c) for c in cols])
-    pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if i > j]
-    row = x.agg(*[F.corr(a, b).alias(f"_p{k}") for k, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                 nan_to_null(F.col(f"_p{k}")).alias("corr")) for k, (a, b) in enumerate(pairs)
-    ])).alias("s")).select("s.*")
+    """Pearson correlation (median-filled, else of complete pairs), strict lower triangle, from one
+    pass of co-moments; null where a side doesn't vary."""
+    m = (filled_comoments(df, cols) if fill else column_comoments(df, cols)).correlation()
+    rows = [(a, b, None if m[i, j] != m[i, j] else float(m[i, j]))
+            for i, a in enumerate(cols) for j, b in enumerate(cols) if i > j]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
+
+
+def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows with both, sample covariance and correlation of every pair (a ≥ b) of complete pairs."""
+    s = column_comoments(df, cols)
+    cov, corr = s.covariance(), s.correlation()
+    null = lambda v: None if v != v else float(v)
+    rows = [(a, b, int(s.n[i, j]), null(cov[i, j]), null(corr[i, j]))
+            for i, a in enumerate(cols) for j, b in enumerate(cols) if i >= j]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, n long, cov double, corr double")
 
 
 # ---------------------------------------------------------------- single components of the audit

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import chi2_sf_udf, t_pvalue_udf
-from .profile import _numeric_value, median_fill
+from .profile import _numeric_value, filled_comoments
 
 
 def chi_square_stats(df: DataFrame, cols: Sequence[str], label: str = "Churn",
@@ -93,28 +93,18 @@ def welch_tests(df: DataFrame, cols: Sequence[str], label: str = "Churn", min_pe
     return s.withColumn("p_value", t_pvalue_udf("t_stat", "dof")).orderBy("p_value", "feature")
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """k×k Pearson matrix from one aggregate (the k×k result is all that reaches the driver)."""
-    k = len(cols)
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    row = df.agg(*[F.corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    m = np.eye(k)
-    for i, j in pairs:
-        v = row[f"c{i}_{j}"]
-        m[i, j] = m[j, i] = np.nan if v is None else v
-    return m
-
-
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """H4: VIF_i = [R⁻¹]_ii of the median-filled correlation matrix; singular → inf."""
-    filled = median_fill(df, cols)
-    m = correlation_matrix(filled, cols)
+    """H4: VIF_i = [R⁻¹]_ii of the median-filled correlation matrix; singular → inf.
+
+    R comes from one pass of co-moments, the diagonal from its Cholesky factor: R = L·Lᵀ, so
+    [R⁻¹]_ii is the squared length of column i of L⁻¹.
+    """
+    m = filled_comoments(df, cols).correlation()
     try:
         if not np.all(np.isfinite(m)) or np.linalg.cond(m) > 1e15:
             raise np.linalg.LinAlgError
-        diag = np.diag(np.linalg.inv(m))
+        diag = (np.linalg.solve(np.linalg.cholesky(m), np.eye(len(cols))) ** 2).sum(0)
     except np.linalg.LinAlgError:
         diag = np.full(len(cols), np.inf)
-    spark = SparkSession.getActiveSession() or df.sparkSession
     rows = [(c, float(v)) for c, v in zip(cols, diag)]
-    return spark.createDataFrame(rows, "feature string, vif double").orderBy(F.desc("vif"))
+    return df.sparkSession.createDataFrame(rows, "feature string, vif double").orderBy(F.desc("vif"))

@@ -330,6 +330,19 @@ def q_correlation_lower(spark, sf):
     return c.select("feature_a", "feature_b", r6(F.col("corr")).alias("corr"))
 
 
+_PAIRED = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"]
+
+
+@register("q_pair_moments", with_views("\nUNION ALL\n".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, count(*) AS n, round(covar_samp({_num_sql(a)}, {_num_sql(b)}), 3) + 0.0 AS cov, "
+    f"round(corr({_num_sql(a)}, {_num_sql(b)}), 6) + 0.0 AS corr FROM subs_l WHERE {_num_sql(a)} IS NOT NULL AND {_num_sql(b)} IS NOT NULL"
+    for i, a in enumerate(_PAIRED) for j, b in enumerate(_PAIRED) if i >= j)))
+def q_pair_moments(spark, sf):
+    """Rows, covariance and correlation of every pair of raw numerics, gaps left out pairwise."""
+    m = A.pair_moments(C.target_lenient(V.subscribers(spark, sf)), _PAIRED)
+    return m.select("feature_a", "feature_b", "n", F.round("cov", 3).alias("cov"), r6(F.col("corr")).alias("corr"))
+
+
 # ------------------------------------------------------------------ evaluation
 from ..operators import evaluate as E  # noqa: E402
 
@@ -1008,8 +1021,8 @@ def q_pca_variance(spark, sf):
 def q_pca_projection(spark, sf):
     """Every customer projected onto the k95 components (S10 layout: id, vector, label)."""
     feats = _eda_features(spark, sf)
-    _, _, k95, _ = T.pca_variance(feats)
-    return T.pca_project(feats, k95, keep=["customerID", "Churn"])
+    fit = T.pca_fit(feats)
+    return T.pca_project(feats, fit.width(0.95), keep=["customerID", "Churn"], fit=fit)
 
 
 # ------------------------------------------------------------------ training and scoring (M*, P*)
