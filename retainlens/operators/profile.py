@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DoubleType, FloatType, IntegralType, NumericType,
                                StringType)
@@ -16,10 +16,9 @@ from pyspark.sql.types import (BooleanType, DoubleType, FloatType, IntegralType,
 from ..functions.expressions import safe_double
 from ..session import cut_lineage
 from .comoments import CoMoments, column_comoments
+from .heavy import first_k, heavy_hitters
 from .prefix import exact_quantiles, quantiles_from_counts
 
-TOPK_BUCKETS = 64
-
 
 def pandas_dtype(dt) -> str:
     """Name of the pandas dtype the reference would report."""
@@ -120,22 +119,21 @@ def entropy_from_counts(vt: DataFrame, string_cols: Sequence[str]) -> DataFrame:
     return g.select("column", (F.log2(F.col("n")) - F.col("s") / F.col("n")).alias("entropy"))
 
 
-def top_values_from_counts(vt: DataFrame, k: int = 3, buckets: int = TOPK_BUCKETS) -> DataFrame:
+def top_values_from_counts(vt: DataFrame, k: int = 3) -> DataFrame:
     """A11: "v(count), …" of the k most frequent non-null values (tie → smaller string first).
 
     Two-phase top-k: top-k inside hash buckets of the value (parallel), then top-k of the
     ≤ buckets·k candidates per column — exact, and no task sorts a whole column.
     """
     per_value = vt.filter(F.col("sval").isNotNull()).groupBy("column", "sval").agg(F.sum("cnt").alias("c"))
-    order = [F.desc("c"), F.asc("sval")]
-    b = F.pmod(F.xxhash64("sval"), F.lit(buckets))
-    w1 = Window.partitionBy("column", "_b").orderBy(*order)
-    cand = per_value.withColumn("_b", b).withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") <= k)
-    w2 = Window.partitionBy("column").orderBy(*order)
-    top = cand.withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") <= k)
+    return _listed(first_k(per_value, k))
+
+
+def _listed(top: DataFrame) -> DataFrame:
+    """(column, top_values): the ranked values of each column as one text."""
     return top.groupBy("column").agg(
         F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("_rn", F.concat(F.col("sval"), F.lit("("),
+            F.array_sort(F.collect_list(F.struct("rank", F.concat(F.col("sval"), F.lit("("),
                                                                     F.col("c").cast("string"), F.lit(")"))
                                                    .alias("s")))),
             lambda x: x["s"]), ", ").alias("top_values"))
@@ -282,10 +280,11 @@ def entropy(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3) -> DataFrame:
-    """A11 per column."""
+    """A11 per column, from bounded summaries; columns with no non-null value have an empty text."""
     cols = list(cols or df.columns)
-    top = top_values_from_counts(_value_table(df, cols), k)
-    return top
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    listed = _listed(heavy_hitters(df, cols, k))
+    return names.join(listed, "column", "left").select("column", F.coalesce("top_values", F.lit("")).alias("top_values"))
 
 
 def numeric_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import categories as CAT
 from ..operators import cleaning as C
 from ..operators import profile as A
+from ..operators.heavy import heavy_hitters
 from ..sources.tables import table
 from . import views as V
 from .eda import EDA_CATEGORICAL, EDA_NUMERIC, SUBSCRIBER_CATEGORICAL, eda_frame
@@ -285,6 +286,15 @@ def q_top_values(spark, sf):
     return A.top_values(C.target_lenient(V.subscribers(spark, sf)))
 
 
+@register("q_frequent_words", """
+SELECT 'word' AS "column", word AS sval, count(*) AS c FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents)
+WHERE word IS NOT NULL GROUP BY word ORDER BY c DESC, word LIMIT 25""")
+def q_frequent_words(spark, sf):
+    """A11 on a long tail: the 25 most frequent words of all documents (a top-k report), exact."""
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word"))
+    return heavy_hitters(words, ["word"], 25).select("column", "sval", "c")
+
+
 @register("q_audit_top10", with_views(
     f'SELECT "column", fill_rate FROM ({_AUDIT_SQL}) ORDER BY fill_rate, "column" LIMIT 10'))
 def q_audit_top10(spark, sf):
