@@ -111,10 +111,11 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def add_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``df`` and the counts (long) and features (``_f_*``, double)."""
+def add_statistics(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """All columns of ``df`` (the text only where asked for) and the counts (long) and features (``_f_*``, double)."""
     names = [*COUNTS, *(f"_f_{f}" for f in FEATURES)]
-    kept = [f for f in df.schema.fields if f.name not in names]
+    read = [f for f in df.schema.fields if f.name not in names]
+    kept = [f for f in read if keep_text or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
@@ -122,7 +123,7 @@ def add_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             made = [pa.array(got[c].astype(np.int64)) for c in COUNTS] + [pa.array(got[f].astype(np.float64)) for f in FEATURES]
             yield pa.RecordBatch.from_arrays([*(column(part, f.name) for f in kept), *made], names=[*(f.name for f in kept), *names])
 
-    return df.select(*(f"`{f.name}`" for f in kept)).mapInArrow(run, T.StructType([
+    return df.select(*(f"`{f.name}`" for f in read)).mapInArrow(run, T.StructType([
         *kept, *(T.StructField(c, T.LongType()) for c in COUNTS), *(T.StructField(f"_f_{f}", T.DoubleType()) for f in FEATURES)]))
 
 
@@ -178,6 +179,8 @@ def _inverses(top):
     return run
 
 
+#: Groups of up to this number are broadcast (about 12 MB).
+FEW_GROUPS = 20_000
 #: Group of all rows of the corpus (both names) or of a language (as its source).
 ALL = "*"
 _GROUP = "_lang string, _source string, rows long, center array<double>, inverse array<double>"
@@ -188,10 +191,16 @@ def _name(c: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("~"))
 
 
+def _few(groups: DataFrame) -> DataFrame:
+    """Written groups (at most about 600 bytes each), sent to every task if counting shows at most ``FEW_GROUPS``;
+    else both sides are shuffled and adaptive execution splits a hot group."""
+    return F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups
+
+
 def _joined(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
     g = groups.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"),
                       F.struct(*[c for c in groups.columns if c not in ("_lang", "_source")]).alias("_g"))
-    return rows.join(g, (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")), how).drop("_l", "_s")
+    return rows.join(_few(g), (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")), how).drop("_l", "_s")
 
 
 def pools(stats: DataFrame, lang: str = "lang", source: str = "source") -> tuple[DataFrame, bool]:
@@ -207,7 +216,7 @@ def pools(stats: DataFrame, lang: str = "lang", source: str = "source") -> tuple
 
 
 def with_pool(stats: DataFrame, pool: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    return stats.join(pool, (_name(lang) == F.col("_pl")) & (_name(source) == F.col("_ps")), "left").drop("_pl", "_ps")
+    return stats.join(_few(pool), (_name(lang) == F.col("_pl")) & (_name(source) == F.col("_ps")), "left").drop("_pl", "_ps")
 
 
 def fit(stats: DataFrame, lang: str = "lang", source: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -256,14 +265,14 @@ def quality(df: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """All columns of ``df`` but the text, the counts, base_failed, distance and kept."""
     taken = {*COUNTS, "base_failed", "distance", "kept", "_lang", "_source", "_groups", "_g"}
     src = df.drop(*(taken & set(df.columns)))
-    stats = add_statistics(src, text)
+    stats = cut(add_statistics(src, text, keep_text=False))  # one pass over the texts
     pool, est = fit(stats.select(lang, source, "n_words", *(f"_f_{f}" for f in FEATURES)), lang, source)
-    return judge(stats.drop(text), pool, est, lang, source)
+    return judge(stats, pool, est, lang, source)
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``df`` that the rules keep, with the columns of ``df``."""
     df, back = aside(df, {*COUNTS, "base_failed", "distance", "kept", "_lang", "_source", "_groups", "_g", "_pl", "_ps", "_l", "_s", "_d"})
-    stats = add_statistics(df, text)
-    pool, est = fit(stats.select(lang, source, "n_words", *(f"_f_{f}" for f in FEATURES)), lang, source)
-    return back(judge(stats, pool, est, lang, source).filter("kept"))
+    # One pass for the estimates, written without texts; one for the verdicts, which keeps them.
+    pool, est = fit(cut(add_statistics(df.select(*dict.fromkeys((lang, source, text))), text, keep_text=False)), lang, source)
+    return back(judge(add_statistics(df, text), pool, est, lang, source).filter("kept"))

@@ -18,10 +18,11 @@ null page_id are written with the id "-" and read back as null; an empty table g
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,6 +78,12 @@ def write(pages: DataFrame, path: str, compression: str = "gzip", **options) ->
     records(pages, **options).write.mode("errorifexists").option("lineSep", END).option("compression", compression).text(path)
 
 
+def _gunzip(data: bytes) -> bytes:
+    """All members of a gzip file (archives often hold one member a record); a cut member raises."""
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as members:
+        return members.read()
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("path", pa.string()), ("off", pa.int64()), ("succ", pa.int64()), ("size", pa.int64()), ("head", pa.string()),
                         ("body_bytes", pa.int64()), ("body_sha1", pa.string())])
@@ -84,7 +91,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             path, data = column(batch, "path")[i].as_py(), column(batch, "content")[i].as_py()
             if data[:2] == b"\x1f\x8b":
-                data = zlib.decompress(data, wbits=31)
+                data = _gunzip(data)
             rows = []
             for m in _MAGIC.finditer(data):
                 end = data.find(b"\r\n\r\n", m.start())
@@ -106,8 +113,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place of the archives under ``path`` that parses as a record, with its successor."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    """Every place of the archives under ``path`` (any file not named _* or .*) that parses as a record, with its successor."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_candidates, "path string, off long, succ long, size long, head string, body_bytes long, body_sha1 string")
 
 
@@ -137,7 +144,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     cand = cut(candidates(spark, path))
     real = cand.withColumn("f", F.xxhash64("path")).join(reachable(cand), ["f", "off"], "left_semi")
     field = lambda name, value="([^\\r\\n]*)": F.regexp_extract("head", rf"(?m)\r\n{name}: *{value}", 1)
-    digit = lambda c: F.when(c != "", c.cast("long"))
+    digit = lambda c: c.try_cast("long")
     return real.select(
         digit(field("WARC-Record-ID", r"<urn:page:(-?\d+)>")).alias("page_id"), field("WARC-Type").alias("record_type"),
         digit(field("WARC-Refers-To", r"<urn:page:(-?\d+)>")).alias("refers_to"), field("WARC-Payload-Digest", "sha1:([A-Z2-7]*)").alias("payload_digest"),

@@ -1,5 +1,6 @@
 """Tokens, packing, personal data, quality, toxicity, archives and search."""
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -161,6 +162,32 @@ def test_quality_rejects_outliers(spark):
     assert all(rows[i] for i in range(500)) and not any(rows[1000 + i] for i in range(10))
 
 
+def test_quality_distance_against_numpy(spark, sf, monkeypatch):
+    """The verdicts' distances, naively from the estimates; the same with groups shuffled instead of broadcast."""
+    from retainlens.llm.common import documents
+    docs = documents(spark, sf)
+    got = {r.doc_id: (r.distance, r.kept) for r in quality.quality(docs).collect()}
+    stats = quality.add_statistics(docs)
+    pool, est = quality.fit(stats.select("lang", "source", "n_words", *(f"_f_{f}" for f in quality.FEATURES)))
+    first = {(r._pl, r._ps): tuple(r._groups[0]) for r in pool.collect()}
+    groups = {(r._lang, r._source): r for r in est.collect()}
+    name = lambda v: "~" if v is None else "=" + v
+    p = len(quality.FEATURES)
+    for r in stats.collect():
+        g = groups.get(first[name(r.lang), name(r.source)])
+        d = np.array([r[f"_f_{f}"] for f in quality.FEATURES]) - np.array(g.center)
+        inverse = np.zeros((p, p))
+        inverse[np.triu_indices(p)] = g.inverse
+        inverse += np.triu(inverse, 1).T
+        want = float(d @ inverse @ d) / g["scale"]
+        failed = r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
+        assert got[r.doc_id] == (pytest.approx(want, rel=1e-6, abs=1e-9), not failed and want <= quality.CUTOFF)
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert kept == {i for i, (_, k) in got.items() if k}
+    monkeypatch.setattr(quality, "FEW_GROUPS", 0)
+    assert {r.doc_id: r.kept for r in quality.quality(docs).collect()} == {i: k for i, (_, k) in got.items()}
+
+
 def test_quality_judges_small_groups(spark):
     """Few rows of a language, of a null language and of a source beside a hot one: all have a distance, and junk is rejected."""
     r = random.Random(10)
@@ -232,6 +259,19 @@ def test_warc(spark, empty):
     assert {r.record_type for r in warc.archive_and_read(df, min_payload=10_000).collect()} == {"response"}
 
 
+def test_warc_foreign_archives(spark, tmp_path):
+    """One gzip member a record, names that the writer would not give, plain files; a cut member raises."""
+    record = lambda i, body: (f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\n"
+                              f"Content-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+    bodies = {i: b"WARC/1.0\r\nContent-Length: 1\r\n\r\nx\r\n\r\n" * (i % 3) + str(i).encode() for i in range(40)}
+    (tmp_path / "crawl-0001.warc.gz").write_bytes(b"".join(gzip.compress(record(i, b)) for i, b in bodies.items() if i < 30))
+    (tmp_path / "more.warc").write_bytes(b"".join(record(i, b) for i, b in bodies.items() if i >= 30))
+    got = {r.page_id: (r.body_bytes, r.body_sha1) for r in warc.read(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode()) for i, b in bodies.items()}
+    with pytest.raises(EOFError):
+        warc._gunzip(gzip.compress(b"abc" * 1000)[:-9])
+
+
 def test_top_k(spark):
     r = np.random.default_rng(3)
     vecs = [(i, [float(x) for x in r.normal(0, 1, 8)]) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 330)]
