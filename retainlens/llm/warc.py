@@ -12,7 +12,7 @@ writer starts a new file per input partition, so a file is about an input split.
 
 Defined cases: null html is an empty payload; payloads below ``min_payload`` bytes are never
 merged; repeated rows are separate records (of equal page_ids one is the response); rows with a
-null page_id are written with the id "-" and read back as null; an empty table gives no records.
+null page_id are written with the id "-" and read back as null, as are numbers that a foreign record lacks; an empty table gives no records.
 """
 
 from __future__ import annotations
@@ -148,7 +148,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return real.select(
         digit(field("WARC-Record-ID", r"<urn:page:(-?\d+)>")).alias("page_id"), field("WARC-Type").alias("record_type"),
         digit(field("WARC-Refers-To", r"<urn:page:(-?\d+)>")).alias("refers_to"), field("WARC-Payload-Digest", "sha1:([A-Z2-7]*)").alias("payload_digest"),
-        field("X-Payload-Length", r"(\d+)").cast("long").alias("payload_bytes"), "body_bytes", "body_sha1")
+        digit(field("X-Payload-Length", r"(\d+)")).alias("payload_bytes"), "body_bytes", "body_sha1")
 
 
 def archive_and_read(pages: DataFrame, folder: str | None = None, min_payload: int = 0) -> DataFrame:
