@@ -197,3 +197,12 @@ def test_drift_by_equals_each_group_alone(spark):
         assert [got[g][c] for c in alone.asDict()] == [pytest.approx(v) for v in alone]
         assert psi[g] == D.psi_numeric(one(ref), one(cur), ["x"]).first().psi
     assert got["g5"].p_value is None and got["g5"].n_cur == 0
+
+
+def test_exact_p_of_groups_is_spread_over_tasks(spark):
+    """Rows of few bytes and much work: adaptive execution must not gather them in one task."""
+    rows = [(f"g{g}", float(i * (g + 1) % 17), int(i % 2)) for g in range(60) for i in range(20)]
+    df = spark.createDataFrame(rows, "grp string, x double, side int")
+    got = D.ks_test(df.filter("side = 0").drop("side"), df.filter("side = 1").drop("side"), ["x"], by=["grp"])
+    at = got.select("grp", "p_value", F.spark_partition_id().alias("task")).collect()
+    assert len(at) == 60 and len({r.task for r in at}) > 3
