@@ -36,8 +36,9 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bins of a feature (like Spark ML's ``maxBins``), cells (rows x features) of a task, forest cells grown at a time.
-BINS, CELLS, FOREST_CELLS = 32, 64_000_000, 4_000_000
+#: Bins of a feature (like Spark ML's ``maxBins``), cells (rows x features) of a task, forest cells (rows x trees) grown at
+#: a time by tasks that exchange histograms, and by a task alone, which has no exchange to save.
+BINS, CELLS, FOREST_CELLS, FOREST_CELLS_ALONE = 32, 64_000_000, 4_000_000, 60_000
 U64 = np.uint64
 
 
@@ -220,7 +221,7 @@ def forest(spec: Spec, d: Rows, together: Together, edges: list[np.ndarray] | No
     counted = (d.fold >= 0) & (d.fold != spec.fold)
     weight = _class_weights(spec, d, counted, together)
     votes = {depth: np.zeros(len(d.y)) for depth in spec.depths}
-    step = max(1, FOREST_CELLS // max(1, int(together.sum(np.array([float(len(d.y))]))[0])))
+    step = max(1, (FOREST_CELLS_ALONE if together.alone else FOREST_CELLS) // max(1, int(together.sum(np.array([float(len(d.y))]))[0])))
     grown, cuts = [], sorted({*range(0, max(spec.sizes), step), *spec.sizes})
     for a, b in zip(cuts, cuts[1:]):
         shares, trees = _grow(spec, d, together, counted, weight, range(a, b), edges if spec.fold < 0 else None)
@@ -314,12 +315,19 @@ def _level_trees(built: dict, t: int) -> list[tuple[np.ndarray, ...]]:
 
 # --- jobs -----------------------------------------------------------------------------------------
 
-def _groups(specs: Sequence[Spec]) -> list[list[int]]:
-    """Fits that share a stage: boosted ones of one kind, depth, seed and number of rounds; every forest has its own."""
+def _groups(specs: Sequence[Spec], parts: int = 1) -> list[list[int]]:
+    """Fits that share a stage: boosted ones of one kind, depth, seed and number of rounds, dealt to ``parts`` stages
+    (that many can run at once); every forest has its own. The longest come first."""
     found: dict = {}
     for i, s in enumerate(specs):
         found.setdefault(i if s.kind == "forest" else (s.kind, s.depths, s.seed, max(s.sizes)), []).append(i)
-    return list(found.values())
+    out = []
+    for group in found.values():
+        size = -(-len(group) // max(1, parts))
+        out += [group[a:a + size] for a in range(0, len(group), size)]
+    # A forest's trees cost about as much as boosted ones of 20 levels.
+    cost = lambda g: len(g) * max(specs[g[0]].sizes) * (20 if specs[g[0]].kind == "forest" else specs[g[0]].depths[0])
+    return sorted(out, key=cost, reverse=True)
 
 
 def fit(train: DataFrame, specs: Sequence[Spec], edges: list[np.ndarray], features: str = "features", label: str = "label",
@@ -331,7 +339,9 @@ def fit(train: DataFrame, specs: Sequence[Spec], edges: list[np.ndarray], featur
     spark = train.sparkSession
     rows = train.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"),
                         F.coalesce(F.col(fold), F.lit(0)).cast("int").alias("fold"), F.col(key).cast("long").alias("key"))
-    tasks = min(spark.sparkContext.defaultParallelism, max(1, -(-train.count() * len(edges) // CELLS)))
+    slots = spark.sparkContext.defaultParallelism
+    tasks = min(slots, max(1, -(-train.count() * len(edges) // CELLS)))
+    at_once = max(1, slots // tasks)
 
     def run(group: list[int]):
         chosen = [specs[i] for i in group]
@@ -352,8 +362,8 @@ def fit(train: DataFrame, specs: Sequence[Spec], edges: list[np.ndarray], featur
 
         return rows.repartition(tasks).mapInArrow(work, "spec long, size long, depth long, tp long, fp long, fn long, model string", barrier=True).collect()
 
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        found = [r for part in pool.map(run, _groups(specs)) for r in part]
+    with ThreadPoolExecutor(max_workers=max(8, at_once)) as pool:
+        found = [r for part in pool.map(run, _groups(specs, at_once)) for r in part]
     total: dict = {}
     for r in found:
         counts, model = total.setdefault((r.spec, r.size, r.depth), ([0, 0, 0], []))

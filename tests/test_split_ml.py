@@ -235,3 +235,13 @@ def test_dictionary_defined_cases(spark):
     assert got == [("k", "a", 3, 0, 2), ("k", "b", 2, 1, 2)]
     assert T.fit_modes(df, ["k", "none"]) == {"k": "a", "none": None}
     assert D.fit_dictionary(df.limit(0), ["k"]).count() == 0
+
+
+def test_boosted_fits_are_dealt_to_free_slots():
+    """One stage of 15 boosted models would be the longest task of the search, with all other slots idle."""
+    specs = [s for c in M.default_grids()[1:] for s in M.shared_specs(c.kind, c.grid, 5)]
+    dealt = EN._groups(specs, 8)
+    assert sorted(i for g in dealt for i in g) == list(range(len(specs)))
+    assert max(len(g) for g in dealt) == 2 and {specs[g[0]].kind for g in dealt[:10]} == {"forest"}
+    assert all(len({(specs[i].kind, specs[i].depths) for i in g}) == 1 for g in dealt)
+    assert len(EN._groups(specs, 1)) == 15  # tasks that fill the slots share their exchanges
