@@ -365,7 +365,10 @@ def _live(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 def _tile_pairs(banded: DataFrame, signatures: DataFrame, num: int, den: int, most: int | None = None) -> DataFrame:
     """Pairs of different components in tiles (t, band, block, block) of rows (t, band, c, comp, n2) that sizes and
-    bitmaps allow (with ``most``: so many of each row in a tile). The signatures join the rows when their tiles are known."""
+    bitmaps allow (with ``most``: so many of each row in a tile). The signatures join the rows when their tiles are known;
+    without sketches among them, a pair is listed in every gram that it shares."""
+    if "sketch" not in signatures.columns:
+        signatures = signatures.withColumn("sketch", F.lit(bytearray(np.full(SKETCH, _NONE, "<i8").tobytes() + b"\0")))
     zero = F.lit(0).cast("long")
     size = cut(banded.groupBy("t", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")))
     # A band's rows meet those of their band and of the band below: both come to the upper band's tile.
