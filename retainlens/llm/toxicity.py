@@ -9,9 +9,13 @@ starts and their logits averaged, as single fits vary much; side by side they ar
 filters. The decision point is calibrated on training rows kept aside, and shifted to 0.5; thresholds per
 language are calibrated likewise and given beside the score.
 
-Training takes at most ``PER_CLASS`` labelled rows of each class (those of smallest id hash), each
-whole, and one text of an id that repeats (that of least hash); scoring reads every text whole. The size
-of the model is bounded: the ``MAX_VOCABULARY`` words and stems of most training texts have embeddings.
+Training takes every labelled row that is not held out, each whole, and one text of an id that repeats
+(that of least hash); scoring reads every text whole. Up to ``LOCAL_ROWS`` rows are fitted in one place.
+More are written as word numbers and dealt to shards of about ``SHARD_ROWS``: in each round every shard
+fits from the same parameters on a part of its rows, and the parameters are averaged, weighted by rows.
+All rows set the vocabulary and the class weights, and all that are kept aside (a fifth) the decision
+points, from counts of logits in steps of 1 / ``STEPS``. The size of the model is bounded: the
+``MAX_VOCABULARY`` words and stems of most training texts have embeddings.
 
 Defined cases: null or empty texts get the score of a text without words; documents that repeat an
 id are scored each; without any labelled row of both classes all scores are 0; an empty table gives
@@ -20,7 +24,9 @@ an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,9 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
 from .common import byte_values, column, prefix_hash, slices, span_hash, string_parts
 
-PER_CLASS, MIN_DOCS, MAX_VOCABULARY = 1500, 3, 60_000
+MIN_DOCS, MAX_VOCABULARY = 3, 60_000  # numbers of words fit 16 bits
+#: Rows fitted in one place and rows of a shard; parts of a shard's rows, each followed by an average; visits of rows
+#: that a small shard is run through again for; calibration steps of a logit and their greatest number.
+LOCAL_ROWS, SHARD_ROWS, ROUNDS, VISITS, STEPS, TOP = 3_000, 32_000, 4, 45_000, 1024, 1 << 16
 WIDTHS, FILTERS, DIM, STEM, MEMBERS = (1, 2, 3), 12, 16, 6, 3
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -115,11 +125,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str], seed: int =
     docs = [ids_of(vocab, t) for t in texts]
     perm = np.random.default_rng(seed).permutation(len(docs))
     hold, fit = perm[:len(docs) // 5], perm[len(docs) // 5:]
-    parts = [_fitted(docs, y, fit, len(vocab), np.random.default_rng([seed, i]), epochs) for i in range(MEMBERS)]
-    # The members side by side: filters of all, their output weights divided by the number of members.
-    tables = {w: [np.concatenate([p["E"] @ p[f"W{w}"][j] for p in parts], axis=1) for j in range(w)] for w in WIDTHS}
-    out = np.concatenate([p["v"].reshape(len(WIDTHS), FILTERS)[i] for i in range(len(WIDTHS)) for p in parts]) / MEMBERS
-    model = Model(vocab, tables, {w: np.concatenate([p[f"c{w}"] for p in parts]) for w in WIDTHS}, out, float(np.mean([p["b"][0] for p in parts])))
+    model = _joined(vocab, [_fitted(docs, y, fit, len(vocab), np.random.default_rng([seed, i]), epochs) for i in range(MEMBERS)])
     first = np.concatenate([[0], np.cumsum([len(texts[i]) for i in hold])])
     z = model.logits(np.concatenate([texts[i] for i in hold]) if len(hold) else np.zeros((0, 2), np.uint64), first)
     model.cut = _best_cut(z, y[hold])
@@ -131,20 +137,35 @@ def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str], seed: int =
     return model
 
 
-def _fitted(docs: list[np.ndarray], y: np.ndarray, fit: np.ndarray, n_words: int, rng: np.random.Generator, epochs: int) -> dict[str, np.ndarray]:
-    """Parameters of one member, by Adam on batches of 32 texts."""
+def _joined(vocab: np.ndarray, parts: list[dict[str, np.ndarray]]) -> Model:
+    """The members side by side: filters of all, their output weights divided by the number of members."""
+    tables = {w: [np.concatenate([p["E"] @ p[f"W{w}"][j] for p in parts], axis=1) for j in range(w)] for w in WIDTHS}
+    out = np.concatenate([p["v"].reshape(len(WIDTHS), FILTERS)[i] for i in range(len(WIDTHS)) for p in parts]) / MEMBERS
+    return Model(vocab, tables, {w: np.concatenate([p[f"c{w}"] for p in parts]) for w in WIDTHS}, out, float(np.mean([p["b"][0] for p in parts])))
+
+
+def _start(n_words: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     p = {"E": rng.normal(0, 0.3, (n_words + 1, DIM)), "v": rng.normal(0, 0.3, FILTERS * len(WIDTHS)), "b": np.zeros(1)}
     for w in WIDTHS:
         p[f"W{w}"] = rng.normal(0, 0.5 / np.sqrt(w), (w, DIM, FILTERS))
         p[f"c{w}"] = np.zeros(FILTERS)
     p = {k: x.astype(np.float32) for k, x in p.items()}
-    m, s, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     p["E"][0] = 0
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    return p
+
+
+def _fitted(docs: list[np.ndarray], y: np.ndarray, fit: np.ndarray, n_words: int, rng: np.random.Generator, epochs: int,
+            p: dict[str, np.ndarray] | None = None, classes: tuple[int, int] | None = None, batch: int = 32, slow: int = 4) -> dict[str, np.ndarray]:
+    """Parameters of one member, by Adam on batches of texts, from ``p`` or a random start; ``classes``: rows of each class
+    (of ``y`` by default); the last ``slow`` epochs take smaller steps."""
+    p = _start(n_words, rng) if p is None else p
+    m, s, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+    n0, n1 = classes or ((y == 0).sum(), (y == 1).sum())
+    weight = np.where(y == 1, 0.5 / max(1, n1), 0.5 / max(1, n0)) * (n0 + n1)
     for epoch in range(epochs):
         fit = rng.permutation(fit)
-        for at in range(0, len(fit), 32):
-            rows = fit[at:at + 32]
+        for at in range(0, len(fit), batch):
+            rows = fit[at:at + batch]
             first = np.concatenate([[0], np.cumsum([len(docs[i]) for i in rows])])
             t, start, between = _laid_out(np.concatenate([docs[i] for i in rows]), first)
             last, e, saved, feats = len(t) - (max(WIDTHS) - 1), p["E"][t].sum(1), [], []
@@ -177,7 +198,7 @@ def _fitted(docs: list[np.ndarray], y: np.ndarray, fit: np.ndarray, n_words: int
                         np.add.at(grads["E"], word[..., kind], ge)
             grads["E"] += 2e-6 * p["E"]
             step += 1
-            rate = 0.01 * min(1, step / 50) * (0.3 if epoch >= epochs - 4 else 1)
+            rate = 0.01 * min(1, step / 50) * (0.3 if epoch >= epochs - slow else 1)
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * grads[k]
                 s[k] = 0.999 * s[k] + 0.001 * grads[k] ** 2
@@ -202,16 +223,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model | None:
-    """A model from labelled rows that are not held out; None if a class has no rows."""
-    named = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null").filter(~held_out("_id"))
-    spread = F.xxhash64(F.lit("train"), "_id")
-    # At most 2 * per_class small rows: a bounded broadcast.
-    chosen = [named.filter(F.col("_y") == c).distinct().orderBy(spread, "_id").limit(per_class) for c in (0, 1)]
-    ids = chosen[0].unionAll(chosen[1]).groupBy("_id").agg(F.max("_y").alias("_y"))
-    rows = documents.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int | None = None) -> Model | None:
+    """A model from all labelled rows that are not held out (with ``per_class``: so many of each class, those of smallest
+    id hash); None if a class has no rows."""
+    named = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").filter(~held_out("_id"))
+    if per_class is not None:
+        spread = F.xxhash64(F.lit("train"), "_id")
+        chosen = [named.filter(F.col("_y") == c).distinct().orderBy(spread, "_id").limit(per_class) for c in (0, 1)]
+        named = chosen[0].unionAll(chosen[1])
+    ids = named.groupBy("_id").agg(F.max("_y").alias("_y"))
+    rows = documents.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")).filter(~held_out()).join(ids, F.col("doc_id") == F.col("_id"))
     rows = rows.groupBy("doc_id", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), "text", "lang")).alias("_r")).select(
         "doc_id", "_r.text", "_r.lang", "_y")
+    folder = f"{ensure_checkpoint_dir(documents.sparkSession).rstrip('/')}/toxicity-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/rows")
+    rows = documents.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
+    if rows.count() > LOCAL_ROWS:
+        return _fit_shards(rows, folder)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -220,7 +248,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
             yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "lang"), column(part, "_y"), pa.array(raw, pa.binary())],
                                              names=["doc_id", "lang", "_y", "w"])
 
-    got = rows.mapInArrow(words, "doc_id long, lang string, _y int, w binary").collect()
+    got = rows.mapInArrow(words, "doc_id long, lang string, _y int, w binary").collect()  # at most LOCAL_ROWS
     got = sorted(((r.doc_id, r.w, r.lang, r["_y"]) for r in got), key=lambda r: r[0])
     y = np.array([r[3] for r in got], np.int64)
     if not 0 < y.sum() < len(y):
@@ -228,6 +256,123 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
     return train([np.frombuffer(bytes(r[1]), np.uint64).reshape(-1, 2) for r in got], y, [r[2] for r in got])
 
 
+def vocabulary(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes of the ``MAX_VOCABULARY`` words and stems of most texts, each of ``MIN_DOCS`` at least."""
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            h, first = hashed_words(*string_parts(column(part, "text")))
+            doc = np.repeat(np.arange(part.num_rows), 2 * np.diff(first))
+            flat = h.ravel()
+            by = np.lexsort((flat, doc))
+            flat, doc = flat[by], doc[by]
+            new = np.ones(len(flat), bool)
+            new[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
+            word, df = np.unique(flat[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(df)], names=["w", "df"])
+
+    found = rows.select("text").mapInArrow(counts, "w long, df long").groupBy("w").agg(F.sum("df").alias("df")).filter(F.col("df") >= MIN_DOCS)
+    # Of equal counts, the smallest unsigned hashes.
+    top = found.orderBy(F.desc("df"), F.col("w").bitwiseXOR(F.lit(-(1 << 63)))).limit(MAX_VOCABULARY).select("w").toArrow()
+    return np.sort(top.column("w").to_numpy().view(np.uint64))
+
+
+def _fit_shards(rows: DataFrame, folder: str, seed: int = 11) -> Model | None:
+    """The model of any number of rows (doc_id, text, lang, _y); only bounded tables reach the driver."""
+    spark = rows.sparkSession
+    vocab = vocabulary(rows)
+    shared = spark.sparkContext.broadcast(vocab)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            h, first = hashed_words(*string_parts(column(part, "text")))
+            ids = ids_of(shared.value, h).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "lang"), column(part, "_y"), pa.array(
+                [ids[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["doc_id", "lang", "_y", "w"])
+
+    kind = "doc_id long, lang string, _y int, w binary"
+    part = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.lit(n)).cast("int")
+    rows.mapInArrow(numbered, kind).withColumn("_hold", part("hold", 5) == 0).write.parquet(f"{folder}/numbered")
+    data = spark.read.schema(f"{kind}, _hold boolean").parquet(f"{folder}/numbered")
+    sizes = {(r["_hold"], r["_y"]): r["count"] for r in data.groupBy("_hold", "_y").count().collect()}
+    classes = sizes.get((False, 0), 0), sizes.get((False, 1), 0)
+    if not all(classes):
+        return None
+    shards = -(-sum(classes) // SHARD_ROWS)
+    rounds = 1 if shards == 1 else ROUNDS
+    epochs = max(1, min(14, -(-VISITS * shards // sum(classes))))
+    dealt = data.filter("not _hold").select("doc_id", "_y", "w", part("shard", shards).alias("_shard"), part("round", rounds).alias("_round"))
+
+    def member(i: int) -> dict[str, np.ndarray]:
+        p = _start(len(vocab), np.random.default_rng([seed, i]))
+        shapes = {k: x.shape for k, x in p.items()}
+        unpacked = lambda flat: dict(zip(shapes, (x.reshape(z) for x, z in zip(
+            np.split(flat, np.cumsum([int(np.prod(z)) for z in shapes.values()])[:-1]), shapes.values()))))
+        for r in range(rounds):
+            sent = spark.sparkContext.broadcast(np.concatenate([x.ravel() for x in p.values()]))
+
+            def shard(t: pa.Table) -> pa.Table:
+                t = t.sort_by("doc_id")
+                docs = [np.frombuffer(x, np.uint16).reshape(-1, 2).astype(np.int64) for x in t.column("w").to_pylist()]
+                y, number = t.column("_y").to_numpy(), t.column("_shard")[0].as_py()
+                fitted = _fitted(docs, y, np.arange(len(y)), len(vocab), np.random.default_rng([seed, i, r, number]), epochs,
+                                 unpacked(sent.value.copy()), classes, 64 if shards > 1 else 32,
+                                 -(-epochs * 4 // 14) if rounds == 1 else epochs * (r + 1 == rounds))
+                flat = np.concatenate([x.ravel() for x in fitted.values()]).astype(np.float32)
+                at = range(0, len(flat), 1 << 16)
+                return pa.table({"at": pa.array(list(at), pa.int64()), "n": pa.array([len(y)] * len(at), pa.int64()),
+                                 "x": pa.array([flat[a:a + (1 << 16)].tobytes() for a in at], pa.binary())})
+
+            def mean(t: pa.Table) -> pa.Table:
+                n = t.column("n").to_numpy().astype(np.float64)
+                x = sum(k * np.frombuffer(v.as_py(), np.float32) for k, v in zip(n, t.column("x"))) / n.sum()
+                return pa.table({"at": t.column("at")[:1], "x": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
+
+            got = (dealt.filter(F.col("_round") == r).groupBy("_shard").applyInArrow(shard, "at long, n long, x binary")
+                   .groupBy("at").applyInArrow(mean, "at long, x binary").collect())  # the parameters of one member
+            if got:
+                p = unpacked(np.concatenate([np.frombuffer(bytes(g.x), np.float32) for g in sorted(got, key=lambda g: g["at"])]))
+        return p
+
+    with ThreadPoolExecutor(max_workers=MEMBERS) as pool:
+        model = _joined(vocab, list(pool.map(member, range(MEMBERS))))
+    _calibrate(model, data.filter("_hold"))
+    return model
+
+
+def _calibrate(model: Model, held: DataFrame) -> None:
+    """Decision points from the logits of all rows kept aside, as counts of steps."""
+    shared = held.sparkSession.sparkContext.broadcast((model.tables, model.bias, model.out, model.shift))
+
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, bias, out, shift = shared.value
+        for part in slices(batches, "w", 1 << 20):
+            raw, first = string_parts(column(part, "w"))
+            z = pooled(np.frombuffer(raw.tobytes(), np.uint16).reshape(-1, 2).astype(np.int64), first // 4, tables, bias) @ out + shift
+            step = np.clip(np.round(z * STEPS), -TOP, TOP).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([column(part, "lang"), column(part, "_y"), pa.array(step)], names=["lang", "_y", "z"])
+
+    got = held.select("lang", "_y", "w").mapInArrow(logits, "lang string, _y int, z long").groupBy("lang", "z").agg(
+        F.count_if(F.col("_y") == 0).alias("n0"), F.count_if(F.col("_y") == 1).alias("n1")).toArrow()  # bounded by languages and steps
+    lang, z = np.array(got.column("lang").to_pylist(), dtype=object), got.column("z").to_numpy() / STEPS
+    n0, n1 = got.column("n0").to_numpy(), got.column("n1").to_numpy()
+    model.cut = _best_step(z, n0, n1)
+    for name in sorted(set(lang)):
+        at = lang == name
+        both = n0[at].sum() > 0 and n1[at].sum() > 0
+        model.thresholds[name] = float(1 / (1 + np.exp(-(_best_step(z[at], n0[at], n1[at]) - model.cut)))) if both else 0.5
+
+
+def _best_step(z: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> float:
+    """``_best_cut`` from counts of each class at logits that may repeat."""
+    zs, back = np.unique(z, return_inverse=True)
+    n0, n1 = np.bincount(back, n0, len(zs)), np.bincount(back, n1, len(zs))
+    if not (n0.sum() and n1.sum()) or len(zs) < 2:
+        return 0.0
+    right = (np.cumsum(n0) / n0.sum() + (n1.sum() - np.cumsum(n1)) / n1.sum())[:-1]
+    at = np.lexsort((np.diff(zs), right))[-1]
+    return float((zs[at] + zs[at + 1]) / 2)
+
+
 def score(documents: DataFrame, model: Model | None, text: str = "text", lang: str = "lang") -> DataFrame:
     """``documents`` without the text, and score, predicted, lang_threshold, flagged (score >= the language's threshold)."""
     names = ("score", "predicted", "lang_threshold", "flagged")

@@ -225,6 +225,26 @@ def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
     assert got == [(2, 0), (2, 0), (4502, 1)]
 
 
+def test_toxicity_takes_every_labelled_row(spark, monkeypatch):
+    """No class is cut to a number of rows, in one place or in shards; the sharded model learns what all shards hold."""
+    ids = [i for i in range(2200) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, "calm day here" if i % 4 else "calm awful here", "en") for i in ids], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in ids], "doc_id long, toxic int")
+    got = []
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "train", lambda texts, y, langs: got.extend(y))
+        toxicity.fit(docs, labels)
+    assert len(ids) > 1700 and len(got) == len(ids) and sum(got) == sum(i % 4 == 0 for i in ids)
+    monkeypatch.setattr(toxicity, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 500)
+    seen = []
+    fitted = toxicity._best_step
+    monkeypatch.setattr(toxicity, "_best_step", lambda z, n0, n1: (seen.append((n0.sum(), n1.sum())), fitted(z, n0, n1))[1])
+    model = toxicity.fit(docs, labels)
+    assert len(model.vocabulary) == 8 and 300 < sum(seen[0]) < 420  # a fifth is kept aside, all of it calibrates
+    assert all((r.predicted == 1) == (r.doc_id % 4 == 0) for r in toxicity.score(docs, model).collect())
+
+
 def test_toxicity_filters_naive():
     """Convolution and pooling against a word-by-word computation; an empty text counts as one word without a vector."""
     r = np.random.default_rng(4)
