@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from retainlens.llm import jaccard, packing, pii, quality, substring_dedup
 from retainlens.llm.common import documents
 from retainlens.llm.queries import tokenizer_file
-from retainlens.session import ensure_checkpoint_dir
+from retainlens.session import ensure_checkpoint_dir, release
 
 
 def _resized(docs: DataFrame) -> DataFrame:
@@ -62,4 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.mode("errorifexists").parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        release(spark)  # the next stage reads only what was written
     return docs

@@ -30,7 +30,6 @@ component of its class, and null if nothing there has an id; an empty table give
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import release
 from .common import U64, aside, byte_values, column, cut, mix, prefix_hash, signed, slices, span_hash, string_parts, word_spans
 
 RARE, LEAST_FREQUENT, BLOCK, STAR, BITS, TILE_BITS, FILTER_BITS = 500, 32, 2048, 256, 1024, 1024, 1 << 24
@@ -419,13 +419,6 @@ def _tile_pairs(banded: DataFrame, signatures: DataFrame, num: int, den: int, mo
     return near.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def _release(df: DataFrame) -> None:
-    """Lets Spark remove the shuffle files and checkpoints of tables that nothing refers to any more: it does so when the
-    driver collects its garbage, by itself perhaps only after the whole join."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """(t, c, comp, n2): the rows with the components found so far."""
     return rows.select("t", "c", "n2").join(comp, "c", "left").select("t", "c", F.coalesce("comp", "c").alias("comp"), "n2")
@@ -442,7 +435,7 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, te
     stats = cut(grams.groupBy("t").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a <> z").select("t", "a"))
     shared = cut(grams.join(stats, "t").distinct())
     del grams, stats
-    _release(shared)
+    release(df.sparkSession)
     star = shared.filter("c <> a").select("a", F.col("c").alias("b")).distinct()
     found = cut(_verified(cut(_plausible(star, classes, num, den)), classes, src, n, num, den))
     comp = cut(components(found))
@@ -457,7 +450,7 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, te
         found = cut(found.unionAll(_verified(late, classes, src, n, num, den)))
         comp = cut(components(found))
         del live, late
-        _release(comp)
+        release(df.sparkSession)
     own = rows.join(comp, "c", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "c")))
     least = cut(own.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     return own.join(least, "comp", "left").select(

@@ -72,3 +72,20 @@ def test_roles(spark, sf):
     X_, y = C.split_xy(subs, rnum)
     assert X_.columns == rnum and y.columns == ["Churn"]
     assert "Churn" not in C.drop_target_id(subs).columns
+
+
+def test_release_drops_shuffle_files_of_finished_work(spark):
+    """Shuffle files of tables that nothing refers to go away between the stages of a long job."""
+    import time
+
+    from retainlens.session import release
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    spark.range(1000).repartition(7).count()
+    files = lambda: sum(1 for b in manager.getAllBlocks().mkString("\n").split("\n") if b.startswith("shuffle_") and b.endswith(".data"))
+    made = files()
+    for _ in range(20):
+        release(spark)
+        if files() < made:
+            break
+        time.sleep(0.5)
+    assert files() < made
