@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, release
 from .common import byte_values, column, prefix_hash, slices, span_hash, string_parts
 
 MIN_DOCS, MAX_VOCABULARY = 3, 60_000  # numbers of words fit 16 bits
@@ -238,6 +238,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
     folder = f"{ensure_checkpoint_dir(documents.sparkSession).rstrip('/')}/toxicity-{uuid.uuid4().hex}"
     rows.write.parquet(f"{folder}/rows")
     rows = documents.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
+    release(documents.sparkSession)  # the exchange of the texts
     if rows.count() > LOCAL_ROWS:
         return _fit_shards(rows, folder)
 
