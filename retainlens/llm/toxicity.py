@@ -330,6 +330,7 @@ def _fit_shards(rows: DataFrame, folder: str, seed: int = 11) -> Model | None:
 
             got = (dealt.filter(F.col("_round") == r).groupBy("_shard").applyInArrow(shard, "at long, n long, x binary")
                    .groupBy("at").applyInArrow(mean, "at long, x binary").collect())  # the parameters of one member
+            sent.destroy()
             if got:
                 p = unpacked(np.concatenate([np.frombuffer(bytes(g.x), np.float32) for g in sorted(got, key=lambda g: g["at"])]))
         return p
@@ -354,6 +355,7 @@ def _calibrate(model: Model, held: DataFrame) -> None:
 
     got = held.select("lang", "_y", "w").mapInArrow(logits, "lang string, _y int, z long").groupBy("lang", "z").agg(
         F.count_if(F.col("_y") == 0).alias("n0"), F.count_if(F.col("_y") == 1).alias("n1")).toArrow()  # bounded by languages and steps
+    shared.destroy()  # every executor holds the tables on disk
     lang, z = np.array(got.column("lang").to_pylist(), dtype=object), got.column("z").to_numpy() / STEPS
     n0, n1 = got.column("n0").to_numpy(), got.column("n1").to_numpy()
     model.cut = _best_step(z, n0, n1)
