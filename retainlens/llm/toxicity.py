@@ -13,6 +13,8 @@ Training takes every labelled row that is not held out, each whole, and one text
 (that of least hash); scoring reads every text whole. Up to ``LOCAL_ROWS`` rows are fitted in one place.
 More are written as word numbers and dealt to shards of about ``SHARD_ROWS``: in each round every shard
 fits from the same parameters on a part of its rows, and the parameters are averaged, weighted by rows.
+All members read one exchange of a round's rows, and its files are released before the next round. Texts
+without a label are left out before the join, as far as a bounded bitmap of the ids tells.
 All rows set the vocabulary and the class weights, and all that are kept aside (a fifth) the decision
 points, from counts of logits in steps of 1 / ``STEPS``. The size of the model is bounded: the
 ``MAX_VOCABULARY`` words and stems of most training texts have embeddings.
@@ -25,9 +27,9 @@ an empty result.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir, release
-from .common import byte_values, column, prefix_hash, slices, span_hash, string_parts
+from .common import byte_values, column, may_match, prefix_hash, slices, span_hash, string_parts
 
 MIN_DOCS, MAX_VOCABULARY = 3, 60_000  # numbers of words fit 16 bits
 #: Rows fitted in one place and rows of a shard; parts of a shard's rows, each followed by an average; visits of rows
@@ -70,13 +72,24 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 @dataclass
 class Model:
     vocabulary: np.ndarray                    # sorted hashes; embedding row i + 1
-    tables: dict[int, list[np.ndarray]]       # per width and place: response of each embedding row
-    bias: dict[int, np.ndarray]
+    parts: list[dict[str, np.ndarray]]        # parameters of each member
     out: np.ndarray
     shift: float
     thresholds: dict[str, float] = field(default_factory=dict)
     cut: float = 0.0
 
+    @cached_property
+    def tables(self) -> dict[int, list[np.ndarray]]:
+        """Per width and place, the response of each embedding row: some times larger than ``parts``, so never sent."""
+        return {w: [np.concatenate([p["E"] @ p[f"W{w}"][j] for p in self.parts], axis=1) for j in range(w)] for w in WIDTHS}
+
+    @cached_property
+    def bias(self) -> dict[int, np.ndarray]:
+        return {w: np.concatenate([p[f"c{w}"] for p in self.parts]) for w in WIDTHS}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("tables", "bias")}
+
     def logits(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         n = len(first) - 1
         tok = ids_of(self.vocabulary, hashes)
@@ -139,9 +152,8 @@ def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str], seed: int =
 
 def _joined(vocab: np.ndarray, parts: list[dict[str, np.ndarray]]) -> Model:
     """The members side by side: filters of all, their output weights divided by the number of members."""
-    tables = {w: [np.concatenate([p["E"] @ p[f"W{w}"][j] for p in parts], axis=1) for j in range(w)] for w in WIDTHS}
     out = np.concatenate([p["v"].reshape(len(WIDTHS), FILTERS)[i] for i in range(len(WIDTHS)) for p in parts]) / MEMBERS
-    return Model(vocab, tables, {w: np.concatenate([p[f"c{w}"] for p in parts]) for w in WIDTHS}, out, float(np.mean([p["b"][0] for p in parts])))
+    return Model(vocab, parts, out, float(np.mean([p["b"][0] for p in parts])))
 
 
 def _start(n_words: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -232,11 +244,13 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
         chosen = [named.filter(F.col("_y") == c).distinct().orderBy(spread, "_id").limit(per_class) for c in (0, 1)]
         named = chosen[0].unionAll(chosen[1])
     ids = named.groupBy("_id").agg(F.max("_y").alias("_y"))
-    rows = documents.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")).filter(~held_out()).join(ids, F.col("doc_id") == F.col("_id"))
+    rows = documents.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")).filter(~held_out())
+    one_type = lambda c: [F.col(c).try_cast("long")]
+    rows = may_match(rows, one_type("doc_id"), named, one_type("_id")).filter("_may").join(ids, F.col("doc_id") == F.col("_id"))
     rows = rows.groupBy("doc_id", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), "text", "lang")).alias("_r")).select(
         "doc_id", "_r.text", "_r.lang", "_y")
     folder = f"{ensure_checkpoint_dir(documents.sparkSession).rstrip('/')}/toxicity-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{folder}/rows")
+    rows.write.option("compression", "zstd").parquet(f"{folder}/rows")
     rows = documents.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
     release(documents.sparkSession)  # the exchange of the texts
     if rows.count() > LOCAL_ROWS:
@@ -292,7 +306,7 @@ def _fit_shards(rows: DataFrame, folder: str, seed: int = 11) -> Model | None:
 
     kind = "doc_id long, lang string, _y int, w binary"
     part = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.lit(n)).cast("int")
-    rows.mapInArrow(numbered, kind).withColumn("_hold", part("hold", 5) == 0).write.parquet(f"{folder}/numbered")
+    rows.mapInArrow(numbered, kind).withColumn("_hold", part("hold", 5) == 0).write.option("compression", "zstd").parquet(f"{folder}/numbered")
     data = spark.read.schema(f"{kind}, _hold boolean").parquet(f"{folder}/numbered")
     sizes = {(r["_hold"], r["_y"]): r["count"] for r in data.groupBy("_hold", "_y").count().collect()}
     classes = sizes.get((False, 0), 0), sizes.get((False, 1), 0)
@@ -303,59 +317,73 @@ def _fit_shards(rows: DataFrame, folder: str, seed: int = 11) -> Model | None:
     epochs = max(1, min(14, -(-VISITS * shards // sum(classes))))
     dealt = data.filter("not _hold").select("doc_id", "_y", "w", part("shard", shards).alias("_shard"), part("round", rounds).alias("_round"))
 
-    def member(i: int) -> dict[str, np.ndarray]:
-        p = _start(len(vocab), np.random.default_rng([seed, i]))
-        shapes = {k: x.shape for k, x in p.items()}
-        unpacked = lambda flat: dict(zip(shapes, (x.reshape(z) for x, z in zip(
-            np.split(flat, np.cumsum([int(np.prod(z)) for z in shapes.values()])[:-1]), shapes.values()))))
-        for r in range(rounds):
-            sent = spark.sparkContext.broadcast(np.concatenate([x.ravel() for x in p.values()]))
-
-            def shard(t: pa.Table) -> pa.Table:
-                t = t.sort_by("doc_id")
-                docs = [np.frombuffer(x, np.uint16).reshape(-1, 2).astype(np.int64) for x in t.column("w").to_pylist()]
-                y, number = t.column("_y").to_numpy(), t.column("_shard")[0].as_py()
-                fitted = _fitted(docs, y, np.arange(len(y)), len(vocab), np.random.default_rng([seed, i, r, number]), epochs,
-                                 unpacked(sent.value.copy()), classes, 64 if shards > 1 else 32,
-                                 -(-epochs * 4 // 14) if rounds == 1 else epochs * (r + 1 == rounds))
-                flat = np.concatenate([x.ravel() for x in fitted.values()]).astype(np.float32)
-                at = range(0, len(flat), 1 << 16)
-                return pa.table({"at": pa.array(list(at), pa.int64()), "n": pa.array([len(y)] * len(at), pa.int64()),
-                                 "x": pa.array([flat[a:a + (1 << 16)].tobytes() for a in at], pa.binary())})
-
-            def mean(t: pa.Table) -> pa.Table:
-                n = t.column("n").to_numpy().astype(np.float64)
-                x = sum(k * np.frombuffer(v.as_py(), np.float32) for k, v in zip(n, t.column("x"))) / n.sum()
-                return pa.table({"at": t.column("at")[:1], "x": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
-
-            got = (dealt.filter(F.col("_round") == r).groupBy("_shard").applyInArrow(shard, "at long, n long, x binary")
-                   .groupBy("at").applyInArrow(mean, "at long, x binary").collect())  # the parameters of one member
-            sent.destroy()
-            if got:
-                p = unpacked(np.concatenate([np.frombuffer(bytes(g.x), np.float32) for g in sorted(got, key=lambda g: g["at"])]))
-        return p
-
-    with ThreadPoolExecutor(max_workers=MEMBERS) as pool:
-        model = _joined(vocab, list(pool.map(member, range(MEMBERS))))
+    p = [_start(len(vocab), np.random.default_rng([seed, i])) for i in range(MEMBERS)]
+    shapes = {k: x.shape for k, x in p[0].items()}
+    packed = lambda p: np.concatenate([x.ravel() for x in p.values()]).astype(np.float32)
+    unpacked = lambda flat: dict(zip(shapes, (x.reshape(z) for x, z in zip(
+        np.split(flat, np.cumsum([int(np.prod(z)) for z in shapes.values()])[:-1]), shapes.values()))))
+    for r in range(rounds):
+        release(spark)  # the exchanges before this round
+        sent = spark.sparkContext.broadcast([packed(x) for x in p])
+        for i, flat in _round(dealt.filter(F.col("_round") == r).drop("_round"), lambda t, i: packed(_fitted(
+                *_shard_rows(t), len(vocab), np.random.default_rng([seed, i, r, t.column("_shard")[0].as_py()]), epochs,
+                unpacked(sent.value[i].copy()), classes, 64 if shards > 1 else 32,
+                -(-epochs * 4 // 14) if rounds == 1 else epochs * (r + 1 == rounds)))).items():
+            p[i] = unpacked(flat)
+        sent.destroy()
+    model = _joined(vocab, p)
+    release(spark)
     _calibrate(model, data.filter("_hold"))
     return model
 
 
+def _shard_rows(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Word numbers, labels and row numbers of a shard, by doc_id."""
+    t = t.sort_by("doc_id")
+    return [np.frombuffer(x, np.uint16).reshape(-1, 2).astype(np.int64) for x in t.column("w").to_pylist()], t.column("_y").to_numpy(), np.arange(t.num_rows)
+
+
+def _members(dealt: DataFrame, fitted: Callable[[pa.Table, int], np.ndarray]) -> DataFrame:
+    """Parameters that each member has from each shard, averaged by rows (member, at, x). All members are branches of one
+    query over the same exchange, which is written once."""
+    def branch(i: int) -> DataFrame:
+        def shard(t: pa.Table) -> pa.Table:
+            flat = fitted(t, i)
+            at = range(0, len(flat), 1 << 16)
+            return pa.table({"member": pa.array([i] * len(at), pa.int32()), "at": pa.array(list(at), pa.int64()), "n": pa.array([t.num_rows] * len(at), pa.int64()),
+                             "x": pa.array([flat[a:a + (1 << 16)].tobytes() for a in at], pa.binary())})
+
+        return dealt.groupBy("_shard").applyInArrow(shard, "member int, at long, n long, x binary")
+
+    def mean(t: pa.Table) -> pa.Table:
+        n = t.column("n").to_numpy().astype(np.float64)
+        x = sum(k * np.frombuffer(v.as_py(), np.float32) for k, v in zip(n, t.column("x"))) / n.sum()
+        return pa.table({"member": t.column("member")[:1], "at": t.column("at")[:1], "x": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
+
+    return reduce(DataFrame.unionAll, map(branch, range(MEMBERS))).groupBy("member", "at").applyInArrow(mean, "member int, at long, x binary")
+
+
+def _round(dealt: DataFrame, fitted: Callable[[pa.Table, int], np.ndarray]) -> dict[int, np.ndarray]:
+    """The averaged parameters of each member; none, where no rows are dealt."""
+    got = sorted(_members(dealt, fitted).collect(), key=lambda g: (g.member, g["at"]))
+    return {i: np.concatenate([np.frombuffer(bytes(g.x), np.float32) for g in got if g.member == i]) for i in {g.member for g in got}}
+
+
 def _calibrate(model: Model, held: DataFrame) -> None:
     """Decision points from the logits of all rows kept aside, as counts of steps."""
-    shared = held.sparkSession.sparkContext.broadcast((model.tables, model.bias, model.out, model.shift))
+    shared = held.sparkSession.sparkContext.broadcast(model)
 
     def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, bias, out, shift = shared.value
+        m = shared.value
         for part in slices(batches, "w", 1 << 20):
             raw, first = string_parts(column(part, "w"))
-            z = pooled(np.frombuffer(raw.tobytes(), np.uint16).reshape(-1, 2).astype(np.int64), first // 4, tables, bias) @ out + shift
+            z = pooled(np.frombuffer(raw.tobytes(), np.uint16).reshape(-1, 2).astype(np.int64), first // 4, m.tables, m.bias) @ m.out + m.shift
             step = np.clip(np.round(z * STEPS), -TOP, TOP).astype(np.int64)
             yield pa.RecordBatch.from_arrays([column(part, "lang"), column(part, "_y"), pa.array(step)], names=["lang", "_y", "z"])
 
     got = held.select("lang", "_y", "w").mapInArrow(logits, "lang string, _y int, z long").groupBy("lang", "z").agg(
         F.count_if(F.col("_y") == 0).alias("n0"), F.count_if(F.col("_y") == 1).alias("n1")).toArrow()  # bounded by languages and steps
-    shared.destroy()  # every executor holds the tables on disk
+    shared.destroy()
     lang, z = np.array(got.column("lang").to_pylist(), dtype=object), got.column("z").to_numpy() / STEPS
     n0, n1 = got.column("n0").to_numpy(), got.column("n1").to_numpy()
     model.cut = _best_step(z, n0, n1)

@@ -1,3 +1,4 @@
+import os
 import re
 
 import pytest
@@ -6,6 +7,12 @@ WORD = re.compile("[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def shuffle_files(spark):
+    """Size of each shuffle data file on this machine's disk."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {f: os.path.getsize(f) for f in found if f.endswith(".data") and os.path.basename(f).startswith("shuffle_") and os.path.exists(f)}
+
+
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
