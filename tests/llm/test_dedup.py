@@ -5,9 +5,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from .conftest import WORD
+from .conftest import WORD, shuffle_files
 from retainlens.llm import jaccard, substring_dedup, suffix_dedup
+from retainlens.llm.common import may_match
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -168,6 +170,35 @@ def test_tiles_find_cross_component_pairs(spark):
     assert want and want <= got
 
 
+def test_suffix_dedup_disk(spark, monkeypatch, tmp_path):
+    """Texts without a copy enter no exchange, whatever their number; those with one keep their result."""
+    r = random.Random(9)
+    passage = r.randbytes(300).hex()
+    rows = [(i, r.randbytes(10_000).hex()) for i in range(300)] + [(300 + i, r.randbytes(200).hex() + passage + r.randbytes(200).hex()) for i in range(6)]
+    rows += [(400, None), (None, rows[300][1]), (300, rows[300][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(suffix_dedup, "release", lambda spark: None, raising=False)
+    before = shuffle_files(spark)
+    got = suffix_dedup.dedup(df, 400, "none").select("doc_id", "n_bytes", "n_removed").collect()
+    written = sum(n for f, n in shuffle_files(spark).items() if f not in before)
+    assert len(got) == 309 and written < 0.2 * sum(len(t or "") for _, t in rows)
+    assert all(x.n_removed == 0 for x in got if x.doc_id is not None and (x.doc_id < 300 or x.doc_id == 400))
+    removed = sorted(x.n_removed for x in got if x.doc_id is None or 300 <= x.doc_id < 400)
+    assert removed[5:] == [1400] * 3 and all(600 <= n < 610 for n in removed[:5])  # some more where two go on alike by chance
+
+
+def test_may_match(spark):
+    """No row with a partner is left out, nulls included; few others pass."""
+    keys = spark.range(0, 3000, 3).select(F.when(F.col("id") > 0, F.col("id")).alias("a"), (F.col("id") % 7).alias("b")).repartition(5)
+    df = spark.range(0, 30_000).select(F.when(F.col("id") > 0, F.col("id")).alias("a"), (F.col("id") % 7).alias("b"), "id")
+    got = may_match(df, [F.col("a"), F.col("b")], keys, [F.col("a"), F.col("b")])
+    assert got.columns == ["a", "b", "id", "_may"]
+    may = {x.id for x in got.filter("_may").collect()}
+    assert may >= set(range(0, 3000, 3)) and len(may) < 1050 and got.filter("not _may").count() == 30_000 - len(may)
+    assert not may_match(df, [F.col("a")], keys.limit(0), [F.col("a")]).filter("_may").count()
+
+
 def test_odd_rows(spark, odd, empty):
     kept = substring_dedup.dedup(odd, window=50)
     assert kept.columns == odd.columns
