@@ -44,6 +44,7 @@ MIN_DOCS, MAX_VOCABULARY = 3, 60_000  # numbers of words fit 16 bits
 #: Rows fitted in one place and rows of a shard; parts of a shard's rows, each followed by an average; visits of rows
 #: that a small shard is run through again for; calibration steps of a logit and their greatest number.
 LOCAL_ROWS, SHARD_ROWS, ROUNDS, VISITS, STEPS, TOP = 3_000, 32_000, 4, 45_000, 1024, 1 << 16
+POOLED_WORDS = 4096
 WIDTHS, FILTERS, DIM, STEM, MEMBERS = (1, 2, 3), 12, 16, 6, 3
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -116,18 +117,25 @@ def _laid_out(tok: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def pooled(tok: np.ndarray, first: np.ndarray, tables, bias) -> np.ndarray:
-    """Max-pooled, rectified responses (texts x filters)."""
-    t, start, between = _laid_out(tok, first)
-    last = len(t) - (max(WIDTHS) - 1)
-    out = []
-    for w in WIDTHS:
-        r = tables[w][0][t[:last, 0]] + tables[w][0][t[:last, 1]]
-        for j in range(1, w):
-            r += tables[w][j][t[j:last + j, 0]]
-            r += tables[w][j][t[j:last + j, 1]]
-        r[between] = -np.inf
-        out.append(np.maximum(np.maximum.reduceat(r, start, axis=0) + bias[w], 0))
-    return np.concatenate(out, axis=1)
+    """Max-pooled, rectified responses (texts x filters), some texts of about ``POOLED_WORDS`` words at a time, so that
+    what is added stays in the processor's cache."""
+    rows, at = [], 0
+    while at < len(first) - 1:
+        end = max(at + 1, int(np.searchsorted(first, first[at] + POOLED_WORDS, side="right")) - 1)
+        end = min(end, len(first) - 1)
+        t, start, between = _laid_out(tok[first[at]:first[end]], first[at:end + 1] - first[at])
+        last, word, stem, out = len(t) - (max(WIDTHS) - 1), np.ascontiguousarray(t[:, 0]), np.ascontiguousarray(t[:, 1]), []
+        for w in WIDTHS:
+            r = tables[w][0].take(word[:last], 0)
+            r += tables[w][0].take(stem[:last], 0)
+            for j in range(1, w):
+                r += tables[w][j].take(word[j:last + j], 0)
+                r += tables[w][j].take(stem[j:last + j], 0)
+            r[between] = -np.inf
+            out.append(np.maximum(np.maximum.reduceat(r, start, axis=0) + bias[w], 0))
+        rows.append(np.concatenate(out, axis=1))
+        at = end
+    return np.concatenate(rows)
 
 
 def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str], seed: int = 11, epochs: int = 14) -> Model:
@@ -174,19 +182,21 @@ def _fitted(docs: list[np.ndarray], y: np.ndarray, fit: np.ndarray, n_words: int
     m, s, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     n0, n1 = classes or ((y == 0).sum(), (y == 1).sum())
     weight = np.where(y == 1, 0.5 / max(1, n1), 0.5 / max(1, n0)) * (n0 + n1)
+    grads = {"E": np.zeros_like(p["E"])}
     for epoch in range(epochs):
         fit = rng.permutation(fit)
         for at in range(0, len(fit), batch):
             rows = fit[at:at + batch]
             first = np.concatenate([[0], np.cumsum([len(docs[i]) for i in rows])])
             t, start, between = _laid_out(np.concatenate([docs[i] for i in rows]), first)
-            last, e, saved, feats = len(t) - (max(WIDTHS) - 1), p["E"][t].sum(1), [], []
+            last, e, saved, feats = len(t) - (max(WIDTHS) - 1), p["E"].take(t[:, 0], 0), [], []
+            e += p["E"].take(t[:, 1], 0)
             size = np.diff(np.append(start, last))
             for w in WIDTHS:
                 r = sum(e[j:last + j] @ p[f"W{w}"][j] for j in range(w)) + p[f"c{w}"]
                 r[between] = -np.inf
                 top = np.maximum.reduceat(r, start, axis=0)
-                pos, f = np.nonzero(r == np.repeat(top, size, axis=0))
+                pos, f = np.divmod(np.flatnonzero(r == np.repeat(top, size, axis=0)), FILTERS)
                 d = np.searchsorted(start, pos, side="right") - 1
                 _, one = np.unique(d * FILTERS + f, return_index=True)
                 saved.append((w, pos[one].reshape(len(rows), FILTERS)))
@@ -195,23 +205,25 @@ def _fitted(docs: list[np.ndarray], y: np.ndarray, fit: np.ndarray, n_words: int
             drop = (rng.random(x.shape) > 0.3) / 0.7
             z = (x * drop) @ p["v"] + p["b"]
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows] / len(rows)
-            grads = {k: np.zeros_like(a) for k, a in p.items()}
+            grads["E"].fill(0)
+            grads |= {k: np.zeros_like(a) for k, a in p.items() if k != "E"}
             grads["v"], grads["b"] = (x * drop).T @ g + 1e-4 * p["v"], np.array([g.sum()], np.float32)
             gx = (g[:, None] * p["v"] * drop * (x > 0)).reshape(len(rows), len(WIDTHS), FILTERS)
             for i, (w, pos) in enumerate(saved):
                 gf = gx[:, i]
+                live = np.flatnonzero(gf)  # dropped and rectified ones add nothing
                 grads[f"c{w}"] = gf.sum(0)
                 for j in range(w):
                     word = t[pos + j]
                     ev = p["E"][word].sum(2)
                     grads[f"W{w}"][j] = np.einsum("nf,nfd->df", gf, ev)
-                    ge = gf[..., None] * p[f"W{w}"][j].T[None]
+                    ge = gf.ravel()[live, None] * p[f"W{w}"][j].T[live % FILTERS]
                     for kind in (0, 1):
-                        np.add.at(grads["E"], word[..., kind], ge)
-            grads["E"] += 2e-6 * p["E"]
+                        np.add.at(grads["E"], word[..., kind].ravel()[live], ge)
             step += 1
             rate = 0.01 * min(1, step / 50) * (0.3 if epoch >= epochs - slow else 1)
-            for k in p:
+            _step_in_place(p["E"].ravel(), m["E"].ravel(), s["E"].ravel(), grads["E"].ravel(), rate, step)
+            for k in p.keys() - {"E"}:
                 m[k] = 0.9 * m[k] + 0.1 * grads[k]
                 s[k] = 0.999 * s[k] + 0.001 * grads[k] ** 2
                 p[k] -= (rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(s[k] / (1 - 0.999 ** step)) + 1e-7)).astype(np.float32)
@@ -219,6 +231,27 @@ def _fitted(docs: list[np.ndarray], y: np.ndarray, fit: np.ndarray, n_words: int
     return p
 
 
+def _step_in_place(p: np.ndarray, m: np.ndarray, s: np.ndarray, grad: np.ndarray, rate: float, step: int, decay: float = 2e-6, size: int = 1 << 14) -> None:
+    """The same step of Adam for the embeddings, which are most of the parameters: by pieces that stay in the cache."""
+    t, u = np.empty(size, p.dtype), np.empty(size, p.dtype)
+    for a in range(0, len(p), size):
+        x, mm, ss, g = p[a:a + size], m[a:a + size], s[a:a + size], grad[a:a + size]
+        tt, uu = t[:len(x)], u[:len(x)]
+        g += np.multiply(x, decay, out=tt)
+        mm *= 0.9
+        mm += np.multiply(g, 0.1, out=tt)
+        ss *= 0.999
+        np.square(g, out=tt)
+        ss += np.multiply(tt, 0.001, out=tt)
+        np.divide(mm, 1 - 0.9 ** step, out=tt)
+        tt *= rate
+        np.divide(ss, 1 - 0.999 ** step, out=uu)
+        np.sqrt(uu, out=uu)
+        uu += 1e-7
+        tt /= uu
+        x -= tt
+
+
 def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
     """The logit that separates best (balanced accuracy; of equals, the middle of the widest gap)."""
     if not 0 < y.sum() < len(y):
