@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,13 +190,13 @@ def _prefix_grams(src: DataFrame, n: int, num: int, den: int, shared) -> DataFra
 
 # --- pairs ------------------------------------------------------------------------------------
 
-def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps allow."""
+def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int, sized: bool = False) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps allow; ``sized``: their sizes are known to allow them."""
     one = classes.select(F.col("c").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
     two = classes.select(F.col("c").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
-    # Sizes first: few pairs get to carry bitmaps.
-    sized = pairs.join(one.select("a", "n1"), "a").join(two.select("b", "n2"), "b").filter(
-        F.least("n1", "n2") * den >= F.greatest("n1", "n2") * num).select("a", "b")
+    if not sized:  # sizes first: few pairs get to carry bitmaps
+        pairs = pairs.join(one.select("a", "n1"), "a").join(two.select("b", "n2"), "b").filter(
+            F.least("n1", "n2") * den >= F.greatest("n1", "n2") * num).select("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,7 +205,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Data
                 ok = may_link(column(p, "n1").to_numpy(), column(p, "n2").to_numpy(), differing_bits(column(p, "b1"), column(p, "b2")), num, den)
                 yield pa.RecordBatch.from_arrays([column(p, "a"), column(p, "b")], names=["a", "b"]).filter(pa.array(ok))
 
-    return sized.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
 def _asked_only(src: DataFrame, asked: DataFrame) -> DataFrame:
@@ -262,19 +262,18 @@ def _verified(pairs: DataFrame, reps: DataFrame, src: DataFrame, n: int, num: in
 
 def components(edges: DataFrame) -> DataFrame:
     """(c, comp): the least node of each node's component, by large-star and small-star rounds.
-    ``edges`` (a, b) in any direction; nodes without an edge are not listed."""
-    pairs = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    ``edges`` (a, b) in any direction, read twice; nodes without an edge are not listed."""
+    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")
     while True:
-        both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        new = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
-        # The same edges again: every component is a star around its least node.
-        if new.count() == pairs.count() and new.join(pairs, ["u", "v"], "left_anti").limit(1).count() == 0:
-            return new.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "c")
-        pairs = new
+        # Written, so that the join reads two exchanges and a node with very many neighbours is split.
+        near = cut(pairs.select(ends).select("x.u", "x.v").groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("z")))
+        # A node with a smaller neighbour has no other: every component is a star around its least node.
+        if near.filter("m < u and m <> z").isEmpty():
+            return near.filter("m < u").select(F.col("u").alias("c"), F.col("m").alias("comp"))
+        large = pairs.join(near.select(F.col("u").alias("v"), "m"), "v").select("u", F.least("v", "m").alias("v"))
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        pairs = cut(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
 
 
 def _folded(bits: bytes, n: int) -> bytes:
@@ -353,13 +352,15 @@ def _tile_matches(t: int, m: np.ndarray, data: np.ndarray, off: np.ndarray, gram
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def _live(rows: DataFrame, num: int, den: int) -> DataFrame:
+def _live(rows: DataFrame, num: int, den: int, more: int = 0) -> DataFrame:
     """The rows (t, c, comp, n2) with their size band, where the gram's classes of that band and its
-    neighbours lie in several components; no other row can have part in a new link."""
+    neighbours lie in several components; no other row can have part in a new link. ``more``: only bands
+    of more than so many of the gram's rows."""
     banded = rows.withColumn("band", F.floor(F.log(F.shiftright("n2", 1).cast("double")) / float(np.log(den / num)) + 1e-9).cast("long"))
-    size = banded.groupBy("t", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    near = size.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    several = cut(near.groupBy("t", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("t", "band"))
+    size = banded.groupBy("t", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
+    near = size.withColumn("d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("d"))
+    near = near.groupBy("t", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.when(F.col("d") == 0, F.col("m"))).alias("m"))
+    several = cut(near.filter(F.expr("lo <> hi") & (F.col("m") > more)).select("t", "band"))
     return banded.join(several, ["t", "band"]).select("t", "band", "c", "comp", "n2")
 
 
@@ -370,24 +371,23 @@ def _tile_pairs(banded: DataFrame, signatures: DataFrame, num: int, den: int, mo
     if "sketch" not in signatures.columns:
         signatures = signatures.withColumn("sketch", F.lit(bytearray(np.full(SKETCH, _NONE, "<i8").tobytes() + b"\0")))
     zero = F.lit(0).cast("long")
-    size = cut(banded.groupBy("t", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")))
     # A band's rows meet those of their band and of the band below: both come to the upper band's tile.
-    up = size.select("t", "band", F.col("blocks").alias("home"))
-    below = size.select("t", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    home = banded.join(up.join(below, ["t", "band"], "left"), ["t", "band"]).withColumn("block", F.pmod(F.xxhash64("c"), "home"))
-    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
-    # Home block i meets home blocks below i (as the first of the pair), itself, and the blocks of the band below.
-    block, none = F.col("block"), F.array().cast("array<struct<i:bigint,j:bigint,side:int>>")
+    size = banded.groupBy("t", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    near = size.withColumn("d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("d"))
+    of = lambda d: F.max(F.when(F.col("d") == d, F.col("blocks")))
+    size = cut(near.groupBy("t", "band").agg(of(0).alias("home"), of(1).alias("below"), of(-1).alias("above")).filter("home is not null"))
+    home = banded.join(size, ["t", "band"]).withColumn("block", F.pmod(F.xxhash64("c"), "home"))
+    cell = lambda i, j, side, up=0: F.struct((F.col("band") + up).alias("band"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    # Home block i meets home blocks below i (as the first of the pair), itself, the blocks of the band below, and as a
+    # guest those of the band above.
+    block, none = F.col("block"), F.array().cast("array<struct<band:bigint,i:bigint,j:bigint,side:int>>")
     cells = F.concat(
         F.array(cell(block, block, 2)),
         F.when(block > 0, F.transform(F.sequence(zero, block - 1), lambda j: cell(block, j, 0))).otherwise(none),
         F.when(block < F.col("home") - 1, F.transform(F.sequence(block + 1, F.col("home") - 1), lambda i: cell(i, block, 1))).otherwise(none),
-        F.when(F.col("below") > 0, F.transform(F.sequence(zero, F.col("below") - 1), lambda j: cell(block, -1 - j, 0))).otherwise(none))
-    cols = ("x.i", "x.j", "x.side", "c", "comp", "n2")
-    homes = home.withColumn("x", F.explode(cells)).select("t", "band", *cols)
-    guests = (banded.join(size, ["t", "band"]).withColumn("block", F.pmod(F.xxhash64("c"), "blocks")).withColumn("band", F.col("band") + 1)
-              .join(up, ["t", "band"]).withColumn("x", F.explode(F.transform(F.sequence(zero, F.col("home") - 1), lambda i: cell(i, -1 - block, 1))))
-              .select("t", "band", *cols))
+        F.when(F.col("below") > 0, F.transform(F.sequence(zero, F.col("below") - 1), lambda j: cell(block, -1 - j, 0))).otherwise(none),
+        F.when(F.col("above") > 0, F.transform(F.sequence(zero, F.col("above") - 1), lambda i: cell(i, -1 - block, 1, 1))).otherwise(none))
+    met = home.withColumn("x", F.explode(cells)).select("t", "x.band", "x.i", "x.j", "x.side", "c", "comp", "n2")
 
     def close(t: pa.Table, last: bool) -> tuple[pa.Table, pa.RecordBatch]:
         m = np.stack([t.column(x).to_numpy() for x in (*_TILE, "side", "c", "comp", "n2")], 1).astype(np.int64)
@@ -415,7 +415,7 @@ def _tile_pairs(banded: DataFrame, signatures: DataFrame, num: int, den: int, mo
         if held and sum(t.num_rows for t in held):
             yield close(pa.concat_tables(held).combine_chunks(), True)[1]
 
-    near = homes.unionAll(guests).join(signatures, "c").select(*_TILE, "side", "c", "comp", "n2", "sig", "sketch").repartition(*(F.col(k) for k in _TILE)).sortWithinPartitions(*_TILE)
+    near = met.join(signatures, "c").select(*_TILE, "side", "c", "comp", "n2", "sig", "sketch").repartition(*(F.col(k) for k in _TILE)).sortWithinPartitions(*_TILE)
     return near.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
@@ -424,8 +424,8 @@ def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.select("t", "c", "n2").join(comp, "c", "left").select("t", "c", F.coalesce("comp", "c").alias("comp"), "n2")
 
 
-def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, _k (content key), n_shingles, comp (a number of the component) and component_id of every row of ``df``."""
+def _grouped(df: DataFrame, n: int, num: int, den: int, text: str, doc_id: str) -> DataFrame:
+    """doc_id, _k (content key), n (grams) and comp (a number of the component, null without grams) of every row of ``df``."""
     src = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("_k"), F.col(text).alias("text"))
     everything = cut(_classes(src, n))
     rows = everything.filter("kind = 0")
@@ -438,20 +438,23 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, te
     release(df.sparkSession)
     star = shared.filter("c <> a").select("a", F.col("c").alias("b")).distinct()
     found = cut(_verified(cut(_plausible(star, classes, num, den)), classes, src, n, num, den))
-    comp = cut(components(found))
+    comp = components(found)
     # A gram's least class has met all others; the pairs among those are left. First the nearest in crowded grams.
     for most in (NEAREST, None):
-        live = _live(_labelled(shared.filter("c <> a"), comp), num, den)
-        if most:
-            crowded = live.groupBy("t", "band").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > CROWD).select("t", "band")
-            live = live.join(crowded, ["t", "band"])
-        live = cut(live)
-        late = cut(_plausible(_tile_pairs(live, cut(_signatures(classes, live)), num, den, most), classes, num, den))
-        found = cut(found.unionAll(_verified(late, classes, src, n, num, den)))
-        comp = cut(components(found))
+        live = cut(_live(_labelled(shared.filter("c <> a"), comp), num, den, CROWD if most else 0))
+        late = cut(_plausible(_tile_pairs(live, cut(_signatures(classes, live)), num, den, most), classes, num, den, sized=True))
+        if not late.isEmpty():
+            found = cut(_verified(late, classes, src, n, num, den))
+            # The stars found so far stand for their components' links.
+            comp = components(comp.select(F.col("c").alias("a"), F.col("comp").alias("b")).unionAll(found))
         del live, late
         release(df.sparkSession)
-    own = rows.join(comp, "c", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "c")))
+    return rows.join(comp, "c", "left").select("doc_id", "_k", "n", F.when(F.col("n") > 0, F.coalesce("comp", "c")).alias("comp"))
+
+
+def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, _k (content key), n_shingles, comp (a number of the component) and component_id of every row of ``df``."""
+    own = _grouped(df, n, num, den, text, doc_id)
     least = cut(own.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     return own.join(least, "comp", "left").select(
         "doc_id", "_k", F.col("n").alias("n_shingles"), "comp",
@@ -461,13 +464,11 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, te
 def keep_one(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each component, that with its smallest id (then content), with the columns of ``df``.
     Texts without words are components of their own; of rows that repeat id and text one stays."""
-    found = near_duplicates(df, n, num, den, text, doc_id)
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k"))
-    linked = found.filter("n_shingles > 0").groupBy("comp").agg(least.alias("w")).select("w.doc_id", "w._k")
-    winners = linked.unionAll(found.filter("n_shingles = 0").select("doc_id", "_k"))
+    found = _grouped(df, n, num, den, text, doc_id)
     # How many rows repeat each: only those few need to be made single.
-    rows = found.groupBy(F.col("doc_id").alias("_d"), F.col("_k").alias("_h")).agg(F.count(F.lit(1)).alias("_m"))
-    winners = cut(winners.distinct().join(rows, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_h"))).select("_d", "_h", "_m"))
+    rows = cut(found.groupBy(F.col("doc_id").alias("_d"), F.col("_k").alias("_h")).agg(F.count(F.lit(1)).alias("_m"), F.first("n").alias("n"), F.first("comp").alias("comp")))
+    linked = rows.filter("n > 0").groupBy("comp").agg(F.min(F.struct(F.col("_d").isNull().alias("no_id"), "_d", "_h", "_m")).alias("w")).select("w._d", "w._h", "w._m")
+    winners = cut(linked.unionAll(rows.filter("n = 0").select("_d", "_h", "_m")))
     df, back = aside(df, {"_d", "_h", "_m"})
     got = df.join(winners, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")))
     single = got.filter("_m = 1").unionAll(got.filter("_m > 1").dropDuplicates(["_d", "_h"]))

@@ -170,6 +170,49 @@ def test_tiles_find_cross_component_pairs(spark):
     assert want and want <= got
 
 
+def jobs_of(spark, work):
+    """What ``work`` returns, and how many Spark jobs it ran."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name := f"counted-{random.random()}", "")
+    try:
+        return work(), len(sc.statusTracker().getJobIdsForGroup(name))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components(spark):
+    """Least nodes of stars, paths, rings and random graphs; a graph of stars is read once and not gone over again."""
+    r = random.Random(4)
+    graphs = [[], [(5, 5)], [(i, 0) for i in range(1, 60)], [(i, i + 1) for i in range(60)], [(i, (i + 1) % 40) for i in range(40)] * 2,
+              [(r.randrange(-90, 90), r.randrange(-90, 90)) for _ in range(110)]]
+    for edges in graphs:
+        least = {x: x for e in edges for x in e}
+        while any(least[a] != least[b] for a, b in edges):
+            for a, b in edges:
+                least[a] = least[b] = min(least[a], least[b])
+        got = jaccard.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()
+        assert sorted((x.c, x.comp) for x in got) == sorted((c, m) for c, m in least.items() if m < c)
+    star = spark.createDataFrame(graphs[2], "a long, b long")
+    got, jobs = jobs_of(spark, lambda: jaccard.components(star).collect())
+    assert len(got) == 59 and jobs <= 8
+
+
+def test_jaccard_jobs(spark):
+    """Every job is a wave of tasks over all partitions, with files and event records of its own: near copies in a few
+    large groups need few of them."""
+    r = random.Random(6)
+    base = [[f"w{r.randrange(900)}" for _ in range(80)] for _ in range(4)]
+    rows = []
+    for i in range(160):
+        w = list(base[i % 4])
+        w[r.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = near(rows, 5, 80, 100)
+    got, jobs = jobs_of(spark, lambda: sorted(x.doc_id for x in jaccard.keep_one(df).collect()))
+    assert got == sorted({x[1] for x in want.values()}) and jobs <= 250
+
+
 def test_suffix_dedup_disk(spark, monkeypatch, tmp_path):
     """Texts without a copy enter no exchange, whatever their number; those with one keep their result."""
     r = random.Random(9)
