@@ -439,6 +439,8 @@ def _grouped(df: DataFrame, n: int, num: int, den: int, text: str, doc_id: str)
     star = shared.filter("c <> a").select("a", F.col("c").alias("b")).distinct()
     found = cut(_verified(cut(_plausible(star, classes, num, den)), classes, src, n, num, den))
     comp = components(found)
+    del star
+    release(df.sparkSession)
     # A gram's least class has met all others; the pairs among those are left. First the nearest in crowded grams.
     for most in (NEAREST, None):
         live = cut(_live(_labelled(shared.filter("c <> a"), comp), num, den, CROWD if most else 0))
