@@ -245,3 +245,100 @@ def test_boosted_fits_are_dealt_to_free_slots():
     assert max(len(g) for g in dealt) == 2 and {specs[g[0]].kind for g in dealt[:10]} == {"forest"}
     assert all(len({(specs[i].kind, specs[i].depths) for i in g}) == 1 for g in dealt)
     assert len(EN._groups(specs, 1)) == 15  # tasks that fill the slots share their exchanges
+
+
+def _one_hot_rows(n=900):
+    """Five categorical columns as 20 one-hot features beside a numeric one; ten rows have no category in the first column."""
+    r = np.random.default_rng(3)
+    kinds = [r.integers(0, 4, n) for _ in range(5)]
+    x = np.column_stack([r.normal(size=n), *[(k[:, None] == np.arange(4)).astype(float) for k in kinds]])
+    x[:10, 1:5] = 0
+    y = ((kinds[0] == 1) ^ (x[:, 0] > 0.3) ^ (r.random(n) < .1)).astype(float)
+    edges = [np.quantile(x[:, 0], np.arange(1, 32) / 32), *[np.array([0.0])] * 20]
+    return x, y, np.arange(n) % 5, np.arange(n) * 7919, edges
+
+
+def _rows(x, y, fold, key, edges, at=slice(None)):
+    return EN.Rows(EN.binned(x, edges)[at], y[at], fold[at], key[at], edges)
+
+
+def test_packs_hold_the_sums_of_every_cut():
+    """One code a row stands for many one-hot columns, and gives the same sums left of each cut."""
+    x, y, fold, key, edges = _one_hot_rows()
+    d, w = _rows(x, y, fold, key, edges), np.random.default_rng(1).integers(-50, 50, len(y)).astype(float)
+    want = [w[d.bins[:, j] <= b].sum() for j in range(d.width) for b in range(d.size[j] - 1)]
+    for most in (1, 64, 256):
+        packs = EN.packs(d, most)
+        got = np.concatenate([np.bincount(code, w, size) @ left for code, size, left, _ in packs])
+        assert got.tolist() == want
+    assert len(EN.packs(d, 1)) == 21 and len(EN.packs(d, 256)) <= 6
+
+
+def test_boosting_counts_few_cells(monkeypatch):
+    """A level counts the rows of the lighter children only, each in a few packs: not all rows in all features."""
+    x, y, fold, key, edges = _one_hot_rows()
+    cells, count = [], np.bincount
+    monkeypatch.setattr(EN.np, "bincount", lambda a, *b, **c: (cells.append(len(a)), count(a, *b, **c))[1])
+    list(EN.boost([EN.Spec("xgb", 0, (20,), (5,), .1)], _rows(x, y, fold, key, edges), EN.Together(None)))
+    assert sum(cells) < 20 * 5 * 2 * 900 * .8 * .8 * 21 / 4
+
+
+class _Task:
+    """One of several tasks in threads, which gather like those of a barrier stage."""
+
+    def __init__(self, number, all_, barrier):
+        self.number, self.all, self.barrier = number, all_, barrier
+
+    def partitionId(self):
+        return self.number
+
+    def getTaskInfos(self):
+        return self.all
+
+    def allGather(self, message):
+        self.all[self.number] = message
+        self.barrier.wait()
+        out = list(self.all)
+        self.barrier.wait()
+        return out
+
+
+@pytest.mark.parametrize("kind", ["xgb", "gb"])
+def test_boosted_trees_do_not_depend_on_tasks(kind):
+    """Sums of gradients are exact: the same trees bit for bit from one task and from three."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+    x, y, fold, key, edges = _one_hot_rows()
+    specs, all_, barrier = [EN.Spec(kind, f, (12,), (4,), .3) for f in (-1, 2)], [None] * 3, Barrier(3)
+
+    def fitted(task, at):
+        return [(m and [[v.tolist() for v in t] for t in m[1]], counts) for _, _, _, counts, m in EN.boost(specs, _rows(x, y, fold, key, edges, at), EN.Together(task), edges)]
+
+    one = fitted(None, slice(None))
+    with ThreadPoolExecutor(3) as pool:
+        three = list(pool.map(lambda i: fitted(_Task(i, all_, barrier), slice(i, None, 3)), range(3)))
+    assert one[0][0] == three[0][0][0] == three[2][0][0] and len(one[0][0]) == 12
+    assert one[1][1] == np.sum([t[1][1] for t in three], axis=0).tolist()
+
+
+def test_forests_of_all_least_splits_are_grown_once():
+    x, y, fold, key, edges = _one_hot_rows()
+    d, specs = _rows(x, y, fold, key, edges), [EN.Spec("forest", 1, (5, 30), (2, 4, None), min_split=m) for m in (10, 40, 5)]
+    got = {(s.min_split, size, depth): counts for s, size, depth, counts, _ in EN.forest(specs, d, EN.Together(None))}
+    alone = {(s.min_split, size, depth): counts for one in specs for s, size, depth, counts, _ in EN.forest([one], d, EN.Together(None))}
+    assert got == alone and len(got) == 18 and len({tuple(c) for c in got.values()}) > 6
+    whole = [s for c in M.default_grids()[1:] for s in M.shared_specs(c.kind, c.grid, 5)]
+    groups = EN._shared(whole, EN._groups(whole, 8))
+    assert sorted(i for g in groups for i in g) == list(range(len(whole))) and sum(whole[g[0]].kind == "forest" for g in groups) == 5
+    assert EN._shared([specs[0]] * 2, [[0], [1]]) == [[0], [1]]
+
+
+def test_last_forest_is_dealt_to_stages():
+    """Trees of the model fitted at last are grown in parts, which together are the whole forest; packed trees come back."""
+    x, y, fold, key, edges = _one_hot_rows(300)
+    d, spec = _rows(x, y, fold, key, edges), EN.Spec("forest", -1, (10,), (None,), min_split=5)
+    parts = EN._ranges(spec, 4)
+    assert [n for r in parts for n in r] == list(range(10)) and len(parts) == 4 and EN._ranges(EN.Spec("xgb", -1, (10,), (3,)), 4) == [None]
+    (_, _, _, _, whole), = EN.forest([spec], d, EN.Together(None), edges)
+    dealt = [t for r in parts for _, _, _, _, m in EN.forest([spec], d, EN.Together(None), edges, r) for t in EN._unpacked(EN._packed(m[1]))]
+    assert [[v.tolist() for v in t] for t in dealt] == [[v.tolist() for v in t] for t in whole[1]] and EN._unpacked(EN._packed([])) == []
